@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .packing import op4_best_fit_packing
 from .sharding import op1_sharding
+from .wordpiece import op2_token_counts
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_token_counts": op2_token_counts,
+    "op4_best_fit_packing": op4_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
