@@ -80,14 +80,22 @@ def map_batches(
 
 
 class Memo(dict):
-    """A dictionary that fills itself and forgets everything once it holds ``limit`` keys, so memory stays bounded."""
+    """A dictionary that fills itself and holds at most ``2 * limit`` keys.
 
-    def __init__(self, compute: Callable, limit: int = 300_000):
+    Once it has ``limit`` keys they become the older generation, from which a key that is asked for again comes back;
+    what nobody asked for since is forgotten.
+    """
+
+    def __init__(self, compute: Callable, limit: int = 200_000):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.older = compute, limit, {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .minhash import op3_minhash
+from .pieces import op10_sentencepiece
 from .packing import op4_best_fit_packing
 from .sharding import op1_sharding
 from .wordpiece import op2_token_counts
@@ -9,7 +11,9 @@ from .wordpiece import op2_token_counts
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_token_counts": op2_token_counts,
+    "op3_minhash": op3_minhash,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {}
