@@ -6,6 +6,7 @@ from .minhash import op3_minhash
 from .pieces import op10_sentencepiece
 from .packing import op4_best_fit_packing
 from .sharding import op1_sharding
+from .vectors import op9_embedding_dedup
 from .wordpiece import op2_token_counts
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_minhash": op3_minhash,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
