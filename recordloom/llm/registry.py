@@ -5,6 +5,7 @@ from __future__ import annotations
 from .minhash import op3_minhash
 from .pieces import op10_sentencepiece
 from .packing import op4_best_fit_packing
+from .privacy import op5_personal_data
 from .sharding import op1_sharding
 from .vectors import op9_embedding_dedup
 from .wordpiece import op2_token_counts
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_minhash": op3_minhash,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_personal_data": op5_personal_data,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
