@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .language import op8_language_id
 from .minhash import op3_minhash
 from .pieces import op10_sentencepiece
 from .packing import op4_best_fit_packing
 from .privacy import op5_personal_data
 from .sharding import op1_sharding
+from .toxicity import op6_toxicity
 from .vectors import op9_embedding_dedup
 from .wordpiece import op2_token_counts
 
@@ -16,6 +18,8 @@ QUERIES = {
     "op3_minhash": op3_minhash,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_personal_data": op5_personal_data,
+    "op6_toxicity": op6_toxicity,
+    "op8_language_id": op8_language_id,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
