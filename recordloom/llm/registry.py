@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language import op8_language_id
+from .media import op7_media
 from .minhash import op3_minhash
 from .pieces import op10_sentencepiece
 from .packing import op4_best_fit_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_personal_data": op5_personal_data,
     "op6_toxicity": op6_toxicity,
+    "op7_media": op7_media,
     "op8_language_id": op8_language_id,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_sentencepiece": op10_sentencepiece,
