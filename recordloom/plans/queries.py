@@ -202,12 +202,12 @@ def j11_inferred_dependencies(spark, sf_dir):
     return resolve.dependencies(packages, needs)
 
 
-@query(
-    """select l_orderkey as key, min_by(l_returnflag, l_linenumber) as flag, max(l_linenumber) as n from lineitem group by l_orderkey"""
-)
+@query("select o_custkey as key, min_by(o_orderstatus, o_orderkey) as flag, max(o_orderkey) as n from orders group by o_custkey")
 def j16_merge_by_rank(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("rank"), F.col("l_returnflag").alias("flag"), F.array("l_linenumber").alias("lines"))
-    return resolve.merge_by_rank(rows, ["key"], "rank", ["flag"], ["lines"]).select("key", "flag", F.array_max("lines").alias("n"))
+    rows = read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("rank"), F.col("o_orderstatus").alias("flag"), F.array("o_orderkey").alias("orders")
+    )
+    return resolve.merge_by_rank(rows, ["key"], "rank", ["flag"], ["orders"]).select("key", "flag", F.array_max("orders").alias("n"))
 
 
 @query(
