@@ -528,3 +528,83 @@ def m5_search_entries(spark, sf_dir):
 @query("select event_id, json_extract_string(props, '$.k') as k from events")
 def json_projection(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query(
+    """select page_id, 'declaration' as rejected from pages"""
+)
+def t11_html_policy(spark, sf_dir):
+    from ..operators.markup import apply_html_policy
+
+    return apply_html_policy(read(spark, sf_dir, "pages"), "html").select("page_id", "rejected")
+
+
+@query(
+    "select page_id, 'Page ' || page_id as title from pages"
+)
+def o12_titles(spark, sf_dir):
+    from ..operators import markup
+
+    head = F.concat(F.lit("Page "), "page_id")
+    docs = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.concat(F.lit("intro\n\n# "), head, F.lit("\n\n[a](b.md)\n")).alias("text"))
+    return markup.titles(docs, markup.flatten(docs)).select(F.col("doc").alias("page_id"), "title")
+
+
+@query("select page_id as doc, 'link' as kind, url as target from pages")
+def t1_references(spark, sf_dir):
+    from ..operators import markup
+
+    docs = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.concat(F.lit("See [the page]("), "url", F.lit(").\n")).alias("text"))
+    return markup.references(markup.flatten(docs)).select("doc", "kind", "target")
+
+
+def _cells(spark, sf_dir) -> DataFrame:
+    e = F.col("event_id")
+    return read(spark, sf_dir, "events").select(
+        "event_id", F.when(e % 5 == 0, "never").otherwise("execute").alias("mode"), (e % 2 == 0).alias("echo"), (e % 3 != 0).alias("include"),
+        F.when(e % 7 == 0, "hide").otherwise("show").alias("output"), F.when(e % 4 != 0, "Python").alias("language"), (e % 6 != 0).alias("eval"),
+    )
+
+
+@query(
+    """select event_id, event_id % 5 = 0 or (event_id % 3 <> 0 and event_id % 2 = 0) as show_source,
+    event_id % 5 <> 0 and event_id % 3 <> 0 and event_id % 7 <> 0 as show_outputs from events"""
+)
+def f4_shown_cells(spark, sf_dir):
+    from ..operators.markup import shown_cells
+
+    return shown_cells(_cells(spark, sf_dir)).select("event_id", "show_source", "show_outputs")
+
+
+@query("select event_id, case when event_id % 4 = 0 then 'language-mismatch' when event_id % 6 = 0 then 'eval-false' end as skip from events")
+def f6_skip_reasons(spark, sf_dir):
+    from ..operators.markup import skip_reasons
+
+    return skip_reasons(_cells(spark, sf_dir), "python").select("event_id", "skip")
+
+
+@query()
+def w6_reduced_outputs(spark, sf_dir):
+    from ..streaming.outputs import reduce_outputs
+
+    turns = read(spark, sf_dir, "conversations")
+    events = turns.select(
+        F.concat(F.lit("p"), F.col("conv_id") % 50).alias("page"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("conv_id").alias("cell"),
+        F.when(F.col("turn") % 5 == 4, "clear").otherwise("stream").alias("kind"), F.col("role").alias("name"), F.col("text").alias("payload"),
+        F.lit(None).cast("string").alias("display_id"), (F.col("turn") % 2 == 0).alias("wait"),
+    )
+    return reduce_outputs(events)
+
+
+@query()
+def g1_c3_order(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    regions = n.select(F.lit("p").alias("package"), F.concat(F.lit("r"), "n_regionkey").alias("cls"), F.array(F.lit("root")).alias("bases")).distinct()
+    top = spark.range(1).select(F.lit("p").alias("package"), F.lit("root").alias("cls"), F.array().cast("array<string>").alias("bases"))
+    nations = n.select(F.lit("p").alias("package"), "n_name", F.array(F.concat(F.lit("r"), "n_regionkey"), F.concat(F.lit("r"), (F.col("n_regionkey") + 1) % 5)).alias("bases"))
+    return graphs.c3_order(nations.withColumnRenamed("n_name", "cls").unionByName(regions).unionByName(top))
+
+
+@query("select user_id, min(ts) as first, count(*) as n from events group by user_id")
+def w1_first_changes(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("first"), F.count("*").alias("n"))
