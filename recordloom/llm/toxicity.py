@@ -56,17 +56,32 @@ def text_words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def _features_of():
-    memo = Memo(word_features)
+def _features(memo: Memo, text: str | None) -> list[int]:
+    return with_levels(chain.from_iterable(map(memo.__getitem__, text_words(text))))
 
-    def work(cols):
-        return {
-            "_id": cols["_id"],
-            "positive": cols["positive"],
-            "features": [with_levels(chain.from_iterable(map(memo.__getitem__, text_words(t)))) for t in cols["_text"]],
-        }
 
-    return work
+def _count_features(batches):
+    """How many texts of a partition have each feature, among the positives and among the unlabelled."""
+    memo, counts = Memo(word_features), np.zeros((2, LEVELS * WIDTH), np.int64)
+    for batch in batches:
+        for positive, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            counts[int(not positive), _features(memo, text.as_py())] += 1
+    some = np.flatnonzero(counts.sum(0))
+    arrays = [pa.array(some, pa.int64()), pa.array(counts[0, some], pa.int64()), pa.array(counts[1, some], pa.int64())]
+    yield pa.RecordBatch.from_arrays(arrays, names=["feature", "p", "u"])
+
+
+def _chosen_features(chosen):
+    def make():
+        memo, known = Memo(word_features), set(chosen.value.tolist())
+
+        def work(cols):
+            found = [[f for f in _features(memo, t) if f in known] for t in cols["_text"]]
+            return {"positive": cols["positive"], "features": found}
+
+        return work
+
+    return make
 
 
 @dataclass
@@ -80,43 +95,35 @@ class Classifier:
         memo = Memo(lambda word: tuple(f for f in word_features(word) if f in weighted))
 
         def score(text: str | None) -> float:
-            found = with_levels(chain.from_iterable(map(memo.__getitem__, text_words(text))))
+            found = _features(memo, text)
             logit = self.bias + sum(self.weights.get(f, 0.0) for f in found)
             return 1 / (1 + math.exp(-max(-50.0, min(50.0, logit))))
 
         return score
 
 
-def screened(positive: list[np.ndarray], unlabelled: list[np.ndarray], lift: float = 2.0, sigmas: float = 4.0) -> np.ndarray:
-    """The features that stand out among the positives, sorted: without the others there is little to overfit."""
-
-    def shares(rows):
-        return np.bincount(np.concatenate(rows), minlength=LEVELS * WIDTH) / len(rows)
-
-    p, u = shares(positive), shares(unlabelled)
-    floor = np.maximum(u, 1 / len(unlabelled))
-    z = (p - u) / np.sqrt(floor * (1 - np.minimum(floor, 0.999)) * (1 / len(positive) + 1 / len(unlabelled)))
-    return np.flatnonzero((p >= lift * u) & (p * len(positive) >= 3) & (z >= sigmas))
+def screened(p_count: np.ndarray, u_count: np.ndarray, np_: int, nu: int, lift: float = 2.0, sigmas: float = 4.0) -> np.ndarray:
+    """Where counts among the positives stand out from those among the unlabelled: without the rest little can overfit."""
+    p, u = p_count / np_, u_count / nu
+    floor = np.maximum(u, 1 / nu)
+    z = (p - u) / np.sqrt(floor * (1 - np.minimum(floor, 0.999)) * (1 / np_ + 1 / nu))
+    return (p >= lift * u) & (p_count >= 3) & (z >= sigmas)
 
 
 def fit_nnpu(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 2000, rate: float = 0.5, l1: float = 8e-4
+    known: np.ndarray, positive: list, unlabelled: list, prior: float, steps: int = 2000, rate: float = 0.5, l1: float = 8e-4
 ) -> Classifier:
-    """Steps of AdaGrad over both samples whole, with soft thresholding.
+    """``known``: sorted feature numbers, of which every row has some. Steps of AdaGrad over both samples whole, with soft thresholding.
 
     A text without any feature that stands out is no likelier toxic than the prior, so the bias stays at its log-odds
     or below.
     """
-    known = screened(positive, unlabelled)
     width = len(known)
 
     def matrix(rows):
-        """(row, column) of each screened feature that occurs."""
-        size = np.array([len(r) for r in rows])
-        flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), size)
-        at = np.minimum(np.searchsorted(known, flat), max(width - 1, 0))
-        held = known[at] == flat if width else np.zeros(len(flat), bool)
-        return of[held], at[held]
+        """(row, column) of each feature that occurs."""
+        at = np.searchsorted(known, np.concatenate([np.asarray(r, dtype=np.int64) for r in rows]))
+        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), at
 
     (row_p, col_p), (row_u, col_u) = matrix(positive), matrix(unlabelled)
     np_, nu = len(positive), len(unlabelled)
@@ -171,18 +178,19 @@ def train(
     held = F.broadcast(confirmed) if toxic * share_p <= 2 * max_positive else confirmed
     p = rows.join(held, "_id").withColumn("positive", F.lit(True))
     u = rows.where(_picked(F.col("_id"), share_u)).withColumn("positive", F.lit(False))
-    kind = rows.schema["_id"].dataType.simpleString()
-    found = map_batches(p.unionAll(u), _features_of, f"_id {kind}, positive boolean, features array<int>")
-    sample = found.dropDuplicates(["_id", "positive"]).orderBy("_id", "positive").select("positive", "features").toArrow()
-    sides: tuple[list, list] = ([], [])
-    lists = sample.column("features").combine_chunks()
-    flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy()
-    for i, positive in enumerate(sample.column("positive").to_pylist()):
-        sides[not positive].append(flat[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]])
-    if not sides[0] or not sides[1]:
+    # Of equal texts one is enough, so that a text copied thousands of times is not learned by heart.
+    sample = p.unionAll(u).select("positive", "_text", F.md5(F.coalesce("_text", F.lit("")).cast("binary")).alias("same"))
+    sample = sample.dropDuplicates(["positive", "same"]).select("positive", "_text")
+    counts = sample.mapInArrow(_count_features, "feature long, p long, u long").groupBy("feature")
+    table_ = counts.agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p >= 3").toArrow()  # at most LEVELS * WIDTH rows
+    sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
+    if len(sizes) < 2:
         return None
-    # Of texts with the same features one is enough, so that a text copied thousands of times is not learned by heart.
-    return fit_nnpu(*(list({r.tobytes(): r for r in side}.values()) for side in sides), prior)
+    feature, p_count, u_count = (table_.column(c).to_numpy() for c in ("feature", "p", "u"))
+    known = np.sort(feature[screened(p_count, u_count, sizes[True], sizes[False])])
+    chosen = docs.sparkSession.sparkContext.broadcast(known)
+    rows = map_batches(sample, _chosen_features(chosen), "positive boolean, features array<int>").orderBy("positive", "features").collect()
+    return fit_nnpu(known, *([r["features"] for r in rows if r["positive"] == side] for side in (True, False)), prior)
 
 
 def score_texts(df: DataFrame, id_col: str, text_col: str, model: Classifier | None) -> DataFrame:
