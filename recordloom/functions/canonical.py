@@ -12,6 +12,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import json_string
 
@@ -21,7 +22,7 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(content: pd.Series) -> pd.Series:
     """The canonical form of JSON texts; null where a text is not JSON."""
 

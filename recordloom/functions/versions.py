@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 
 def numeric_version(col: Column) -> Column:
@@ -107,12 +108,12 @@ def pep440_satisfies(version: str, requirement: str) -> bool | None:
         return None
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _udf_semver(version: pd.Series, requirement: pd.Series) -> pd.Series:
     return pd.Series([semver_satisfies(v, r) for v, r in zip(version, requirement)], dtype=object)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _udf_pep440(version: pd.Series, requirement: pd.Series) -> pd.Series:
     return pd.Series([pep440_satisfies(v, r) for v, r in zip(version, requirement)], dtype=object)
 
