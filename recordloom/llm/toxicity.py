@@ -189,7 +189,8 @@ def train(
     feature, p_count, u_count = (table_.column(c).to_numpy() for c in ("feature", "p", "u"))
     known = np.sort(feature[screened(p_count, u_count, sizes[True], sizes[False])])
     chosen = docs.sparkSession.sparkContext.broadcast(known)
-    rows = map_batches(sample, _chosen_features(chosen), "positive boolean, features array<int>").orderBy("positive", "features").collect()
+    rows = map_batches(sample, _chosen_features(chosen), "positive boolean, features array<int>").collect()
+    rows.sort(key=lambda r: r["features"])  # sums of floats depend on the order
     return fit_nnpu(known, *([r["features"] for r in rows if r["positive"] == side] for side in (True, False)), prior)
 
 
