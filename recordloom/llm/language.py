@@ -1,7 +1,7 @@
 """Language identification by sparse multinomial logistic regression on TF-IDF character n-grams.
 
-The n-grams (one to three characters) of the words of a text, each word between blanks and in lower case, are hashed
-into ``WIDTH`` numbers. A text's value for an n-gram is its share of the text's n-grams times its inverse document
+The n-grams (one to three characters) of a text, in lower case and with every run of other characters than letters as
+one blank, are hashed into ``WIDTH`` numbers. A text's value for an n-gram is its share of the text's n-grams times its inverse document
 frequency, which is counted over all rows to learn from. Weights are trained with follow-the-regularised-leader (the
 proximal form, with a rate of its own for each coordinate) under an elastic net, on a bounded sample: about
 ``per_language`` rows of each of at most ``max_languages`` most frequent languages, picked by the hash of the id, or
@@ -15,8 +15,6 @@ are not looked at. Texts are taken whole.
 
 from __future__ import annotations
 
-import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,23 +22,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, id_fold, map_batches, table
+from .common import id_fold, map_batches, table
 
 WIDTH = 1 << 16
-_WORD = re.compile(r"[^\W\d_]+")
+_STEP, _SPREAD = np.uint64(0x110003), np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 
 
-def word_grams(word: str) -> np.ndarray:
-    """Hashed n-grams of a word, with repeats."""
-    padded = f" {word} "
-    return np.array(
-        [zlib.crc32(padded[i : i + n].encode()) % WIDTH for n in (1, 2, 3) for i in range(len(padded) - n + 1)], dtype=np.int32
-    )
+_tables: list[np.ndarray] = []
 
 
-def letter_words(text: str | None) -> list[str]:
-    return [w for w in _WORD.findall((text or "").lower()) if any(map(str.isalpha, w))]
+def _code_tables() -> list[np.ndarray]:
+    """For every code point its lower-case form if it is a letter, else a blank; made once in a worker."""
+    if not _tables:
+        lower = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in map(chr, range(0x110000))]
+        letter = [c.isalpha() for c in map(chr, range(0x110000))]
+        _tables.append(np.where(letter, lower, 32).astype(np.uint64))
+    return _tables
+
+
+def text_grams(text: str | None) -> np.ndarray | None:
+    """Hashed n-grams of a text, with repeats; None for a text without a letter.
+
+    Letters are taken in lower case and every run of other characters is one blank, as is each end of the text.
+    """
+    if not text:
+        return None
+    codes = _code_tables()[0][np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    codes = np.concatenate([[np.uint64(32)], codes, [np.uint64(32)]])
+    blank = codes == 32
+    codes = codes[np.append(True, ~(blank[1:] & blank[:-1]))]
+    if len(codes) < 2:
+        return None
+    two = codes[:-1] * _STEP + codes[1:]
+    three = two[:-1] * _STEP + codes[2:]
+    return np.concatenate([((g * _SPREAD) >> np.uint64(48)).astype(np.int32) for g in (codes, two + np.uint64(1 << 40), three + np.uint64(1 << 41))])
 
 
 @dataclass
@@ -50,16 +66,11 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
 
-    def word_logits(self, word: str) -> tuple[float, ...]:
-        """The sum over the n-grams of a word, and their number."""
-        grams = word_grams(word)
-        return (*self.weights[grams].sum(axis=0).tolist(), float(len(grams)))
-
-    def predict(self, words: list[str], memo: dict) -> tuple[str, float]:
-        if not words or not self.languages:
+    def predict(self, text: str | None) -> tuple[str, float]:
+        grams = text_grams(text) if self.languages else None
+        if grams is None:
             return UNKNOWN, 0.0
-        total = np.array(list(map(memo.__getitem__, words))).sum(axis=0)
-        p = softmax((total[:-1] / total[-1] + self.bias) / self.temperature)
+        p = softmax((self.weights[grams].sum(axis=0) / len(grams) + self.bias) / self.temperature)
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
@@ -104,26 +115,24 @@ def best_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def _frequencies(batches):
     """How many texts of a partition hold each n-gram."""
-    memo, counts = Memo(word_grams, 100_000), np.zeros(WIDTH, np.int64)
+    counts = np.zeros(WIDTH, np.int64)
     for batch in batches:
         for text in batch.column(0):
-            grams = [memo[w] for w in set(letter_words(text.as_py()))]
-            if grams:
+            grams = text_grams(text.as_py())
+            if grams is not None:
                 seen = np.zeros(WIDTH, bool)
-                seen[np.concatenate(grams)] = True
+                seen[grams] = True
                 counts += seen
     some = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], names=["gram", "n"])
 
 
 def _gram_counts():
-    memo = Memo(word_grams, 100_000)
-
     def work(cols):
         grams, counts = [], []
         for text in cols["_text"]:
-            found = [memo[w] for w in letter_words(text)]
-            g, c = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
+            found = text_grams(text)
+            g, c = ([], []) if found is None else np.unique(found, return_counts=True)
             grams.append(g)
             counts.append(c)
         return {"_id": cols["_id"], "lang": cols["lang"], "grams": grams, "counts": counts}
@@ -173,10 +182,9 @@ def train(
 def _predictions(model):
     def make():
         m = model.value
-        memo = Memo(m.word_logits)
 
         def work(cols):
-            pairs = [m.predict(letter_words(t), memo) for t in cols["_text"]]
+            pairs = [m.predict(t) for t in cols["_text"]]
             return {"_id": cols["_id"], "lang_pred": [p for p, _ in pairs], "score": [s for _, s in pairs]}
 
         return work
@@ -198,10 +206,9 @@ def keep_known_languages(df: DataFrame, text_col: str, model: Model, least: floa
 
     def run(batches):
         m = sent.value
-        memo = Memo(m.word_logits)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            found = [m.predict(letter_words(t.as_py()), memo) for t in texts]
+            found = [m.predict(t.as_py()) for t in texts]
             yield batch.filter(pa.array([lang != UNKNOWN and p >= least for lang, p in found], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
