@@ -141,7 +141,7 @@ def _gram_counts():
 
 
 def train(
-    docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 2000, max_languages: int = 64
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 1000, max_languages: int = 64
 ) -> Model:
     """Fit on the rows of ``docs`` that have a language."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("lang"))
@@ -161,16 +161,20 @@ def train(
     picked = learn.where(F.pmod(F.xxhash64("_id", F.lit(13)), F.lit(1 << 30)) < share * (1 << 30))
     kind = rows.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, lang string, grams array<int>, counts array<int>"
-    sample = map_batches(picked, _gram_counts, schema).dropDuplicates(["_id", "lang"]).orderBy("_id", "lang").toArrow().to_pylist()
+    sample = map_batches(picked, _gram_counts, schema).dropDuplicates(["_id", "lang"]).orderBy("_id", "lang").select("lang", "grams", "counts").toArrow()
+    columns = [sample.column(c).combine_chunks() for c in ("grams", "counts")]
+    starts = [c.offsets.to_numpy() - c.offsets[0].as_py() for c in columns]
+    flat = [c.flatten().to_numpy() for c in columns]  # kept as arrays: Python numbers would take ten times the memory
     data, labels = [], []
-    for r in sample:
-        if r["grams"]:
-            cols, counts = np.array(r["grams"]), np.array(r["counts"], dtype=np.float64)
+    for i, lang in enumerate(sample.column("lang").to_pylist()):
+        cols, counts = (x[o[i] : o[i + 1]] for x, o in zip(flat, starts))
+        if len(cols):
             data.append((cols, counts / counts.sum() * idf[cols]))
-            labels.append(languages.index(r["lang"]))
+            labels.append(languages.index(lang))
     if not data:
         return Model([], np.zeros((WIDTH, 0)), np.zeros(0))
     labels = np.array(labels)
+    # The sample is in the order of ids, so every fifth row is as good as a random part.
     held = np.arange(len(data)) % 5 == 4
     held = held if held.any() else ~held
     trained = [d for d, h in zip(data, held) if not h] or data
