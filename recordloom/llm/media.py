@@ -4,16 +4,18 @@ An image is a struct of ``width``, ``height`` and ``pixels`` (one grey byte a pi
 
 1.  Corners are found at two scales (structure tensor, local maxima, the ``points`` strongest of each scale), turned
     upright by the centroid of their surroundings, and described by 128 binary tests at fixed rotated places.
-2.  Hamming tables: a descriptor is cut into two words of 64 bits, each a key of its own table, so descriptors that
-    differ in one bit share a key; few of those of a copy differ at all. An image probes with the rarest ``1 - share / 2`` of its keys, those that
-    nobody else has included: an image that shares less than ``share / 2`` of its keys with all others together probes nothing,
-    and page furniture, which a third of all images may show, comes last. A probed key of at most ``few`` images brings
-    all of them together; one of more images does so through three of them, so that a large group of copies makes no
-    pairs of all with all. Images that meet at three keys are candidates.
-3.  Candidates that are connected form groups, which are compared in cells of bounded blocks, all with all: pairs that
-    share at least ``share / 2`` of the keys of the smaller are matched, descriptors within ``most_bits`` bits; geometric
+2.  Hamming tables: a descriptor is cut into four words of 32 bits, each a key of its own table, so descriptors that
+    differ in up to three bits always share a key; farther ones share one by chance only. A point of an image meets
+    another image if they share one of the point's keys. A linked image shares ``need`` of its points, six or ``share``
+    of them, so three of those are among any ``n - need + 3`` of its ``n`` points: an image probes with that many, the rarest
+    first, those that nobody else has included. Two images that meet at three probing points through keys of at most
+    ``few`` rows are a pair; all images of a probed key of more rows are joined to one of them instead.
+3.  Images that are connected so form groups, which are compared in cells of bounded blocks, all with all: pairs of which
+    the smaller has three points that meet the other are matched, descriptors within ``most_bits`` bits; geometric
     consensus keeps the matches that one similarity transform (scale, rotation, shift) explains; a pair is linked if
-    these are at least six and ``share`` of the smaller image's points.
+    these are at least six and ``share`` of the smaller image's points. So every pair that this rule links is found if
+    ``need`` of its matches differ in at most three bits each, whatever the size of its keys, and any other if three
+    of the points that probe still meet.
 4.  Links, as spanning forests, give connected components. Identical images take part once.
 
 There are no stored images among the tables, so the query draws each web page: every word of the visible text is a
@@ -35,7 +37,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches, table
@@ -136,27 +138,32 @@ def _described(points: int, reader):
 
 
 def _words(bits: np.ndarray) -> np.ndarray:
-    """The keys of descriptors: their two halves, each in a table of its own."""
-    halves = (bits.reshape(-1, 2) ^ np.array([0, 0x9E3779B97F4A7C15], np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-    return (halves >> np.uint64(32)).astype(np.int64)  # 32 bits keep shuffled rows short; a chance meeting is verified
+    """The keys of descriptors: their four words, each in a table of its own."""
+    return bits.reshape(-1, 2).view(np.uint32).astype(np.int64) * 4 + np.arange(4)
 
 
 def _table_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct keys of an image in the two Hamming tables."""
+    """A row for each point of an image and each of its keys in the four Hamming tables."""
     for batch in batches:
-        keys = []
-        for raw in batch.column("bits").to_pylist():
-            keys.append(np.unique(_words(np.frombuffer(raw, np.uint64))))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array([len(k) for k in keys], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "m", "keys"]
-        )
-
-
-def consensus(pa_: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray, most_bits: int, near: float = 3.0) -> int:
-    """How many points of the first image one similarity transform brings onto matching points of the second."""
-    far = np.bitwise_count(da[:, None] ^ db[None]).sum(2)
-    best = far.argmin(1)
-    i = np.flatnonzero(far[np.arange(len(far)), best] <= most_bits)
+        for image, raw in zip(batch.column("id").to_pylist(), batch.column("bits").to_pylist()):
+            words = _words(np.frombuffer(raw, np.uint64))
+            n = len(words)
+            arrays = [np.full(4 * n, image), np.full(4 * n, n, np.int32), np.repeat(np.arange(n, dtype=np.int32), 4), words.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["id", "n", "p", "k"])
+
+
+def consensus(
+    pa_: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray, most_bits: int, near: float = 3.0, enough: float = np.inf
+) -> int:
+    """How many points of the first image one similarity transform brings onto matching points of the second.
+
+    The search ends at a transform that explains ``enough``.
+    """
+    best, least = np.zeros(len(da), int), np.zeros(len(da), int)
+    for at in range(0, len(da), 256):
+        far = np.bitwise_count(da[at : at + 256, None] ^ db[None]).sum(2)
+        best[at : at + 256], least[at : at + 256] = far.argmin(1), far.min(1)
+    i = np.flatnonzero(least <= most_bits)
     j = best[i]
     if not len(i):
         return 0
@@ -164,12 +171,40 @@ def consensus(pa_: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray, m
     scale = b[:, 2] / a[:, 2]
     turn = (b[:, 3] - a[:, 3]) * 2 * np.pi / _TURNS
     c, s = np.cos(turn) * scale, np.sin(turn) * scale
+    most = 0
     # Each match proposes a transform; all matches are held against all proposals.
-    dy, dx = a[None, :, 0] - a[:, None, 0], a[None, :, 1] - a[:, None, 1]
-    x = b[:, None, 1] + c[:, None] * dx - s[:, None] * dy
-    y = b[:, None, 0] + s[:, None] * dx + c[:, None] * dy
-    fits = np.hypot(x - b[None, :, 1], y - b[None, :, 0]) <= near * np.maximum(scale, 1)[:, None]
-    return int(max(len(np.unique(j[f])) for f in fits))
+    for at in range(0, len(i), 64):
+        t = slice(at, at + 64)
+        dy, dx = a[None, :, 0] - a[t, None, 0], a[None, :, 1] - a[t, None, 1]
+        x = b[t, None, 1] + c[t, None] * dx - s[t, None] * dy
+        y = b[t, None, 0] + s[t, None] * dx + c[t, None] * dy
+        fits = np.hypot(x - b[None, :, 1], y - b[None, :, 0]) <= near * np.maximum(scale[t], 1)[:, None]
+        for f in fits[fits.sum(1) > most]:
+            most = max(most, len(np.unique(j[f])))
+            if most >= enough:
+                return most
+    return most
+
+
+MEET = 3
+
+
+def _meetings(words: list[np.ndarray]) -> np.ndarray:
+    """(i, j): how many points of image i share a key with image j."""
+    sizes = [w.shape[0] for w in words]
+    image = np.repeat(np.arange(len(words)), [4 * n for n in sizes])
+    point = np.concatenate([np.repeat(np.arange(n), 4) for n in sizes])
+    key = np.unique(np.concatenate([w.ravel() for w in words]), return_inverse=True)[1].ravel()
+    held = np.unique(np.stack([key, image], 1), axis=0)
+    first = np.searchsorted(held[:, 0], np.arange(key.max() + 2))
+    shared = np.diff(first)[key] > 1
+    met = np.zeros((len(words), len(words)), np.int32)
+    image, point, key = image[shared], point[shared], key[shared]
+    for at in np.split(np.arange(len(image)), np.flatnonzero((np.diff(image) != 0) | (np.diff(point) != 0)) + 1):
+        if len(at):
+            others = np.concatenate([held[first[k] : first[k + 1], 1] for k in np.unique(key[at])])
+            met[image[at[0]], np.unique(others)] += 1
+    return met
 
 
 def _cell(most_bits: int, share: float):
@@ -181,27 +216,21 @@ def _cell(most_bits: int, share: float):
         raw_p, raw_b = cell.column("places").to_pylist(), cell.column("bits").to_pylist()
         places = [np.frombuffer(raw_p[i], np.int32).reshape(-1, 4) for i in order]
         bits = [np.frombuffer(raw_b[i], np.uint64).reshape(-1, 2) for i in order]
-        words = [_words(b) for b in bits]
-        held: dict[int, list[int]] = {}
-        sizes = np.array([len(np.unique(w)) for w in words])
-        for i, w in enumerate(words):
-            for k in np.unique(w).tolist():
-                held.setdefault(k, []).append(i)
+        sizes = np.array([len(b) for b in bits])
+        met = _meetings([_words(b) for b in bits])
         root, links = np.arange(len(ids)), []
         for i in range(len(ids)):
             if one != other and own[i] != one:
                 continue
-            shared = np.zeros(len(ids), np.int32)
-            for k in np.unique(words[i]).tolist():
-                shared[held[k]] += 1
             allowed = (own == other) if one != other else (np.arange(len(ids)) > i)
-            enough = np.maximum(6, share / 2 * np.minimum(sizes, sizes[i]))
-            for j in np.flatnonzero((shared >= enough) & allowed):
+            meet = np.where(sizes < sizes[i], met[:, i], met[i])
+            meet = np.where(sizes == sizes[i], np.maximum(met[:, i], met[i]), meet)
+            for j in np.flatnonzero((meet >= MEET) & allowed):
                 if root[i] == root[j]:
                     continue
                 small, large = (i, j) if len(places[i]) <= len(places[j]) else (j, i)
-                agreed = consensus(places[small], bits[small], places[large], bits[large], most_bits)
-                if agreed >= max(6, share * len(places[small])):
+                need = max(6, share * len(places[small]))
+                if consensus(places[small], bits[small], places[large], bits[large], most_bits, enough=need) >= need:
                     links.append((int(ids[i]), int(ids[j])))
                     root[root == root[j]] = root[i]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
@@ -210,7 +239,7 @@ def _cell(most_bits: int, share: float):
 
 
 def image_copies(
-    df: DataFrame, id_col: str, image_col: str, points: int = 24, share: float = 0.3, most_bits: int = 12, block_rows: int = 500, few: int = 64, reader=None, broadcast_rows: int = 1_000_000
+    df: DataFrame, id_col: str, image_col: str, points: int = 24, share: float = 0.3, most_bits: int = 12, block_rows: int = 500, few: int = 2000, reader=None, broadcast_rows: int = 1_000_000
 ) -> DataFrame:
     """Return for each row its id (long), ``n_points``, ``component_id`` (the least id reachable) and ``kept``.
 
@@ -225,21 +254,24 @@ def image_copies(
     classes = cut(light)
     first = classes.select("key", "id")
     strong = base.where("n >= 6").join(F.broadcast(first) if classes.count() <= broadcast_rows else first, ["key", "id"])
-    keyed = strong.select("id", "bits").mapInArrow(_table_keys, "id long, m int, keys array<bigint>")
-    keys = keyed.select("id", "m", F.explode("keys").alias("k"))
-    often = keys.groupBy("k").agg(F.count("*").alias("f")).where("f > 1")
-    # An image's keys that nobody shares come first in the order of rarity; they probe nothing.
-    probe = F.col("m") - F.ceil(F.col("m") * share / 2) + 1
-    ranked = keys.join(often, "k").groupBy("id", "m").agg(F.array_sort(F.collect_list(F.struct("f", "k"))).alias("ks"))
-    held = cut(ranked.select("id", F.posexplode("ks.k").alias("at", "k"), (F.col("m") - F.size("ks")).alias("alone"), probe.alias("probe")))
-    probes = held.where(F.col("alone") + F.col("at") < F.col("probe")).select("k", "id")
-    shown = held.select("k", "id").join(probes.select("k").distinct(), "k", "left_semi").join(often, "k")
-    # A key of few images brings them all together; one of many through three of them.
-    some = shown.where(F.col("f") <= few).select("k", F.col("id").alias("other"))
-    many = shown.where(F.col("f") > few).groupBy("k").agg(F.array(F.min("id"), F.max("id"), F.min_by("id", F.xxhash64("id"))).alias("o"))
-    met = probes.join(some.unionAll(many.select("k", F.explode(F.array_distinct("o")))), "k").where("id <> other")
-    pairs = met.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.count_distinct("k").alias("n"))
-    groups = connected_components(pairs.where(F.col("n") >= 3).select("a", "b"))
+    keys = strong.select("id", "bits").mapInArrow(_table_keys, "id long, n int, p int, k long")
+    of_key = Window.partitionBy("k")
+    counted = keys.select("*", F.count("*").over(of_key).alias("f"), F.min("id").over(of_key).alias("hub"), F.max("id").over(of_key).alias("last"))
+    held = cut(counted.where("hub < last").drop("last"))
+    # An image's points that meet nobody come first in the order of rarity; they probe nothing.
+    rare = held.groupBy("id", "n", "p").agg(F.max("f").alias("f")).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "p"))).alias("ps"))
+    need = F.greatest(F.lit(6), F.ceil(F.col("n") * share))
+    probing = rare.select("id", F.explode(F.slice("ps.p", 1, F.greatest(F.lit(0), F.size("ps") - need + MEET).cast("int"))).alias("p"))
+    probes = held.join(probing, ["id", "p"]).select("id", "p", "k", "f", "hub")
+    holders = held.select("k", F.col("id").alias("other"))
+    # A key of few rows brings its images together where they meet often enough; one of more joins all of them in a star.
+    met = probes.where(F.col("f") <= few).join(holders, "k").where("id <> other")
+    pairs = met.groupBy(F.col("id").alias("a"), F.col("other").alias("b")).agg(F.count_distinct("p").alias("n")).where(F.col("n") >= MEET)
+    edges = pairs.select("a", "b")
+    if not held.where(F.col("f") > few).isEmpty():
+        big = probes.where(F.col("f") > few).select("k", "hub").distinct()
+        edges = edges.unionAll(big.join(holders, "k").where("hub <> other").select("hub", "other").distinct())
+    groups = connected_components(edges)
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     members = groups.join(sizes, "component").withColumnRenamed("node", "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
