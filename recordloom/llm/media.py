@@ -2,8 +2,8 @@
 
 An image is a struct of ``width``, ``height`` and ``pixels`` (one grey byte a pixel, row by row).
 
-1.  Corners are found at two scales (structure tensor, local maxima, the ``points`` strongest of each scale), turned
-    upright by the centroid of their surroundings, and described by 128 binary tests at fixed rotated places.
+1.  Corners are found at two scales (structure tensor, local maxima, the ``points`` strongest of each tile of 64
+    pixels' side, so that their number follows the size of the image), turned upright by the centroid of their surroundings, and described by 128 binary tests at fixed rotated places.
 2.  Hamming tables: a descriptor is cut into four words of 32 bits, each a key of its own table, so descriptors that
     differ in up to three bits always share a key; farther ones share one by chance only. A point of an image meets
     another image if they share one of the point's keys. A linked image shares ``need`` of its points, six or ``share``
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import cut, map_batches, table
 from .components import connected_components
 
-BITS, RADIUS, PATCH = 128, 11, 16
+BITS, RADIUS, PATCH, TILE = 128, 11, 16, 64
 _rng = np.random.default_rng(20240607)
 #: The places of the binary tests: pairs of points around a corner, and their rotations by steps of 12 degrees.
 _TESTS = np.clip(_rng.normal(0, 6, (BITS, 2, 2)), -11, 11)
@@ -63,7 +63,7 @@ def _window(a: np.ndarray, r: int) -> np.ndarray:
 
 
 def _corners(img: np.ndarray, most: int) -> np.ndarray:
-    """(y, x) of the strongest local maxima of the corner response."""
+    """(y, x) of the local maxima of the corner response, the ``most`` strongest of every tile."""
     gy, gx = img[2:, 1:-1] - img[:-2, 1:-1], img[1:-1, 2:] - img[1:-1, :-2]
     a, b, c = _window(gx * gx, 2), _window(gy * gy, 2), _window(gx * gy, 2)
     trace = a + b
@@ -79,7 +79,11 @@ def _corners(img: np.ndarray, most: int) -> np.ndarray:
         wide = np.maximum(wide, tall[:, d : w - 4 + d])
     inner = r[2:-2, 2:-2]
     ys, xs = np.nonzero((inner >= wide) & (inner > 1e6))
-    order = np.lexsort((xs, ys, -np.rint(inner[ys, xs] / 1e5)))[:most]
+    tile = ys // TILE * (w // TILE + 1) + xs // TILE
+    order = np.lexsort((xs, ys, -np.rint(inner[ys, xs] / 1e5), tile))
+    tiles, first = np.unique(tile[order], return_index=True)
+    rank = np.arange(len(order)) - first[np.searchsorted(tiles, tile[order])]
+    order = order[rank < most]
     return np.stack([ys[order], xs[order]], 1) + 5
 
 
