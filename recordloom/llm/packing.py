@@ -1,11 +1,11 @@
-"""Best-fit packing of tokenised documents into sequences of a fixed capacity, by hierarchical residual packing.
+"""Best-fit packing of tokenised documents into sequences of a fixed capacity, whatever their layout.
 
-Every input partition tokenises its documents, cuts those longer than a sequence, and packs its pieces best-fit in
-decreasing order. Nearly full bins are final at once. The underfull ones become items of the next round, in which the
-bins of ``fan`` neighbouring partitions meet in one task and are packed again; the tree ends at one root. What counts
-as nearly full doubles its slack from round to round, and a task hands at most ``max_open`` of its emptiest bins
-upwards, so no task ever holds more than ``fan * max_open`` bins, whatever the size of the input. A bin that is not
-handed up is final as it stands: every piece is in exactly one sequence.
+Every input partition tokenises its documents and cuts those longer than a sequence. The pieces that are shorter than a
+sequence are dealt by a hash of their place over tasks of about ``deal`` pieces, so that each task sees the lengths of
+the whole table, and packed there best-fit in decreasing order. Of the bins of a task at most one is at most half full,
+and only such a bin can still join another: the ``fan * max_open`` emptiest bins of all tasks hold these and the bins
+they fit best, and meet in one last task. If more bins are half empty, all that are not nearly full (``slack``, doubled
+from round to round) are dealt again first. Every piece is in exactly one sequence.
 
 Defined results. A null text is an empty one, which is the end token alone; a null id is kept as it is; equal rows are
 packed one by one; an empty table gives an empty result; further columns are not looked at.
@@ -92,8 +92,8 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 _MEMBER = "array<struct<doc_id:{id},piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint,ids:binary>>"
 
 
-def _round(items: list[tuple[int, list]], capacity: int, slack: int, max_open: int) -> tuple[list, list]:
-    """Pack (size, members) items; returns the members of final bins and the (size, members) of bins to hand up."""
+def _round(items: list[tuple[int, list]], capacity: int, slack: int) -> tuple[list, list]:
+    """Pack (size, members) items; returns the members of nearly full bins and the (size, members) of all others."""
     final, open_ = [], []
     for b in best_fit([n for n, _ in items], capacity):
         n = sum(items[i][0] for i in b)
@@ -102,9 +102,7 @@ def _round(items: list[tuple[int, list]], capacity: int, slack: int, max_open: i
             final.append(members)
         else:
             open_.append((n, members))
-    open_.sort(key=lambda x: x[0])
-    final += [members for _, members in open_[max_open:]]
-    return final, open_[:max_open]
+    return final, open_
 
 
 def pack_documents(
@@ -117,6 +115,7 @@ def pack_documents(
     fan: int = 8,
     slack: int = 4,
     max_open: int = 4096,
+    deal: int = 32_768,
     with_ids: bool = False,
 ) -> DataFrame:
     """Pack every document of ``df``.
@@ -134,29 +133,29 @@ def pack_documents(
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def rows(level: int, node: int, final: list, open_: list, first: int) -> pa.RecordBatch:
-        for members in final:
+        """Bins that are still open have the complements of their ids, which are negative."""
+        bins = final + [m for _, m in open_]
+        for members in bins:
             at = 0
             for m in members:
                 m["offset"] = at
                 at += m["length"]
-        n = len(final) + len(open_)
-        key = (level << 55) + (node << 24) + first
+        keys = [(level << 55) + (node << 24) + first + i for i in range(len(bins))]
         cols = [
-            [level] * n,
-            [node] * n,
-            [sum(m["length"] for m in b) for b in final] + [s for s, _ in open_],
-            [key + i for i in range(len(final))] + [None] * len(open_),
-            final + [m for _, m in open_],
+            [level] * len(bins),
+            [node] * len(bins),
+            [sum(m["length"] for m in b) for b in bins],
+            [k if i < len(final) else ~k for i, k in enumerate(keys)],
+            bins,
         ]
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, node = byte_bpe(tokenizer_path), TaskContext.get().partitionId()
         end = np.array([end_id], dtype=np.uint32)
-        items: list = []
         done = 0
         for batch in batches:
-            full = []
+            full, part = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.concatenate([encode(text.as_py() or ""), end]).astype("<u4", copy=False)
                 n = len(ids)
@@ -167,41 +166,42 @@ def pack_documents(
                     if b - a == capacity:
                         full.append([m])
                     else:
-                        items.append((b - a, [m]))
-            if full:
-                yield rows(0, node, full, [], done)
-                done += len(full)
-            if len(items) >= 200_000:  # a very large partition is packed in parts
-                final, items = _round(items, capacity, slack, max_open)
-                yield rows(0, node, final, [], done)
-                done += len(final)
-        final, open_ = _round(items, capacity, slack, max_open)
-        yield rows(0, node, final, open_, done)
-
-    def merger(level: int, slack: int, hand_up: int):
+                        part.append((b - a, [m]))
+            yield rows(0, node, full, part, done)
+            done += len(full) + len(part)
+
+    def merger(level: int, slack: int, last: bool):
         def merge(group: pa.Table) -> pa.Table:
             node = group.column("node")[0].as_py()
             # In one order whatever the shuffle delivered, so that a repeated task packs alike.
-            items = sorted(
-                zip(group.column("size").to_pylist(), group.column("members").to_pylist()),
-                key=lambda x: (-x[0], x[1][0]["ids_crc32"], str(x[1][0]["doc_id"]), x[1][0]["piece"]),
-            )
-            final, open_ = _round(items, capacity, slack, hand_up)
+            got = zip(group.column("size").to_pylist(), group.column("sequence_id").to_pylist(), group.column("members").to_pylist())
+            items = [(n, members) for n, _, members in sorted(got, key=lambda x: (-x[0], -x[1]))]
+            final, open_ = _round(items, capacity, capacity if last else slack)
             return pa.Table.from_batches([rows(level, node, final, open_, 0)])
 
         return merge
 
+    def meet(up: DataFrame, level: int, tasks: int, last: bool) -> DataFrame:
+        dealt = up.withColumn("node", F.pmod(F.xxhash64(F.lit(level), "sequence_id"), F.lit(tasks)).cast("int"))
+        return cut(dealt.groupBy("node").applyInArrow(merger(level, slack * 2 ** (level - 1), last), schema))
+
     packed = cut(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(local, schema))
-    parts, level = [packed.where("sequence_id is not null")], 0
-    last = packed.agg(F.coalesce(F.max("node"), F.lit(0)).alias("n")).first()["n"]
+    parts, level, before = [packed.where("sequence_id >= 0")], 0, None
     while True:
-        level, slack, last = level + 1, slack * 2, last // fan
-
-        up = packed.where("sequence_id is null").withColumn("node", F.floor(F.col("node") / fan).cast("int"))
-        packed = cut(up.groupBy("node").applyInArrow(merger(level, slack, 0 if last == 0 else max_open), schema))
-        parts.append(packed.where("sequence_id is not null"))
-        if last == 0:
+        level, up = level + 1, packed.where("sequence_id < 0")
+        count, half = up.agg(F.count("*"), F.coalesce(F.sum((F.col("size") * 2 <= capacity).cast("int")), F.lit(0))).first()
+        if count <= deal:
+            parts.append(meet(up, level, 1, True))
+            break
+        if level > 1 and (2 * half <= fan * max_open or count == before):
+            emptiest = cut(up.orderBy("size", "sequence_id").limit(fan * max_open))
+            parts.append(meet(emptiest, level, 1, True))
+            # No bin that is half empty is among these, so none can join another.
+            others = up.join(emptiest.select("sequence_id"), "sequence_id", "left_anti").select(up.columns)
+            parts.append(others.withColumn("sequence_id", F.bitwise_not("sequence_id")))
             break
+        packed, before = meet(up, level, -(-count // deal), False), count
+        parts.append(packed.where("sequence_id >= 0"))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionAll(p)
