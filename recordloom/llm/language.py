@@ -4,7 +4,7 @@ The n-grams (one to three characters) of a text, in lower case and with every ru
 one blank, are hashed into ``WIDTH`` numbers. A text's value for an n-gram is its share of the text's n-grams times its inverse document
 frequency, which is counted over all rows to learn from. Weights are trained with follow-the-regularised-leader (the
 proximal form, with a rate of its own for each coordinate) under an elastic net, on a bounded sample: about
-``per_language`` rows of each of at most ``max_languages`` most frequent languages, picked by the hash of the id, or
+``per_language`` rows of every language, picked by the hash of the id, or
 all rows where there are fewer. A part of the sample that is not trained on sets the temperature that calibrates the
 probabilities.
 
@@ -140,25 +140,21 @@ def _gram_counts():
     return work
 
 
-def train(
-    docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 1000, max_languages: int = 64
-) -> Model:
-    """Fit on the rows of ``docs`` that have a language."""
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 1000) -> Model:
+    """Fit on about ``per_language`` rows of every language that occurs in ``docs``."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("lang"))
     rows = rows.where("lang is not null and lang <> 'und'")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((WIDTH, 0)), np.zeros(0))
-    learn = rows.where(F.col("lang").isin(languages))
-    frequencies = learn.select("_text").mapInArrow(_frequencies, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    frequencies = rows.select("_text").mapInArrow(_frequencies, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     found = frequencies.toPandas()  # at most WIDTH rows
     idf = np.zeros(WIDTH)
     idf[found.gram.to_numpy(np.int64)] = np.log((1 + sum(sizes.values())) / (1 + found.n.to_numpy(np.float64))) + 1
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    picked = learn.where(F.pmod(F.xxhash64("_id", F.lit(13)), F.lit(1 << 30)) < share * (1 << 30))
+    shares = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))])
+    share = shares[F.col("lang")]
+    picked = rows.where(F.pmod(F.xxhash64("_id", F.lit(13)), F.lit(1 << 30)) < share * (1 << 30))
     kind = rows.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, lang string, grams array<int>, counts array<int>"
     sample = map_batches(picked, _gram_counts, schema).dropDuplicates(["_id", "lang"]).orderBy("_id", "lang").select("lang", "grams", "counts").toArrow()
