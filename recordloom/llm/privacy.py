@@ -3,13 +3,17 @@
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found leftmost and without overlaps, kind
 by kind. The value of a base span is a protected entity.
 
-Information-theoretic part. The words within ``window`` words around a base span are terms that may stand for it. Over
-the whole corpus, a term t tells about an entity e the pointwise mutual information
-``log(P(e, t) / (P(e) P(t)))`` out of the information ``-log P(e)`` that e has, where P is the share of documents. A
-term discloses e if that ratio, which is 1 for a term that is met only where e is, reaches ``disclosure`` and the two
-meet in at least ``support`` distinct contexts (the words of a window), so that copies prove nothing. Such a term is a span of kind
-``term`` wherever it stands in a window of e. Sanitising replaces base spans by their kind, and generalises a term to
-its shape (a number, a name, a word), unless the shape discloses the entity just as well; then the term is removed.
+Information-theoretic part. Every word of a text outside its base spans is a term, and so is the shape of one (a number,
+a name, a word). Over the whole corpus, a term t tells about an entity e the pointwise mutual information
+``log(P(e, t) / (P(e) P(t)))`` out of the information ``-log P(e)`` that e has, where P is the share of documents that
+hold it anywhere. A term discloses e if that ratio, which is 1 for a term that occurs only in documents of e, reaches
+``disclosure`` and the two meet in at least ``support`` different texts, so that exact copies prove nothing. Such a term
+is a span of kind ``term`` wherever it stands in a text that holds e. Sanitising replaces base spans by their kind, and
+generalises a term to its shape, unless that shape discloses an entity of the text just as well; then the term is
+removed.
+
+Terms are counted in the pass that finds the base spans. Only entities of ``support`` different texts, and of their texts
+only terms rare enough to disclose them, are paired.
 
 Defined results. A null text is an empty one; rows with null or repeated ids are treated row by row; an empty table
 gives an empty result; further columns are not looked at, or pass through ``sanitize`` unchanged. Offsets are code
@@ -20,13 +24,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from .common import cut, map_batches, table
+from .common import ROWS, cut, map_batches, table
 
 KINDS = ["email", "ip", "card", "phone"]
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -85,145 +93,120 @@ def shape(word: str) -> str:
     return "[number]" if word.isdigit() else "[name]" if word[0].isupper() else "[word]"
 
 
-def windows(text: str, spans: list[tuple[int, int, int]], size: int, reach: int = 400) -> list[list[tuple[int, int]]]:
-    """For each base span the ``size`` words on either side of it, no further than ``reach`` characters away.
-
-    Words end at base spans, so none overlaps one.
-    """
-    out, covered = [], 0
-    for n, (a, b, _) in enumerate(spans):
-        left = max([covered, a - reach])
-        before = [m.span() for m in _WORD.finditer(text, min(left, a), a)][-size:]
-        covered = max(covered, b)
-        right = min([len(text), covered + reach, *(s for s, _, _ in spans[n + 1 : n + 2])])
-        after = []
-        for m in _WORD.finditer(text, covered, max(right, covered)):
-            after.append(m.span())
-            if len(after) == size:
-                break
-        out.append(before + after)
+def outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, stop) of the words outside base spans. Words end at base spans, so none overlaps one."""
+    out, at = [], 0
+    for a, b in [*((a, b) for a, b, _ in spans), (len(text), len(text))]:
+        out += [m.span() for m in _WORD.finditer(text, at, max(a, at))]
+        at = max(at, b)
     return out
 
 
-_SPANS = "array<struct<start:int,ord:int,stop:int,kind:string>>"
-_MEETINGS = (
-    "array<struct<entity:string,term:string,general:string,context:binary,first:int,first_general:int,lead:int,start:int,stop:int>>"
-)
-
-
-def _meetings(text: str, spans: list[tuple[int, int, int]], size: int) -> list[dict]:
-    """A row for each word in a window; the flags mark the first of its kind in the text, so that sums count texts."""
-    out, seen = [], set()
-
-    def new(*key) -> int:
-        fresh = key not in seen
-        seen.add(key)
-        return int(fresh)
-
-    for span, words in zip(spans, windows(text, spans, size)):
-        entity = _entity(text, span)
-        context = hashlib.md5("\0".join(text[s:e].lower() for s, e in words).encode()).digest()
-        for s, e in words:
-            term, general = text[s:e].lower(), shape(text[s:e])
-            out.append(
-                {"entity": entity, "term": term, "general": general, "context": context, "first": new(entity, term),
-                 "first_general": new(entity, general), "lead": new(entity), "start": s, "stop": e}
-            )
-    return out
+def text_terms(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    """The distinct words of a text outside its base spans, in lower case, and their shapes, which are in brackets."""
+    words = {text[a:b] for a, b in outside(text, spans)} if spans else set(_WORD.findall(text))
+    return {w.lower() for w in words} | set(map(shape, words))
 
 
-def _scan(size: int):
-    def make():
-        def work(cols):
-            base, keys, meetings = [], [], []
-            for text in cols["_text"]:
-                text = text or ""
-                spans = base_spans(text)
-                met = _meetings(text, spans, size) if spans else []
-                base.append([{"start": a, "ord": k, "stop": b, "kind": KINDS[k]} for a, b, k in spans])
-                keys.append(hashlib.md5(text.encode()).hexdigest() if met else None)
-                meetings.append(met)
-            return {"_id": cols["_id"], "base": base, "key": keys, "meetings": meetings}
-
-        return work
-
-    return make
-
-
-def _count_texts(texts: DataFrame, terms: DataFrame, chunk: int = 200_000) -> DataFrame:
-    """(term, n): in how many texts each term, or word of a shape, occurs. Blocks of ``chunk`` terms meet all rows."""
-    spark = texts.sparkSession
-    blocks = max(1, -(-terms.count() // chunk))
-    out = terms.select("term", F.lit(0).cast("long").alias("n")).limit(0)
-    for b in range(blocks):
-        part = terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b)
-        asked = spark.sparkContext.broadcast({r.term for r in part.collect()})
-        if not asked.value:
-            continue
-
-        def run(batches, asked=asked):
-            wanted, counts = asked.value, {}
-            for batch in batches:
-                for text in batch.column(0):
-                    words = set(_WORD.findall(text.as_py() or ""))
-                    for w in ({w.lower() for w in words} | set(map(shape, words))) & wanted:
-                        counts[w] = counts.get(w, 0) + 1
-            arrays = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["term", "n"])
-
-        out = out.unionAll(texts.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")))
-    return out
-
-
-def _disclosing(texts: DataFrame, met: DataFrame, support: int, disclosure: float) -> DataFrame:
-    """(entity, term) pairs, with shapes among the terms, whose disclosure reaches the threshold."""
-    both = met.select("entity", "term", "context", "first").unionAll(
-        met.select("entity", F.col("general").alias("term"), "context", F.col("first_general").alias("first"))
-    )
-    meets = cut(
-        both.groupBy("entity", "term", "context")
-        .agg(F.sum("first").alias("texts"))
-        .groupBy("entity", "term")
-        .agg(F.count("*").alias("contexts"), F.sum("texts").alias("both"))
-        .where(F.col("contexts") >= support)
-        .drop("contexts")
-    )
-    holders = met.groupBy("entity").agg(F.sum("lead").alias("entity_texts"))
-    counts = _count_texts(texts, meets.select("term").distinct())
-    n = F.lit(float(texts.count()))
-    told = F.log(F.col("both") * n / (F.col("entity_texts") * F.col("n"))) / F.log(n / F.col("entity_texts"))
-    scored = meets.join(holders, "entity").join(counts, "term").where(F.col("entity_texts") < n)
-    return cut(scored.where(told >= disclosure).select("entity", "term"))
+_SPANS = "array<struct<start:int,ord:int,stop:int,kind:string>>"
+_TERMS = "array<struct<start:int,stop:int,put:string>>"
+
+
+def _scan(id_type: str, most: int = 200_000):
+    """A row for each text, and rows of how many texts hold each term: one for each ``most`` terms and one at the end."""
+    schema = f"_id {id_type}, base {_SPANS}, key string, entities array<string>, held string, counts array<struct<term:string,n:bigint>>"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def rows(*cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+    def counted(counts: Counter) -> pa.RecordBatch:
+        return rows([None], [None], [None], [None], [None], [[{"term": t, "n": n} for t, n in counts.items()]])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                base, keys, entities, held = [], [], [], []
+                for text in batch.column(1).to_pylist():
+                    text = text or ""
+                    spans = base_spans(text)
+                    counts.update(text_terms(text, spans))
+                    base.append([{"start": a, "ord": k, "stop": b, "kind": KINDS[k]} for a, b, k in spans])
+                    keys.append(hashlib.md5(text.encode()).hexdigest() if spans else None)
+                    entities.append(sorted({_entity(text, s) for s in spans}) if spans else None)
+                    held.append(text if spans else None)
+                    if len(counts) >= most:
+                        yield counted(counts)
+                        counts.clear()
+                yield rows(batch.column(0).to_pylist(), base, keys, entities, held, [None] * len(base))
+        yield counted(counts)
+
+    return run, schema
+
+
+def _terms_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, held) -> a row (key, term) for each term of a text."""
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            terms = sorted(text_terms(text, base_spans(text)))
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(terms), pa.string()), pa.array(terms, pa.string())], names=["key", "term"])
+
+
+def _marked():
+    def work(cols):
+        """Where the disclosing terms of a text stand, and what is put in their place."""
+        found = []
+        for text, hot in zip(cols["held"], cols["hot"]):
+            told, terms = set(hot), []
+            for a, b in outside(text, base_spans(text)):
+                if text[a:b].lower() in told:
+                    general = shape(text[a:b])
+                    terms.append({"start": a, "stop": b, "put": "" if general in told else general})
+            found.append(terms)
+        return {"key": cols["key"], "terms": found}
+
+    return work
+
+
+def disclosing_terms(scanned: DataFrame, support: int, disclosure: float) -> tuple[DataFrame, DataFrame]:
+    """(key, hot): for each text with entities the terms, shapes among them, that disclose one; and (key, held)."""
+    texts = scanned.where("key is not null")
+    n = scanned.where("counts is null").count()
+    counts = scanned.where("counts is not null").select(F.inline("counts")).groupBy("term").agg(F.sum("n").alias("n"))
+    holders = texts.select("key", F.explode("entities").alias("entity")).groupBy("key", "entity").agg(F.count("*").alias("rows"))
+    common = holders.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("rows").alias("of_entity"))
+    common = common.where((F.col("texts") >= support) & (F.col("of_entity") < n)).select("entity", "of_entity")
+    links = cut(holders.join(common, "entity"))
+    wanted = texts.select("key", "held").join(links.select("key").distinct(), "key", "left_semi")
+    held = cut(wanted.groupBy("key").agg(F.first("held").alias("held")))
+    terms = held.mapInArrow(_terms_of, "key string, term string").join(counts.where(F.col("n") >= support), "term")
+    # A term of more documents than this cannot reach the ratio, even if it is in all documents of the entity.
+    most = F.col("of_entity") * F.pow(F.lit(float(n)) / F.col("of_entity"), F.lit(1 - disclosure)) + 1
+    pairs = links.join(terms, "key").where(F.col("n") <= most)
+    met = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("rows").alias("both"), F.max("n").alias("n"), F.max("of_entity").alias("of_entity"))
+    told = F.log(F.col("both") * float(n) / (F.col("of_entity") * F.col("n"))) / F.log(float(n) / F.col("of_entity"))
+    hot = cut(met.where(F.col("texts") >= support).where(told >= disclosure).select("entity", "term"))
+    of_text = links.join(hot, "entity").groupBy("key").agg(F.collect_set("term").alias("hot"))
+    return of_text, held
 
 
 def find_spans(
-    df: DataFrame, id_col: str, text_col: str, window: int = 3, support: int = 3, disclosure: float = 0.9
+    df: DataFrame, id_col: str, text_col: str, support: int = 3, disclosure: float = 0.9
 ) -> tuple[DataFrame, DataFrame]:
     """The base spans of every row, and the term spans of every text that has some.
 
     The first table has the id, ``base`` (an array of start, ord, stop, kind) and ``key``, the MD5 sum of a text that
-    has words around base spans, else null. The second has ``key`` and ``terms`` (start, stop, put), where ``put`` is
-    what sanitising writes in the place of the term.
+    has base spans, else null. The second has ``key`` and ``terms`` (start, stop, put), where ``put`` is what sanitising
+    writes in the place of the term.
     """
-    texts = df.select(F.col(f"`{text_col}`").alias("_text"))
     rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
-    scanned = cut(map_batches(rows, _scan(window), f"_id {kind}, base {_SPANS}, key string, meetings {_MEETINGS}"))
-    met = scanned.select("key", F.explode("meetings").alias("m")).select("key", "m.*")
-    hot = _disclosing(texts, met, support, disclosure)
-    plain = hot.select("entity", F.col("term").alias("general"), F.lit(True).alias("tells"))
-    terms = (
-        met.select("key", "entity", "term", "general", "start", "stop")
-        .distinct()
-        .join(hot, ["entity", "term"])
-        .join(plain, ["entity", "general"], "left")
-        # Of several entities near a word, one whose shape tells too has it removed: the empty string is the least.
-        .groupBy("key", "start", "stop")
-        .agg(F.min(F.when(F.col("tells"), F.lit("")).otherwise(F.col("general"))).alias("put"))
-        .groupBy("key")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "stop", "put"))).alias("terms"))
-    )
-    return scanned.select(F.col("_id").alias(id_col), "base", "key"), cut(terms)
+    scan, schema = _scan(rows.schema["_id"].dataType.simpleString())
+    scanned = cut(rows.mapInArrow(scan, schema))
+    of_text, held = disclosing_terms(scanned, support, disclosure)
+    terms = cut(map_batches(held.join(of_text, "key"), _marked, f"key string, terms {_TERMS}").where(F.size("terms") > 0))
+    return scanned.where("counts is null").select(F.col("_id").alias(id_col), "base", "key"), terms
 
 
 def rewrite(text: str, terms: list[tuple[int, int, str]]) -> str:
@@ -237,10 +220,15 @@ def rewrite(text: str, terms: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitize(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """``df`` with personal data taken out of its text column; null texts stay null."""
+def sanitize(df: DataFrame, id_col: str, text_col: str, broadcast_spans: int = 500_000, **options) -> DataFrame:
+    """``df`` with personal data taken out of its text column; null texts stay null.
+
+    Up to ``broadcast_spans`` spans of terms are broadcast to the texts; more are joined by a shuffle.
+    """
     _, terms = find_spans(df, id_col, text_col, **options)
     terms = terms.select(F.col("key").alias("_key"), F.col("terms").alias("_terms"))
+    found = terms.agg(F.coalesce(F.sum(F.size("_terms")), F.lit(0))).first()[0]
+    terms = F.broadcast(terms) if found <= broadcast_spans else terms
     record = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record")
     rows = df.select(record, F.col(f"`{text_col}`").alias("_text")).withColumn("_key", F.md5(F.col("_text").cast("binary")))
     rows = rows.join(terms, "_key", "left").select("record", "_text", "_terms")
