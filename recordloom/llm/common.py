@@ -21,12 +21,16 @@ ROWS = 512
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a temporary one is set only where none is configured."""
+    """The shared folder for checkpoints. Only a local session may go without: it gets a temporary one."""
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recordloom-ckpt-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="recordloom-ckpt-")
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -42,6 +46,19 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a table that an operator wrote to ``scratch_path`` and nobody reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def left_join(rows: DataFrame, found: DataFrame, key: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``rows`` with what ``found`` has for their key. Up to ``broadcast_rows`` rows of ``found`` are broadcast, so that a
+    key of very many rows stays where its rows are; more are joined by a shuffle, whose hot partitions Spark splits."""
+    found = cut(found)
+    return rows.join(F.broadcast(found) if found.count() <= broadcast_rows else found, key, "left")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
