@@ -9,15 +9,16 @@ that is represented by its least id. A class keeps a sketch, the ``k`` least has
     documents share come last in this order and make no lists.
 2.  Sketches connected through lists form a group, which is compared inside tasks: in one cell if it is small, and
     otherwise in cells of two blocks each. In a cell, inverted lists give the overlap of every pair and the rank of the
-    shared values in the union; that is the bottom-k sketch of the union, whose estimate drops pairs that are more than
-    ``SIGMAS`` standard deviations below the threshold.
+    shared values in the union; that is the bottom-k sketch of the union, whose estimate drops pairs with fewer hits
+    than a pair at the threshold has but with a probability of ``MISS``.
 3.  Exact Jaccard similarity on the full sets decides. A pair that earlier links have already joined is skipped, so a
     cell returns a spanning forest of its links rather than all pairs.
 4.  The forests' edges give connected components.
 
 ``t`` is the least number of shared values that a pair at the threshold can have: exact for sets that their sketch holds
-whole, and ``SIGMAS`` standard deviations below the mean otherwise, which misses a pair at the threshold with a
-probability of 8.8e-6 at 85 percent and 4.2e-6 at 80 (the binomial tail for 64 values).
+whole, and otherwise the quantile of the binomial distribution for ``k`` values below which a pair at the threshold
+falls with a probability of at most ``MISS``, one in a thousand million (the sketch is drawn without replacement, which
+varies less). Pairs above the threshold are missed less often still.
 
 Defined results. Null and empty texts have no shingles and link with nothing; texts shorter than a shingle are one
 shingle; rows with a null id link with nothing and get a null component; rows that share an id are one document, whose
@@ -36,10 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, table
+from .common import Memo, cut, left_join, table
 from .components import connected_components
 
-SIGMAS = 5
+MISS = 1e-9
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,10 +72,15 @@ def shingle_set(text: str | None, words: int, memo: Memo) -> np.ndarray:
     return np.unique(acc.view(np.int64))
 
 
-def floor_estimate(percent: int, k: int) -> float:
-    """The least union-sketch estimate that a pair at the threshold can be expected to show."""
-    p = percent / 100
-    return p - SIGMAS * math.sqrt(p * (1 - p) / max(k, 1))
+def least_hits(percent: int, size: int) -> int:
+    """The largest number of which a pair at the threshold has fewer hits among ``size`` values but with ``MISS``."""
+    p, below, hits = percent / 100, 0.0, 0
+    while hits < size:
+        below += math.comb(size, hits) * p**hits * (1 - p) ** (size - hits)
+        if below > MISS:
+            break
+        hits += 1
+    return hits
 
 
 def _sketches(id_type: str, words: int, k: int):
@@ -150,6 +156,7 @@ class Cell:
         two = self.block.min() != self.block.max()
         root = np.arange(d)
         exact = _Overlaps(self.sets)
+        least = np.array([least_hits(self.percent, size) for size in range(k + 1)])
         out = []
         for i in range(d):
             if two and self.block[i] != 0:
@@ -167,8 +174,7 @@ class Cell:
             if not len(js):
                 continue
             size = np.minimum(k, m[i] + m[js] - shared[js])
-            p = self.percent / 100
-            enough = inside[js] / size >= p - SIGMAS * np.sqrt(p * (1 - p) / size)
+            enough = inside[js] >= least[size]
             js = js[enough]
             js = js[np.argsort(-inside[js] / size[enough], kind="stable")]
             at = 0
@@ -247,7 +253,7 @@ def near_duplicates(
     # Inverted lists of retained values, the rarest first.
     values = reps.select("id", "n", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
-    t = math.ceil(floor_estimate(percent, k) * k)
+    t = least_hits(percent, k)
     least = F.when(F.col("n") <= k, F.least(F.ceil(F.col("n") * percent / 100), F.lit(t))).otherwise(F.lit(t)).cast("int")
     ranked = (
         values.join(often, "v")
@@ -285,7 +291,7 @@ def near_duplicates(
         "key", F.coalesce("component", "id").alias("component"), "rows", "id"
     )
     special = named.where("rows > 1 or component <> id").select("key", "component")
-    return base.join(special, "key", "left").select(
+    return left_join(base.select("id", "n", "key"), special, "key", broadcast_ids).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
