@@ -7,8 +7,9 @@ Information-theoretic part. Every word of a text outside its base spans is a ter
 a name, a word). Over the whole corpus, a term t tells about an entity e the pointwise mutual information
 ``log(P(e, t) / (P(e) P(t)))`` out of the information ``-log P(e)`` that e has, where P is the share of documents that
 hold it anywhere. A term discloses e if that ratio, which is 1 for a term that occurs only in documents of e, reaches
-``disclosure`` and the two meet in at least ``support`` different texts, so that exact copies prove nothing. Such a term
-is a span of kind ``term`` wherever it stands in a text that holds e. Sanitising replaces base spans by their kind, and
+``disclosure``, the two meet in at least ``support`` different texts, so that exact copies prove nothing, and those texts
+have ``evidence`` bits: each text of the term that happens to hold e is a surprise of ``-log2 P(e)``, which is much for a
+rare entity and little for one that is everywhere, whose documents share rare words by chance. Such a term is a span of kind ``term`` wherever it stands in a text that holds e. Sanitising replaces base spans by their kind, and
 generalises a term to its shape, unless that shape discloses an entity of the text just as well; then the term is
 removed.
 
@@ -170,7 +171,7 @@ def _marked():
     return work
 
 
-def disclosing_terms(scanned: DataFrame, support: int, disclosure: float) -> tuple[DataFrame, DataFrame]:
+def disclosing_terms(scanned: DataFrame, support: int, disclosure: float, evidence: float) -> tuple[DataFrame, DataFrame]:
     """(key, hot): for each text with entities the terms, shapes among them, that disclose one; and (key, held)."""
     texts = scanned.where("key is not null")
     n = scanned.where("counts is null").count()
@@ -187,13 +188,14 @@ def disclosing_terms(scanned: DataFrame, support: int, disclosure: float) -> tup
     pairs = links.join(terms, "key").where(F.col("n") <= most)
     met = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("rows").alias("both"), F.max("n").alias("n"), F.max("of_entity").alias("of_entity"))
     told = F.log(F.col("both") * float(n) / (F.col("of_entity") * F.col("n"))) / F.log(float(n) / F.col("of_entity"))
-    hot = cut(met.where(F.col("texts") >= support).where(told >= disclosure).select("entity", "term"))
+    bits = F.col("texts") * F.log2(float(n) / F.col("of_entity"))
+    hot = cut(met.where((F.col("texts") >= support) & (bits >= evidence) & (told >= disclosure)).select("entity", "term"))
     of_text = links.join(hot, "entity").groupBy("key").agg(F.collect_set("term").alias("hot"))
     return of_text, held
 
 
 def find_spans(
-    df: DataFrame, id_col: str, text_col: str, support: int = 3, disclosure: float = 0.9
+    df: DataFrame, id_col: str, text_col: str, support: int = 2, disclosure: float = 0.9, evidence: float = 20
 ) -> tuple[DataFrame, DataFrame]:
     """The base spans of every row, and the term spans of every text that has some.
 
@@ -204,7 +206,7 @@ def find_spans(
     rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     scan, schema = _scan(rows.schema["_id"].dataType.simpleString())
     scanned = cut(rows.mapInArrow(scan, schema))
-    of_text, held = disclosing_terms(scanned, support, disclosure)
+    of_text, held = disclosing_terms(scanned, support, disclosure, evidence)
     terms = cut(map_batches(held.join(of_text, "key"), _marked, f"key string, terms {_TERMS}").where(F.size("terms") > 0))
     return scanned.where("counts is null").select(F.col("_id").alias(id_col), "base", "key"), terms
 
