@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .language import op8_language_id
 from .media import op7_media
 from .minhash import op3_minhash
@@ -26,4 +27,5 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+QUERIES |= oracles.QUERIES
+ORACLES = oracles.ORACLES

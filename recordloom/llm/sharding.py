@@ -22,8 +22,9 @@ from .common import crc32_long, table
 
 
 def _shard_of(key: Column, shards: int, seed: int) -> Column:
-    """Rendezvous hashing: the shard whose seeded hash of the key is the largest."""
-    scores = [F.struct(F.xxhash64(key, F.lit(seed), F.lit(i)).alias("h"), F.lit(i).alias("i")) for i in range(shards)]
+    """Rendezvous hashing: the shard whose seeded hash of the key is the largest. MD5, so that any engine can tell it."""
+    name = F.coalesce(key.cast("string"), F.lit("\0"))
+    scores = [F.struct(F.md5(F.concat(name, F.lit(f":{seed}:{i}")).cast("binary")).alias("h"), F.lit(i).alias("i")) for i in range(shards)]
     return (F.greatest(*scores) if shards > 1 else scores[0]).getField("i").cast("int")
 
 
@@ -33,21 +34,32 @@ def _has_map(kind: T.DataType) -> bool:
     return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
 
 
+def bucket_size(spark, least: int = 16 << 20) -> int:
+    """Bytes of a bucket that a task can hold several times: a sixteenth of the heap that one core has."""
+    conf = spark.sparkContext.getConf()
+    local = conf.get("spark.master", "").startswith("local[") or conf.get("spark.master", "") == "local"
+    memory = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g")
+    heap = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(memory)
+    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "2"))
+    return max(least, heap // cores // 16)
+
+
 def shuffle_into_shards(
-    df: DataFrame, key: str, size: Column, shards: int, seed: int = 20240607, bucket_bytes: int = 16 << 20
+    df: DataFrame, key: str, size: Column, shards: int, seed: int = 20240607, bucket_bytes: int | None = None
 ) -> DataFrame:
     """Shuffle all records of ``df`` into ``shards`` shards.
 
     ``size`` is the size of a record in bytes and ``bucket_bytes`` the aim for one bucket, which is what a task of the
-    second pass holds. ``df`` must come in the same partitions each time it is read, as a scan or a checkpoint does,
-    since it is read once for the counts and once for the records. Returns ``record`` (all columns of ``df`` as a struct), ``shard``, ``grown_shard`` (the shard
-    with one more shard) and ``slot`` (gapless from 0 in each shard, a uniform random order).
+    second pass holds; without it, it follows from the memory of an executor's core. Returns ``record`` (all columns of
+    ``df`` as a struct), ``shard``, ``grown_shard`` (the shard with one more shard) and ``slot`` (gapless from 0 in each
+    shard, a uniform random order).
     """
     if _has_map(df.schema):
         raise ValueError("columns of map type cannot be sharded: rows that hold maps have no order")
     if shards < 1:
         raise ValueError("at least one shard is needed")
     total = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()["b"]
+    bucket_bytes = bucket_bytes or bucket_size(df.sparkSession)
     sub = max(1, -(-int(total) // (shards * bucket_bytes)))
     k = F.col(f"`{key}`")
     shard = _shard_of(k, shards, seed).alias("shard")
@@ -63,18 +75,19 @@ def shuffle_into_shards(
     )
     # One bucket is one partition, so that the seed of its shuffle is fixed by the bucket's number.
     scattered = rows.select("*", bucket).drop("_key").repartitionById(shards * sub, F.col("_bucket"))
-    shuffled = scattered.groupBy("_bucket", "shard").agg(
-        F.shuffle(F.array_sort(F.collect_list(F.struct("_at", "record", "grown_shard"))), F.lit(seed)).alias("_rows")
-    )
+    held = F.collect_list(F.struct("_at", "record", "grown_shard"))
+    shuffled = scattered.groupBy("_bucket", "shard").agg(F.shuffle(F.array_sort(held), F.lit(seed)).alias("_rows"))
     placed = shuffled.select("_bucket", "shard", F.posexplode("_rows").alias("_pos", "_row"))
-    # The buckets of a shard stand one after the other; their counts are a small table of their own.
-    keys = df.select(k.alias("_key"), shard, at).select("shard", bucket)
-    counts = keys.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    first = counts.select(
+    # The buckets of a shard stand one after the other. They are counted in the very shuffle that holds the records, so
+    # counts and records agree however the input is split when it is read. That the count asks for whole rows (by a
+    # remainder that is always 0) makes its exchange the same one.
+    one = F.pmod(F.xxhash64("_at", "record", "grown_shard"), F.lit(1)) + 1
+    first = scattered.groupBy("_bucket", "shard").agg(F.sum(one).alias("_n")).select(
         "_bucket",
         F.expr("sum(_n) over (partition by shard order by _bucket) - _n").alias("_first"),
     )
-    return placed.join(first, "_bucket").select(
+    # A number for each bucket: a few bytes for every ``bucket_bytes`` of the table.
+    return placed.join(F.broadcast(first), "_bucket").select(
         F.col("_row.record").alias("record"),
         "shard",
         F.col("_row.grown_shard").alias("grown_shard"),
