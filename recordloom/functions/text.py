@@ -91,13 +91,30 @@ def normal_path(col: Column) -> Column:
 
 
 def url_allowed(col: Column, kind: str = "link") -> Column:
-    """Whether a URL is safe to publish: no controls or backslashes even when decoded, no credentials, a known scheme."""
+    """Whether a URL is safe to publish: no controls or backslashes even when decoded, no credentials, a known scheme.
+
+    Links may be web or mail addresses, images only web addresses; a web address has a host, whatever the number of
+    slashes before it.
+    """
     decoded = F.try_url_decode(F.replace(col, F.lit("+"), F.lit("%2B")))
-    clean = decoded.isNotNull() & ~F.regexp_like(decoded, F.lit(r"[\x00-\x1F\x7F\\]")) & ~F.contains(col, F.lit("\\"))
-    schemes = "https?" if kind == "image" else "https?|mailto"
-    known = F.regexp_like(col, F.lit(f"^(?i:{schemes}):")) & ~F.regexp_like(col, F.lit(r"^[A-Za-z]+://[^/?#]*@"))
-    host = F.regexp_like(col, F.lit(r"^(?i:https?)://[^/?#]+")) if kind == "image" else F.lit(True)
-    return F.coalesce(clean & known & host, F.lit(False))
+    bad = r"[\x00-\x1F\x7F-\x{9F}\\]"
+    clean = decoded.isNotNull() & ~F.regexp_like(F.concat(decoded, col), F.lit(bad))
+    web = F.regexp_like(col, F.lit(r"^(?i:https?):/*[^/?#@\s][^/?#@\s]*(?:[/?#]|$)"))
+    mail = F.regexp_like(col, F.lit("^(?i:mailto):"))
+    return F.coalesce(clean & (web if kind == "image" else web | mail), F.lit(False))
+
+
+def site_url(col: Column) -> Column:
+    """The address of a site with a slash at its end: absolute, http or https, with a host and nothing but a path after
+    it; null if it is not so."""
+    fine = F.regexp_like(col, F.lit(r"^(?i:https?)://[^/?#@\s\x00-\x1F\x7F-\x{9F}]+(?:/[^?#\s\x00-\x1F\x7F-\x{9F}]*)?$"))
+    return F.when(fine, F.when(F.endswith(col, F.lit("/")), col).otherwise(F.concat(col, F.lit("/"))))
+
+
+def kernel_language(col: Column) -> Column:
+    """The language of a kernel, by which cells are compared."""
+    lower = F.lower(col)
+    return F.when(lower == "python3", F.lit("python")).otherwise(lower)
 
 
 def relative_url(base: Column, target: Column) -> Column:
@@ -111,17 +128,19 @@ def relative_url(base: Column, target: Column) -> Column:
     return F.concat(F.repeat(F.lit("../"), F.size(dirs) - common), F.array_join(F.slice(b, common + 1, F.size(b) - common), "/"))
 
 
-#: Media types of the file extensions that sites serve.
+#: Media types of the file extensions that sites serve; the extensions are in lower case.
 MEDIA_TYPES = {
-    "avif": "image/avif", "css": "text/css", "gif": "image/gif", "html": "text/html", "ico": "image/x-icon",
-    "jpeg": "image/jpeg", "jpg": "image/jpeg", "js": "text/javascript", "json": "application/json", "md": "text/markdown",
-    "pdf": "application/pdf", "png": "image/png", "svg": "image/svg+xml", "txt": "text/plain", "webp": "image/webp",
-    "woff": "font/woff", "woff2": "font/woff2", "xml": "application/xml",
+    "svg": "image/svg+xml", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "ico": "image/x-icon",
+    "webp": "image/webp", "gif": "image/gif", "avif": "image/avif", "webmanifest": "application/manifest+json",
+    "txt": "text/plain; charset=utf-8", "pdf": "application/pdf", "woff": "font/woff", "woff2": "font/woff2",
+    "js": "text/javascript; charset=utf-8", "mjs": "text/javascript; charset=utf-8", "css": "text/css; charset=utf-8",
+    "wasm": "application/wasm", "json": "application/json", "map": "application/json",
 }
 
 
 def media_type(path: Column) -> Column:
-    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    """By the extension as it is written; a leading dot begins a name, not an extension."""
+    ext = F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)
     pairs = [F.lit(x) for kv in MEDIA_TYPES.items() for x in kv]
     return F.coalesce(F.element_at(F.create_map(*pairs), ext), F.lit("application/octet-stream"))
 

@@ -1,4 +1,4 @@
-"""Walks over edge tables. Loops are semi-naive: each round joins only what the last one found."""
+"""Walks over edge tables. Loops are semi-naive: each round joins only what the last one found, and writes only that."""
 
 from __future__ import annotations
 
@@ -11,27 +11,73 @@ from ..plans.lineage import settle
 def closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(start, node, depth): everything reachable over (src, dst), with the least number of steps. Cycles are safe."""
     edges = settle(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    found = settle(edges.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth")))
-    fresh = found
+    found = fresh = edges.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth"))
     for depth in range(2, max_rounds + 2):
         step = fresh.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
         fresh = settle(step.join(found, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():
             return found
-        found = settle(found.unionAll(fresh))
+        found = found.unionAll(fresh)
     raise ValueError(f"no end after {max_rounds} rounds")
 
 
+def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(node): ``starts`` and everything over (src, dst) from them. The work follows what is reached, not all pairs."""
+    edges = settle(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    found = fresh = settle(starts.select("node").where("node is not null").distinct())
+    for _ in range(max_rounds):
+        step = fresh.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        fresh = settle(step.join(found, "node", "left_anti"))
+        if fresh.isEmpty():
+            return found
+        found = found.unionAll(fresh)
+    raise ValueError(f"no end after {max_rounds} rounds")
+
+
+def defining_paths(children: DataFrame, root: str, max_rounds: int = 1000) -> DataFrame:
+    """(node, path): the first path to every node, depth first, over (parent, ord, child, name) from ``root``.
+
+    A node is reached first by the way whose ordinals are the least. That of a node's own first way is known once its
+    parent's is, and ways never get shorter, so a round keeps the least way and goes on with the nodes it changed.
+    """
+    edges = settle(children.select("parent", "ord", "child", "name").where("child <> parent"))
+    best = edges.sparkSession.createDataFrame([(root, [], root)], "node string, way array<int>, path string")
+    fresh = best
+    for _ in range(max_rounds):
+        step = fresh.join(edges, F.col("node") == F.col("parent")).select(
+            F.col("child").alias("node"), F.concat("way", F.array(F.col("ord").cast("int"))).alias("way"), F.concat_ws("::", "path", "name").alias("path")
+        )
+        least = step.groupBy("node").agg(F.min(F.struct("way", "path")).alias("_s")).select("node", "_s.way", "_s.path")
+        old = best.select("node", F.col("way").alias("_old"))
+        fresh = settle(least.join(old, "node", "left").where("_old is null or way < _old").drop("_old"))
+        if fresh.isEmpty():
+            return best.select("node", "path")
+        best = settle(best.join(fresh.select("node"), "node", "left_anti").unionByName(fresh))
+    raise ValueError(f"no end after {max_rounds} rounds")
+
+
+def attached_members(fields: DataFrame, impls: DataFrame, impl_items: DataFrame) -> DataFrame:
+    """(owner, member, context): fields, variants and trait items of an owner (owner, member) at any depth below it, and
+    the items of its implementations.
+
+    ``impls`` is (owner, impl, context, blanket, hidden), ``impl_items`` (impl, member). Blanket and hidden
+    implementations give nothing; ``context`` names an implementation and is empty for own members.
+    """
+    own = fields.select("owner", "member", F.lit("").alias("context"))
+    shown = impls.where("not blanket and not hidden").select("owner", "impl", "context")
+    return own.unionAll(shown.join(impl_items, "impl").select("owner", "member", "context")).distinct()
+
+
 def topmost_owner(owners: DataFrame) -> DataFrame:
     """(node, top): the root over (node, owner); nodes in a cycle or under a missing owner are dropped."""
     owners = settle(owners.select("node", "owner"))
     roots = owners.where("owner is null").select("node", F.col("node").alias("top"))
-    done, fresh = settle(roots), roots
+    done = fresh = settle(roots)
     while True:
         fresh = settle(owners.join(fresh.select(F.col("node").alias("owner"), "top"), "owner").select("node", "top"))
         if fresh.isEmpty():
             return done
-        done = settle(done.unionAll(fresh))
+        done = done.unionAll(fresh)
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -44,7 +90,7 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         if ready.isEmpty():
             rest = left.withColumn("level", F.lit(None).cast("int"))
             return rest if done is None else done.unionAll(rest)
-        done = ready if done is None else settle(done.unionAll(ready))
+        done = ready if done is None else done.unionAll(ready)
         left, level = settle(left.join(ready, "node", "left_anti")), level + 1
 
 
@@ -55,11 +101,14 @@ def c3_order(classes: DataFrame) -> DataFrame:
     """
     import pandas as pd
 
-    def linear(cls, bases, open_):
+    def linear(cls, bases, open_, known):
+        if cls in known:
+            return known[cls]
         if cls in open_:
             return []
         direct = [b for b in bases.get(cls, []) if b in bases]
-        rows = [linear(b, bases, open_ | {cls}) for b in direct] + [list(direct)]
+        below = open_ | {cls}
+        rows = [list(linear(b, bases, below, known)) for b in direct] + [list(direct)]
         order = [cls]
         while rows := [r for r in rows if r]:
             tails = {x for r in rows for x in r[1:]}
@@ -69,11 +118,17 @@ def c3_order(classes: DataFrame) -> DataFrame:
             if head not in order:
                 order.append(head)
             rows = [r[1:] if r[0] == head else r for r in rows]
+        if not open_:  # within a cycle the order depends on where the walk began
+            known[cls] = order
         return order
 
+    def orders(bases):
+        known: dict[str, list] = {}
+        return [linear(c, bases, frozenset(), known) for c in bases]
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         bases = {c: [] if b is None else list(b) for c, b in zip(group["cls"], group["bases"])}
-        return pd.DataFrame({"package": group["package"].iloc[0], "cls": list(bases), "mro": [linear(c, bases, frozenset()) for c in bases]})
+        return pd.DataFrame({"package": group["package"].iloc[0], "cls": list(bases), "mro": orders(bases)})
 
     return classes.groupBy("package").applyInPandas(run, "package string, cls string, mro array<string>")
 

@@ -24,6 +24,39 @@ def package_metadata(records: DataFrame) -> DataFrame:
     return records.where("kind = 'package'").select("id", field("$.name").alias("name"), field("$.version").alias("version"))
 
 
+#: Where each ecosystem's metadata has what all of them have in common.
+COMMON_FIELDS = {
+    "r": {"name": "$.description.name", "version": "$.description.version", "description": "$.description.description", "title": "$.description.title", "license": "$.description.license"},
+    "julia": {"name": "$.name", "version": "$.version", "description": "$.fields.description.value", "license": "$.fields.license.value"},
+    "cpp": {"name": "$.name", "version": "$.version", "description": "$.description"},
+    "python": {"name": "$.name", "version": "$.version", "description": "$.description", "license": "$.license"},
+    "rust": {"name": "$.name", "version": "$.version", "description": "$.description", "license": "$.license"},
+}
+
+
+def common_metadata(packages: DataFrame) -> DataFrame:
+    """(package, name, version, description, license) out of (package, ecosystem, metadata), whose JSON differs by
+    ecosystem; an R package without a description is described by its title."""
+
+    def common(name: str) -> Column:
+        cases = [F.when(F.col("ecosystem") == e, F.get_json_object("metadata", paths[name])) for e, paths in COMMON_FIELDS.items() if name in paths]
+        return F.coalesce(*cases)
+
+    return packages.select("package", common("name").alias("name"), common("version").alias("version"), F.coalesce(common("description"), common("title")).alias("description"), common("license").alias("license"))
+
+
+#: The tables of a snapshot, by which a database file is recognised.
+SNAPSHOT_TABLES = ["assets", "manifest", "records"]
+
+
+def generated_files(files: DataFrame) -> DataFrame:
+    """(path, generated) of database files (path, application_id, tables): those that we wrote ourselves."""
+    from ..sources.snapshot import BUNDLE_ID, SNAPSHOT_ID
+
+    ours = F.col("application_id").isin(SNAPSHOT_ID, BUNDLE_ID) & (F.array_sort("tables") == F.array(*map(F.lit, SNAPSHOT_TABLES)))
+    return files.select("path", F.coalesce(ours, F.lit(False)).alias("generated"))
+
+
 def lookup(records: DataFrame, kind: str, owner: str, id_: str) -> DataFrame:
     """Point lookup; the filters reach the scan."""
     return records.where((F.col("kind") == kind) & (F.col("owner") == owner) & (F.col("id") == id_)).select("content")

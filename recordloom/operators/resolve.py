@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 
 def lookup_names(items: DataFrame) -> DataFrame:
     """(package, name, item, exact): every spelling of an item. ``items`` has package, item, qualified_name, aliases,
-    and ``secondary`` for overloads and methods, which only their id finds."""
+    and ``secondary`` for overloads and methods, which only their id finds.
+
+    With a column ``ecosystem`` Julia's items are also found by the last part of a dotted name, Rust's without their
+    crate and by a ``public_path``, if there is such a column.
+    """
     own = items.select("package", F.col("item").alias("name"), "item", F.lit(True).alias("exact"))
-    spelled = F.array_distinct(F.concat(F.array("qualified_name"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    spelled = F.concat(F.array("qualified_name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    if "ecosystem" in items.columns:
+        paths = F.array_compact(F.concat(spelled, F.array("public_path"))) if "public_path" in items.columns else spelled
+        last = F.transform(spelled, lambda n: F.element_at(F.split(n, "[.]"), -1))
+        inner = F.transform(F.filter(paths, lambda n: F.contains(n, F.lit("::"))), lambda n: F.regexp_replace(n, "^.*?::", ""))
+        spelled = F.when(F.col("ecosystem") == "julia", F.concat(spelled, last)).when(F.col("ecosystem") == "rust", F.concat(paths, inner)).otherwise(spelled)
+    spelled = F.array_distinct(spelled)
     named = items.where(~F.col("secondary")).select("package", F.explode(spelled).alias("name"), "item", F.lit(False).alias("exact"))
     return own.unionAll(named.where("name is not null"))
 
@@ -27,7 +37,8 @@ def resolve_items(refs: DataFrame, items: DataFrame) -> DataFrame:
     """Resolve ``refs`` (ref, owner, target) in three tiers: explicit ``package::name``, the owner, the whole workspace.
 
     Adds ``package``, ``item`` and ``status``: resolved, ambiguous or unresolved. A tier that finds the name in any way
-    ends the search; in the last one, several packages with the name are ambiguous.
+    ends the search; in the last one, several packages with the name are ambiguous. With a column ``ecosystem``, an
+    explicit name that a Rust or C++ package does not know is looked up there as a whole, prefix included.
     """
     known = _in_package(lookup_names(items))
     packages = items.select("package").distinct()
@@ -38,6 +49,12 @@ def resolve_items(refs: DataFrame, items: DataFrame) -> DataFrame:
         .join(packages, "package", "left_semi")
         .select("ref", "package", F.expr("substring(target, instr(target, '::') + 2)").alias("name"), F.lit(0).alias("tier"))
     )
+    if "ecosystem" in items.columns:
+        known_names = known.select("package", "name").distinct()
+        whole = items.where(F.col("ecosystem").isin("rust", "cpp")).select("package").distinct()
+        lost = explicit.join(known_names, ["package", "name"], "left_anti").join(whole, "package", "left_semi")
+        again = lost.join(refs.select("ref", F.col("target").alias("_whole")), "ref").select("ref", "package", F.col("_whole").alias("name"), "tier")
+        explicit = explicit.join(lost.select("ref"), "ref", "left_anti").unionByName(again)
     owned = refs.where("owner is not null").select("ref", F.col("owner").alias("package"), F.col("target").alias("name"), F.lit(1).alias("tier"))
     tried = explicit.unionAll(owned).join(known, ["package", "name"], "left").where("tier = 0 or item is not null or name is not null")
     # A name that a tier does not know at all leaves the search open, except for the explicit one.
@@ -62,6 +79,60 @@ def resolve_items(refs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def concept_members(members: DataFrame, items: DataFrame) -> DataFrame:
+    """Members (concept, package, name) with the one ``item`` of their package that has the name, and ``problem``."""
+    known = _in_package(lookup_names(items)).withColumn("_there", F.lit(True))
+    met = members.join(known, ["package", "name"], "left")
+    problem = F.when(F.col("item").isNotNull(), F.lit(None)).when(F.col("_there"), "ambiguous").otherwise("unresolved")
+    return met.select("concept", "package", "name", "item", problem.alias("problem"))
+
+
+def reconcile_modules(sources: DataFrame, exports: DataFrame) -> DataFrame:
+    """(module, name, origin, facts, public, problem): declarations (module, name, origin, file, facts) of stubs and
+    sources brought together.
+
+    A module has at most one source and one stub; more are a problem of the module. A stub is taken before a source.
+    ``exports`` (module, name) of a runtime decide alone what is public where they name the module; else names that do
+    not begin with an underscore are. An exported name without a declaration is a row without an origin.
+    """
+    files = sources.groupBy("module", "origin").agg(F.count_distinct("file").alias("_n")).where("_n > 1").groupBy("module").agg(F.lit("several-files").alias("problem"))
+    rank = F.when(F.col("origin") == "stub", 0).otherwise(1)
+    best = sources.groupBy("module", "name").agg(F.min_by(F.struct("origin", "facts"), rank).alias("_d"))
+    ran = exports.select("module").distinct().withColumn("_ran", F.lit(True))
+    rows = best.join(exports.distinct().withColumn("_exported", F.lit(True)), ["module", "name"], "full_outer").join(ran, "module", "left").join(files, "module", "left")
+    public = F.when(F.col("_ran"), F.coalesce("_exported", F.lit(False))).otherwise(~F.startswith("name", F.lit("_")))
+    return rows.select("module", "name", "_d.origin", "_d.facts", public.alias("public"), "problem")
+
+
+def reconcile_help(exports: DataFrame, help_topics: DataFrame, sources: DataFrame) -> DataFrame:
+    """(package, name, topic, source, status) of what a runtime exports, help describes and source files define.
+
+    ``exports`` is (package, name), ``help_topics`` (package, name, topic), ``sources`` (package, name, source). Several
+    topics of a name are a conflict; a name that is exported without help is undocumented, one with help that is not
+    exported is internal, one that only a source has is private.
+    """
+    topics = help_topics.groupBy("package", "name").agg(F.count_distinct("topic").alias("_n"), F.min("topic").alias("topic"))
+    places = sources.groupBy("package", "name").agg(F.min("source").alias("source"))
+    rows = exports.distinct().withColumn("_out", F.lit(True)).join(topics, ["package", "name"], "full_outer").join(places, ["package", "name"], "full_outer")
+    status = (
+        F.when(F.col("_n") > 1, "conflict").when(F.col("_out") & F.col("topic").isNotNull(), "documented").when(F.col("_out"), "undocumented")
+        .when(F.col("topic").isNotNull(), "internal").otherwise("private")
+    )
+    return rows.select("package", "name", F.when(F.col("_n") == 1, F.col("topic")).alias("topic"), "source", status.alias("status"))
+
+
+def reconcile_methods(runtime: DataFrame, sources: DataFrame) -> DataFrame:
+    """(function, signature, file, line, origin): method tables of a runtime matched with parsed definitions.
+
+    Methods match by function and signature; of several definitions the last in (file, line) stands, as it replaced the
+    others. A method without a definition keeps no place; definitions that no table has are ``source`` alone.
+    """
+    last = sources.groupBy("function", "signature").agg(F.max(F.struct("file", "line")).alias("_s"))
+    rows = runtime.select("function", "signature").distinct().withColumn("_ran", F.lit(True)).join(last, ["function", "signature"], "full_outer")
+    origin = F.when(F.col("_ran") & F.col("_s").isNotNull(), "both").when(F.col("_ran"), "runtime").otherwise("source")
+    return rows.select("function", "signature", "_s.file", "_s.line", origin.alias("origin"))
+
+
 def resolve_prioritised(refs: DataFrame, candidates: DataFrame) -> DataFrame:
     """For each ``ref`` the candidates (ref-side key ``name``, value ``target``, ``priority``) of the best priority only.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graphs import closure
+from .graphs import reachable
 from .records import discoverable
 
 
@@ -19,9 +19,7 @@ def discoverable_set(items: DataFrame, members: DataFrame) -> DataFrame:
     methods = items.where("method_of is not null").join(direct.select("package", F.col("item").alias("method_of")), ["package", "method_of"], "left_semi").select("package", "item")
     both = direct.unionAll(methods)
     edges = members.select(F.struct("package", F.col("child").alias("item")).alias("src"), F.struct("package", F.col("parent").alias("item")).alias("dst"))
-    up = closure(edges).select(F.col("start.package").alias("package"), F.col("start.item").alias("item"), F.col("node.item").alias("outer"))
-    modules = up.join(both, ["package", "item"], "left_semi").select("package", F.col("outer").alias("item"))
-    return both.unionAll(modules).distinct()
+    return reachable(edges, both.select(F.struct("package", "item").alias("node"))).select("node.package", "node.item")
 
 
 def documentation_block(items: DataFrame, blocks: DataFrame, order: list[str]) -> DataFrame:
@@ -50,34 +48,40 @@ def native_members(members: DataFrame, extract_private: bool = False, extract_vi
 def active_tree(edges: DataFrame, active: DataFrame) -> DataFrame:
     """(node, active) over (parent, child): a node is active if it, or anything below it, is."""
     nodes = edges.select(F.col("parent").alias("node")).unionAll(edges.select(F.col("child").alias("node"))).distinct()
-    below = closure(edges.select(F.col("parent").alias("src"), F.col("child").alias("dst")))
-    hit = below.join(active.select("node"), "node", "left_semi").select(F.col("start").alias("node")).unionAll(active.select("node")).distinct()
+    hit = reachable(edges.select(F.col("child").alias("src"), F.col("parent").alias("dst")), active)
     return nodes.join(hit.withColumn("active", F.lit(True)), "node", "left").select("node", F.coalesce("active", F.lit(False)).alias("active"))
 
 
 def exported_names(steps: DataFrame) -> DataFrame:
-    """(module, names, dynamic) from ordered (module, ord, op, names): assign, append and extend are folded; any other
-    step makes the list dynamic."""
+    """(module, names, dynamic) from ordered (module, ord, op, names), a fold over null for a list that is not known.
+
+    An assignment makes the list known, or unknown if its names are null; append adds exactly one name and extend any
+    number to a known list; anything else makes it unknown. Names keep their order and repeats. A list that ends unknown
+    is dynamic.
+    """
     listed = steps.groupBy("module").agg(F.array_sort(F.collect_list(F.struct("ord", "op", "names"))).alias("steps"))
-    start = F.struct(F.array().cast("array<string>").alias("names"), F.lit(False).alias("dynamic"))
+    unknown = F.lit(None).cast("array<string>")
 
-    def step(state, s):
-        names = F.when(s["op"] == "assign", s["names"]).when(s["op"].isin("append", "extend"), F.concat(state["names"], s["names"])).otherwise(state["names"])
-        return F.struct(names.alias("names"), (state["dynamic"] | ~s["op"].isin("assign", "append", "extend")).alias("dynamic"))
+    def step(names, s):
+        adds = (s["op"] == "extend") | ((s["op"] == "append") & (F.size(s["names"]) == 1))
+        # concat with null is null: nothing can be added to a list that is not known.
+        return F.when(s["op"] == "assign", s["names"]).when(adds, F.concat(names, s["names"])).otherwise(unknown)
 
-    return listed.select("module", F.aggregate("steps", start, step).alias("r")).select("module", F.array_distinct("r.names").alias("names"), "r.dynamic")
+    return listed.select("module", F.aggregate("steps", unknown, step).alias("names")).withColumn("dynamic", F.col("names").isNull())
 
 
-def public_paths(exports: DataFrame, roots: DataFrame, max_rounds: int = 64) -> DataFrame:
+def public_paths(exports: DataFrame, roots: DataFrame) -> DataFrame:
     """(item, path): every public path of an item over (module, name, target) exports from the roots (module, path).
 
-    A target is a module of its own or an item; a lineage that meets a module again ends there.
+    A target is a module of its own or an item; a lineage that meets a module again ends there, so no path is longer
+    than there are modules and the rounds end. An export without a name is a glob: its module's exports are taken in
+    under the path of the importing one.
     """
     from ..plans.lineage import settle
 
     front = settle(roots.select("module", "path", F.array("module").alias("seen")))
     found = None
-    for _ in range(max_rounds):
+    while True:
         step = front.join(exports, "module").select("target", F.concat_ws("::", "path", "name").alias("path"), "seen")
         step = settle(step.where(~F.array_contains("seen", F.col("target"))))
         if step.isEmpty():

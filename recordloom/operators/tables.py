@@ -147,16 +147,68 @@ def changed(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFr
     return a.join(b, key, "full_outer").where(differs).select(key, change.alias("change"))
 
 
+def difference(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+    """Keys of ``before`` that ``after`` has no more, each once; null keys are keys."""
+    return before.select(*keys).subtract(after.select(*keys))
+
+
+def replacement(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, action) that make ``after`` out of ``before``: ``write`` what is new or differs, ``delete`` what is gone."""
+    action = F.when(F.col("change") == "removed", "delete").otherwise("write")
+    return changed(before, after, key, value).select(key, action.alias("action"))
+
+
+def diagnostics_set(diagnostics: DataFrame) -> DataFrame:
+    """Diagnostics, each once, equal in all columns."""
+    return diagnostics.dropDuplicates()
+
+
+def retained_assets(slots: DataFrame) -> DataFrame:
+    """(digest, media_type, uses, conflict) of the assets (slot, digest, media_type, bytes) that surviving slots name."""
+    kinds = F.count_distinct("media_type", "byte_size")
+    return slots.groupBy("digest").agg(F.min("media_type").alias("media_type"), F.count_distinct("slot").alias("uses"), (kinds > 1).alias("conflict"))
+
+
+def observed_values(rows: DataFrame, keys: list[str], json_col: str, paths: dict[str, str]) -> DataFrame:
+    """For each key the sorted set of values at each JSON path of its rows; a path under an array takes all elements."""
+    named = rows.select(*keys, *[F.get_json_object(json_col, p).alias(n) for n, p in paths.items()])
+    return named.groupBy(*keys).agg(*[F.array_sort(F.collect_set(n)).alias(n) for n in paths])
+
+
+def sections(members: DataFrame) -> DataFrame:
+    """(owner, section, item, position) of members (owner, role, item, start, ord): fields in the order of their source,
+    those without a place first and as given, then methods as given."""
+    rank = F.when(F.col("role") == "field", 0).when(F.col("role") == "method", 1)
+    start = F.when(F.col("role") == "field", F.col("start"))
+    w = Window.partitionBy("owner", "_rank").orderBy(start.asc_nulls_first(), "ord")
+    rows = members.withColumn("_rank", rank).where("_rank is not null").withColumn("position", F.row_number().over(w) - 1)
+    return rows.select("owner", F.when(F.col("_rank") == 0, "Fields").otherwise("Methods").alias("section"), "item", "position")
+
+
+def keyword_only_last(parameters: DataFrame) -> DataFrame:
+    """Parameters (owner, ord, name, keyword_only) with ``position``: keyword-only ones after all others, else as given."""
+    w = Window.partitionBy("owner").orderBy("keyword_only", "ord")
+    return parameters.withColumn("position", F.row_number().over(w) - 1)
+
+
 def roots(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes that are nobody's child."""
     return nodes.join(edges.select(F.col("child").alias("node")), "node", "left_anti")
 
 
-def minimal_roots(paths: DataFrame) -> DataFrame:
-    """Paths under no other path of the table: an anti-join on exploded ancestors."""
+def minimal_roots(paths: DataFrame, excluded: list[str] = ()) -> DataFrame:
+    """Paths under no other path of the table: an anti-join on exploded ancestors.
+
+    A path is not covered by one above it if an excluded folder lies between them, as a walk would not enter that. What
+    covers is then always a kept path: one that is itself covered has a kept one above it, with nothing between them.
+    """
     parts = F.split("path", "/")
-    upper = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    above = F.when(F.size(parts) > 1, upper).otherwise(F.array().cast("array<string>"))
+    n = F.size(parts)
+    bad = F.transform(parts, lambda p: p.isin(*excluded)) if excluded else F.transform(parts, lambda p: F.lit(False))
+    # The shortest ancestor that a walk reaches the path from: everything below the last excluded component.
+    last = F.coalesce(F.array_max(F.transform(F.sequence(F.lit(1), n), lambda i: F.when(F.element_at(bad, i), i))), F.lit(1))
+    upper = F.transform(F.sequence(last, n - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    above = F.when(last <= n - 1, upper).otherwise(F.array().cast("array<string>"))
     tried = paths.select("path", F.explode(above).alias("_up"))
     covered = tried.join(paths.select(F.col("path").alias("_up")).distinct(), "_up", "left_semi").select("path")
     return paths.distinct().join(covered, "path", "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.canonical import domain_digest
+from ..functions.canonical import inputs_fingerprint
 from ..functions.versions import numeric_equal, numeric_satisfies
 from ..operators import graphs, records, resolve, search, site, tables
 
@@ -102,21 +102,6 @@ def q9_manifest_single(spark, sf_dir):
     return records.manifest_is_single(read(spark, sf_dir, "region").where("r_regionkey = 0"))
 
 
-@query("select doc_id, sha256(text) as digest from documents")
-def record_digests(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-
-
-@query(
-    """select source, sha256('inputs-v1' || chr(0) || string_agg(doc_id || ':' || sha256(text), ',' order by doc_id)) as fingerprint
-    from documents group by source"""
-)
-def declared_inputs_fingerprint(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("d")))).alias("xs"))
-    joined = F.array_join(F.transform("xs", lambda x: F.concat_ws(":", x["doc_id"], x["d"])), ",")
-    return rows.select("source", domain_digest("inputs-v1", joined).alias("fingerprint"))
-
-
 @query(
     """select doc_id, case when lower(source) = 'src1' or ends_with(lower(source), '.src1') or ends_with(lower(source), '::src1') then 0
     when contains(lower(source), 'src1') then 1 else 2 end as rank from documents
@@ -127,27 +112,6 @@ def o1_search_topk(spark, sf_dir):
     return search.search(entries, " SRC1 ").select(F.col("ordinal").alias("doc_id"), "rank")
 
 
-@query(
-    """with c as (select n_name as name, 'n' || n_nationkey as target, 0 as priority from nation
-      union all select r_name, 'r' || r_regionkey, 1 from region
-      union all select c_mktsegment, 'c' || c_nationkey, 2 from customer),
-    r as (select row_number() over (order by name) as ref, name from (select n_name as name from nation union select r_name from region
-      union select c_mktsegment from customer union select 'NOWHERE')),
-    m as (select r.ref, c.priority, c.target from r join c using (name)),
-    b as (select ref, min(priority) as priority from m group by ref),
-    t as (select ref, count(distinct target) as n, min(target) as target from m join b using (ref, priority) group by ref)
-    select r.name, case when n = 1 then target end as target, case when n = 1 then 'resolved' when n > 1 then 'ambiguous' else 'unresolved' end as status
-    from r left join t using (ref)"""
-)
-def j1_resolve_prioritised(spark, sf_dir):
-    n, r, c = (read(spark, sf_dir, t) for t in ("nation", "region", "customer"))
-    tiers = [(n, "n_name", "n", "n_nationkey"), (r, "r_name", "r", "r_regionkey"), (c, "c_mktsegment", "c", "c_nationkey")]
-    parts = [t.select(F.col(name).alias("name"), F.concat(F.lit(p), key).alias("target"), F.lit(i).alias("priority")) for i, (t, name, p, key) in enumerate(tiers)]
-    candidates = parts[0].unionAll(parts[1]).unionAll(parts[2])
-    refs = candidates.select("name").unionAll(spark.range(1).select(F.lit("NOWHERE").alias("name"))).distinct().withColumn("ref", F.col("name"))
-    return resolve.resolve_prioritised(refs, candidates).withColumnRenamed("ref", "name")
-
-
 @query(
     """with t as (select lang, min(source) as item from documents group by lang having count(distinct source) = 1)
     select d.doc_id, t.item from documents d left join t using (lang)"""
@@ -202,23 +166,6 @@ def j11_inferred_dependencies(spark, sf_dir):
     return resolve.dependencies(packages, needs)
 
 
-@query("select o_custkey as key, min_by(o_orderstatus, o_orderkey) as flag, max(o_orderkey) as n from orders group by o_custkey")
-def j16_merge_by_rank(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("rank"), F.col("o_orderstatus").alias("flag"), F.array("o_orderkey").alias("orders")
-    )
-    return resolve.merge_by_rank(rows, ["key"], "rank", ["flag"], ["orders"]).select("key", "flag", F.array_max("orders").alias("n"))
-
-
-@query(
-    """select regexp_replace(trim(regexp_replace(text[:60], '\\s+', ' ', 'g')), '^ | $', '', 'g') as title, count(*) as n,
-    string_agg(lpad(cast(doc_id as varchar), 8, '0'), ', ' order by doc_id) as routes from documents group by 1 having count(*) > 1"""
-)
-def a1_duplicate_titles(spark, sf_dir):
-    pages = read(spark, sf_dir, "documents").select(F.substring("text", 1, 60).alias("title"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("route"))
-    return tables.duplicate_titles(pages)
-
-
 @query("select c_nationkey, c_mktsegment, count(*) as n from customer group by all having count(*) > 1")
 def a2_duplicate_keys(spark, sf_dir):
     return tables.duplicate_keys(read(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment")
@@ -229,12 +176,6 @@ def a2_repeats(spark, sf_dir):
     return tables.repeats(read(spark, sf_dir, "documents"), ["source"], "lang", "doc_id").select("doc_id")
 
 
-@query("select split_part(regexp_replace(url, '^https?://', ''), '/', 1) as grp, count(*) as n from pages group by 1")
-def a3_navigation_groups(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages").select(F.regexp_replace("url", "^https?://", "").alias("path"))
-    return tables.navigation_groups(pages).select("grp", F.size("paths").cast("bigint").alias("n"))
-
-
 @query(
     """select l_orderkey as owner, l_linenumber as id, row_number() over (partition by l_orderkey order by
     case l_returnflag when 'R' then 0 when 'N' then 1 else 2 end, l_linestatus, l_linenumber) as position from lineitem"""
@@ -293,18 +234,6 @@ def a18_coverage(spark, sf_dir):
     return tables.coverage(ranges)
 
 
-@query("select count(*) as n from lineitem l where not exists (select 1 from orders o where o.o_orderkey = l.l_orderkey and o.o_orderstatus = 'F')")
-def c2_missing_parents(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return read(spark, sf_dir, "lineitem").select("l_orderkey").join(orders, "l_orderkey", "left_anti").agg(F.count("*").alias("n"))
-
-
-@query("select 'orphan-owner' as code, 'item' as kind, source as owner, cast(doc_id as varchar) as id from documents where source = 'src3'")
-def c1_record_violations(spark, sf_dir):
-    rows = record_table(spark, sf_dir).where("not (kind = 'package' and id = 'src3')")
-    return records.record_violations(rows)
-
-
 @query(
     """select a.p_brand as prefix, a.p_brand || '/' || b.size as inner from (select distinct p_brand from part) a
     join (select distinct p_brand, p_size as size from part) b using (p_brand)"""
@@ -315,20 +244,6 @@ def c9_overlapping_prefixes(spark, sf_dir):
     return tables.overlapping_prefixes(sections)
 
 
-@query(
-    """select l.doc_id, row_number() over (order by d.lang nulls last, d.n_chars nulls last, l.doc_id) as position
-    from labels l left join (select * from documents where source < 'src5') d using (doc_id)"""
-)
-def o2_missing_last(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("source < 'src5'").select("doc_id", "lang", "n_chars")
-    rows = read(spark, sf_dir, "labels").select("doc_id").join(docs, "doc_id", "left")
-    from pyspark.sql import Window
-
-    # The position is shown so that an order can be compared; the operator itself is the list of sort keys.
-    w = Window.orderBy(*tables.missing_last("lang", "n_chars", "doc_id"))
-    return rows.select("doc_id", F.row_number().over(w).cast("bigint").alias("position"))
-
-
 @query("select conv_id, role, min_by(turn, turn) as turn, min_by(text, turn) as text from conversations group by conv_id, role")
 def o8_first_wins(spark, sf_dir):
     return tables.first_wins(read(spark, sf_dir, "conversations"), ["conv_id", "role"], "turn")
@@ -377,29 +292,6 @@ def f1_discoverable(spark, sf_dir):
     return records.discoverable(items).select("doc_id", "discoverable")
 
 
-@query(
-    """with a as (select doc_id, n_chars from documents where doc_id % 10 <> 0), b as (select doc_id, case when doc_id % 7 = 0 then n_chars + 1 else n_chars end as n_chars from documents where doc_id % 11 <> 0)
-    select coalesce(a.doc_id, b.doc_id) as doc_id, case when a.doc_id is null then 'added' when b.doc_id is null then 'removed' else 'modified' end as change
-    from a full join b on a.doc_id = b.doc_id where a.n_chars is distinct from b.n_chars"""
-)
-def u1_changed(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    after = docs.where("doc_id % 11 <> 0").withColumn("n_chars", F.when(F.col("doc_id") % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
-    return tables.changed(docs.where("doc_id % 10 <> 0"), after, "doc_id", "n_chars")
-
-
-@query("select doc_id from documents where doc_id % 3 = 0 except select doc_id from documents where doc_id % 5 = 0")
-def u2_difference(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id")
-    return docs.where("doc_id % 3 = 0").join(docs.where("doc_id % 5 = 0"), "doc_id", "left_anti").distinct()
-
-
-@query("select c_custkey as node from customer where c_custkey not in (select o_custkey from orders)")
-def u5_roots(spark, sf_dir):
-    edges = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("child"))
-    return tables.roots(edges, read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node")))
-
-
 def _tree(spark, sf_dir) -> DataFrame:
     n, c, s = (read(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
     edges = n.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
@@ -455,13 +347,6 @@ def x11_clean_route(spark, sf_dir):
     return pages.select("page_id", X.clean_route(raw).alias("route"))
 
 
-@query("select page_id, true as link, true as image, false as credentials from pages")
-def x9_url_policy(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages")
-    bad = F.regexp_replace("url", "://", "://user:pw@")
-    return pages.select("page_id", X.url_allowed(F.col("url")).alias("link"), X.url_allowed(F.col("url"), "image").alias("image"), X.url_allowed(bad).alias("credentials"))
-
-
 @query("select event_id, (event_id % 4) >= 2 as ok, (event_id % 4) = 3 as same from events")
 def x1_version_constraint(spark, sf_dir):
     version = F.concat(F.lit("1."), F.col("event_id") % 4, F.lit("-0"))
@@ -499,14 +384,6 @@ def j19_redirect_violations(spark, sf_dir):
     return site.redirect_violations(pages.select(F.concat(F.lit("old"), "page_id").alias("source"), F.concat("page_id", F.lit(".html")).alias("target")), p)
 
 
-@query(
-    """select s_suppkey as id, case when count(*) over (partition by s_nationkey) = 1 then 'n' || s_nationkey else 'n' || s_nationkey || '-' || sha256(cast(s_suppkey as varchar)) end as file from supplier"""
-)
-def m10_topic_routes(spark, sf_dir):
-    topics = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("n"), "s_nationkey").alias("stem"))
-    return site.topic_routes(topics).select(F.col("id").cast("bigint").alias("id"), "file")
-
-
 @query(
     """select c_custkey as page, case when c_nationkey = 3 then 'T' || c_custkey when c_mktsegment = 'BUILDING' then 'BUILDING' else c_mktsegment || ' · BUILDING' end as full_title from customer"""
 )
@@ -525,39 +402,6 @@ def m5_search_entries(spark, sf_dir):
     return site.search_entries(pages, turns.select("route", F.col("turn").alias("ord"), "text"), members).select("path", "text")
 
 
-@query("select event_id, json_extract_string(props, '$.k') as k from events")
-def json_projection(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
-
-
-@query(
-    """select page_id, 'declaration' as rejected from pages"""
-)
-def t11_html_policy(spark, sf_dir):
-    from ..operators.markup import apply_html_policy
-
-    return apply_html_policy(read(spark, sf_dir, "pages"), "html").select("page_id", "rejected")
-
-
-@query(
-    "select page_id, 'Page ' || page_id as title from pages"
-)
-def o12_titles(spark, sf_dir):
-    from ..operators import markup
-
-    head = F.concat(F.lit("Page "), "page_id")
-    docs = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.concat(F.lit("intro\n\n# "), head, F.lit("\n\n[a](b.md)\n")).alias("text"))
-    return markup.titles(docs, markup.flatten(docs)).select(F.col("doc").alias("page_id"), "title")
-
-
-@query("select page_id as doc, 'link' as kind, url as target from pages")
-def t1_references(spark, sf_dir):
-    from ..operators import markup
-
-    docs = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.concat(F.lit("See [the page]("), "url", F.lit(").\n")).alias("text"))
-    return markup.references(markup.flatten(docs)).select("doc", "kind", "target")
-
-
 def _cells(spark, sf_dir) -> DataFrame:
     e = F.col("event_id")
     return read(spark, sf_dir, "events").select(
@@ -581,30 +425,3 @@ def f6_skip_reasons(spark, sf_dir):
     from ..operators.markup import skip_reasons
 
     return skip_reasons(_cells(spark, sf_dir), "python").select("event_id", "skip")
-
-
-@query()
-def w6_reduced_outputs(spark, sf_dir):
-    from ..streaming.outputs import reduce_outputs
-
-    turns = read(spark, sf_dir, "conversations")
-    events = turns.select(
-        F.concat(F.lit("p"), F.col("conv_id") % 50).alias("page"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("conv_id").alias("cell"),
-        F.when(F.col("turn") % 5 == 4, "clear").otherwise("stream").alias("kind"), F.col("role").alias("name"), F.col("text").alias("payload"),
-        F.lit(None).cast("string").alias("display_id"), (F.col("turn") % 2 == 0).alias("wait"),
-    )
-    return reduce_outputs(events)
-
-
-@query()
-def g1_c3_order(spark, sf_dir):
-    n = read(spark, sf_dir, "nation")
-    regions = n.select(F.lit("p").alias("package"), F.concat(F.lit("r"), "n_regionkey").alias("cls"), F.array(F.lit("root")).alias("bases")).distinct()
-    top = spark.range(1).select(F.lit("p").alias("package"), F.lit("root").alias("cls"), F.array().cast("array<string>").alias("bases"))
-    nations = n.select(F.lit("p").alias("package"), "n_name", F.array(F.concat(F.lit("r"), "n_regionkey"), F.concat(F.lit("r"), (F.col("n_regionkey") + 1) % 5)).alias("bases"))
-    return graphs.c3_order(nations.withColumnRenamed("n_name", "cls").unionByName(regions).unionByName(top))
-
-
-@query("select user_id, min(ts) as first, count(*) as n from events group by user_id")
-def w1_first_changes(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("first"), F.count("*").alias("n"))

@@ -1,7 +1,8 @@
 """Snapshots: reading them from SQLite files, publishing and exporting them.
 
-The reader is a Python data source. It opens the database read-only, checks its header, and deals a table's keys to
-partitions by ranges of ``rowid`` or by the first byte of the key, so a large snapshot is not read by one task.
+The reader is a Python data source. It opens the database read-only, checks its header and versions, and deals a table's
+rows to partitions by ranges of its keys, so a large snapshot is not read by one task. SQLite needs a file system: the
+database must lie at the same path on all executors.
 """
 
 from __future__ import annotations
@@ -23,11 +24,29 @@ SCHEMAS = {
 STORAGE_VERSION, IR_VERSION, ENCODING_VERSION = 2, 16, 1
 
 
-def open_snapshot(path: str) -> sqlite3.Connection:
+#: The application ids of a workspace's snapshot and of a bundle of one package, and a bundle's version.
+SNAPSHOT_ID, BUNDLE_ID, BUNDLE_VERSION = 0x4449504C, 0x44495042, 1
+
+
+def open_snapshot(path: str, bundle: bool = False) -> sqlite3.Connection:
+    """A database that stands alone (no write-ahead log, no recovery files beside it), read-only."""
+    import os
+
     with open(path, "rb") as f:
-        if f.read(16) != b"SQLite format 3\0":
-            raise ValueError(f"{path} is not a snapshot database")
-    return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+        head = f.read(20)
+    if head[:16] != b"SQLite format 3\0" or head[18:] != b"\1\1":
+        raise ValueError(f"{path} is not a snapshot database with a rollback journal")
+    left = [s for s in ("-journal", "-wal", "-shm") if os.path.exists(path + s)]
+    if bundle and left:
+        raise ValueError(f"{path} has recovery files: {left}")
+    db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    if bundle != (db.execute("pragma application_id").fetchone()[0] == BUNDLE_ID):
+        db.close()
+        raise ValueError(f"{path} is {'not ' if bundle else ''}a bundle of one package")
+    if bundle and db.execute("pragma user_version").fetchone()[0] != BUNDLE_VERSION:
+        db.close()
+        raise ValueError(f"{path} is a bundle of another version")
+    return db
 
 
 class _Slice(InputPartition):
@@ -39,12 +58,13 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.table = options["path"], options.get("table", "records")
         self.slices = int(options.get("slices", "4"))
+        self.bundle = options.get("bundle", "false") == "true"
 
     def partitions(self):
         if self.table == "manifest":
             return [_Slice(None, None)]
         key = "id" if self.table == "records" else "digest"
-        with open_snapshot(self.path) as db:
+        with open_snapshot(self.path, self.bundle) as db:
             manifest = db.execute("select storage_version, ir_version, encoding_version from manifest").fetchall()
             if manifest != [(STORAGE_VERSION, IR_VERSION, ENCODING_VERSION)]:
                 raise ValueError(f"unknown snapshot versions: {manifest}")
@@ -60,7 +80,7 @@ class _Reader(DataSourceReader):
         tests = [(f"{key} >= ?", part.low), (f"{key} < ?", part.high)]
         held = [t for t in tests if t[1] is not None]
         where = f" where {' and '.join(t for t, _ in held)}" if held else ""
-        with open_snapshot(self.path) as db:
+        with open_snapshot(self.path, self.bundle) as db:
             yield from db.execute(f"select {', '.join(names)} from {self.table}{where}", [v for _, v in held])
 
 
@@ -78,27 +98,49 @@ class SnapshotSource(DataSource):
         return _Reader(self.options)
 
 
-def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The three tables of a snapshot; digests are verified by ``verify``."""
+def read_snapshot(spark: SparkSession, path: str, bundle: bool = False) -> dict[str, DataFrame]:
+    """The three tables of a snapshot, or of a bundle; digests are verified by ``verify``."""
     spark.dataSource.register(SnapshotSource)
-    return {t: spark.read.format("snapshot").option("table", t).option("path", path).load() for t in SCHEMAS}
+    reader = spark.read.format("snapshot").option("path", path).option("bundle", str(bundle).lower())
+    return {t: reader.option("table", t).load() for t in SCHEMAS}
 
 
-def verify(tables: dict[str, DataFrame]) -> DataFrame:
-    """(code, key) of everything broken: the manifest, asset digests, the key contract. Empty means valid."""
-    from ..operators.records import record_violations
+def verify(tables: dict[str, DataFrame], domain: str | None = None, rules: bool = True) -> DataFrame:
+    """(code, key) of everything broken: the manifest, digests of assets, the key contract and references between
+    records, and with the ``domain`` of their producer the fingerprints of records. Empty means valid."""
+    from ..operators.integrity import reference_violations
+    from ..operators.records import fingerprint_violations, record_violations
 
     single = tables["manifest"].agg(F.count("*").alias("n")).where("n <> 1").select(F.lit("manifest-not-single").alias("code"), F.col("n").cast("string").alias("key"))
     assets = tables["assets"].where(F.sha2("bytes", 256) != F.col("digest")).select(F.lit("asset-digest").alias("code"), F.col("digest").alias("key"))
-    records = record_violations(tables["records"]).select("code", F.concat_ws("/", "kind", "owner", "id").alias("key"))
-    return single.unionAll(assets).unionAll(records)
-
-
-def publish(tables: dict[str, DataFrame], path: str) -> None:
+    twice = tables["assets"].groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate-asset").alias("code"), F.col("digest").alias("key"))
+    found = record_violations(tables["records"]).select("code", "kind", "owner", "id")
+    if rules:
+        found = found.unionAll(reference_violations(tables["records"], tables["assets"]))
+    if domain is not None:
+        wrong = fingerprint_violations(tables["records"], domain=domain)
+        found = found.unionAll(wrong.select(F.lit("record-fingerprint").alias("code"), "kind", "owner", "id"))
+    return single.unionAll(assets).unionAll(twice).unionAll(found.select("code", F.concat_ws("/", "kind", "owner", "id").alias("key")))
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Put ``text`` into a file in one step: written beside it, then renamed over it, so readers find the old or the new."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.draft")
+    out = target.getFileSystem(conf).create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), conf).rename(draft, target, how)
+
+
+def publish(tables: dict[str, DataFrame], path: str, domain: str | None = None) -> None:
     """Write the tables as Parquet, read them back, verify them, and only then make them the published version.
 
-    Versions stand side by side; the file ``CURRENT`` names the published one and is written last, so readers never see
-    a part of a snapshot. Records are clustered by kind for point lookups.
+    Versions stand side by side; the file ``CURRENT`` names the published one and is replaced last and in one step, so
+    readers never see a part of a snapshot and always see one. Records are clustered by kind for point lookups.
     """
     import uuid
 
@@ -108,10 +150,10 @@ def publish(tables: dict[str, DataFrame], path: str) -> None:
         df = df.repartitionByRange("kind", "owner", "id").sortWithinPartitions("kind", "owner", "id") if name == "records" else df
         df.write.parquet(f"{path}/{version}/{name}")
     back = {name: spark.read.parquet(f"{path}/{version}/{name}") for name in tables}
-    broken = verify(back).limit(5).collect()
+    broken = verify(back, domain).limit(5).collect()
     if broken:
         raise ValueError(f"refused to publish: {[tuple(r) for r in broken]}")
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/CURRENT")
+    replace_text(spark, f"{path}/CURRENT", version)
 
 
 def published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -119,22 +161,47 @@ def published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{version}/{name}") for name in SCHEMAS}
 
 
+def bundle_violations(records: DataFrame) -> DataFrame:
+    """(code, n) of what a bundle may not hold: one package and one repository, none of the kinds of a whole workspace."""
+    def count(kind):
+        return F.count_if(F.col("kind") == kind)
+
+    counts = records.agg(*[count(k).alias(k) for k in ("package", "repository", "collection", "concept", "execution")])
+    codes = [F.when(F.col(k) != 1, F.struct(F.lit(f"not-one-{k}").alias("code"), F.col(k).alias("n"))) for k in ("package", "repository")]
+    codes += [F.when(F.col(k) > 0, F.struct(F.lit(f"has-{k}").alias("code"), F.col(k).alias("n"))) for k in ("collection", "concept", "execution")]
+    return counts.select(F.inline(F.array_compact(F.array(*codes))))
+
+
 def import_bundle(base: dict[str, DataFrame], bundle: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Union of a snapshot and a bundle of one package; a key in both is an error, an equal asset is not."""
-    packages = bundle["records"].where("kind = 'package'").count()
-    if packages != 1:
-        raise ValueError(f"a bundle holds one package, this one {packages}")
+    """Union of a snapshot and a bundle of one package and repository.
+
+    A key or a package's slug in both is an error; an equal asset, or the same repository with equal content, is not.
+    """
+    broken = bundle_violations(bundle["records"]).collect()
+    if broken:
+        raise ValueError(f"a bundle holds one package and one repository: {[tuple(r) for r in broken]}")
     single = ["workspace", "presentation"]
     new = bundle["records"].where(~F.col("kind").isin(single))
+    same = F.col("kind") == "repository"
+    known = base["records"].where(same).select("kind", "owner", "id", "content")
+    new = new.where(~same).unionByName(new.where(same).join(known, ["kind", "owner", "id", "content"], "left_anti").select(new.columns))
     both = new.join(base["records"], ["kind", "owner", "id"], "left_semi").limit(5).collect()
     if both:
         raise ValueError(f"already there: {[(r.kind, r.owner, r.id) for r in both]}")
+    slug = F.get_json_object("content", "$.slug").alias("slug")
+    held = base["records"].where("kind = 'package'").select(slug)
+    slugs = new.where("kind = 'package'").select(slug).where("slug is not null").join(held, "slug", "left_semi").limit(5).collect()
+    if slugs:
+        raise ValueError(f"slug already taken: {[r.slug for r in slugs]}")
     assets = base["assets"].unionByName(bundle["assets"].join(base["assets"], "digest", "left_anti"))
     return base | {"records": base["records"].unionByName(new), "assets": assets}
 
 
 def insert_once(cache: DataFrame, entries: DataFrame, key: str, payload: str) -> DataFrame:
-    """The rows of ``entries`` to append to a write-once table; a known key with another payload is an error."""
+    """The rows of ``entries`` to append to a write-once table; two payloads for a key, known or new, are an error."""
+    twice = entries.groupBy(key).agg(F.count_distinct(F.struct(payload)).alias("_n")).where("_n > 1").select(key).limit(5).collect()
+    if twice:
+        raise ValueError(f"several payloads for {[r[0] for r in twice]}")
     known = cache.select(key, F.col(payload).alias("_held"))
     clash = entries.join(known, key).where(~F.col(payload).eqNullSafe(F.col("_held"))).select(key).limit(5).collect()
     if clash:
@@ -143,7 +210,7 @@ def insert_once(cache: DataFrame, entries: DataFrame, key: str, payload: str) ->
 
 
 def export_lines(tables: dict[str, DataFrame]) -> DataFrame:
-    """(section, key, line): the canonical text of every record and asset, to be sorted by section and key."""
+    """(section, key, line): the canonical text of every record and asset. ``write_lines`` puts them in order."""
     from ..functions.canonical import canonical_json
 
     record = F.to_json(F.struct("kind", "owner", "id", "fingerprint"))
@@ -154,5 +221,11 @@ def export_lines(tables: dict[str, DataFrame]) -> DataFrame:
     return lines.unionAll(tables["assets"].select(F.lit(1).alias("section"), F.col("digest").alias("key"), asset.alias("line")))
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Write exported lines in the order of section and key: a range-partitioned sort, so the files in the order of
+    their names are the sorted whole, however large."""
+    lines.orderBy("section", "key").select("line").write.text(path)
+
+
 def pretty(value) -> str:
     return json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False) + "\n"

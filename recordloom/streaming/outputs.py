@@ -11,7 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
-RESULT = "page string, cell bigint, position int, kind string, name string, payload string"
+RESULT = "page string, cell bigint, position int, kind string, name string, payload string, problem string"
 
 
 def fold_events(events: list[dict], join_streams: bool = True) -> tuple[list[dict], list[dict]]:
@@ -46,12 +46,17 @@ def fold_events(events: list[dict], join_streams: bool = True) -> tuple[list[dic
 
 
 def reduce_outputs(events: DataFrame, join_streams: bool = True) -> DataFrame:
-    """Outputs (page, cell, position, kind, name, payload) from (page, seq, cell, kind, name, payload, display_id, wait)."""
+    """Outputs (page, cell, position, kind, name, payload) from (page, seq, cell, kind, name, payload, display_id, wait).
+
+    An update of a display that nobody has shown is a row with a ``problem`` and no position; ``payload`` is its id.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values("seq", kind="stable").astype(object).where(group.notna(), None).to_dict("records")
-        out, _ = fold_events(rows, join_streams)
+        out, problems = fold_events(rows, join_streams)
+        out += [{"cell": p["cell"], "position": None, "kind": "update", "name": None, "payload": p["display_id"], "problem": p["code"]} for p in problems]
         names = [c.split()[0] for c in RESULT.split(", ")]
-        return pd.DataFrame([{"page": group["page"].iloc[0], **o} for o in out], columns=[*names, "display_id"])[names]
+        made = pd.DataFrame([{"page": group["page"].iloc[0], "problem": None, **o} for o in out], columns=[*names, "display_id"])[names]
+        return made.astype({"position": "Int32"})
 
     return events.groupBy("page").applyInPandas(run, RESULT)

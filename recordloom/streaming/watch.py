@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.tables import changed
+from ..sources.snapshot import replace_text
 
 OBSERVATION = "path string, state string, at timestamp"
 
@@ -57,34 +59,45 @@ def stream_observations(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(OBSERVATION).json(folder)
 
 
+def states(spark: SparkSession, marker: str) -> list[int]:
+    """The batches whose states are complete, in order."""
+    try:
+        return [int(n) for r in spark.read.text(marker).collect() for n in r["value"].split(",")]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
 def watch(
     observations: DataFrame, state_path: str, publish: Callable[[DataFrame, int], None], checkpoint: str, written: DataFrame | None = None
 ) -> StreamingQuery:
     """Publish the changes of each micro-batch against the last published state.
 
     The state moves on only after ``publish`` has succeeded, so a failed attempt is made again with the same changes
-    and the last good output stays. States are written side by side and the newest complete one counts.
+    and the last good output stays. Every batch writes its state to a folder of its own, which a repeated batch
+    overwrites, and only then the marker that makes it count; a state without any path is a state as well.
     """
     spark = observations.sparkSession
     schema = "path string, state string"
+    marker = f"{state_path}/CURRENT"
+
+    def last_before(number: int) -> DataFrame:
+        done = [n for n in states(spark, marker) if n < number]
+        return spark.read.schema(schema).parquet(f"{state_path}/batch={max(done)}") if done else spark.createDataFrame([], schema)
 
     def batch(rows: DataFrame, number: int) -> None:
         now = rows.groupBy("path").agg(F.max_by("state", "at").alias("state"))
-        try:
-            before = spark.read.schema(f"{schema}, batch bigint").parquet(state_path)
-            last = before.agg(F.max("batch")).first()[0]
-            before = before.where(F.col("batch") == last).select("path", "state")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            before = spark.createDataFrame([], schema)
+        before = last_before(number)
         rest = before.join(now, "path", "left_anti")
         after = rest.unionByName(now.where("state <> 'removed'"))
         changes = changed(before, after, "path", "state")
         if written is not None:
             changes = unacknowledged(changes, now, written)
         publish(changes, number)
-        after.withColumn("batch", F.lit(number).cast("bigint")).write.mode("append").parquet(state_path)
+        after.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+        # The last two states count: a batch that is repeated after its marker starts from the one before it.
+        replace_text(spark, marker, ",".join(map(str, [*[n for n in states(spark, marker) if n < number][-1:], number])))
 
     return observations.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

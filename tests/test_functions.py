@@ -34,7 +34,23 @@ def one(spark, column, **values):
         (X.url_allowed, "javascript:alert(1)", False),
         (X.url_allowed, "https://u:p@x/", False),
         (X.url_allowed, "https://x/%0a", False),
-        (X.media_type, "a/B.PNG", "image/png"),
+        (X.url_allowed, "https:/u:p@x/", False),
+        (X.url_allowed, "https:u@x", False),
+        (X.url_allowed, "https://", False),
+        (X.url_allowed, "https://x/%C2%85", False),
+        (X.url_allowed, "mailto:a@b.c", True),
+        (X.url_allowed, "http://x?q=a@b", True),
+        (X.site_url, "https://x.org/docs", "https://x.org/docs/"),
+        (X.site_url, "http://x.org/", "http://x.org/"),
+        (X.site_url, "https://u@x.org/", None),
+        (X.site_url, "https://x.org/?q", None),
+        (X.site_url, "/docs", None),
+        (X.kernel_language, "Python3", "python"),
+        (X.kernel_language, "R", "r"),
+        (X.media_type, "a/B.png", "image/png"),
+        (X.media_type, "a/B.PNG", "application/octet-stream"),
+        (X.media_type, "x.webmanifest", "application/manifest+json"),
+        (X.media_type, "a/.css", "application/octet-stream"),
         (X.media_type, "a/b", "application/octet-stream"),
         (X.valid_label, "fig-1.a", True),
         (X.valid_label, "1a", False),

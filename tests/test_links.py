@@ -40,15 +40,23 @@ def test_fragment_aliases_occur_once(spark):
 
 
 def test_exports_fold(spark):
-    steps = spark.createDataFrame([("m", 0, "assign", ["a"]), ("m", 1, "extend", ["b", "a"]), ("n", 0, "assign", ["x"]), ("n", 1, "call", [])], "module string, ord int, op string, names array<string>")
-    got = {r.module: (r.names, r.dynamic) for r in selection.exported_names(steps).collect()}
-    assert got == {"m": (["a", "b"], False), "n": (["x"], True)}
+    steps = [
+        ("m", 0, "assign", ["a"]), ("m", 1, "extend", ["b", "a"]), ("n", 0, "assign", ["x"]), ("n", 1, "call", []), ("again", 0, "call", []), ("again", 1, "assign", ["y"]),
+        ("early", 0, "extend", ["z"]), ("two", 0, "assign", ["a"]), ("two", 1, "append", ["b", "c"]), ("one", 0, "assign", ["a"]), ("one", 1, "append", ["b"]), ("lost", 0, "assign", ["a"]), ("lost", 1, "assign", None),
+    ]
+    got = {r.module: (r.names, r.dynamic) for r in selection.exported_names(spark.createDataFrame(steps, "module string, ord int, op string, names array<string>")).collect()}
+    assert got == {
+        "m": (["a", "b", "a"], False), "n": (None, True), "again": (["y"], False), "early": (None, True), "two": (None, True), "one": (["a", "b"], False), "lost": (None, True),
+    }
 
 
 def test_public_paths_end_on_cycles(spark):
     exports = spark.createDataFrame([("root", "m", "mod"), ("mod", "f", "item"), ("mod", "back", "root"), ("root", "g", "item")], "module string, name string, target string")
     roots = spark.createDataFrame([("root", "crate")], "module string, path string")
     assert rows(selection.public_paths(exports, roots), "item", "path") == [("item", "crate::g"), ("item", "crate::m::f")]
+    deep = spark.createDataFrame([(f"m{i}", f"n{i + 1}", f"m{i + 1}") for i in range(70)] + [("m0", None, "m69")], "module string, name string, target string")
+    found = rows(selection.public_paths(deep, spark.createDataFrame([("m0", "c")], "module string, path string")), "item", "path")
+    assert found == [("m70", "c::" + "::".join(f"n{i}" for i in range(1, 71))), ("m70", "c::n70")]
 
 
 def test_active_tree(spark):

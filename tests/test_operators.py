@@ -158,6 +158,49 @@ def test_document_tree(spark):
     assert markup.has_math(tree).first().math
 
 
+def test_inline_links():
+    text = "[a [b] c](x.md) [![alt](i.png)](y.md) [ref][Key  One] [short] <https://z/> <me@x.org> `[no](code)` [plain] [t](<a b.md>) [q](e(1).md 'title')"
+    defined, rest = markup.definitions(["[key one]: r.md", "[short]: <s.md> \"t\"", "```", "[in]: code.md", "```", "[key one]: later.md"])
+    assert rest == ["```", "[in]: code.md", "```"] and defined == {"key one": "r.md", "short": "s.md"}
+    got = [(k, to) for k, _, to in markup.inlines(text, defined) if k != "code"]
+    assert got == [
+        ("link", "x.md"), ("link", "y.md"), ("image", "i.png"), ("link", "r.md"), ("link", "s.md"), ("link", "https://z/"), ("link", "mailto:me@x.org"), ("link", "a b.md"), ("link", "e(1).md"),
+    ]
+    assert markup.plain("see [a [b] c](x.md), [none] and ![i](p.png)") == "see a [b] c, [none] and i"
+
+
+def test_nested_items_and_aligned_tables(spark):
+    text = "- one\n  - two [l](x.md)\n    - three\n- four\n\n| a | b | c |\n|:--|--:|---|\n| [k](y.md) | 2 | 3 |\n"
+    tree = [r for r in markup.flatten(spark.createDataFrame([("d", text)], "doc string, text string")).orderBy("ord").collect()]
+    items = [(r.path, r.level, r.text) for r in tree if r.kind == "item"]
+    assert items == [("000000", 0, "one"), ("000000.i0000", 1, "two l"), ("000000.i0000.i0000", 2, "three"), ("000001", 0, "four")]
+    assert [(r.text, r.target) for r in tree if r.kind == "cell"] == [("k", "left"), ("2", "right"), ("3", None)]
+    assert [r.target for r in tree if r.kind == "link"] == ["x.md", "y.md"]
+
+
+def test_code_includes():
+    files = {"a.md": "x\n\n  {{< code s/f.py#L2-L3 >}}\n\n{{< code s/f.py#L9-L9 >}}\n\n{{< code ../out.py >}}", "s/f.py": "one\ntwo ```` x\nthree\n"}
+    rows, problems = markup.expand("a.md", files)
+    assert [r[0] for r in rows] == ["x", "", "  `````", "  two ```` x", "  three", "  `````", "", ""]
+    assert rows[3][1:] == ("s/f.py", 2) and rows[2][1:] == ("a.md", 3)
+    assert [p.split(": ")[1] for p in problems] == ["no-such-lines", "outside"]
+
+
+def test_chunks(spark):
+    text = "---\ntitle: T\n---\n\n```{r plot, echo=FALSE, fig.cap=\"a, b\"}\n#| eval: false\n#| label: 'it''s'\nx <- 1\n```\n\n```{python}\npass\n```\n\n```python\nno chunk\n```\n"
+    got = markup.cells(spark.createDataFrame([("d", text), ("e", None)], "doc string, text string")).orderBy("cell").collect()
+    assert [(r.doc, r.cell, r.language, r.label, r.source) for r in got] == [("d", 0, "r", "it's", "x <- 1"), ("d", 1, "python", "", "pass")]
+    assert [tuple(o) for o in got[0].options] == [("echo", "FALSE", 1), ("fig.cap", "a, b", 1), ("eval", "false", 2), ("label", "it's", 2)]
+
+
+def test_generated_references(spark):
+    docs = spark.createDataFrame([("d", "![a](k.png) ![b](z.png) ![c](https://x/y.png) [l](javascript:x) [m](https://x/) [n](b.md)\n\n<div>x</div>")], "doc string, text string")
+    got = markup.generated_references(docs, spark.createDataFrame([("d", "k.png"), ("e", "z.png")], "doc string, target string"))
+    assert rows(got, F.coalesce("target", F.lit("-")), F.coalesce("problem", F.lit("-"))) == [
+        ("-", "raw-html"), ("b.md", "-"), ("https://x/", "-"), ("https://x/y.png", "remote-image"), ("javascript:x", "unsafe-url"), ("k.png", "-"), ("z.png", "unbound-image"),
+    ]
+
+
 def test_includes(spark):
     files = {"a.md": "top\n\n{{< include sub/p.md >}}\n\nend", "sub/p.md": "part\n\n{{< include q.md >}}", "sub/q.md": "deep", "loop.md": "{{< include loop.md >}}"}
     table = spark.createDataFrame([("w", k, v) for k, v in files.items()], "project string, path string, text string")
@@ -177,7 +220,20 @@ def test_includes(spark):
         ('<td colspan="03">x', '<td colspan="3">x</td>', None),
         ('<td colspan="0">x</td>', None, "attribute"),
         ('<p onclick="x">y</p>', None, "attribute"),
-        ("<img alt='x'>", None, "image"),
+        ("<img alt='x'>", None, "structure"),
+        ("<!DOCTYPE html><p>x", None, "structure"),
+        ('<td colspan="' + "9" * 5000 + '">x</td>', None, "attribute"),
+        ('<td colspan="18446744073709551615">x</td>', '<td colspan="18446744073709551615">x</td>', None),
+        ('<td colspan="18446744073709551616">x</td>', None, "attribute"),
+        ('<ol start="-9223372036854775808"></ol>', '<ol start="-9223372036854775808"></ol>', None),
+        ('<ol start="+07"></ol>', '<ol start="7"></ol>', None),
+        ('<ol start="9223372036854775808"></ol>', None, "attribute"),
+        ('<img src="javascript:x">', None, "remote-image"),
+        ('<img src="a/b.png" width="010">', '<img src="a/b.png" width="10">', None),
+        ('<a href="//host/x">y</a>', None, "url"),
+        ('<a href="https:/u:p@h/">y</a>', None, "url"),
+        ('<a href="../b.html#c">y</a>', '<a href="../b.html#c">y</a>', None),
+        ('<p title="a" title="b">y</p>', None, "structure"),
         ("a<!-- c -->b", "ab", None),
         (None, "", None),
     ],

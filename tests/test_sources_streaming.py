@@ -4,6 +4,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from recordloom.operators import records, site
 from recordloom.sources import files, snapshot
 from recordloom.streaming import outputs, watch
 
@@ -30,6 +31,36 @@ def test_snapshot_round_trip(spark, tmp_path):
     back = snapshot.published(spark, str(tmp_path / "out"))
     assert back["records"].exceptAll(tables["records"]).count() == 0
     assert snapshot.export_lines(back).count() == 12
+    snapshot.write_lines(snapshot.export_lines(back), str(tmp_path / "lines"))
+    lines = [r.value for f in sorted((tmp_path / "lines").glob("part-*")) for r in spark.read.text(str(f)).collect()]
+    assert len(lines) == 12 and "package" in lines[10] and '"digest"' in lines[11]
+    # A second version replaces the first in one step; a reader finds one at any time.
+    snapshot.publish(back, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("*/records"))) == 2 and snapshot.published(spark, str(tmp_path / "out"))["records"].count() == 11
+    # With the domain of the producer the digests of records are held against their contents.
+    signed = records.with_fingerprints(back["records"], domain="d")
+    assert snapshot.verify(back | {"records": signed}, "d").count() == 0
+    assert snapshot.verify(back | {"records": signed}, "e").count() == 11
+
+
+def test_snapshots_and_bundles_are_told_apart(spark, tmp_path):
+    make_database(tmp_path / "s.db")
+    make_database(tmp_path / "b.db")
+    db = sqlite3.connect(tmp_path / "b.db")
+    db.execute(f"pragma application_id = {snapshot.BUNDLE_ID}")
+    db.execute("pragma user_version = 1")
+    db.commit()
+    db.close()
+    assert snapshot.read_snapshot(spark, str(tmp_path / "b.db"), bundle=True)["records"].count() == 11
+    for name, bundle in (("s.db", True), ("b.db", False)):
+        with pytest.raises(Exception, match="a bundle of one package"):
+            snapshot.read_snapshot(spark, str(tmp_path / name), bundle)["records"].count()
+    (tmp_path / "b.db-wal").write_text("")
+    with pytest.raises(ValueError, match="recovery files"):
+        snapshot.open_snapshot(str(tmp_path / "b.db"), bundle=True)
+    (tmp_path / "wal.db").write_bytes(b"SQLite format 3\0\x10\0\2\2")
+    with pytest.raises(ValueError, match="rollback journal"):
+        snapshot.open_snapshot(str(tmp_path / "wal.db"))
 
 
 def test_snapshot_refuses_other_versions_and_broken_tables(spark, tmp_path):
@@ -47,13 +78,27 @@ def test_snapshot_refuses_other_versions_and_broken_tables(spark, tmp_path):
 def test_bundles_and_write_once(spark):
     schema = snapshot.SCHEMAS["records"]
     assets = spark.createDataFrame([], snapshot.SCHEMAS["assets"])
-    base = {"records": spark.createDataFrame([("package", "", "p", "{}", "")], schema), "assets": assets}
-    bundle = {"records": spark.createDataFrame([("package", "", "q", "{}", ""), ("item", "q", "i", "{}", "")], schema), "assets": assets}
-    assert snapshot.import_bundle(base, bundle)["records"].count() == 3
+    repo = ("repository", "", "r", "{}", "")
+    base = {"records": spark.createDataFrame([("package", "", "p", '{"slug":"s"}', ""), repo], schema), "assets": assets}
+
+    def bundle(*rows):
+        return {"records": spark.createDataFrame(list(rows), schema), "assets": assets}
+
+    new = ("package", "", "q", '{"slug":"t"}', "")
+    assert snapshot.import_bundle(base, bundle(new, ("item", "q", "i", "{}", ""), repo))["records"].count() == 4
+    with pytest.raises(ValueError, match="already there"):
+        snapshot.import_bundle(base, base)
     with pytest.raises(ValueError, match="already there"):
-        snapshot.import_bundle(base, {"records": base["records"], "assets": assets})
+        snapshot.import_bundle(base, bundle(new, ("repository", "", "r", '{"x":1}', "")))
+    with pytest.raises(ValueError, match="slug"):
+        snapshot.import_bundle(base, bundle(("package", "", "q", '{"slug":"s"}', ""), repo))
+    for wrong in ([new], [new, repo, ("concept", "", "c", "{}", "")], [new, ("package", "", "z", "{}", ""), repo]):
+        with pytest.raises(ValueError, match="one package and one repository"):
+            snapshot.import_bundle(base, bundle(*wrong))
     cache = spark.createDataFrame([("k", "v")], "key string, payload string")
     assert snapshot.insert_once(cache, spark.createDataFrame([("k", "v"), ("l", "w")], "key string, payload string"), "key", "payload").count() == 1
+    with pytest.raises(ValueError, match="several payloads"):
+        snapshot.insert_once(cache, spark.createDataFrame([("l", "w"), ("l", "x")], "key string, payload string"), "key", "payload")
     with pytest.raises(ValueError, match="other payloads"):
         snapshot.insert_once(cache, spark.createDataFrame([("k", "x")], "key string, payload string"), "key", "payload")
 
@@ -65,10 +110,52 @@ def test_file_tree(spark, tmp_path):
     assert sorted(r.relative for r in files.pages_in(spark, str(tmp_path)).collect()) == ["a.md", "sub/b.qmd"]
 
 
-def test_config_refuses_unknown_keys(tmp_path):
+def test_config_refuses_unknown_keys(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"project": {"name": "x", "odd": 1}}')
     with pytest.raises(ValueError, match="odd"):
-        files.read_config(str(tmp_path / "c.json"), {"": {"project"}, "project": {"name"}})
+        files.read_config(spark, str(tmp_path / "c.json"), {"": {"project"}, "project": {"name"}})
+
+
+def test_source_discovery(spark):
+    table = spark.createDataFrame([(p,) for p in ("src/a/__init__.py", "src/a/b.pyi", "src/a/b.py", "c.py", "r/DESCRIPTION", "r/R/x.R", "r/man/x.Rd", "r/NAMESPACE", "r/R/sub/y.R", "z/R/w.R")], "relative string")
+    got = sorted((r.root, r.module, r.stub) for r in files.python_sources(table, ["", "src"]).collect())
+    assert got == [("", "c", False), ("src", "a", False), ("src", "a.b", False), ("src", "a.b", True)]
+    got = sorted((r.package, r.kind) for r in files.r_sources(table).collect())
+    assert got == [("r", "description"), ("r", "help"), ("r", "namespace"), ("r", "source")]
+    got = {r.name: r.digest for r in files.environment(spark, ["A", "B"], {"A": "x"}).collect()}
+    assert got == {"A": hashlib.sha256(b"x").hexdigest(), "B": None}
+
+
+def test_url_map(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"version": 1,\n "documents": {"a.html": "/a"}, "assets": {"assets/x.css": "https://c/x.css"}}')
+    assert sorted(tuple(r) for r in files.url_map(spark, str(tmp_path / "m.json")).collect()) == [("assets", "assets/x.css", "https://c/x.css"), ("documents", "a.html", "/a")]
+    (tmp_path / "n.json").write_text('{"version": 2}')
+    with pytest.raises(ValueError, match="version 1"):
+        files.url_map(spark, str(tmp_path / "n.json"))
+
+
+def test_configuration_events_and_first_files(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"project": {"name": "x"}}')
+    assert files.read_config(spark, str(tmp_path / "c.json"), {"": {"project"}, "project": {"name"}}) == {"project": {"name": "x"}}
+    (tmp_path / "e.json").write_text('{"sample":"1","event":"start","id":"a","at":1.5}\n')
+    assert files.event_log(spark, str(tmp_path / "e.json")).first().at == 1.5
+    rows = spark.createDataFrame([("p", "NEWS", "c"), ("p", "NEWS.md", "a"), ("q", "README", "x")], "folder string, name string, content string")
+    assert [tuple(r) for r in files.first_of(rows, ["NEWS.md", "NEWS.Rd", "NEWS"]).collect()] == [("p", "NEWS.md", "a")]
+    listed = files.manifest(spark.createDataFrame([("a", bytearray(b"x"))], "path string, content binary"), spark.createDataFrame([("a",), ("b",)], "path string"))
+    assert {r.path: r.digest for r in listed.collect()} == {"a": hashlib.sha256(b"x").hexdigest(), "b": None}
+
+
+def test_published_files(spark, tmp_path):
+    tree = spark.createDataFrame([("index.html", bytearray(b"1")), ("a/b.html", bytearray(b"2"))], "path string, bytes binary")
+    site.publish_files(tree, str(tmp_path / "site"))
+    site.publish_files(tree.where("path = 'index.html'"), str(tmp_path / "site"))
+    assert [r.path for r in site.published_files(spark, str(tmp_path / "site")).collect()] == ["index.html"]
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "mine.txt").write_text("x")
+    with pytest.raises(ValueError, match="not published here"):
+        site.publish_files(tree, str(tmp_path / "other"))
+    with pytest.raises(ValueError, match="several files"):
+        site.publish_files(tree.unionAll(tree), str(tmp_path / "third"))
 
 
 def event(seq, cell, kind, payload=None, name=None, display_id=None, wait=False):
@@ -83,6 +170,8 @@ def test_outputs_fold(spark):
     df = spark.createDataFrame(events, "page string, seq long, cell long, kind string, name string, payload string, display_id string, wait boolean")
     got = [(r.cell, r.position, r.payload) for r in outputs.reduce_outputs(df).orderBy("cell", "position").collect()]
     assert got == [(1, 0, "ab"), (1, 1, "new"), (2, 0, "y")]
+    lost = outputs.reduce_outputs(df.where("seq = 3")).collect()
+    assert [(r.cell, r.position, r.payload, r.problem) for r in lost] == [(2, None, "d", "unknown-display")]
 
 
 def test_watch_publishes_changes_once(spark, tmp_path):
@@ -99,6 +188,41 @@ def test_watch_publishes_changes_once(spark, tmp_path):
     turn(['{"path":"a","state":"1","at":"2024-01-01T00:00:00"}', '{"path":"b","state":"1","at":"2024-01-01T00:00:00"}'])
     turn(['{"path":"a","state":"2","at":"2024-01-01T00:00:01"}', '{"path":"b","state":"removed","at":"2024-01-01T00:00:01"}'])
     assert seen == [[("a", "added"), ("b", "added")], [("a", "modified"), ("b", "removed")]]
+    turn(['{"path":"a","state":"removed","at":"2024-01-01T00:00:02"}'])
+    # No path is left, which is a state as well: what comes next is new.
+    turn(['{"path":"b","state":"3","at":"2024-01-01T00:00:03"}'])
+    assert seen[2:] == [[("a", "removed")], [("b", "added")]]
+
+
+def test_watch_tries_failed_changes_again(spark, tmp_path):
+    log, seen = tmp_path / "log", []
+    log.mkdir()
+    (log / "0.json").write_text('{"path":"a","state":"1","at":"2024-01-01T00:00:00"}')
+
+    def run(publish):
+        watch.watch(watch.stream_observations(spark, str(log)), str(tmp_path / "state"), publish, str(tmp_path / "cp")).awaitTermination()
+
+    def fails(changes, number):
+        raise RuntimeError("no space")
+
+    with pytest.raises(Exception, match="no space"):
+        run(fails)
+    run(lambda changes, number: seen.append([(r.path, r.change) for r in changes.collect()]))
+    assert seen == [[("a", "added")]] and watch.states(spark, str(tmp_path / "state" / "CURRENT")) == [0]
+
+
+def test_watch_parts(spark):
+    now = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, state string")
+    files_ = spark.createDataFrame([("a", bytearray(b"x"))], "path string, content binary")
+    seen = {r.path: r.state for r in watch.observe(files_, spark.createDataFrame([("a",), ("z",)], "path string")).collect()}
+    assert seen == {"a": hashlib.sha256(b"x").hexdigest(), "z": "missing"}
+    listing = spark.createDataFrame([("a", "s1"), ("b", "s2")], "path string, stamp string")
+    known = spark.createDataFrame([("a", "s1", "d"), ("b", "old", "e")], "path string, stamp string, digest string")
+    assert {r.path: r.digest for r in watch.reuse_digests(listing, known).collect()} == {"a": "d", "b": None}
+    changes = spark.createDataFrame([("a", "modified"), ("b", "modified")], "path string, change string")
+    assert [r.path for r in watch.unacknowledged(changes, now, spark.createDataFrame([("a", "1"), ("b", "1")], "path string, state string")).collect()] == ["b"]
+    assert watch.inputs_match(now, now).first().ok and not watch.inputs_match(now, now.limit(1)).first().ok
+    assert watch.change_lines(changes, "s").first().value == '{"snapshot":"s","changed":["a","b"]}'
 
 
 def test_debounce(spark):
