@@ -5,8 +5,8 @@ computed once, so that greedy longest-match-first tokenisation of a word takes o
 each popped group, and yields the number of pieces without building any.
 
 A word is a maximal run of characters other than white space (``str.split``). Its first piece is taken from the
-word-initial vocabulary and all later ones from the continuations. A word that cannot be covered, or that is longer
-than ``max_chars``, counts as one unknown token.
+word-initial vocabulary and all later ones from the continuations. A word that cannot be covered counts as one unknown
+token. Words of any length go through the automaton; only those of up to ``memo_chars`` characters are remembered.
 
 Defined results. Null and empty texts have no words and no tokens; repeated rows are counted one by one; an empty table
 gives an empty result. Texts are taken whole; the memory held is the automaton and a bounded memo of words.
@@ -109,17 +109,20 @@ def automaton(model_path: str) -> LongestMatch:
     return _automata[model_path]
 
 
-def token_counts(df: DataFrame, id_col: str, text_col: str, model_path: str, max_chars: int = 100) -> DataFrame:
+def token_counts(df: DataFrame, id_col: str, text_col: str, model_path: str, memo_chars: int = 100) -> DataFrame:
     """Return for each row its id, ``n_words``, ``n_tokens`` and ``n_unknown`` (all long)."""
 
     def make():
         lengths = automaton(model_path)
-        memo = Memo(lambda w: lengths.count(w) if len(w) <= max_chars else UNKNOWN)
+        memo = Memo(lengths.count)
+
+        def count(word):
+            return memo[word] if len(word) <= memo_chars else lengths.count(word)
 
         def work(cols):
             words, tokens, unknown = [], [], []
             for text in cols["_text"]:
-                n = Counter(map(memo.__getitem__, (text or "").split()))
+                n = Counter(map(count, (text or "").split()))
                 words.append(sum(n.values()))
                 unknown.append(n[UNKNOWN])
                 tokens.append(sum(k * v for k, v in n.items() if k != UNKNOWN) + n[UNKNOWN])
