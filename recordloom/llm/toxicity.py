@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, id_fold, map_batches, table
+from .common import Memo, cut, id_fold, map_batches, table
 
 WIDTH = 1 << 18
 LEVELS = 3
@@ -110,6 +110,24 @@ def screened(p_count: np.ndarray, u_count: np.ndarray, np_: int, nu: int, lift:
     return (p >= lift * u) & (p_count >= 3) & (z >= sigmas)
 
 
+def sigmoid(f: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(f, -50, 50)))
+
+
+def remainder(fp: np.ndarray, fu: np.ndarray, prior: float) -> float:
+    """The risk of the negatives: that of the unlabelled less the share of the positives among them."""
+    return np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+
+
+def risk_slopes(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the risk by the scores of the positives and of the unlabelled.
+
+    A negative remainder is undone instead of followed: the slopes are then those of its negative alone.
+    """
+    up, down_p, down_u = (sigmoid(fp) - 1) * prior / len(fp), -sigmoid(fp) * prior / len(fp), sigmoid(fu) / len(fu)
+    return (up + down_p, down_u) if remainder(fp, fu, prior) >= 0 else (-down_p, -down_u)
+
+
 def fit_nnpu(
     known: np.ndarray, positive: list, unlabelled: list, prior: float, steps: int = 2000, rate: float = 0.5, l1: float = 8e-4
 ) -> Classifier:
@@ -131,16 +149,10 @@ def fit_nnpu(
     w, b = np.zeros(width), most
     sums, sum_b = np.full(width, 1e-12), 1e-12
 
-    def sigmoid(f):
-        return 1 / (1 + np.exp(-np.clip(f, -50, 50)))
-
     for _ in range(steps):
         fp = np.bincount(row_p, weights=w[col_p], minlength=np_) + b
         fu = np.bincount(row_u, weights=w[col_u], minlength=nu) + b
-        rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        # Slopes of the three terms of the risk; a negative remainder is undone instead of followed.
-        up, down_p, down_u = (sigmoid(fp) - 1) * prior / np_, -sigmoid(fp) * prior / np_, sigmoid(fu) / nu
-        gp, gu = (up + down_p, down_u) if rest >= 0 else (-down_p, -down_u)
+        gp, gu = risk_slopes(fp, fu, prior)
         g = np.bincount(col_p, weights=gp[row_p], minlength=width) + np.bincount(col_u, weights=gu[row_u], minlength=width)
         gb = gp.sum() + gu.sum()
         sums, sum_b = sums + g * g, sum_b + gb * gb
@@ -180,7 +192,7 @@ def train(
     u = rows.where(_picked(F.col("_id"), share_u)).withColumn("positive", F.lit(False))
     # Of equal texts one is enough, so that a text copied thousands of times is not learned by heart.
     sample = p.unionAll(u).select("positive", "_text", F.md5(F.coalesce("_text", F.lit("")).cast("binary")).alias("same"))
-    sample = sample.dropDuplicates(["positive", "same"]).select("positive", "_text")
+    sample = cut(sample.dropDuplicates(["positive", "same"]).select("positive", "_text"))
     counts = sample.mapInArrow(_count_features, "feature long, p long, u long").groupBy("feature")
     table_ = counts.agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p >= 3").toArrow()  # at most LEVELS * WIDTH rows
     sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
