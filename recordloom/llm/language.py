@@ -155,9 +155,11 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langua
     shares = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))])
     share = shares[F.col("lang")]
     picked = rows.where(F.pmod(F.xxhash64("_id", F.lit(13)), F.lit(1 << 30)) < share * (1 << 30))
+    # Of several rows of an id in a language the one with the least text is taken, whatever came first.
+    picked = picked.groupBy("_id", "lang").agg(F.min("_text").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, lang string, grams array<int>, counts array<int>"
-    sample = map_batches(picked, _gram_counts, schema).dropDuplicates(["_id", "lang"]).orderBy("_id", "lang").select("lang", "grams", "counts").toArrow()
+    sample = map_batches(picked, _gram_counts, schema).orderBy("_id", "lang").select("lang", "grams", "counts").toArrow()
     columns = [sample.column(c).combine_chunks() for c in ("grams", "counts")]
     starts = [c.offsets.to_numpy() - c.offsets[0].as_py() for c in columns]
     flat = [c.flatten().to_numpy() for c in columns]  # kept as arrays: Python numbers would take ten times the memory
@@ -201,15 +203,22 @@ def predict_languages(df: DataFrame, id_col: str, text_col: str, model: Model) -
 
 
 def keep_known_languages(df: DataFrame, text_col: str, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``df`` in a learned language with a score of at least ``least``, with their columns as they are."""
+    """The rows of ``df`` in a learned language with a score of at least ``least``, with their columns as they are.
+
+    If no language could be learned, nothing tells against a text that has a letter, and all of those stay.
+    """
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            found = [m.predict(t.as_py()) for t in texts]
-            yield batch.filter(pa.array([lang != UNKNOWN and p >= least for lang, p in found], pa.bool_()))
+            if m.languages:
+                found = [m.predict(t.as_py()) for t in texts]
+                kept = [lang != UNKNOWN and p >= least for lang, p in found]
+            else:
+                kept = [text_grams(t.as_py()) is not None for t in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -10,8 +10,11 @@ Equal vectors form a class that takes part once, with the number of its rows. A
 those, and a pair is looked at in the list of that pivot alone, so links are counted once. Long lists are dealt out as
 pairs of blocks. A cell returns counts and a spanning forest of its links, never the pairs.
 
-Fit: the number of pivots follows the number of vectors (``pivots_per_root`` times its square root, at most
-``max_pivots``), so lists grow with its root only; the sample holds four rows for each pivot. Every row is indexed.
+Fit: the number of pivots follows the number of vectors (``pivots_per_root`` times its square root), so lists grow with
+its root only. The sample holds four rows for each pivot and is bounded by ``max_pivots`` and, as vectors may be long, by
+``sample_bytes``; beyond those bounds lists grow in proportion and are dealt out in more blocks. Every row is indexed.
+The index may miss links: on the tables of the check tool it finds all, and a test asks for the recall. With
+``max_pivots`` 1 all vectors share the one list, whose blocks are compared all with all: the exact way.
 
 Defined results. Vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null id,
 have no links; a null id has a null component. Vectors of different lengths are not compared. Rows that share an id are
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, left_join, table
 from .components import connected_components
 
 
@@ -145,7 +148,8 @@ def near_vectors(
     nearest: int = 8,
     shared: int = 2,
     pivots_per_root: float = 4.0,
-    max_pivots: int = 16_384,
+    max_pivots: int = 65_536,
+    sample_bytes: int = 64 << 20,
     block_rows: int = 2_000,
 ) -> DataFrame:
     """Return for each row its id (long), ``n_links``, ``component_id`` and ``kept``.
@@ -157,8 +161,8 @@ def near_vectors(
     base = cut(rows.mapInArrow(_prepared, "id long, key binary, vec binary"))
     valid = base.where("key is not null and id is not null")
     classes = cut(valid.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("vec").alias("vec")))
-    count = classes.count()
-    most = max(1, min(max_pivots, math.ceil(pivots_per_root * math.sqrt(count))))
+    count, width = classes.agg(F.count("*"), F.coalesce(F.max(F.octet_length("vec")), F.lit(8))).first()
+    most = max(1, min(max_pivots, math.ceil(pivots_per_root * math.sqrt(count)), sample_bytes // (4 * width)))
     sample = classes.orderBy(F.xxhash64("id", F.lit(7)), "key").limit(4 * most).select("vec").collect()
     points = pick_pivots([np.frombuffer(r.vec, np.float64) for r in sample], most)
     pivots = spark.sparkContext.broadcast(points)
@@ -191,7 +195,7 @@ def near_vectors(
         .where("rows > 1 or links is not null")
         .select("key", F.coalesce("component", "id").alias("component"), (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
     )
-    joined = base.select("id", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left")
+    joined = left_join(base.select("id", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")), named, "key")
     return joined.select(
         F.col("id").alias(id_col),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
