@@ -35,6 +35,41 @@ def canonical_json(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
+def restricted(text: str | None, max_depth: int = 128) -> str | None:
+    """The one spelling of a JSON text of the restricted form: ASCII keys, each once and in order, whole numbers of 64
+    bits, no deeper than ``max_depth``; None if the text is of no such value, or not spelled so."""
+
+    def pairs(found):
+        if len({k for k, _ in found}) < len(found) or not all(k.isascii() for k, _ in found):
+            raise ValueError
+        return dict(found)
+
+    def refuse(_):
+        raise ValueError
+
+    def check(value, depth):
+        if depth > max_depth:
+            raise ValueError
+        if isinstance(value, int) and not isinstance(value, bool) and not -(1 << 63) <= value < 1 << 64:
+            raise ValueError
+        for v in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
+            check(v, depth + 1)
+
+    try:
+        value = json.loads(text, object_pairs_hook=pairs, parse_float=refuse, parse_constant=refuse)
+        check(value, 0)
+    except (TypeError, ValueError, RecursionError):
+        return None
+    spelled = canonical(value)
+    return spelled if spelled == text else None
+
+
+@F.pandas_udf(StringType())
+def restricted_json(content: pd.Series) -> pd.Series:
+    """The texts that are of the restricted form as they are, else null."""
+    return content.map(restricted)
+
+
 def record_fingerprint(kind: Column, owner: Column, id_: Column, content: Column, domain: str = "recordloom/record-v1") -> Column:
     """SHA-256 over the canonical array of domain, key and content."""
 

@@ -37,6 +37,23 @@ def documentation_block(items: DataFrame, blocks: DataFrame, order: list[str]) -
     return kept.groupBy("block").agg(rows.alias("rows")).select("block", F.posexplode("rows").alias("position", "r")).select("block", "position", "r.item")
 
 
+def documentation_list(entries: DataFrame, items: DataFrame) -> DataFrame:
+    """(block, ordinal, item, problem) of explicit entries (block, ordinal, owner, target) of a block.
+
+    Each has to name exactly one item, which is of the block's language and has documentation.
+    """
+    from .resolve import resolve_items
+
+    rows = entries.withColumn("ref", F.struct("block", "ordinal"))
+    found = resolve_items(rows.select("ref", "owner", "target"), items.select("package", "item", "qualified_name", "aliases", "secondary", "ecosystem"))
+    facts = items.select("package", "item", F.col("ecosystem").alias("_language"), "documented")
+    met = rows.select("ref", "language").join(found.select("ref", "package", "item", "status"), "ref").join(facts, ["package", "item"], "left")
+    problem = (
+        F.when(F.col("status") != "resolved", F.col("status")).when(F.col("_language") != F.col("language"), "other-language").when(~F.col("documented"), "undocumented")
+    )
+    return met.select("ref.block", "ref.ordinal", "item", problem.alias("problem"))
+
+
 def native_members(members: DataFrame, extract_private: bool = False, extract_virtual: bool = False, extract_static: bool = False) -> DataFrame:
     """Members of an index of native code that are documented: private ones and file-level statics only if asked for."""
     private = F.col("protection") == "private"

@@ -18,6 +18,12 @@ def routes(pages: DataFrame) -> DataFrame:
     return pages.withColumn("route", F.concat(F.concat_ws("/", *part), F.lit(".html")))
 
 
+def identity_routes(rows: DataFrame) -> DataFrame:
+    """(kind, root, id, route): pages and items without a place of their own stand under the digest of their id."""
+    file = F.concat(F.sha2("id", 256), F.lit(".html"))
+    return rows.select("kind", "root", "id", F.when(F.col("kind") == "page", F.concat(F.lit("pages/"), file)).otherwise(F.concat("root", F.lit("/reference/"), file)).alias("route"))
+
+
 def canonical_urls(pages: DataFrame, base: str, clean: bool = True) -> DataFrame:
     path = clean_route(F.col("route")) if clean else F.col("route")
     return pages.withColumn("url", F.concat(F.lit(base.rstrip("/") + "/"), path))

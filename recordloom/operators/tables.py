@@ -48,6 +48,22 @@ def grouped_members(members: DataFrame, ranks: dict[str, int]) -> DataFrame:
     return members.withColumn("rank", rank).withColumn("position", F.row_number().over(w))
 
 
+#: Under which title each kind of C++ member stands; all others are methods.
+CPP_TITLES = {"field": "Fields", "variable": "Fields", "enumerator": "Values", "type-alias": "Types"}
+
+
+def titled_members(members: DataFrame) -> DataFrame:
+    """(owner, title, id, position) of C++ members (owner, kind, family, name, id), titles in alphabetical order.
+
+    A member of a family, unless the family is another member's, is an overload; within a title the order is by name, id.
+    """
+    titles = F.create_map(*[F.lit(x) for kv in CPP_TITLES.items() for x in kv])
+    own = members.where(F.col("family").isNull() | (F.col("family") == F.col("owner")))
+    title = F.when(F.col("family").isNotNull(), "Overloads").otherwise(F.coalesce(F.try_element_at(titles, F.col("kind")), F.lit("Methods")))
+    w = Window.partitionBy("owner").orderBy("title", "name", "id")
+    return own.withColumn("title", title).select("owner", "title", "id", (F.row_number().over(w) - 1).alias("position"))
+
+
 def missing_last(*columns: str) -> list[Column]:
     """Sort keys in which a missing value comes after all others."""
     return [F.col(c).asc_nulls_last() for c in columns]

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder of ``spark.checkpoint.dir``; one is set only where none is configured."""
+    """Checkpoint ``df`` in the folder of ``spark.checkpoint.dir``; only a local session gets a temporary one."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
+        named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="recordloom-ckpt-"))
     return df.checkpoint(eager=True)

@@ -43,6 +43,46 @@ def inputs_match(recorded: DataFrame, current: DataFrame) -> DataFrame:
     return changed(recorded, current, "path", "state").agg((F.count("*") == 0).alias("ok"))
 
 
+def cache_hits(requests: DataFrame, entries: DataFrame, recorded: DataFrame, current: DataFrame) -> DataFrame:
+    """(key, payload, hit, reason) of requested results (key).
+
+    ``entries`` is (key, payload), ``recorded`` the inputs (key, path, state) that a result was made from, ``current``
+    the present (path, state). A result counts only if it has recorded inputs, all of them are as they were (an absent
+    one is still absent), and its payload is whole JSON.
+    """
+    now = recorded.join(current.withColumnRenamed("state", "_now"), "path", "left")
+    fresh = now.groupBy("key").agg(F.bool_and(F.coalesce(F.col("state").eqNullSafe(F.col("_now")), F.lit(False))).alias("_fresh"))
+    met = requests.select("key").join(entries, "key", "left").join(fresh, "key", "left")
+    whole = F.try_parse_json("payload").isNotNull()
+    hit = F.coalesce(F.col("_fresh") & whole, F.lit(False))
+    reason = (
+        F.when(hit, F.lit(None)).when(F.col("payload").isNull(), "no-entry").when(F.col("_fresh").isNull(), "no-inputs")
+        .when(~F.col("_fresh"), "inputs-changed").otherwise("broken-payload")
+    )
+    return met.select("key", F.when(hit, F.col("payload")).alias("payload"), hit.alias("hit"), reason.alias("reason"))
+
+
+def page_keys(parts: DataFrame, domain: str = "recordloom/page-v1") -> DataFrame:
+    """(page, key): the digest of everything that a page's result depends on (page, name, value), in the order of names.
+
+    With these keys ``cache_hits`` looks up whole pages.
+    """
+    from ..functions.canonical import domain_digest
+    from ..functions.text import json_string
+
+    listed = parts.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("ps"))
+    text = F.array_join(F.transform("ps", lambda p: F.concat(json_string(p["name"]), F.lit(":"), F.coalesce(json_string(p["value"]), F.lit("null")))), ",")
+    return listed.select("page", domain_digest(domain, F.concat(F.lit("{"), text, F.lit("}"))).alias("key"))
+
+
+def link_cycles(links: DataFrame) -> DataFrame:
+    """(path): links (path, target) of a directory tree that lead back to themselves; a walk would never end."""
+    from ..operators.graphs import closure
+
+    found = closure(links.select(F.col("path").alias("src"), F.col("target").alias("dst")))
+    return found.where("start = node").select(F.col("start").alias("path"))
+
+
 def settled_changes(observations: DataFrame, quiet_ms: int = 200) -> DataFrame:
     """(burst, paths) of a change log (path, state, at): changes closer than ``quiet_ms`` are one burst.
 

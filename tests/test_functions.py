@@ -110,3 +110,14 @@ def test_empty_inputs_fingerprint(spark):
     none = F.array().cast("array<struct<path:string,digest:string>>")
     wanted = hashlib.sha256(b"recordloom/declared-inputs-v1\0[]").hexdigest()
     assert one(spark, C.inputs_fingerprint(F.col("r"), none), r="repo") == wanted
+
+
+@pytest.mark.parametrize(
+    "text, fine",
+    [
+        ('{"a":[1,-2,null,true,"\u00e9"],"b":{}}', True), ('{"b":1,"a":2}', False), ('{"a": 1}', False), ('{"a":1.0}', False), ('{"a":1,"a":1}', False), ('{"\u00e9":1}', False),
+        ("18446744073709551615", True), ("18446744073709551616", False), ("NaN", False), ("[" * 128 + "]" * 128, True), ("[" * 130 + "]" * 130, False), ("", False), (None, False),
+    ],
+)
+def test_restricted_json(text, fine):
+    assert C.restricted(text) == (text if fine else None)

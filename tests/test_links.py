@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from recordloom.operators import links, selection
+from recordloom.operators import links, selection, site, tables
 
 
 def rows(df, *columns):
@@ -63,3 +63,27 @@ def test_active_tree(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "d")], "parent string, child string")
     got = rows(selection.active_tree(edges, spark.createDataFrame([("c",)], "node string")), "node", F.col("active"))
     assert got == [("a", True), ("b", True), ("c", True), ("d", False)]
+
+
+def test_documentation_lists(spark):
+    items = spark.createDataFrame(
+        [("p", "i1", "M.f", ["g"], False, "julia", True), ("p", "i2", "M.h", None, False, "julia", False), ("q", "i3", "only", None, False, "r", True)],
+        "package string, item string, qualified_name string, aliases array<string>, secondary boolean, ecosystem string, documented boolean",
+    )
+    entries = spark.createDataFrame([("b", n, "p", "julia", t) for n, t in enumerate(["f", "M.h", "only", "none", "g"])], "block string, ordinal int, owner string, language string, target string")
+    got = rows(selection.documentation_list(entries, items), "ordinal", F.coalesce("item", F.lit("-")), F.coalesce("problem", F.lit("-")))
+    assert got == [(0, "i1", "-"), (1, "i2", "undocumented"), (2, "i3", "other-language"), (3, "-", "unresolved"), (4, "i1", "-")]
+
+
+def test_titled_members_and_routes(spark):
+    members = spark.createDataFrame(
+        [("o", "function", None, "z", "1"), ("o", "field", None, "b", "2"), ("o", "function", "o", "y", "3"), ("o", "function", "other", "x", "4"), ("o", "enumerator", None, "a", "5"), ("o", "variable", None, "a", "6")],
+        "owner string, kind string, family string, name string, id string",
+    )
+    got = rows(tables.titled_members(members), "position", "title", "id")
+    assert got == [(0, "Fields", "6"), (1, "Fields", "2"), (2, "Methods", "1"), (3, "Overloads", "3"), (4, "Values", "5")]
+    import hashlib
+
+    digest = hashlib.sha256(b"x").hexdigest()
+    made = rows(site.identity_routes(spark.createDataFrame([("page", "", "x"), ("item", "pkg", "x")], "kind string, root string, id string")), "kind", "route")
+    assert made == [("item", f"pkg/reference/{digest}.html"), ("page", f"pages/{digest}.html")]

@@ -4,8 +4,8 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.operators import records, site
-from recordloom.sources import files, snapshot
+from recordloom.operators import records, selection, site
+from recordloom.sources import api, files, snapshot
 from recordloom.streaming import outputs, watch
 
 
@@ -145,6 +145,58 @@ def test_configuration_events_and_first_files(spark, tmp_path):
     assert {r.path: r.digest for r in listed.collect()} == {"a": hashlib.sha256(b"x").hexdigest(), "b": None}
 
 
+RUSTDOC = """{"root": 0, "format_version": 61, "includes_private": false, "index": {
+ "0": {"id": 0, "crate_id": 0, "name": "c", "visibility": "public", "attrs": [], "docs": "D", "inner": {"module": {"is_crate": true, "items": [1, 2, 5, 6]}}},
+ "1": {"id": 1, "crate_id": 0, "name": "m", "visibility": "public", "attrs": [], "docs": null, "inner": {"module": {"items": [3, 4]}}},
+ "2": {"id": 2, "crate_id": 0, "name": null, "visibility": "public", "attrs": [], "docs": null, "inner": {"use": {"source": "m::S", "name": "T", "id": 3, "is_glob": false}}},
+ "3": {"id": 3, "crate_id": 0, "name": "S", "visibility": "public", "attrs": [], "docs": null, "inner": {"struct": {"kind": {"plain": {"fields": [7], "has_stripped_fields": false}}, "impls": []}}},
+ "4": {"id": 4, "crate_id": 0, "name": "secret", "visibility": "public", "attrs": ["#[doc(hidden)]"], "docs": null, "inner": {"function": {}}},
+ "5": {"id": 5, "crate_id": 0, "name": "private", "visibility": "crate", "attrs": [], "docs": null, "inner": {"function": {}}},
+ "6": {"id": 6, "crate_id": 0, "name": null, "visibility": "public", "attrs": [], "docs": null, "inner": {"use": {"source": "m", "name": "m", "id": 1, "is_glob": true}}},
+ "7": {"id": 7, "crate_id": 0, "name": "f", "visibility": "public", "attrs": [], "docs": null, "inner": {"struct_field": {}}}}}"""
+
+
+def test_rustdoc_files(spark, tmp_path):
+    (tmp_path / "c.json").write_text(RUSTDOC)
+    index = api.rust_index(spark, str(tmp_path / "c.json"))
+    assert sorted((r.id, r.kind, r.public, r.hidden) for r in index.collect())[:3] == [(0, "module", True, False), (1, "module", True, False), (2, "use", True, False)]
+    children = sorted((r.parent, r.ord, r.child, r.name, r.use_name, r.glob) for r in api.rust_children(index).where("parent in (0, 3)").collect())
+    assert children == [(0, 0, 1, "m", None, False), (0, 1, 3, None, "T", False), (0, 2, 5, "private", None, False), (0, 3, 1, None, None, True), (3, 0, 7, "f", None, False)]
+    exports = api.rust_exports(index).select(*[F.col(c).cast("string") for c in ("module", "name", "target")])
+    paths = selection.public_paths(exports, spark.createDataFrame([("0", "c")], "module string, path string"))
+    assert sorted((r.item, r.path) for r in paths.collect()) == [("3", "c::S"), ("3", "c::T"), ("3", "c::m::S")]
+    (tmp_path / "d.json").write_text('{"root": 0, "format_version": 60, "index": {}}')
+    with pytest.raises(ValueError, match="format 61"):
+        api.rust_index(spark, str(tmp_path / "d.json"))
+
+
+def test_doxygen_files(spark, tmp_path):
+    (tmp_path / "index.xml").write_text('<doxygenindex><compound refid="classA" kind="class"><name>A</name></compound><compound refid="p" kind="page"><name>P</name></compound><compound refid="gone" kind="file"><name>G</name></compound></doxygenindex>')
+    member = '<memberdef kind="function" id="{id}" prot="{prot}" static="{static}" virt="{virt}"><name>{id}</name><definition>void {id}</definition><argsstring>()</argsstring></memberdef>'
+    rows = [("a", "public", "no", "non-virtual"), ("b", "private", "no", "virtual"), ("c", "private", "no", "non-virtual")]
+    text = "".join(member.format(id=i, prot=p, static=s, virt=v) for i, p, s, v in rows)
+    (tmp_path / "classA.xml").write_text(f'<doxygen><compounddef id="classA" kind="class"><compoundname>A</compoundname><sectiondef kind="x">{text}</sectiondef></compounddef></doxygen>')
+    index, members = api.doxygen_index(spark, str(tmp_path / "index.xml")), api.doxygen_members(spark, str(tmp_path / "classA.xml"))
+    assert sorted(r.refid for r in index.collect()) == ["classA", "gone"]
+    assert [(r.id, r.ord, r.is_member, r.definition) for r in members.orderBy("ord").collect()] == [("a", 0, True, "void a"), ("b", 1, True, "void b"), ("c", 2, True, "void c")]
+    assert [r.id for r in selection.native_members(members, extract_virtual=True).orderBy("ord").collect()] == ["a", "b"]
+    assert [r.refid for r in api.doxygen_missing(index, members).collect()] == ["gone"]
+
+
+def test_cached_results(spark):
+    requests = spark.createDataFrame([(k,) for k in "abcdef"], "key string")
+    entries = spark.createDataFrame([(k, "{}") for k in "abcd"] + [("e", "{broken")], "key string, payload string")
+    recorded = spark.createDataFrame([("a", "x", "1"), ("a", "gone", None), ("b", "x", "2"), ("c", "y", None), ("e", "x", "1")], "key string, path string, state string")
+    current = spark.createDataFrame([("x", "1"), ("y", "9")], "path string, state string")
+    got = {r.key: (r.hit, r.reason) for r in watch.cache_hits(requests, entries, recorded, current).collect()}
+    assert got == {"a": (True, None), "b": (False, "inputs-changed"), "c": (False, "inputs-changed"), "d": (False, "no-inputs"), "e": (False, "broken-payload"), "f": (False, "no-entry")}
+    parts = spark.createDataFrame([("p", "b", "2"), ("p", "a", "1"), ("q", "a", None)], "page string, name string, value string")
+    keys = {r.page: r.key for r in watch.page_keys(parts).collect()}
+    assert keys["p"] == hashlib.sha256(b'recordloom/page-v1\0{"a":"1","b":"2"}').hexdigest() and keys["q"] == hashlib.sha256(b'recordloom/page-v1\0{"a":null}').hexdigest()
+    tree = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "path string, target string")
+    assert sorted(r.path for r in watch.link_cycles(tree).collect()) == ["a", "b"]
+
+
 def test_published_files(spark, tmp_path):
     tree = spark.createDataFrame([("index.html", bytearray(b"1")), ("a/b.html", bytearray(b"2"))], "path string, bytes binary")
     site.publish_files(tree, str(tmp_path / "site"))
