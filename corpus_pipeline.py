@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import language, toxicity
-from recordloom.llm.common import cut, id_fold, scratch_path, table
+from recordloom.llm.common import cut, id_fold, remove_path, scratch_path, table
 from recordloom.llm.minhash import near_duplicates
 from recordloom.llm.packing import pack_documents
 from recordloom.llm.privacy import sanitize
@@ -32,14 +32,19 @@ def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at a similarity of 0.8, the one with the least id stays."""
+    """Of each group of documents linked at a similarity of 0.8, the one with the least id stays.
+
+    Of different rows that share that id, the least by text and then the other columns is the one.
+    """
     found = cut(near_duplicates(docs, "doc_id", "text", percent=80).select("doc_id", "kept"))
     gone = found.where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    columns = ["text", *(c for c in docs.columns if c != "text")]
+    several = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id")
+    once = several.agg(F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("_row")).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
     return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionAll(once)
 
 
@@ -71,11 +76,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             path = scratch_path(spark, f"stage-{name}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove_path(spark, before)
+            before = path
     return docs
