@@ -15,9 +15,11 @@ part as (select id, min(least) as component_id from reach group by id)"""
 
 OP3 = f"""with recursive word as (select doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[^\\x20\\x09-\\x0D]+') as ws from documents),
-shingles as (select id, case when len(ws) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: array_to_string(ws[i:i + 4], ' '))) end as s from word),
-node as (select id, len(s) as n from shingles),
-one as (select id, unnest(s) as g from shingles),
+place as (select id, unnest(ws) as w, generate_subscripts(ws, 1) as i, len(ws) as n from word),
+five as (select id, i, n, w || coalesce(' ' || lead(w, 1) over p, '') || coalesce(' ' || lead(w, 2) over p, '') || coalesce(' ' || lead(w, 3) over p, '') || coalesce(' ' || lead(w, 4) over p, '') as g
+  from place window p as (partition by id order by i)),
+one as (select distinct id, g from five where i = 1 or i <= n - 4),
+node as (select w.id, count(o.g) as n from word w left join one o on o.id = w.id group by w.id),
 shared as (select x.id as a, y.id as b, count(*) as c from one x join one y on x.g = y.g and x.id < y.id group by all),
 link as (select a, b from shared join node m on m.id = a join node n on n.id = b where 100 * c >= 85 * (m.n + n.n - c)),
 {_COMPONENTS}
