@@ -46,6 +46,18 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str, paths: list[str] | None = None) -> DataFrame:
+    """Like ``cut``, by a Parquet table in the shared folder: compressed, and read column by column.
+
+    Its path is added to ``paths``, for ``remove_path`` once nobody reads the table any more.
+    """
+    path = scratch_path(df.sparkSession, what)
+    if paths is not None:
+        paths.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a table that an operator wrote to ``scratch_path`` and nobody reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

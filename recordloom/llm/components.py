@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large and small stars, without collecting anything.
 
-Each partition first replaces its edges by the stars of its own union-find forest, so that no more edges than nodes are
-left of it. Then large-star links every larger neighbour of a node to the least node around it, and small-star does so
+The edges are first dealt by their lesser end, and each partition replaces them by the stars of its own union-find
+forests, so that no more edges than nodes are left of it and most small components are done. Then large-star links every larger neighbour of a node to the least node around it, and small-star does so
 for the smaller ones, until the edges are stars around the least node of each component.
 """
 
@@ -40,14 +40,26 @@ class UnionFind:
         return True
 
 
-def _local_stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:  # batch by batch, so the memory held is bounded
-        sets = UnionFind()
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sets.union(a, b)
+def _local_stars(batches: Iterable[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Stars of the forests of about ``most`` edges at a time, so the memory held is bounded."""
+
+    def stars(sets: UnionFind) -> pa.RecordBatch:
         nodes = list(sets.parent)
         arrays = [pa.array(nodes, pa.int64()), pa.array([sets.find(x) for x in nodes], pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["a", "b"])
+        return pa.RecordBatch.from_arrays(arrays, names=["a", "b"])
+
+    sets = UnionFind()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sets.union(a, b)
+        if len(sets.parent) >= most:
+            yield stars(sets)
+            sets = UnionFind()
+    yield stars(sets)
+
+
+def _digest(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -57,8 +69,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    stars = edges.mapInArrow(_local_stars, "a long, b long").distinct()
-    before = None
+    stars = cut(edges.repartition(F.least("a", "b")).mapInArrow(_local_stars, "a long, b long").where("a <> b").distinct())
+    before = _digest(stars)
     while True:
         both = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
@@ -67,7 +79,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = cut(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct())
-        now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        now = _digest(stars)
         if now == before:
             break
         before = now

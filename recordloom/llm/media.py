@@ -3,19 +3,20 @@
 An image is a struct of ``width``, ``height`` and ``pixels`` (one grey byte a pixel, row by row).
 
 1.  Corners are found at two scales (structure tensor, local maxima, the ``points`` strongest of each tile of 64
-    pixels' side, so that their number follows the size of the image), turned upright by the centroid of their surroundings, and described by 128 binary tests at fixed rotated places.
-2.  Hamming tables: a descriptor is cut into four words of 32 bits, each a key of its own table, so descriptors that
-    differ in up to three bits always share a key; farther ones share one by chance only. A point of an image meets
-    another image if they share one of the point's keys. A linked image shares ``need`` of its points, six or ``share``
-    of them, so three of those are among any ``n - need + 3`` of its ``n`` points: an image probes with that many, the rarest
-    first, those that nobody else has included. Two images that meet at three probing points through keys of at most
-    ``few`` rows are a pair; all images of a probed key of more rows are joined to one of them instead.
-3.  Images that are connected so form groups, which are compared in cells of bounded blocks, all with all: pairs of which
-    the smaller has three points that meet the other are matched, descriptors within ``most_bits`` bits; geometric
-    consensus keeps the matches that one similarity transform (scale, rotation, shift) explains; a pair is linked if
-    these are at least six and ``share`` of the smaller image's points. So every pair that this rule links is found if
-    ``need`` of its matches differ in at most three bits each, whatever the size of its keys, and any other if three
-    of the points that probe still meet.
+    pixels' side, or less by the area of a smaller tile, so that their number follows the size of the image), turned
+    upright by the centroid of their surroundings, and described by 128 binary tests at fixed rotated places.
+2.  Hamming tables: the descriptor of a listed point (the stronger six of ten) is cut into two words of 64 bits, each a
+    key of its own table, so descriptors that differ in one bit always share a key, and farther ones if one of the words
+    is spared. The tests have a margin, so most descriptors of a noisy, cut, turned or scaled copy keep a word (a test
+    holds the recall of each kind). Two images meet if the smaller one shares ``MEET`` keys, or ``MEET_SHARE`` of its own,
+    with the other. An image probes with its rarest keys, so many that a copy which shares ``share`` of them meets it by
+    these. First every image is held against the least image that has its keys, which joins most
+    groups of copies without pairing their members; then images of different groups that meet by keys of at most
+    ``few`` images, pair by pair; and for groups that only keys of more images bring together, the shared keys of all
+    with all are counted in cells of bounded blocks. So no key is too frequent to be followed, and none is paired out.
+3.  Candidates are matched, descriptors within ``most_bits`` bits; geometric consensus keeps the matches that one
+    similarity transform (scale, rotation, shift) explains; a pair is linked if these are at least six and ``share`` of
+    the smaller image's points.
 4.  Links, as spanning forests, give connected components. Identical images take part once.
 
 There are no stored images among the tables, so the query draws each web page: every word of the visible text is a
@@ -29,10 +30,10 @@ table gives an empty result; further columns are not looked at.
 from __future__ import annotations
 
 import html
-import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +41,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, table
+from .common import cut, left_join, map_batches, remove_path, table, written
 from .components import connected_components
 
-BITS, RADIUS, PATCH, TILE = 128, 11, 16, 64
+BITS, RADIUS, PATCH, TILE, LISTED = 128, 11, 16, 64, 0.6
+#: A test says that its second place is brighter by more than eight grey levels (of sums of nine), so noise on flat ground says nothing.
+MARGIN = 72
 _rng = np.random.default_rng(20240607)
-#: The places of the binary tests: pairs of points around a corner, and their rotations by steps of 12 degrees.
+#: The places of the binary tests: pairs of points around a corner, and their rotations in steps of which 90 degrees is a
+#: multiple, so that an image that lies on its side has the same descriptors.
 _TESTS = np.clip(_rng.normal(0, 6, (BITS, 2, 2)), -11, 11)
-_TURNS = 30
+_TURNS = 32
 _ANGLES = np.arange(_TURNS) * 2 * np.pi / _TURNS
 _ROTATED = np.rint(
     np.einsum("aij,tpj->atpi", np.array([[[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]] for a in _ANGLES]), _TESTS)
@@ -56,63 +60,109 @@ _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RAD
 
 
 def _window(a: np.ndarray, r: int) -> np.ndarray:
-    """Sums over squares of side 2r + 1, where they lie inside."""
-    h, w = a.shape
-    rows = sum((a[d : h - 2 * r + d] for d in range(1, 2 * r + 1)), a[: h - 2 * r])
-    return sum((rows[:, d : w - 2 * r + d] for d in range(1, 2 * r + 1)), rows[:, : w - 2 * r])
-
-
-def _corners(img: np.ndarray, most: int) -> np.ndarray:
-    """(y, x) of the local maxima of the corner response, the ``most`` strongest of every tile."""
-    gy, gx = img[2:, 1:-1] - img[:-2, 1:-1], img[1:-1, 2:] - img[1:-1, :-2]
-    a, b, c = _window(gx * gx, 2), _window(gy * gy, 2), _window(gx * gy, 2)
+    """Sums over squares of side 2r + 1 of the last two axes, where they lie inside."""
+    h, w = a.shape[-2:]
+    rows = a[..., : h - 2 * r, :].copy()
+    for d in range(1, 2 * r + 1):
+        rows += a[..., d : h - 2 * r + d, :]
+    out = rows[..., : w - 2 * r].copy()
+    for d in range(1, 2 * r + 1):
+        out += rows[..., d : w - 2 * r + d]
+    return out
+
+
+def _corners(soft: np.ndarray, tops: np.ndarray, heights: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Image, y and x of the local maxima of the corner response in images that lie one below the other, and which of
+    them are listed.
+
+    ``soft`` is their sums over squares of three, whose rows begin at ``tops``. Of every tile the strongest are taken:
+    ``most``, or less by its area; the stronger ``LISTED`` of those are listed. Places whose surroundings reach over an
+    edge are none.
+    """
+    soft = soft / np.float32(9)
+    gy, gx = soft[2:, 1:-1] - soft[:-2, 1:-1], soft[1:-1, 2:] - soft[1:-1, :-2]
+    a, b, c = _window(np.stack([gx * gx, gy * gy, gx * gy]), 2)
     trace = a + b
     r = a * b - c * c - np.float32(0.05) * trace * trace
     h, w = r.shape
-    if h < 5 or w < 5:
-        return np.empty((0, 2), int)
-    tall = r[: h - 4]
+    tall = r[: h - 4].copy()
     for d in range(1, 5):
-        tall = np.maximum(tall, r[d : h - 4 + d])
-    wide = tall[:, : w - 4]
+        np.maximum(tall, r[d : h - 4 + d], out=tall)
+    wide = tall[:, : w - 4].copy()
     for d in range(1, 5):
-        wide = np.maximum(wide, tall[:, d : w - 4 + d])
+        np.maximum(wide, tall[:, d : w - 4 + d], out=wide)
     inner = r[2:-2, 2:-2]
     ys, xs = np.nonzero((inner >= wide) & (inner > 1e6))
-    tile = ys // TILE * (w // TILE + 1) + xs // TILE
-    order = np.lexsort((xs, ys, -np.rint(inner[ys, xs] / 1e5), tile))
-    tiles, first = np.unique(tile[order], return_index=True)
-    rank = np.arange(len(order)) - first[np.searchsorted(tiles, tile[order])]
-    order = order[rank < most]
-    return np.stack([ys[order], xs[order]], 1) + 5
+    image = np.searchsorted(tops, ys + 6, "right") - 1
+    own = ys + 6 - tops[image]
+    inside = (own >= 6) & (own < heights[image] - 6)
+    image, own, xs, force = image[inside], own[inside] - 6, xs[inside], np.rint(inner[ys[inside], xs[inside]] / 1e5)
+    order = np.lexsort((xs, own, -force, xs // TILE, own // TILE, image))
+    image, own, xs = image[order], own[order], xs[order]
+    tile = np.stack([image, own // TILE, xs // TILE])
+    first = np.flatnonzero(np.append(True, (tile[:, 1:] != tile[:, :-1]).any(0)))  # where the corners of each tile begin
+    rank = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+    tall, wide = (np.minimum(size, TILE * (at + 1)) - TILE * at for size, at in ((heights[image] - 12, tile[1]), (w - 4, tile[2])))
+    part = tall * wide / TILE**2
+    kept = rank < np.ceil(most * part)
+    return image[kept], own[kept] + 5, xs[kept] + 5, (rank < np.ceil(LISTED * most * part))[kept]
+
+
+@cache
+def _offsets(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances in memory, in an image of ``width``, from a corner to its disc and to its tests at each turn."""
+    return _DISC @ [width, 1], _ROTATED.reshape(_TURNS, -1, 2) @ [1, width]
+
+
+def _described_at(scale: int, images: list[np.ndarray], points: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, bits) of images of one width."""
+    heights = np.array([len(a) for a in images])
+    tops = np.cumsum(heights) - heights
+    soft = _window(np.concatenate(images), 1)
+    image, ys, xs, listed = _corners(soft, tops, heights, points)
+    # Every image with ``PATCH`` more rows and columns on every side, which repeat its edges.
+    rows = np.concatenate([np.clip(np.arange(-PATCH, h - 2 + PATCH), 0, h - 3) + t for h, t in zip(heights, tops)])
+    far = soft[rows][:, np.clip(np.arange(-PATCH, soft.shape[1] + PATCH), 0, soft.shape[1] - 1)]
+    starts = np.cumsum(heights - 2 + 2 * PATCH) - (heights - 2 + 2 * PATCH)
+    flat, at = far.ravel(), (starts[image] + PATCH + ys) * far.shape[1] + PATCH + xs
+    disc, tests = _offsets(far.shape[1])
+    # Sums of whole numbers (at the second scale, quarters), so they do not depend on the order of adding.
+    moment = flat.take(at[:, None] + disc) @ _DISC.astype(np.float32)
+    turn = np.rint(np.arctan2(moment[:, 0], moment[:, 1]) / (2 * np.pi / _TURNS)).astype(int) % _TURNS
+    values = flat.take(at[:, None] + tests[turn]).reshape(-1, BITS, 2)
+    bits = np.packbits(values[:, :, 0] + MARGIN < values[:, :, 1], axis=1)
+    places = np.column_stack([ys * scale, xs * scale, np.full(len(ys), scale), turn, listed])
+    ends = np.searchsorted(image, np.arange(len(images) + 1))
+    return [(places[i:j], bits[i:j]) for i, j in zip(ends, ends[1:])]
+
+
+def describe_all(images: list[np.ndarray], points: int, rows_at_once: int = 2048) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each image (n, 5) places (y, x, scale, turn, whether it is listed) and (n, 16) bytes of descriptors.
+
+    Images of one width are worked on together, about ``rows_at_once`` rows of pixels at a time, which changes no result.
+    """
+    out = [([np.empty((0, 5), int)], [np.empty((0, BITS // 8), np.uint8)]) for _ in images]
+    now = {i: a.astype(np.float32) for i, a in enumerate(images)}
+    for scale in (1, 2):
+        if scale == 2:
+            even = {i: a[: len(a) // 2 * 2, : a.shape[1] // 2 * 2] for i, a in now.items()}
+            now = {i: (a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2]) / 4 for i, a in even.items()}
+        now = {i: a for i, a in now.items() if min(a.shape) >= 13}
+        parts: list[list[int]] = []
+        for i in sorted(now, key=lambda i: (now[i].shape[1], i)):
+            a = now[i]
+            if not parts or now[parts[-1][0]].shape[1] != a.shape[1] or sum(len(now[j]) for j in parts[-1]) + len(a) > rows_at_once:
+                parts.append([])
+            parts[-1].append(i)
+        for part in parts:
+            for i, (places, bits) in zip(part, _described_at(scale, [now[j] for j in part], points)):
+                out[i][0].append(places)
+                out[i][1].append(bits)
+    return [(np.concatenate(p), np.concatenate(b)) for p, b in out]
 
 
 def describe(pixels: np.ndarray, points: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 4) array of y, x, scale and turn, and (n, 16) bytes of descriptors."""
-    places, bits = [], []
-    img = pixels.astype(np.float32)
-    for scale in (1, 2):
-        if scale == 2:
-            h, w = (s // 2 * 2 for s in img.shape)
-            img = img[:h, :w].reshape(h // 2, 2, w // 2, 2).mean((1, 3))
-        if min(img.shape) < 13:
-            break
-        soft = _window(img, 1) / np.float32(9)
-        yx = _corners(soft, points)
-        if not len(yx):
-            continue
-        far = np.pad(soft, PATCH, mode="edge")
-        around = far[yx[:, :1] + PATCH + _DISC[:, 0], yx[:, 1:] + PATCH + _DISC[:, 1]]
-        angle = np.arctan2(around @ _DISC[:, 0], around @ _DISC[:, 1])
-        turn = np.rint(angle / (2 * np.pi / _TURNS)).astype(int) % _TURNS
-        # Test places are (x, y) pairs turned with the corner.
-        at = _ROTATED[turn]
-        values = far[yx[:, 0, None, None] + PATCH + at[..., 1], yx[:, 1, None, None] + PATCH + at[..., 0]]
-        bits.append(np.packbits(values[:, :, 0] < values[:, :, 1], axis=1))
-        places.append(np.column_stack([yx * scale, np.full(len(yx), scale), turn]))
-    if not places:
-        return np.empty((0, 4), int), np.empty((0, BITS // 8), np.uint8)
-    return np.concatenate(places), np.concatenate(bits)
+    return describe_all([pixels], points)[0]
 
 
 def _pixels(image) -> np.ndarray | None:
@@ -122,38 +172,56 @@ def _pixels(image) -> np.ndarray | None:
     return np.frombuffer(image["pixels"], np.uint8).reshape(h, w) if w > 0 and len(image["pixels"]) == w * h else None
 
 
+def pack_places(places: np.ndarray) -> bytes:
+    """Eight bytes for a point: y; x, whether it is listed, turn and scale."""
+    y, x, scale, turn, listed = places.T.astype(np.int64)
+    return np.stack([y, x << 8 | listed << 7 | turn << 2 | scale], 1).astype("<u4").tobytes()
+
+
+def unpack_places(raw: bytes) -> np.ndarray:
+    y, rest = np.frombuffer(raw, "<u4").reshape(-1, 2).T.astype(np.int64)
+    return np.stack([y, rest >> 8, rest & 3, rest >> 2 & 31, rest >> 7 & 1], 1)
+
+
 def _described(points: int, reader):
     def make():
         def work(cols):
-            out = {"_id": cols["_id"], "key": [], "n": [], "places": [], "bits": []}
-            for image in cols["_image"]:
-                pixels = _pixels(reader(image) if reader else image)
-                key = None if pixels is None else xxhash.xxh3_128_digest(repr(pixels.shape).encode() + pixels.tobytes())
-                places, bits = describe(pixels, points) if pixels is not None else (np.empty((0, 4), int), np.empty((0, 16), np.uint8))
-                out["key"].append(key)
-                out["n"].append(len(places))
-                out["places"].append(places.astype(np.int32).tobytes())
-                out["bits"].append(bits.tobytes())
-            return out
+            pixels = [_pixels(reader(image) if reader else image) for image in cols["_image"]]
+            keys = [None if a is None else xxhash.xxh3_128_digest(repr(a.shape).encode() + a.tobytes()) for a in pixels]
+            # Identical images of a batch are described once.
+            first = {key: a for key, a in zip(keys, pixels) if key is not None}
+            made = dict(zip(first, describe_all(list(first.values()), points)))
+            none = (np.empty((0, 5), int), np.empty((0, BITS // 8), np.uint8))
+            found = [made.get(key, none) for key in keys]
+            return {
+                "_id": cols["_id"], "key": keys, "n": [len(p) for p, _ in found], "places": [pack_places(p) for p, _ in found],
+                "bits": [b.tobytes() for _, b in found],
+            }
 
         return work
 
     return make
 
 
+TABLES = 2
+_OWN = np.array([0, 0x5555555555555555], np.uint64)
+
+
 def _words(bits: np.ndarray) -> np.ndarray:
-    """The keys of descriptors: their four words, each in a table of its own."""
-    return bits.reshape(-1, 2).view(np.uint32).astype(np.int64) * 4 + np.arange(4)
+    """The keys of descriptors: their two words, each in a table of its own."""
+    return (bits.reshape(-1, TABLES) ^ _OWN).view(np.int64)
 
 
 def _table_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each point of an image and each of its keys in the four Hamming tables."""
+    """(id, k): the keys of an image's listed points in the Hamming tables, each once."""
     for batch in batches:
-        for image, raw in zip(batch.column("id").to_pylist(), batch.column("bits").to_pylist()):
-            words = _words(np.frombuffer(raw, np.uint64))
-            n = len(words)
-            arrays = [np.full(4 * n, image), np.full(4 * n, n, np.int32), np.repeat(np.arange(n, dtype=np.int32), 4), words.ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["id", "n", "p", "k"])
+        ids, keys = [], []
+        for image, raw, places in zip(*(batch.column(c).to_pylist() for c in ("id", "bits", "places"))):
+            own = np.unique(_words(np.frombuffer(raw, np.uint64).reshape(-1, TABLES)[unpack_places(places)[:, 4] == 1]))
+            ids.append(np.full(len(own), image))
+            keys.append(own)
+        arrays = [pa.array(np.concatenate(x) if x else np.empty(0), pa.int64()) for x in (ids, keys)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["id", "k"])
 
 
 def consensus(
@@ -183,67 +251,85 @@ def consensus(
         x = b[t, None, 1] + c[t, None] * dx - s[t, None] * dy
         y = b[t, None, 0] + s[t, None] * dx + c[t, None] * dy
         fits = np.hypot(x - b[None, :, 1], y - b[None, :, 0]) <= near * np.maximum(scale[t], 1)[:, None]
-        for f in fits[fits.sum(1) > most]:
-            most = max(most, len(np.unique(j[f])))
+        support = fits.sum(1)
+        for best_first in np.argsort(-support, kind="stable"):
+            if support[best_first] <= most:
+                break
+            most = max(most, len(np.unique(j[fits[best_first]])))
             if most >= enough:
                 return most
     return most
 
 
-MEET = 3
+MEET, MEET_SHARE = 3, 0.1
+
+
+def _alike(a: tuple, b: tuple, most_bits: int, share: float) -> bool:
+    """Whether consensus holds for two (places, bits): six points, and ``share`` of the smaller image's."""
+    small, large = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
+    need = max(6, share * len(small[0]))
+    return consensus(small[0], small[1], large[0], large[1], most_bits, enough=need) >= need
+
 
+def _star(most_bits: int, share: float):
+    """A group holds the image ``a`` and those that may be its copies; the links between it and them."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, centre = group.column("id").to_pylist(), group.column("a")[0].as_py()
+        raw = zip(group.column("places").to_pylist(), group.column("bits").to_pylist())
+        images = {i: (unpack_places(p), np.frombuffer(b, np.uint64).reshape(-1, TABLES)) for i, (p, b) in zip(ids, raw)}
+        own = images.pop(centre)
+        found = [i for i in sorted(images) if _alike(own, images[i], most_bits, share)]
+        return pa.table({"a": pa.array([centre] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+
+    return run
 
-def _meetings(words: list[np.ndarray]) -> np.ndarray:
-    """(i, j): how many points of image i share a key with image j."""
-    sizes = [w.shape[0] for w in words]
-    image = np.repeat(np.arange(len(words)), [4 * n for n in sizes])
-    point = np.concatenate([np.repeat(np.arange(n), 4) for n in sizes])
-    key = np.unique(np.concatenate([w.ravel() for w in words]), return_inverse=True)[1].ravel()
-    held = np.unique(np.stack([key, image], 1), axis=0)
-    first = np.searchsorted(held[:, 0], np.arange(key.max() + 2))
-    shared = np.diff(first)[key] > 1
-    met = np.zeros((len(words), len(words)), np.int32)
-    image, point, key = image[shared], point[shared], key[shared]
-    for at in np.split(np.arange(len(image)), np.flatnonzero((np.diff(image) != 0) | (np.diff(point) != 0)) + 1):
-        if len(at):
-            others = np.concatenate([held[first[k] : first[k + 1], 1] for k in np.unique(key[at])])
-            met[image[at[0]], np.unique(others)] += 1
-    return met
 
+def _meeting(keys_at_once: int = 4096):
+    """A group holds the keys of the images of two blocks. The pairs between or within them, of different groups, of which
+    the smaller image probes with enough keys that the other has."""
 
-def _cell(most_bits: int, share: float):
     def run(cell: pa.Table) -> pa.Table:
-        ids = cell.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, own = ids[order], cell.column("own").to_numpy()[order]
+        order = np.argsort(cell.column("id").to_numpy(), kind="stable")
+        ids, own, size, group, meet = (cell.column(c).to_numpy()[order] for c in ("id", "own", "n", "group", "meet"))
         one, other = cell.column("x")[0].as_py(), cell.column("y")[0].as_py()
-        raw_p, raw_b = cell.column("places").to_pylist(), cell.column("bits").to_pylist()
-        places = [np.frombuffer(raw_p[i], np.int32).reshape(-1, 4) for i in order]
-        bits = [np.frombuffer(raw_b[i], np.uint64).reshape(-1, 2) for i in order]
-        sizes = np.array([len(b) for b in bits])
-        met = _meetings([_words(b) for b in bits])
-        root, links = np.arange(len(ids)), []
-        for i in range(len(ids)):
-            if one != other and own[i] != one:
-                continue
-            allowed = (own == other) if one != other else (np.arange(len(ids)) > i)
-            meet = np.where(sizes < sizes[i], met[:, i], met[i])
-            meet = np.where(sizes == sizes[i], np.maximum(met[:, i], met[i]), meet)
-            for j in np.flatnonzero((meet >= MEET) & allowed):
-                if root[i] == root[j]:
-                    continue
-                small, large = (i, j) if len(places[i]) <= len(places[j]) else (j, i)
-                need = max(6, share * len(places[small]))
-                if consensus(places[small], bits[small], places[large], bits[large], most_bits, enough=need) >= need:
-                    links.append((int(ids[i]), int(ids[j])))
-                    root[root == root[j]] = root[i]
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        lists = cell.column("ks").to_pylist()
+        image = np.repeat(np.arange(len(ids)), [len(lists[i]) for i in order])
+        number = np.unique([x["k"] for i in order for x in lists[i]], return_inverse=True)[1].ravel()
+        probing = np.array([x["probing"] for i in order for x in lists[i]], bool)
+        met = np.zeros((len(ids), len(ids)), np.float32)
+        for at in range(0, number.max(initial=-1) + 1, keys_at_once):
+            part = (number >= at) & (number < at + keys_at_once)
+            has, asks = np.zeros((2, len(ids), keys_at_once), np.float32)
+            has[image[part], number[part] - at] = 1
+            asks[image[part & probing], number[part & probing] - at] = 1
+            met += asks @ has.T
+        found = (met >= meet[:, None]) & (size[:, None] <= size) & (group[:, None] != group)
+        found |= found.T
+        found &= (own[:, None] == one) & (own == other) if one != other else np.triu(np.ones_like(found), 1)
+        i, j = np.nonzero(found)
+        return pa.table({"a": pa.array(np.minimum(ids[i], ids[j]), pa.int64()), "b": pa.array(np.maximum(ids[i], ids[j]), pa.int64())})
 
     return run
 
 
+def _verified(pairs: DataFrame, strong: DataFrame, most_bits: int, share: float, block_rows: int, broadcast_rows: int) -> DataFrame:
+    """The pairs (a, b) that consensus links. An image with many candidates is compared in parts of ``block_rows``.
+
+    Up to ``broadcast_rows`` pairs are broadcast to the descriptors, of which only those of candidates then move.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
+    members = pairs.join(sizes, "a").select("a", part.alias("part"), F.col("b").alias("id"))
+    centres = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"))
+    asked = cut(members.unionAll(centres))
+    asked = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
+    rows = strong.select("id", "places", "bits").join(asked, "id")
+    return cut(rows.groupBy("a", "part").applyInArrow(_star(most_bits, share), "a long, b long"))
+
+
 def image_copies(
-    df: DataFrame, id_col: str, image_col: str, points: int = 24, share: float = 0.3, most_bits: int = 12, block_rows: int = 500, few: int = 2000, reader=None, broadcast_rows: int = 1_000_000
+    df: DataFrame, id_col: str, image_col: str, points: int = 40, share: float = 0.3, most_bits: int = 12, block_rows: int = 500, few: int = 16, reader=None, broadcast_rows: int = 250_000
 ) -> DataFrame:
     """Return for each row its id (long), ``n_points``, ``component_id`` (the least id reachable) and ``kept``.
 
@@ -251,43 +337,71 @@ def image_copies(
     ``broadcast_rows`` keys and ids of different images are broadcast; more are joined by a shuffle.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{image_col}`").alias("_image"))
-    base = cut(map_batches(rows, _described(points, reader), "_id long, key binary, n long, places binary, bits binary"))
+    base = written(map_batches(rows, _described(points, reader), "_id long, key binary, n long, places binary, bits binary"), "points")
     base = base.withColumnRenamed("_id", "id")
     # The descriptors stay where they are: only keys and ids are grouped, and their table is sent to them if it is small.
     light = base.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
     classes = cut(light)
     first = classes.select("key", "id")
     strong = base.where("n >= 6").join(F.broadcast(first) if classes.count() <= broadcast_rows else first, ["key", "id"])
-    keys = strong.select("id", "bits").mapInArrow(_table_keys, "id long, n int, p int, k long")
+
+    # Inverted lists: the keys that several images have. Every image probes with its rarest ones.
+    keys = strong.select("id", "bits", "places").mapInArrow(_table_keys, "id long, k long")
     of_key = Window.partitionBy("k")
-    counted = keys.select("*", F.count("*").over(of_key).alias("f"), F.min("id").over(of_key).alias("hub"), F.max("id").over(of_key).alias("last"))
-    held = cut(counted.where("hub < last").drop("last"))
-    # An image's points that meet nobody come first in the order of rarity; they probe nothing.
-    rare = held.groupBy("id", "n", "p").agg(F.max("f").alias("f")).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "p"))).alias("ps"))
+    counted = keys.select("*", F.count("*").over(of_key).alias("f"), F.min("id").over(of_key).alias("hub"))
+    done: list[str] = []
+    held = written(counted.where("f > 1"), "keys", done)
+    own = held.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "k", "hub"))).alias("ks"))
+    own = own.join(base.select("id", F.ceil(F.col("n") * LISTED * TABLES).alias("n")).groupBy("id").agg(F.max("n").alias("n")), "id")
+    own = own.withColumn("meet", F.greatest(F.lit(MEET), F.ceil(F.col("n") * MEET_SHARE)).cast("int"))
     need = F.greatest(F.lit(6), F.ceil(F.col("n") * share))
-    probing = rare.select("id", F.explode(F.slice("ps.p", 1, F.greatest(F.lit(0), F.size("ps") - need + MEET).cast("int"))).alias("p"))
-    probes = held.join(probing, ["id", "p"]).select("id", "p", "k", "f", "hub")
-    holders = held.select("k", F.col("id").alias("other"))
-    # A key of few rows brings its images together where they meet often enough; one of more joins all of them in a star.
-    met = probes.where(F.col("f") <= few).join(holders, "k").where("id <> other")
-    pairs = met.groupBy(F.col("id").alias("a"), F.col("other").alias("b")).agg(F.count_distinct("p").alias("n")).where(F.col("n") >= MEET)
-    edges = pairs.select("a", "b")
-    if not held.where(F.col("f") > few).isEmpty():
-        big = probes.where(F.col("f") > few).select("k", "hub").distinct()
-        edges = edges.unionAll(big.join(holders, "k").where("hub <> other").select("hub", "other").distinct())
-    groups = connected_components(edges)
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    members = groups.join(sizes, "component").withColumnRenamed("node", "id")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    cells = (
-        strong.join(members, "id")
-        .select("id", "component", "places", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("z"))
-        .select("id", "component", "places", "bits", "own", F.least("own", "z").alias("x"), F.greatest("own", "z").alias("y"))
-    )
-    labels = connected_components(cut(cells.groupBy("component", "x", "y").applyInArrow(_cell(most_bits, share), "a long, b long")))
+    rarest = F.slice("ks", F.lit(1), F.greatest(F.col("meet"), F.size("ks") - need + F.col("meet")).cast("int"))
+    probes = written(own.select("id", "n", "meet", F.inline(rarest)), "probes", done)
+
+    # First every image is held against the least image of its keys, which joins most groups of copies.
+    stars = probes.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b"), "meet").agg(F.count("*").alias("n")).where("n >= meet")
+    links = _verified(cut(stars.select("a", "b")), strong, most_bits, share, block_rows, broadcast_rows)
+    joined = cut(connected_components(links))
+
+    # Then images of different groups that share keys of few images, pair by pair.
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
+
+    members = grouped(held.select("id", "k"))
+    spread = members.groupBy("k").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("k")
+    open_ = written(members.join(spread, "k"), "open", done)
+    asking = grouped(probes.select("id", "n", "meet", "k", "f")).join(spread, "k")
+    other = open_.select("k", F.col("id").alias("other"), F.col("group").alias("of_other"))
+    met = asking.where(F.col("f") <= few).join(other, "k").where("group <> of_other")
+    pairs = met.groupBy("id", "other", "meet").agg(F.count("*").alias("n")).where("n >= meet")
+    pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    links = links.unionAll(_verified(cut(pairs.select("a", "b")), strong, most_bits, share, block_rows, broadcast_rows))
+
+    # What keys of more images leave open is looked for in groups, all with all, in cells of two blocks each, which hold
+    # the open keys alone.
+    hot = asking.where(F.col("f") > few).select("k").distinct()
+    ways = cut(open_.join(hot, "k").join(held.groupBy("k").agg(F.min("hub").alias("hub")), "k").where("hub <> id").select("hub", "id").distinct())
+    if not ways.isEmpty():
+        around = connected_components(ways)
+        sizes = around.groupBy("component").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+        dealt = around.join(sizes, "component").withColumnRenamed("node", "id")
+        flagged = open_.join(asking.select("id", "k", F.lit(True).alias("_asks")), ["id", "k"], "left")
+        lists = flagged.groupBy("id", "group").agg(F.collect_list(F.struct("k", F.coalesce("_asks", F.lit(False)).alias("probing"))).alias("ks"))
+        lists = lists.join(probes.groupBy("id").agg(F.max("n").alias("n"), F.max("meet").alias("meet")), "id")
+        place = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        cells = (
+            lists.join(dealt, "id")
+            .select("id", "component", "group", "n", "meet", "ks", place.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("z"))
+            .select("id", "component", "group", "n", "meet", "ks", "own", F.least("own", "z").alias("x"), F.greatest("own", "z").alias("y"))
+        )
+        pairs = cut(cells.groupBy("component", "x", "y").applyInArrow(_meeting(), "a long, b long"))
+        links = links.unionAll(_verified(pairs, strong, most_bits, share, block_rows, broadcast_rows))
+    labels = connected_components(links)
+    for path in done:
+        remove_path(df.sparkSession, path)
     named = classes.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "rows", F.coalesce("component", "id").alias("component"))
     special = named.where("rows > 1 or component <> id").select("key", "component")
-    return base.join(special, "key", "left").select(
+    return left_join(base.select("id", "n", "key"), special, "key", broadcast_rows).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_points"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
