@@ -133,6 +133,29 @@ def c3_order(classes: DataFrame) -> DataFrame:
     return classes.groupBy("package").applyInPandas(run, "package string, cls string, mro array<string>")
 
 
+def rewrite_names(names: DataFrame, aliases: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(name, target): all ends of rewriting dotted names by (alias, target), where an alias may stand for any prefix.
+
+    ``a.f`` becomes ``x.y.f`` where ``a`` leads to ``x.y``. A name may have several ends; a way that meets a name again
+    ends nowhere. Names that no alias fits are their own end.
+    """
+    aliases = settle(aliases.select("alias", "target").distinct())
+    front = settle(names.select("name", F.col("name").alias("now"), F.array("name").alias("seen")).distinct())
+    ends = None
+    for _ in range(max_rounds):
+        parts = F.split("now", "[.]")
+        prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+        step = front.select("name", "now", "seen", F.explode(prefixes).alias("alias")).join(aliases, "alias")
+        step = settle(step.select("name", "now", "seen", F.concat("target", F.expr("substring(now, length(alias) + 1)")).alias("next")))
+        done = settle(front.join(step.select("name", "now").distinct(), ["name", "now"], "left_anti").select("name", F.col("now").alias("target")))
+        ends = done if ends is None else ends.unionAll(done)
+        going = step.where(~F.array_contains("seen", F.col("next")))
+        front = settle(going.groupBy("name", F.col("next").alias("now")).agg(F.min(F.concat("seen", F.array("next"))).alias("seen")))
+        if front.isEmpty():
+            return ends.distinct()
+    raise ValueError(f"no end after {max_rounds} rounds")
+
+
 def resolve_aliases(aliases: DataFrame, names: DataFrame) -> DataFrame:
     """(name, target): all canonical ends of chains over (alias, target); a chain that meets itself ends nowhere."""
     found = closure(aliases.select(F.col("alias").alias("src"), F.col("target").alias("dst")))

@@ -34,17 +34,28 @@ _SEPARATOR = re.compile(r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$")
 
 
 def front_matter(text: str) -> tuple[list[tuple[str, str]], str]:
-    """(key, value) pairs of a leading ``---`` block, duplicates kept, and the rest of the text."""
+    """(key, value) pairs of a leading ``---`` block, duplicates kept, and the rest of the text.
+
+    Keys of mappings within mappings are joined by dots; items of lists have their list's key.
+    """
     if not text.startswith("---\n"):
         return [], text
     end = re.search(r"^(?:---|\.\.\.)[ \t]*$", text[4:], re.M)
     if not end:
         return [], text
-    pairs = []
+    pairs: list[tuple[str, str]] = []
+    above: list[tuple[int, str]] = []  # indent and key of the mappings that are open
     for line in text[4 : 4 + end.start()].splitlines():
-        m = re.match(r"^([A-Za-z_][\w.-]*)\s*:\s*(.*)$", line)
-        if m:
-            pairs.append((m[1], m[2].strip().strip("\"'")))
+        m = re.match(r"^( *)(- +)?(?:([A-Za-z_<][\w.<-]*)\s*:(?:\s+|$))?(.*)$", line)
+        if not line.strip() or line.lstrip().startswith("#") or not m[2] and not m[3]:
+            continue
+        while above and above[-1][0] >= len(m[1]) + bool(m[2]):
+            above.pop()
+        key, value = ".".join([*(k for _, k in above), *([m[3]] if m[3] else [])]), m[4].strip().strip("\"'")
+        if m[3] and not value:
+            above.append((len(m[1]) + len(m[2] or ""), m[3]))
+        if value and key:
+            pairs.append((key, value))
     return pairs, text[4 + end.end() :].lstrip("\n")
 
 

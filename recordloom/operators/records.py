@@ -75,6 +75,34 @@ def documents(records: DataFrame) -> DataFrame:
     return records.where("kind = 'document'").select("id", field("$.references").alias("references_json"))
 
 
+def decode(records: DataFrame, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """For each kind its records as columns (owner, id, and the fields of its schema). A content that does not fit gives
+    nulls; ``decode_violations`` finds those."""
+    return {k: records.where(F.col("kind") == k).select("owner", "id", F.from_json("content", s).alias("_c")).select("owner", "id", "_c.*") for k, s in schemas.items()}
+
+
+def decode_violations(records: DataFrame, schemas: dict[str, str], required: dict[str, list[str]]) -> DataFrame:
+    """(code, kind, owner, id) of contents that are no JSON objects, lack a required field, or have another type in one."""
+    parts = []
+    for kind, schema in schemas.items():
+        rows = records.where(F.col("kind") == kind)
+        whole = F.json_object_keys("content")
+        parts.append(rows.where(whole.isNull()).select(F.lit("no-object").alias("code"), "kind", "owner", "id"))
+        fields = rows.where(whole.isNotNull()).withColumn("_keys", whole).withColumn("_c", F.from_json("content", schema, {"mode": "PERMISSIVE"}))
+        for name in required.get(kind, []):
+            bad = F.when(~F.array_contains("_keys", name), "missing-field").when(F.col(f"_c.{name}").isNull(), "wrong-type")
+            parts.append(fields.select(bad.alias("code"), "kind", "owner", "id").where("code is not null"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out.distinct()
+
+
+def keyed_order(records: DataFrame) -> DataFrame:
+    """Records by kind, owner and id, byte by byte: a range-partitioned sort."""
+    return records.orderBy("kind", "owner", "id")
+
+
 def asset_sizes(assets: DataFrame) -> DataFrame:
     return assets.select("digest", "media_type", F.octet_length("bytes").cast("bigint").alias("byte_size"))
 

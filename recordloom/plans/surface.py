@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.canonical import restricted_json
-from ..operators import links, selection, site, tables
+from ..operators import graphs, links, records, selection, site, tables
 from ..sources import files
 from ..streaming import watch
 from .documents import _case
-from .queries import query, read
+from .queries import query, read, record_table
 
 
 @query(
@@ -182,3 +182,34 @@ def s14_manifest(spark, sf_dir):
 def s9_first_files(spark, sf_dir):
     rows = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("folder"), F.col("c_mktsegment").alias("name"), F.lit("x").alias("content")).distinct()
     return files.first_of(rows, ["BUILDING", "MACHINERY"]).select("folder", "name")
+
+
+_ITEM = {"item": "lang string, n_chars bigint"}
+
+
+@query("select source as owner, cast(doc_id as varchar) as id, lang, n_chars from documents")
+def s3_decoded_items(spark, sf_dir):
+    return records.decode(record_table(spark, sf_dir), _ITEM)["item"]
+
+
+@query(
+    """select case doc_id % 7 when 0 then 'no-object' when 1 then 'missing-field' else 'wrong-type' end as code, 'item' as kind, source as owner, cast(doc_id as varchar) as id from documents where doc_id % 7 < 3"""
+)
+def s3_decode_violations(spark, sf_dir):
+    n = F.col("id").cast("bigint") % 7
+    items = record_table(spark, sf_dir).where("kind = 'item'")
+    spoiled = F.when(n == 0, F.lit("[1]")).when(n == 1, F.lit('{"lang":"x"}')).when(n == 2, F.lit('{"lang":"x","n_chars":"many"}')).otherwise(F.col("content"))
+    return records.decode_violations(items.withColumn("content", spoiled), _ITEM, {"item": ["lang", "n_chars"]})
+
+
+@query(
+    """select 'p' || c_nationkey || '.f' || c_custkey as name, case when c_nationkey < 5 then 'x.y.n' || c_nationkey || '.f' || c_custkey when c_nationkey = 5 then 'end.f' || c_custkey else 'p' || c_nationkey || '.f' || c_custkey end as target from customer where c_nationkey <> 6
+    union all select 'p5.f' || c_custkey, 'other.f' || c_custkey from customer where c_nationkey = 5"""
+)
+def g10_rewritten_names(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").where("n_nationkey < 5")
+    p = F.concat(F.lit("p"), "n_nationkey")
+    aliases = n.select(p.alias("alias"), F.concat(F.lit("q.n"), "n_nationkey").alias("target"))
+    more = spark.createDataFrame([("q", "x.y"), ("p5", "end"), ("p5", "other"), ("p6", "r"), ("r", "p6")], "alias string, target string")
+    names = read(spark, sf_dir, "customer").select(F.concat(F.lit("p"), "c_nationkey", F.lit(".f"), "c_custkey").alias("name"))
+    return graphs.rewrite_names(names, aliases.unionAll(more))

@@ -22,12 +22,21 @@ def file_tree(spark: SparkSession, root: str, pattern: str = "*", excluded: list
     return files.where(~F.arrays_overlap(folders, F.array(*map(F.lit, excluded)))).withColumn("relative", inner)
 
 
-def pages_in(spark: SparkSession, root: str) -> DataFrame:
-    """(relative, format, text) of the documents under a root."""
+def pages_in(spark: SparkSession, root: str, reserved: list[str] = (".git",), generated: str | None = None, formats: list[str] | None = None) -> DataFrame:
+    """(relative, format, text) of the documents under a root, in the order of their paths.
+
+    Nothing under a reserved folder or that of generated files counts; ``formats`` leaves only those.
+    """
     ext = F.regexp_extract("relative", r"\.([^./]+)$", 1)
     kinds = F.create_map(*[F.lit(x) for kv in FORMATS.items() for x in kv])
-    files = file_tree(spark, root).withColumn("format", F.element_at(kinds, ext)).where("format is not null")
-    return files.select("relative", "format", F.col("content").cast("string").alias("text"))
+    files = file_tree(spark, root).withColumn("format", F.try_element_at(kinds, ext)).where("format is not null")
+    folder = F.arrays_overlap(F.split("relative", "/"), F.array(*map(F.lit, reserved))) if reserved else F.lit(False)
+    if generated:
+        folder = folder | (F.col("relative") == generated) | F.startswith("relative", F.lit(generated.rstrip("/") + "/"))
+    files = files.where(~folder)
+    if formats:
+        files = files.where(F.col("format").isin(formats))
+    return files.select("relative", "format", F.col("content").cast("string").alias("text")).orderBy("relative")
 
 
 def manifest(files: DataFrame, declared: DataFrame) -> DataFrame:

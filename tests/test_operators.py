@@ -158,6 +158,14 @@ def test_document_tree(spark):
     assert markup.has_math(tree).first().math
 
 
+def test_front_matter_of_mappings_in_mappings():
+    text = "---\ntitle: 'T'\nexecute:\n  echo: false\n  deep:\n    x: 1\n  eval: true\n# note: no\ntags:\n  - a\n  - b\nlast: z\nlast: y\n---\nbody"
+    assert markup.front_matter(text) == (
+        [("title", "T"), ("execute.echo", "false"), ("execute.deep.x", "1"), ("execute.eval", "true"), ("tags", "a"), ("tags", "b"), ("last", "z"), ("last", "y")], "body"
+    )
+    assert markup.front_matter("no --- here") == ([], "no --- here")
+
+
 def test_inline_links():
     text = "[a [b] c](x.md) [![alt](i.png)](y.md) [ref][Key  One] [short] <https://z/> <me@x.org> `[no](code)` [plain] [t](<a b.md>) [q](e(1).md 'title')"
     defined, rest = markup.definitions(["[key one]: r.md", "[short]: <s.md> \"t\"", "```", "[in]: code.md", "```", "[key one]: later.md"])

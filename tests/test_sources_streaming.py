@@ -104,10 +104,11 @@ def test_bundles_and_write_once(spark):
 
 
 def test_file_tree(spark, tmp_path):
-    for name in ("a.md", "sub/b.qmd", "node_modules/c.md", "d.txt"):
-        (tmp_path / name).parent.mkdir(exist_ok=True)
+    for name in ("a.md", "sub/b.qmd", "node_modules/c.md", "d.txt", "out/gen/e.md", "sub/.git/f.md", "z.Rmd"):
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / name).write_text("x")
-    assert sorted(r.relative for r in files.pages_in(spark, str(tmp_path)).collect()) == ["a.md", "sub/b.qmd"]
+    assert [r.relative for r in files.pages_in(spark, str(tmp_path), generated="out/gen").collect()] == ["a.md", "sub/b.qmd", "z.Rmd"]
+    assert [r.relative for r in files.pages_in(spark, str(tmp_path), formats=["rmarkdown"]).collect()] == ["z.Rmd"]
 
 
 def test_config_refuses_unknown_keys(spark, tmp_path):
