@@ -58,6 +58,13 @@ def _local_stars(batches: Iterable[pa.RecordBatch], most: int = 200_000) -> Iter
     yield stars(sets)
 
 
+def shared_id_edges(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between the classes (key, id) of rows (id, key) that share an id but not a key."""
+    several = rows.groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("id")
+    held = rows.join(several, "id", "left_semi").distinct().join(classes.select("key", F.col("id").alias("b")), "key")
+    return held.groupBy("id").agg(F.min("b").alias("a"), F.collect_set("b").alias("bs")).select("a", F.explode("bs").alias("b")).where("a <> b")
+
+
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, left_join, map_batches, remove_path, table, written
-from .components import connected_components
+from .components import connected_components, shared_id_edges
 
 BITS, RADIUS, PATCH, TILE, LISTED = 128, 11, 16, 64, 0.6
 #: A test says that its second place is brighter by more than eight grey levels (of sums of nine), so noise on flat ground says nothing.
@@ -396,7 +396,8 @@ def image_copies(
         )
         pairs = cut(cells.groupBy("component", "x", "y").applyInArrow(_meeting(), "a long, b long"))
         links = links.unionAll(_verified(pairs, strong, most_bits, share, block_rows, broadcast_rows))
-    labels = connected_components(links)
+    shared = shared_id_edges(base.where("key is not null and id is not null").select("id", "key"), first)
+    labels = connected_components(links.unionAll(shared))
     for path in done:
         remove_path(df.sparkSession, path)
     named = classes.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "rows", F.coalesce("component", "id").alias("component"))

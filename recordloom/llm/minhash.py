@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, cut, left_join, table
-from .components import connected_components
+from .components import connected_components, shared_id_edges
 
 MISS = 1e-9
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -284,7 +284,8 @@ def near_duplicates(
         .select("id", "grp", "full", "own", F.least("own", "z").alias("x"), F.greatest("own", "z").alias("y"))
     )
     edges = cells.groupBy("grp", "x", "y").applyInArrow(_cell(k, percent), "a long, b long")
-    labels = connected_components(cut(edges))
+    shared = shared_id_edges(base.where("key is not null and id is not null").select("id", "key"), reps.select("key", "id"))
+    labels = connected_components(cut(edges.unionAll(shared)))
 
     # Only classes of several rows or with links can have another component than the row's own id.
     named = reps.join(labels, F.col("id") == F.col("node"), "left").select(

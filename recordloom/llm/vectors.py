@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, left_join, table
-from .components import connected_components
+from .components import connected_components, shared_id_edges
 
 
 def _valid(values) -> np.ndarray | None:
@@ -187,7 +187,7 @@ def near_vectors(
     found = cut(
         cells.groupBy("pivot", "dim", "x", "y").applyInArrow(_cell(few, cosine), "a long, b long, links long")
     )
-    labels = connected_components(found.where("b is not null").select("a", "b"))
+    labels = connected_components(found.where("b is not null").select("a", "b").unionAll(shared_id_edges(valid.select("id", "key"), classes.select("key", "id"))))
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     # Only classes of several rows or with links differ from a row that stands alone.
     named = (
