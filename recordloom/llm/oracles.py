@@ -74,5 +74,55 @@ found as (select doc_id, count(*) filter (where kind = 'email') as n_email, coun
 select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(spans, '')) as base_sha256
   from documents left join found using (doc_id)"""
 
+def _op11(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of plain assignment, written out; equal components are added up as whole numbers."""
+    near = """a{n} as (select id, v, min(struct_pack(d := list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c := c)) as best from q, c{n} group by id, v)"""
+    move = """s{n} as (select best.c as c, i, sum(x) as s, count(*) as m from (select best, unnest(v) as x, generate_subscripts(v, 1) as i from a{n}) group by 1, 2),
+t{n} as (select c, list((s - ((s % m) + m) % m) // m order by i) as w from s{n} group by c),
+c{o} as (select c, coalesce(t{n}.w, c{n}.w) as w from c{n} left join t{n} using (c))"""
+    steps = [f"{near.format(n=n)},\n{move.format(n=n, o=n + 1)}" for n in range(rounds)] + [near.format(n=rounds)]
+    body = ",\n".join(steps)
+    return f"""with q as (select vec_id as id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as hugeint)) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as (select row_number() over (order by sha256('2:' || id)) - 1 as c, v as w from q order by sha256('2:' || id) limit {k}),
+{body},
+part as (select best.c as c, sum(best.d) as s from a{rounds} group by 1)
+select id as vec_id, cast(best.c as integer) as cluster, cast(best.d as bigint) as distance, cast(part.s as bigint) as cluster_inertia,
+  cast((select sum(s) from part) as bigint) as inertia, sha256(array_to_string(c{rounds}.w, ',')) as centroid_sha256
+from a{rounds} join part on part.c = best.c join c{rounds} on c{rounds}.c = best.c"""
+
+
+OP11 = _op11()
+
+#: Every turn after at most two insertions, by four states of the roles so far: nothing, a system turn, a user's, an assistant's.
+OP13 = """with recursive raw as (select conv_id as conv, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations),
+hashed as (select *, xor(list_reduce(list_transform(string_split(key, ''), lambda x: cast(ord(x) as bigint)),
+  lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: case when r % 2 = 1 then xor(r // 2, 3988292384) else r // 2 end, xor(c, b)), 4294967295), 4294967295) % 20 as h from raw),
+damage as (select conv, turn, case when h = 4 then 'user' else role end as role, case when h = 1 then '' when h = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+  unnest(case when h = 3 then [0, 1] else [0] end) as copy from hashed where h <> 0),
+placed as (select *, row_number() over (partition by conv order by turn nulls first, role, sha256(text), copy) as i, substr(role, 1, 1) as letter,
+  trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as seen from damage),
+tok as (select *, case when seen = '' then 'blank' when row_number() over (partition by conv, role, text order by i) > 1 then 'duplicate' when not (right(seen, 1) in ('.', '!', '?')) then 'truncated' end as fault,
+  lag(letter) over (partition by conv order by i) as before from placed),
+facts as (select conv, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+  count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where before is not null and not (before || letter in ('su', 'ua', 'au'))) as illegal, max(i) as n from tok group by conv),
+ins(p, q, k) as (values (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (0, 3, 2), (1, 2, 1), (1, 3, 2), (2, 3, 1), (3, 2, 1)),
+op(q, r, edit, letter, price) as (values (0, 0, 'D', null, 3), (1, 1, 'D', null, 3), (2, 2, 'D', null, 3), (3, 3, 'D', null, 3), (0, 1, 'K', 's', 0), (0, 2, 'K', 'u', 0), (1, 2, 'K', 'u', 0), (3, 2, 'K', 'u', 0),
+  (2, 3, 'K', 'a', 0), (0, 2, 'R', null, 2), (1, 2, 'R', null, 2), (3, 2, 'R', null, 2), (2, 3, 'R', null, 2)),
+step as (select conv, cast(0 as bigint) as i, 0 as state, struct_pack(c := cast(0 as bigint), a := '') as best from facts union all
+  select t.conv, t.i, o.r, min(struct_pack(c := s.best.c + 2 * n.k + o.price + case when o.edit <> 'D' and t.fault = 'truncated' then 1 else 0 end, a := s.best.a || repeat('I', n.k) || o.edit))
+  from step s join tok t on t.conv is not distinct from s.conv and t.i = s.i + 1 join ins n on n.p = s.state join op o on o.q = n.q and (o.letter is null or o.letter = t.letter)
+  where o.edit = 'D' or t.fault is null or t.fault = 'truncated' group by t.conv, t.i, o.r),
+done as (select f.conv, min(struct_pack(c := s.best.c + 2 * n.k, a := s.best.a || repeat('I', n.k))) as best from step s join facts f on f.conv is not distinct from s.conv and f.n = s.i
+  join ins n on n.p = s.state and n.q in (0, 3) group by f.conv),
+edit as (select conv, unnest(string_split(best.a, '')) as e, generate_subscripts(string_split(best.a, ''), 1) as p from done where best.a <> ''),
+spot as (select *, count(*) filter (where e <> 'I') over (partition by conv order by p) as i from edit),
+kept as (select x.conv, x.p, x.e, t.role, t.text, t.letter = 's' and x.e = 'K' as opening from spot x left join tok t on t.conv is not distinct from x.conv and t.i = x.i and x.e <> 'I' where x.e <> 'D'),
+named as (select conv, p, case when e = 'K' then role when count(*) filter (where opening is distinct from true) over (partition by conv order by p) % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(text, '') as line from kept),
+hash as (select conv, string_agg(line, chr(10) order by p) as lines from named group by conv)
+select c.conv as conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(d.best.c, 0) as cost, coalesce(d.best.a, '') as audit, sha256(coalesce(lines, '')) as repaired_sha256
+from (select distinct conv from raw) c left join facts f on f.conv is not distinct from c.conv left join done d on d.conv is not distinct from c.conv left join hash h on h.conv is not distinct from c.conv"""
+
 QUERIES = {"sharding_laws": sharding_laws, "base_personal_data": base_personal_data}
-ORACLES = {"op3_minhash": OP3, "op9_embedding_dedup": OP9, "sharding_laws": SHARDING_LAWS, "base_personal_data": BASE_PERSONAL_DATA}
+ORACLES = {"op3_minhash": OP3, "op9_embedding_dedup": OP9, "op11_centroids": OP11, "op13_conversation_repair": OP13, "sharding_laws": SHARDING_LAWS, "base_personal_data": BASE_PERSONAL_DATA}

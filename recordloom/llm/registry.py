@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from . import oracles
+from .dialogue import op13_conversation_repair
+from .drake import op11_centroids
 from .language import op8_language_id
 from .media import op7_media
 from .minhash import op3_minhash
@@ -12,6 +14,7 @@ from .privacy import op5_personal_data
 from .sharding import op1_sharding
 from .toxicity import op6_toxicity
 from .vectors import op9_embedding_dedup
+from .windows import op12_concat_packing
 from .wordpiece import op2_token_counts
 
 QUERIES = {
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_centroids": op11_centroids,
+    "op12_concat_packing": op12_concat_packing,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 QUERIES |= oracles.QUERIES
