@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import settle
@@ -94,41 +94,207 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         left, level = settle(left.join(ready, "node", "left_anti")), level + 1
 
 
-def c3_order(classes: DataFrame) -> DataFrame:
-    """(package, cls, mro) from (package, cls, bases): C3 linearisation, cut off where an order is inconsistent.
+def numbered(rows: DataFrame, *order: str, name: str = "position") -> DataFrame:
+    """``rows`` with their number from 0 in the order of the columns ``order``, which tell all rows apart.
 
-    The merge is not a monotone recursion, so a package's classes are ordered together in one task.
+    The sort deals ranges of the order to partitions; a row's number is its place in its partition and what earlier
+    partitions hold, so no task sees all rows. One row for each partition is broadcast.
     """
-    import pandas as pd
+    placed = settle(rows.orderBy(*order)).select("*", F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id() % (1 << 33)).alias("_at"))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_before") + F.col("_at")).alias(name))
+
+
+def _on_cycles(edges: DataFrame) -> DataFrame:
+    """The edges that are left when nodes without a way in or without a way out are taken off again and again."""
+    left = edges.count()
+    while left:
+        inner = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        edges = settle(inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        now = edges.count()
+        if now == left:
+            break
+        left = now
+    return edges
 
-    def linear(cls, bases, open_, known):
-        if cls in known:
-            return known[cls]
-        if cls in open_:
-            return []
-        direct = [b for b in bases.get(cls, []) if b in bases]
-        below = open_ | {cls}
-        rows = [list(linear(b, bases, below, known)) for b in direct] + [list(direct)]
-        order = [cls]
-        while rows := [r for r in rows if r]:
-            tails = {x for r in rows for x in r[1:]}
-            head = next((r[0] for r in rows if r[0] not in tails), None)
-            if head is None:
+
+def _spread(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, color): the greatest color of all nodes from which a node can be reached, itself included."""
+    fresh = found
+    while True:
+        met = fresh.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.max("color").alias("_new"))
+        fresh = settle(met.join(found, "node").where("_new > color").select("node", F.col("_new").alias("color")))
+        if fresh.isEmpty():
+            return found
+        found = settle(found.join(fresh.select("node"), "node", "left_anti").unionByName(fresh))
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component): strongly connected components over (src, dst), each named by its least node.
+
+    Nodes that no cycle can hold are taken off first. Then every node learns the greatest node that leads to it, its
+    color; the nodes that lead back to that one, within the color, are its component. What is left is done again, with
+    only the edges within a color, so a round settles a component in every color at once.
+    """
+    nodes = settle(nodes.select("node").where("node is not null").distinct())
+    known = edges.select("src", "dst").where("src <> dst").distinct()
+    known = known.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    live, parts = _on_cycles(settle(known.select("src", "dst"))), []
+    while not live.isEmpty():
+        there = live.select(F.col("src").alias("node")).distinct()
+        colors = _spread(live, settle(there.withColumn("color", F.col("node"))))
+        tinted = live.join(colors.select(F.col("node").alias("src"), F.col("color").alias("_c")), "src").join(colors.select(F.col("node").alias("dst"), "color"), "dst")
+        inside = settle(tinted.where("_c = color").select("src", "dst", "color"))
+        back = fresh = settle(colors.where("node = color"))
+        while True:
+            step = fresh.select(F.col("node").alias("dst"), "color").join(inside, ["dst", "color"]).select(F.col("src").alias("node"), "color").distinct()
+            fresh = settle(step.join(back, "node", "left_anti"))
+            if fresh.isEmpty():
                 break
-            if head not in order:
-                order.append(head)
-            rows = [r[1:] if r[0] == head else r for r in rows]
-        if not open_:  # within a cycle the order depends on where the walk began
-            known[cls] = order
-        return order
+            back = back.unionAll(fresh)
+        back = settle(back)
+        parts.append(back)
+        done = back.select("node")
+        rest = inside.join(done.select(F.col("node").alias("src")), "src", "left_anti").join(done.select(F.col("node").alias("dst")), "dst", "left_anti")
+        live = _on_cycles(settle(rest.select("src", "dst")))
+    if not parts:
+        return nodes.select("node", F.col("node").alias("component"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionAll(p)
+    names = every.groupBy("color").agg(F.min("node").alias("component"))
+    cyclic = every.join(names, "color").select("node", "component")
+    return nodes.join(cyclic, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def order_with_cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component, level, position) of ``nodes`` (node, ord): dependencies first, over (src needs dst).
+
+    The nodes of a cycle are one component and stand together. A component is one level above the highest that it needs;
+    components of a level come in the order of their first node, and the nodes of a component in that of ``ord``.
+    """
+    ranked = settle(nodes.groupBy("node").agg(F.min("ord").alias("ord")))
+    parts = settle(strong_components(edges, ranked))
+    ends = edges.join(parts.select(F.col("node").alias("src"), F.col("component").alias("_a")), "src").join(parts.select(F.col("node").alias("dst"), F.col("component").alias("_b")), "dst")
+    above = levels(ends.select(F.col("_a").alias("src"), F.col("_b").alias("dst")), parts.select(F.col("component").alias("node")))
+    first = parts.join(ranked, "node").groupBy("component").agg(F.min("ord").alias("_first"))
+    rows = parts.join(ranked, "node").join(above.withColumnRenamed("node", "component"), "component").join(first, "component")
+    return numbered(rows.select("node", "component", "level", "_first", "ord"), "level", "_first", "component", "ord", "node").select("node", "component", "level", "position")
 
-    def orders(bases):
-        known: dict[str, list] = {}
-        return [linear(c, bases, frozenset(), known) for c in bases]
+
+def merged_order(cls, rows: list[list]) -> list:
+    """The C3 merge of ``rows`` behind ``cls``, cut off where no row's head is free. Linear in the rows."""
+    rows = [r for r in rows if r]
+    if len(rows) == 2 and len(rows[1]) == 1 and rows[0][0] == rows[1][0] and cls not in rows[0] and len(set(rows[0])) == len(rows[0]):
+        return [cls, *rows[0]]  # a single base
+    behind: dict = {}  # how many places after a head hold a class
+    for r in rows:
+        for x in r[1:]:
+            behind[x] = behind.get(x, 0) + 1
+    at, order, seen = [0] * len(rows), [cls], {cls}
+    heads: dict = {}  # the rows that a class heads
+    for i, r in enumerate(rows):
+        heads.setdefault(r[0], []).append(i)
+    left = len(rows)
+    while left:
+        head = next((r[at[i]] for i, r in enumerate(rows) if at[i] < len(r) and not behind.get(r[at[i]])), None)
+        if head is None:
+            break
+        if head not in seen:
+            seen.add(head)
+            order.append(head)
+        for i in heads.pop(head):
+            at[i] += 1
+            if at[i] == len(rows[i]):
+                left -= 1
+                continue
+            x = rows[i][at[i]]
+            behind[x] -= 1
+            heads.setdefault(x, []).append(i)
+    return order
+
+
+def _cyclic(bases: dict) -> dict:
+    """For each class that a cycle of bases holds, the classes of its strongly connected component (Tarjan, no recursion)."""
+    number, low, open_, stack, out = {}, {}, set(), [], {}
+    for root in bases:
+        if root in number:
+            continue
+        work = [(root, iter(bases[root]))]
+        number[root] = low[root] = len(number)
+        stack.append(root)
+        open_.add(root)
+        while work:
+            cls, rest = work[-1]
+            for b in rest:
+                if b not in number:
+                    number[b] = low[b] = len(number)
+                    stack.append(b)
+                    open_.add(b)
+                    work.append((b, iter(bases[b])))
+                    break
+                if b in open_:
+                    low[cls] = min(low[cls], number[b])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[cls])
+                if low[cls] == number[cls]:
+                    part = set()
+                    while cls not in part:
+                        part.add(stack.pop())
+                    open_ -= part
+                    if len(part) > 1 or cls in bases[cls]:
+                        out |= dict.fromkeys(part, frozenset(part))
+    return out
+
+
+def class_orders(bases: dict) -> dict:
+    """The order of every class over {class: its bases in order}. Each class is merged once, after its bases.
+
+    Only within a cycle does an order depend on where the walk began: there it is walked anew from each class, and a
+    class that the walk is in already adds nothing. Unknown bases are left out.
+    """
+    bases = {c: [b for b in bs if b in bases] for c, bs in bases.items()}
+    parts, known = _cyclic(bases), {}
+
+    def need(cls, within):
+        """What the order of ``cls`` rests on, in a walk that is in the classes ``within`` of its cycle."""
+        below = (within | {cls}) & parts[cls] if cls in parts else frozenset()
+        return [(b, below if b in parts.get(cls, ()) else frozenset()) for b in bases[cls]]
+
+    for start in bases:
+        work = [(start, frozenset())]
+        while work:
+            cls, within = key = work[-1]
+            if key in known:
+                work.pop()
+                continue
+            if cls in within:
+                known[key] = []
+                continue
+            wanted = need(cls, within)
+            missing = [k for k in wanted if k not in known]
+            if missing:
+                work += missing
+            else:
+                known[key] = merged_order(cls, [known[k] for k in wanted] + [bases[cls]])
+        if start in parts:  # the walks within a cycle are no use to others
+            known = {k: v for k, v in known.items() if not k[1]}
+    return {c: known[c, frozenset()] for c in bases}
+
+
+def c3_order(classes: DataFrame) -> DataFrame:
+    """(package, cls, mro) from (package, cls, bases): C3 linearisation, cut off where an order is inconsistent.
+
+    The merge is not a monotone recursion, so a package's classes are ordered together in one task, each once.
+    """
+    import pandas as pd
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        bases = {c: [] if b is None else list(b) for c, b in zip(group["cls"], group["bases"])}
-        return pd.DataFrame({"package": group["package"].iloc[0], "cls": list(bases), "mro": orders(bases)})
+        orders = class_orders({c: [] if b is None else list(b) for c, b in zip(group["cls"], group["bases"])})
+        return pd.DataFrame({"package": group["package"].iloc[0], "cls": list(orders), "mro": list(orders.values())})
 
     return classes.groupBy("package").applyInPandas(run, "package string, cls string, mro array<string>")
 

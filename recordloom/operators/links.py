@@ -54,7 +54,7 @@ def target_urls(links: DataFrame, routes: DataFrame) -> DataFrame:
 def resolve_topics(refs: DataFrame, topics: DataFrame, installed: DataFrame) -> DataFrame:
     """Help links (ref, owner, package, topic): the owner's topics, then those of the named or any package, then
     installed help. A reference to a package of the workspace never falls through to installed help."""
-    from .resolve import resolve_prioritised
+    from .resolve import best_targets, by_name
 
     inside = topics.select("package").distinct().withColumn("_ours", F.lit(True))
     rows = refs.join(inside, "package", "left")
@@ -70,8 +70,10 @@ def resolve_topics(refs: DataFrame, topics: DataFrame, installed: DataFrame) ->
     wanted = tried[0]
     for t in tried[1:]:
         wanted = wanted.unionAll(t)
-    met = wanted.join(names, "name").select("ref", "target", F.col("tier").alias("priority"))
-    return resolve_prioritised(refs.select("ref", F.col("ref").cast("string").alias("name")), met.select(F.col("ref").cast("string").alias("name"), "target", "priority"))
+    met = wanted.join(by_name(names.withColumn("priority", F.lit(0))).drop("priority"), "name").withColumnRenamed("tier", "priority")
+    joined = refs.select("ref").distinct().join(best_targets(met), "ref", "left")
+    status = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unresolved")
+    return joined.select(F.col("ref").cast("string").alias("ref"), F.when(F.col("n") == 1, F.col("target")).alias("target"), status.alias("status"))
 
 
 def reserved(path: Column, names: list[str], generated: str) -> Column:

@@ -56,19 +56,12 @@ def resolve_items(refs: DataFrame, items: DataFrame) -> DataFrame:
         again = lost.join(refs.select("ref", F.col("target").alias("_whole")), "ref").select("ref", "package", F.col("_whole").alias("name"), "tier")
         explicit = explicit.join(lost.select("ref"), "ref", "left_anti").unionByName(again)
     owned = refs.where("owner is not null").select("ref", F.col("owner").alias("package"), F.col("target").alias("name"), F.lit(1).alias("tier"))
-    tried = explicit.unionAll(owned).join(known, ["package", "name"], "left").where("tier = 0 or item is not null or name is not null")
     # A name that a tier does not know at all leaves the search open, except for the explicit one.
-    seen = explicit.unionAll(owned).join(known.select("package", "name", F.lit(True).alias("there")), ["package", "name"], "left")
-    tried = tried.join(seen.select("ref", "tier", "there"), ["ref", "tier"]).where("tier = 0 or there")
+    tried = explicit.unionAll(owned).join(known.withColumn("there", F.lit(True)), ["package", "name"], "left").where("tier = 0 or there")
     first = tried.groupBy("ref").agg(F.min_by(F.struct("package", "item", "there"), "tier").alias("hit"))
-    # Explicitly qualified or found names never fall through to the workspace.
-    rest = refs.join(first, "ref", "left_anti")
-    wide = (
-        rest.join(known.withColumnRenamed("name", "target"), "target")
-        .groupBy("ref")
-        .agg(F.count("*").alias("n"), F.min(F.struct("package", "item")).alias("only"))
-    )
-    out = refs.join(first, "ref", "left").join(wide, "ref", "left")
+    # Explicitly qualified or found names never fall through to the workspace, which has one row for each name.
+    wide = known.groupBy(F.col("name").alias("target")).agg(F.count("*").alias("n"), F.min(F.struct("package", "item")).alias("only"))
+    out = refs.join(first, "ref", "left").join(wide, "target", "left")
     one = F.when(F.col("hit").isNotNull(), F.struct(F.col("hit.package"), F.col("hit.item"))).when(F.col("n") == 1, F.col("only"))
     ambiguous = (F.col("hit").isNotNull() & F.coalesce("hit.there", F.lit(False))) | (F.col("hit").isNull() & (F.col("n") >= 1))
     return out.select(
@@ -133,15 +126,26 @@ def reconcile_methods(runtime: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.select("function", "signature", "_s.file", "_s.line", origin.alias("origin"))
 
 
+def best_targets(met: DataFrame) -> DataFrame:
+    """(ref, n, target) of (ref, priority, low, high): the least and the greatest target of the best priority tell
+    whether it is one (``n`` 1) or several (2). Such rows combine before they are shuffled."""
+    best = met.groupBy("ref", "priority").agg(F.min("low").alias("low"), F.max("high").alias("high")).groupBy("ref").agg(F.min_by(F.struct("low", "high"), "priority").alias("_b"))
+    return best.select("ref", F.when(F.col("_b.low") == F.col("_b.high"), 1).otherwise(2).alias("n"), F.col("_b.low").alias("target"))
+
+
+def by_name(candidates: DataFrame) -> DataFrame:
+    """(name, priority, low, high): one row for each name, of the best priority of its candidates (name, target, priority)."""
+    tiers = candidates.where("target is not null").groupBy("name", "priority").agg(F.min("target").alias("low"), F.max("target").alias("high"))
+    return tiers.groupBy("name").agg(F.min_by(F.struct("priority", "low", "high"), "priority").alias("_b")).select("name", "_b.*")
+
+
 def resolve_prioritised(refs: DataFrame, candidates: DataFrame) -> DataFrame:
     """For each ``ref`` the candidates (ref-side key ``name``, value ``target``, ``priority``) of the best priority only.
 
-    One target there is the answer, several are ambiguous, none at all is unresolved.
+    One target there is the answer, several are ambiguous, none at all is unresolved. Candidates become one row for each
+    name before references meet them, so a frequent name costs references plus candidates, not their product.
     """
-    met = refs.join(candidates, "name")
-    best = met.groupBy("ref").agg(F.min("priority").alias("priority"))
-    at_best = met.join(best, ["ref", "priority"]).groupBy("ref", "priority").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target"))
-    joined = refs.select("ref").join(at_best, "ref", "left")
+    joined = refs.select("ref").distinct().join(best_targets(refs.join(by_name(candidates), "name").select("ref", "priority", "low", "high")), "ref", "left")
     status = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unresolved")
     return joined.select("ref", F.when(F.col("n") == 1, F.col("target")).alias("target"), status.alias("status"))
 

@@ -86,21 +86,40 @@ def last_in_place(rows: DataFrame, keys: list[str], value: str, position: str) -
     return rows.groupBy(*keys).agg(F.max_by(value, position).alias(value), F.min(position).alias(position))
 
 
+def next_free(used: set, pointers: dict, slug: str) -> str:
+    """``slug``, or with the least number from 2 that makes it new. A pointer for each slug never looks at a number twice."""
+    found = slug
+    if found in used:
+        n = pointers.get(slug, 2)
+        while (found := f"{slug}-{n}") in used:
+            n += 1
+        pointers[slug] = n + 1
+    used.add(found)
+    return found
+
+
 def unique_slugs(headings: DataFrame) -> DataFrame:
     """(doc, ordinal, slug, identifier): repeated slugs get ``-2``, ``-3`` … against all identifiers used before.
 
-    The suffixes cascade, so each document is folded in order, inside one array expression.
+    The suffixes cascade, so a document is walked in order: its rows stream through one task, sorted, which holds the
+    identifiers of that document alone. The work is linear in the headings. A null slug stays without identifier.
     """
-    listed = headings.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("ordinal", "slug"))).alias("hs"))
-    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<ordinal:bigint,slug:string,identifier:string>>").alias("out"))
-
-    def step(state, h):
-        tries = F.transform(F.sequence(F.lit(1), F.size(state["used"]) + 1), lambda n: F.when(n == 1, h["slug"]).otherwise(F.concat(h["slug"], F.lit("-"), n.cast("string"))))
-        new = F.element_at(F.filter(tries, lambda t: ~F.array_contains(state["used"], t)), 1)
-        row = F.struct(h["ordinal"].cast("bigint").alias("ordinal"), h["slug"].alias("slug"), new.alias("identifier"))
-        return F.struct(F.concat(state["used"], F.array(new)).alias("used"), F.concat(state["out"], F.array(row)).alias("out"))
-
-    return listed.select("doc", F.inline(F.aggregate("hs", start, step)["out"]))
+    import pyarrow as pa
+
+    kinds = {c: headings.schema[c].dataType.simpleString() for c in ("doc", "ordinal")}
+
+    def run(batches):
+        doc, used, pointers = None, set(), {}
+        for batch in batches:
+            out = []
+            for d, s in zip(batch.column("doc").to_pylist(), batch.column("slug").to_pylist()):
+                if d != doc:
+                    doc, used, pointers = d, set(), {}
+                out.append(None if s is None else next_free(used, pointers, s))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "identifier"])
+
+    dealt = headings.select("doc", "ordinal", "slug").repartition("doc").sortWithinPartitions("doc", "ordinal", "slug")
+    return dealt.mapInArrow(run, f"doc {kinds['doc']}, ordinal {kinds['ordinal']}, slug string, identifier string")
 
 
 def preferred(rows: DataFrame, keys: list[str], value: str, preference: list[str]) -> DataFrame:
