@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import links, markup, records, site, tables
-from ..streaming import outputs, watch
+from ..streaming import debounce, outputs, watch
 from .queries import query, read
 
 
@@ -216,7 +216,37 @@ def w6_reduced_outputs(spark, sf_dir):
 )
 def w1_settled_changes(spark, sf_dir):
     log = read(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("path"), F.lit("s").alias("state"), F.col("ts").alias("at"))
-    return watch.settled_changes(log, 60_000).select("start", F.array_join("paths", ",").alias("paths"))
+    return debounce.settled_changes(log, 60_000).select("start", F.array_join("paths", ",").alias("paths"))
+
+
+@query(
+    """with e as (select 'u' || user_id as path, event_type || value as state, ts, ts > lag(ts) over (partition by user_id order by ts) + interval 1 hour as apart from events),
+    s as (select *, sum(case when coalesce(apart, true) then 1 else 0 end) over (partition by path order by ts) as g from e)
+    select path, min(ts) as start, max(ts) as last, count(*) as changes, max_by(state, ts) as state from s group by path, g"""
+)
+def w1_path_bursts(spark, sf_dir):
+    log = read(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("path"), F.concat("event_type", F.col("value").cast("string")).alias("state"), F.col("ts").alias("at"))
+    return debounce.path_bursts(log, 3_600_000)
+
+
+@query(
+    """with e as (select event_id as seq, 'p' || user_id % 20 as page, event_id % 7 as cell, 'd' || user_id % 90 as display_id, case event_id % 5 when 0 then 'update' when 4 then 'clear' else 'display' end as kind, value as v, event_id % 3 = 0 as wait from events),
+    o as (select *, max(seq) over (partition by page, cell) as final from e where kind = 'display'),
+    c as (select e.page, e.cell, max(e.seq) as cleared from e left join (select page, cell, max(seq) as final from o group by all) f using (page, cell) where kind = 'clear' and (not wait or e.seq < f.final) group by all),
+    u as (select page, display_id, max(seq) as seq, max_by(v, seq) as v from e where kind = 'update' group by all),
+    kept as (select o.*, row_number() over (partition by o.page, o.cell order by o.seq) - 1 as position from o left join c using (page, cell) where o.seq > coalesce(cleared, -1)),
+    births as (select o.page, o.display_id, o.seq, min(k.at) as gone from o left join (select x.page, x.cell, x.seq as clear, case when x.wait then (select min(y.seq) from o y where y.page = x.page and y.cell = x.cell and y.seq > x.seq) else x.seq end as at
+      from e x where x.kind = 'clear') k on k.page = o.page and k.cell = o.cell and k.clear > o.seq group by o.page, o.display_id, o.seq)
+    select k.page, cast(k.cell as bigint) as cell, cast(position as integer) as position, cast(case when u.seq > k.seq then u.v else k.v end as varchar) as payload, cast(null as varchar) as problem from kept k left join u using (page, display_id)
+    union all select page, cell, null, display_id, 'unknown-display' from e where kind = 'update' and not exists (select 1 from births b where b.page = e.page and b.display_id = e.display_id and b.seq < e.seq and (b.gone is null or b.gone > e.seq))"""
+)
+def j17_display_updates(spark, sf_dir):
+    i, none = F.col("event_id"), F.lit(None).cast("string")
+    events = read(spark, sf_dir, "events").select(
+        F.concat(F.lit("p"), F.col("user_id") % 20).alias("page"), i.alias("seq"), (i % 7).alias("cell"), F.when(i % 5 == 0, "update").when(i % 5 == 4, "clear").otherwise("display").alias("kind"), none.alias("name"),
+        F.col("value").cast("string").alias("payload"), F.concat(F.lit("d"), F.col("user_id") % 90).alias("display_id"), (i % 3 == 0).alias("wait"),
+    )
+    return outputs.reduce_outputs(events).select("page", "cell", "position", "payload", "problem")
 
 
 @query(

@@ -83,17 +83,6 @@ def link_cycles(links: DataFrame) -> DataFrame:
     return found.where("start = node").select(F.col("start").alias("path"))
 
 
-def settled_changes(observations: DataFrame, quiet_ms: int = 200) -> DataFrame:
-    """(burst, paths) of a change log (path, state, at): changes closer than ``quiet_ms`` are one burst.
-
-    On a stream this is a session window, which a watermark closes; on a table it is the same aggregation.
-    """
-    gap = F.session_window("at", f"{quiet_ms} milliseconds")
-    return observations.groupBy(gap).agg(F.array_sort(F.collect_set("path")).alias("paths")).select(
-        F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "paths"
-    )
-
-
 def stream_observations(spark: SparkSession, folder: str) -> DataFrame:
     """A stream over a folder of observation files in JSON."""
     return spark.readStream.schema(OBSERVATION).json(folder)

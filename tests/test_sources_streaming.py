@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recordloom.operators import records, selection, site
 from recordloom.sources import api, files, snapshot
-from recordloom.streaming import outputs, watch
+from recordloom.streaming import debounce, outputs, watch
 
 
 def make_database(path, versions=(2, 16, 1), items=10):
@@ -280,4 +280,4 @@ def test_watch_parts(spark):
 
 def test_debounce(spark):
     df = spark.sql("select * from values ('a', 's', timestamp'2024-01-01 00:00:00.000'), ('b', 's', timestamp'2024-01-01 00:00:00.100'), ('a', 's', timestamp'2024-01-01 00:00:01') as t(path, state, at)")
-    assert sorted(r.paths for r in watch.settled_changes(df).collect()) == [["a"], ["a", "b"]]
+    assert sorted(r.paths for r in debounce.settled_changes(df).collect()) == [["a"], ["a", "b"]]
