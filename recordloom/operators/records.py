@@ -51,7 +51,7 @@ SNAPSHOT_TABLES = ["assets", "manifest", "records"]
 
 def generated_files(files: DataFrame) -> DataFrame:
     """(path, generated) of database files (path, application_id, tables): those that we wrote ourselves."""
-    from ..sources.snapshot import BUNDLE_ID, SNAPSHOT_ID
+    from ..sources.database import BUNDLE_ID, SNAPSHOT_ID
 
     ours = F.col("application_id").isin(SNAPSHOT_ID, BUNDLE_ID) & (F.array_sort("tables") == F.array(*map(F.lit, SNAPSHOT_TABLES)))
     return files.select("path", F.coalesce(ours, F.lit(False)).alias("generated"))

@@ -206,31 +206,37 @@ def output_overlaps(outputs: DataFrame, inputs: DataFrame, caches: DataFrame) ->
     return under.unionAll(above).distinct()
 
 
-def publish_files(files: DataFrame, path: str) -> str:
-    """Publish a tree of files (path, bytes) as a version of its own, and then make it the present one in one step.
+def publish_files(files: DataFrame, path: str, base="latest"):
+    """Publish a tree of files (path, bytes) as a version of its own and make it the present one by a commit.
 
-    A folder that holds something else than published trees is refused. Returns the version.
+    ``base`` is the commit that the tree was made from; if there is a later one, ``Conflict`` is raised. A folder that
+    holds something else than published trees is refused. Returns the commit.
     """
-    import uuid
-
-    from ..sources.snapshot import replace_text
+    from ..sources.commits import CommitLog
 
     spark = files.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if system.exists(folder) and len(list(system.listStatus(folder))) and not system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")):
+    if system.exists(folder) and len(list(system.listStatus(folder))) and not system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_log")):
         raise ValueError(f"{path} holds files that were not published here")
     twice = files.groupBy("path").count().where("count > 1").limit(5).collect()
     if twice:
         raise ValueError(f"several files for {[r.path for r in twice]}")
-    version = uuid.uuid4().hex
-    files.select("path", "bytes").write.parquet(f"{path}/{version}")
-    replace_text(spark, f"{path}/CURRENT", version)
-    return version
+    log = CommitLog(spark, path)
+    base = log.latest() if base == "latest" else base
+    version, at = log.data_path()
+    try:
+        files.select("path", "bytes").write.parquet(at)
+        return log.commit(base, version, ["*"], ["*"])
+    except BaseException:
+        log.remove(version)
+        raise
 
 
 def published_files(spark, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/CURRENT').first()['value']}")
+    from ..sources.commits import CommitLog
+
+    return spark.read.parquet(f"{path}/{CommitLog(spark, path).latest().data}")
 
 
 def visible_pages(pages: DataFrame, packages: DataFrame) -> DataFrame:

@@ -412,7 +412,7 @@ def x28_common_metadata(spark, sf_dir):
 
 @query("select c_custkey as path, c_custkey % 3 = 0 and c_custkey % 2 = 0 as generated from customer")
 def q8_generated_files(spark, sf_dir):
-    from ..sources.snapshot import BUNDLE_ID
+    from ..sources.database import BUNDLE_ID
 
     c = F.col("c_custkey")
     held = F.when(c % 2 == 0, F.array(F.lit("records"), F.lit("assets"), F.lit("manifest"))).otherwise(F.array(F.lit("records")))

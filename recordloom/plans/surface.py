@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.canonical import restricted_json
 from ..operators import graphs, links, records, selection, site, tables
-from ..sources import files
+from ..sources import commits, database, files
 from ..streaming import watch
 from .documents import _case
+from .lineage import shared_path
 from .queries import query, read, record_table
 
 
@@ -213,3 +214,25 @@ def g10_rewritten_names(spark, sf_dir):
     more = spark.createDataFrame([("q", "x.y"), ("p5", "end"), ("p5", "other"), ("p6", "r"), ("r", "p6")], "alias string, target string")
     names = read(spark, sf_dir, "customer").select(F.concat(F.lit("p"), "c_nationkey", F.lit(".f"), "c_custkey").alias("name"))
     return graphs.rewrite_names(names, aliases.unionAll(more))
+
+
+@query("select source as owner, cast(doc_id as varchar) as id, '{\"lang\":\"' || lang || '\",\"digest\":\"' || sha256(text) || '\"}' as content from documents where source >= 'src3' and source < 'src8'")
+def s2_snapshot_round_trip(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    records = docs.select(
+        F.lit("item").alias("kind"), F.col("source").alias("owner"), F.col("doc_id").cast("string").alias("id"),
+        F.to_json(F.struct("lang", F.sha2("text", 256).alias("digest"))).alias("content"), F.lit("").alias("fingerprint"),
+    )
+    path = shared_path(spark, "snapshot")
+    database.write_snapshot({"records": records}, path, "recordloom")
+    found = database.read_snapshot(spark, path, slices=8)["records"].where("kind = 'item' and owner >= 'src3' and owner < 'src8'")
+    return found.select("owner", "id", "content")
+
+
+@query("select 'k' || c_custkey as key, c_mktsegment as payload from customer")
+def k10_write_once(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").select(F.concat(F.lit("k"), "c_custkey").alias("key"), F.col("c_mktsegment").alias("payload"))
+    path, third = shared_path(spark, "cache"), F.pmod(F.xxhash64("key"), F.lit(3))
+    for part in (third == 0, third <= 1, third >= 0):  # what is there already is not written again
+        commits.put_once(rows.where(part), path)
+    return commits.once(spark, path, rows.schema)

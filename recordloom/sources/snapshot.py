@@ -1,108 +1,14 @@
-"""Snapshots: reading them from SQLite files, publishing and exporting them.
-
-The reader is a Python data source. It opens the database read-only, checks its header and versions, and deals a table's
-rows to partitions by ranges of its keys, so a large snapshot is not read by one task. SQLite needs a file system: the
-database must lie at the same path on all executors.
-"""
+"""Snapshots: verifying, publishing, importing and exporting their tables. ``database`` reads and writes SQLite files."""
 
 from __future__ import annotations
 
 import json
-import sqlite3
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-SCHEMAS = {
-    "manifest": "id int, storage_version int, ir_version int, encoding_version int, producer string, content_fingerprint string",
-    "records": "kind string, owner string, id string, content string, fingerprint string",
-    "assets": "digest string, media_type string, bytes binary",
-}
-#: The versions that a reader accepts; others are refused, there is no migration.
-STORAGE_VERSION, IR_VERSION, ENCODING_VERSION = 2, 16, 1
-
-
-#: The application ids of a workspace's snapshot and of a bundle of one package, and a bundle's version.
-SNAPSHOT_ID, BUNDLE_ID, BUNDLE_VERSION = 0x4449504C, 0x44495042, 1
-
-
-def open_snapshot(path: str, bundle: bool = False) -> sqlite3.Connection:
-    """A database that stands alone (no write-ahead log, no recovery files beside it), read-only."""
-    import os
-
-    with open(path, "rb") as f:
-        head = f.read(20)
-    if head[:16] != b"SQLite format 3\0" or head[18:] != b"\1\1":
-        raise ValueError(f"{path} is not a snapshot database with a rollback journal")
-    left = [s for s in ("-journal", "-wal", "-shm") if os.path.exists(path + s)]
-    if bundle and left:
-        raise ValueError(f"{path} has recovery files: {left}")
-    db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
-    if bundle != (db.execute("pragma application_id").fetchone()[0] == BUNDLE_ID):
-        db.close()
-        raise ValueError(f"{path} is {'not ' if bundle else ''}a bundle of one package")
-    if bundle and db.execute("pragma user_version").fetchone()[0] != BUNDLE_VERSION:
-        db.close()
-        raise ValueError(f"{path} is a bundle of another version")
-    return db
-
-
-class _Slice(InputPartition):
-    def __init__(self, low: str | None, high: str | None):
-        self.low, self.high = low, high
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.table = options["path"], options.get("table", "records")
-        self.slices = int(options.get("slices", "4"))
-        self.bundle = options.get("bundle", "false") == "true"
-
-    def partitions(self):
-        if self.table == "manifest":
-            return [_Slice(None, None)]
-        key = "id" if self.table == "records" else "digest"
-        with open_snapshot(self.path, self.bundle) as db:
-            manifest = db.execute("select storage_version, ir_version, encoding_version from manifest").fetchall()
-            if manifest != [(STORAGE_VERSION, IR_VERSION, ENCODING_VERSION)]:
-                raise ValueError(f"unknown snapshot versions: {manifest}")
-            n = db.execute(f"select count(*) from {self.table}").fetchone()[0]
-            step = max(1, -(-n // self.slices))
-            cuts = [r[0] for r in db.execute(f"select distinct {key} from (select {key}, row_number() over (order by {key}) - 1 as n from {self.table}) where n % {step} = 0 order by 1")]
-        edges = [None, *cuts[1:], None]
-        return [_Slice(a, b) for a, b in zip(edges, edges[1:])]
-
-    def read(self, part: _Slice) -> Iterator[tuple]:
-        names = [c.split()[0] for c in SCHEMAS[self.table].split(", ")]
-        key = "id" if self.table == "records" else "digest"
-        tests = [(f"{key} >= ?", part.low), (f"{key} < ?", part.high)]
-        held = [t for t in tests if t[1] is not None]
-        where = f" where {' and '.join(t for t, _ in held)}" if held else ""
-        with open_snapshot(self.path, self.bundle) as db:
-            yield from db.execute(f"select {', '.join(names)} from {self.table}{where}", [v for _, v in held])
-
-
-class SnapshotSource(DataSource):
-    """``spark.read.format("snapshot").option("table", "records").load(path)``"""
-
-    @classmethod
-    def name(cls):
-        return "snapshot"
-
-    def schema(self):
-        return SCHEMAS[self.options.get("table", "records")]
-
-    def reader(self, schema):
-        return _Reader(self.options)
-
-
-def read_snapshot(spark: SparkSession, path: str, bundle: bool = False) -> dict[str, DataFrame]:
-    """The three tables of a snapshot, or of a bundle; digests are verified by ``verify``."""
-    spark.dataSource.register(SnapshotSource)
-    reader = spark.read.format("snapshot").option("path", path).option("bundle", str(bundle).lower())
-    return {t: reader.option("table", t).load() for t in SCHEMAS}
+
+from .commits import Commit, CommitLog
+from .database import SCHEMAS
 
 
 def verify(tables: dict[str, DataFrame], domain: str | None = None, rules: bool = True) -> DataFrame:
@@ -136,29 +42,35 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), conf).rename(draft, target, how)
 
 
-def publish(tables: dict[str, DataFrame], path: str, domain: str | None = None) -> None:
-    """Write the tables as Parquet, read them back, verify them, and only then make them the published version.
+def publish(tables: dict[str, DataFrame], path: str, domain: str | None = None, base: Commit | None | str = "latest") -> Commit:
+    """Write the tables as Parquet, read them back, verify them, and only then commit them as the published version.
 
-    Versions stand side by side; the file ``CURRENT`` names the published one and is replaced last and in one step, so
-    readers never see a part of a snapshot and always see one. Records are clustered by kind for point lookups.
+    Versions stand side by side and readers take the last commit, so they never see a part of a snapshot. ``base`` is the
+    version that the tables were made from; if another one was published since, this one is refused with ``Conflict``.
+    Records are clustered by their key for point lookups.
     """
-    import uuid
-
     spark = tables["records"].sparkSession
-    version = uuid.uuid4().hex
-    for name, df in tables.items():
-        df = df.repartitionByRange("kind", "owner", "id").sortWithinPartitions("kind", "owner", "id") if name == "records" else df
-        df.write.parquet(f"{path}/{version}/{name}")
-    back = {name: spark.read.parquet(f"{path}/{version}/{name}") for name in tables}
-    broken = verify(back, domain).limit(5).collect()
-    if broken:
-        raise ValueError(f"refused to publish: {[tuple(r) for r in broken]}")
-    replace_text(spark, f"{path}/CURRENT", version)
+    log = CommitLog(spark, path)
+    base = log.latest() if base == "latest" else base
+    version, folder = log.data_path()
+    try:
+        for name, df in tables.items():
+            df = df.repartitionByRange("kind", "owner", "id").sortWithinPartitions("kind", "owner", "id") if name == "records" else df
+            df.write.parquet(f"{folder}/{name}")
+        broken = verify({name: spark.read.parquet(f"{folder}/{name}") for name in tables}, domain).limit(5).collect()
+        if broken:
+            raise ValueError(f"refused to publish: {[tuple(r) for r in broken]}")
+        return log.commit(base, version, ["*"], ["*"])
+    except BaseException:
+        log.remove(version)
+        raise
 
 
 def published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    version = spark.read.text(f"{path}/CURRENT").first()["value"]
-    return {name: spark.read.parquet(f"{path}/{version}/{name}") for name in SCHEMAS}
+    now = CommitLog(spark, path).latest()
+    if now is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return {name: spark.read.parquet(f"{path}/{now.data}/{name}") for name in SCHEMAS}
 
 
 def bundle_violations(records: DataFrame) -> DataFrame:

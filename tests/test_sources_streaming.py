@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.operators import records, selection, site
-from recordloom.sources import api, files, snapshot
+from recordloom.sources import api, commits, database, files, snapshot
 from recordloom.streaming import debounce, outputs, watch
 
 
@@ -24,7 +24,7 @@ def make_database(path, versions=(2, 16, 1), items=10):
 
 def test_snapshot_round_trip(spark, tmp_path):
     make_database(tmp_path / "s.db")
-    tables = snapshot.read_snapshot(spark, str(tmp_path / "s.db"))
+    tables = database.read_snapshot(spark, str(tmp_path / "s.db"))
     assert tables["records"].count() == 11 and tables["assets"].count() == 1
     assert snapshot.verify(tables).count() == 0
     snapshot.publish(tables, str(tmp_path / "out"))
@@ -47,32 +47,32 @@ def test_snapshots_and_bundles_are_told_apart(spark, tmp_path):
     make_database(tmp_path / "s.db")
     make_database(tmp_path / "b.db")
     db = sqlite3.connect(tmp_path / "b.db")
-    db.execute(f"pragma application_id = {snapshot.BUNDLE_ID}")
+    db.execute(f"pragma application_id = {database.BUNDLE_ID}")
     db.execute("pragma user_version = 1")
     db.commit()
     db.close()
-    assert snapshot.read_snapshot(spark, str(tmp_path / "b.db"), bundle=True)["records"].count() == 11
+    assert database.read_snapshot(spark, str(tmp_path / "b.db"), bundle=True)["records"].count() == 11
     for name, bundle in (("s.db", True), ("b.db", False)):
         with pytest.raises(Exception, match="a bundle of one package"):
-            snapshot.read_snapshot(spark, str(tmp_path / name), bundle)["records"].count()
+            database.read_snapshot(spark, str(tmp_path / name), bundle)["records"].count()
     (tmp_path / "b.db-wal").write_text("")
     with pytest.raises(ValueError, match="recovery files"):
-        snapshot.open_snapshot(str(tmp_path / "b.db"), bundle=True)
+        database.open_snapshot(str(tmp_path / "b.db"), bundle=True)
     (tmp_path / "wal.db").write_bytes(b"SQLite format 3\0\x10\0\2\2")
     with pytest.raises(ValueError, match="rollback journal"):
-        snapshot.open_snapshot(str(tmp_path / "wal.db"))
+        database.open_snapshot(str(tmp_path / "wal.db"))
 
 
 def test_snapshot_refuses_other_versions_and_broken_tables(spark, tmp_path):
     make_database(tmp_path / "s.db", versions=(2, 15, 1))
     with pytest.raises(Exception, match="unknown snapshot versions"):
-        snapshot.read_snapshot(spark, str(tmp_path / "s.db"))["records"].count()
+        database.read_snapshot(spark, str(tmp_path / "s.db"))["records"].count()
     make_database(tmp_path / "t.db")
-    tables = snapshot.read_snapshot(spark, str(tmp_path / "t.db"))
+    tables = database.read_snapshot(spark, str(tmp_path / "t.db"))
     broken = tables | {"records": tables["records"].where("kind <> 'package'")}
     with pytest.raises(ValueError, match="orphan-owner"):
         snapshot.publish(broken, str(tmp_path / "out"))
-    assert not (tmp_path / "out" / "CURRENT").exists()
+    assert commits.CommitLog(spark, str(tmp_path / "out")).latest() is None and not list((tmp_path / "out").glob("*/records"))
 
 
 def test_bundles_and_write_once(spark):
