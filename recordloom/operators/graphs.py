@@ -328,3 +328,57 @@ def resolve_aliases(aliases: DataFrame, names: DataFrame) -> DataFrame:
     ends = found.join(aliases.select(F.col("alias").alias("node")).distinct(), "node", "left_anti")
     plain = names.join(aliases.select(F.col("alias").alias("name")).distinct(), "name", "left_anti").select("name", F.col("name").alias("target"))
     return names.join(ends.select(F.col("start").alias("name"), F.col("node").alias("target")), "name").select("name", "target").unionAll(plain)
+
+
+def closure_changes(pairs: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """(start, node, change) that brings a closure (start, node) of ``edges`` up to date with added and removed edges.
+
+    Removed first: every pair that some way over a removed edge gives is taken back, and those of them that the edges left
+    still give are found again, backwards from pairs that stand. Then added ones: a new pair goes over an added edge, from
+    all that lead to it, and on from there by single edges. The joins start from the changed edges and the pairs that they
+    touch; of the closure they take the rows that meet those. ``edges`` are those before the change; an edge that is
+    both removed and added stays.
+    """
+    pairs, plain = pairs.select("start", "node"), lambda e: e.select("src", "dst").where("src is not null and dst is not null").distinct()
+    old = plain(edges)
+    new_edges = settle(plain(added).join(old, ["src", "dst"], "left_anti"))
+    lost = settle(plain(removed).join(plain(added), ["src", "dst"], "left_anti").join(old, ["src", "dst"], "left_semi"))
+    left = old.join(lost, ["src", "dst"], "left_anti")
+
+    def around(changed: DataFrame) -> DataFrame:
+        """(start, dst): from all that lead to a changed edge, itself included, to its end."""
+        ahead = changed.select(F.col("src").alias("node"), "dst").join(pairs, "node").select("start", "dst")
+        return changed.select(F.col("src").alias("start"), "dst").unionAll(ahead).distinct()
+
+    over = around(lost)
+    behind = over.unionAll(over.join(pairs.select(F.col("start").alias("dst"), "node"), "dst").select("start", F.col("node").alias("dst")))
+    shaken = settle(behind.distinct().select("start", F.col("dst").alias("node")))
+    standing = lambda p: p.join(shaken, ["start", "node"], "left_anti")
+    # Again: an edge that is left, and then nothing or a pair that stands.
+    first = shaken.join(left.select(F.col("src").alias("start"), F.col("dst").alias("_via")), "start")
+    direct = first.where("_via = node").select("start", "node")
+    by_pair = first.join(standing(pairs).select(F.col("start").alias("_via"), "node"), ["_via", "node"], "left_semi").select("start", "node")
+    again = fresh = settle(direct.unionAll(by_pair).distinct())
+    while not fresh.isEmpty():
+        up = first.join(fresh.select(F.col("start").alias("_via"), "node"), ["_via", "node"], "left_semi").select("start", "node").distinct()
+        fresh = settle(up.join(again, ["start", "node"], "left_anti"))
+        again = again.unionAll(fresh)
+    gone = settle(shaken.join(again, ["start", "node"], "left_anti"))
+    # What stands now is the closure of the edges left. Pairs over added edges, step by step.
+    now = pairs.join(gone, ["start", "node"], "left_anti")
+    both = left.unionAll(new_edges)
+    ahead = new_edges.select(F.col("src").alias("node"), "dst").join(now, "node").select("start", F.col("dst").alias("node"))
+    begun = new_edges.select(F.col("src").alias("start"), F.col("dst").alias("node")).unionAll(ahead).distinct()
+    grown = fresh = settle(begun.join(now, ["start", "node"], "left_anti"))
+    while not fresh.isEmpty():
+        step = fresh.join(both, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        fresh = settle(step.join(grown, ["start", "node"], "left_anti").join(now, ["start", "node"], "left_anti"))
+        grown = grown.unionAll(fresh)
+    made = grown.join(gone, ["start", "node"], "left_anti").withColumn("change", F.lit("added"))
+    return made.unionAll(gone.join(grown, ["start", "node"], "left_anti").withColumn("change", F.lit("removed")))
+
+
+def apply_changes(pairs: DataFrame, changes: DataFrame) -> DataFrame:
+    """A closure (start, node) after ``closure_changes``."""
+    kept = pairs.select("start", "node").join(changes.where("change = 'removed'"), ["start", "node"], "left_anti")
+    return kept.unionByName(changes.where("change = 'added'").select("start", "node"))

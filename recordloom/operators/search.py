@@ -1,10 +1,12 @@
-"""Ranked substring search."""
+"""Ranked substring search: one query by a scan, a table of queries by an inverted index of three-character pieces."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import settle
+
 
 def search(entries: DataFrame, query: str, limit: int = 12) -> DataFrame:
     """The best ``limit`` entries (title, text, package, ordinal) that hold the query, with their ``rank``.
@@ -17,7 +19,65 @@ def search(entries: DataFrame, query: str, limit: int = 12) -> DataFrame:
     if not q:
         return entries.withColumn("rank", F.lit(0)).limit(0)
     title = F.lower("title")
-    text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("package", F.lit(""))))
+    text = _full_text()
     exact = (title == q) | F.endswith(title, F.lit(f".{q}")) | F.endswith(title, F.lit(f"::{q}"))
     rank = F.when(exact, 0).when(F.contains(title, F.lit(q)), 1).otherwise(2)
     return entries.where(F.contains(text, F.lit(q))).withColumn("rank", rank).orderBy("rank", "ordinal").limit(limit)
+
+
+def _full_text() -> Column:
+    return F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("package", F.lit(""))))
+
+
+def _grams(text: Column) -> Column:
+    """The different three-character pieces of a text; two marks behind its end let every character begin one."""
+    letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    marks = F.array(F.lit("\0"), F.lit("\0"))
+    second, third = F.slice(F.concat(letters, marks), F.lit(2), F.size(letters)), F.slice(F.concat(letters, marks), F.lit(3), F.size(letters))
+    both = F.zip_with(letters, second, lambda x, y: F.concat(x, y))
+    return F.array_distinct(F.zip_with(both, third, lambda x, y: F.concat(x, y)))
+
+
+def build_index(entries: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """The inverted index of entries (title, text, package, ordinal): (gram, block, ordinals, n), sorted by gram.
+
+    A row has the entries of a block of ordinals that hold the gram, so no row grows with the table; ``n`` is their
+    number. Written as Parquet, the order lets a look-up skip the row groups of other grams.
+    """
+    text = _full_text()
+    listed = entries.select("ordinal", F.explode(F.when(F.length(text) > 0, _grams(text))).alias("gram"))
+    rows = listed.groupBy("gram", F.floor(F.col("ordinal") / block).alias("block")).agg(F.array_sort(F.collect_list("ordinal")).alias("ordinals"))
+    return rows.withColumn("n", F.size("ordinals").cast("long")).repartitionByRange("gram", "block").sortWithinPartitions("gram", "block")
+
+
+def search_many(entries: DataFrame, index: DataFrame, queries: DataFrame, limit: int = 12, broadcast_rows: int = 200_000) -> DataFrame:
+    """(query_id, query, title, text, package, ordinal, rank, place): what ``search`` finds for each of ``queries`` (query_id, query).
+
+    A query's candidates are the entries that hold its rarest three-character piece; of one or two characters, those of
+    all pieces that begin so. They are verified on their texts, ranked, and the best ``limit`` of each query kept. No
+    query meets an entry that does not hold its rarest piece. ``ordinal`` tells entries apart.
+    """
+    asked = queries.select("query_id", F.lower(F.btrim("query", F.lit(" \t\n\x0b\x0c\r"))).alias("query")).where("query <> ''")
+    counts = index.groupBy("gram").agg(F.sum("n").alias("n"))
+    pieces = asked.where("length(query) > 2").select("query_id", F.explode(F.filter(_grams(F.col("query")), lambda g: ~F.contains(g, F.lit("\0")))).alias("gram"))
+    rarest = pieces.join(counts, "gram", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("_r")).select("query_id", "_r.gram")
+    short = counts.select("gram", F.explode(F.array(F.substring("gram", 1, 1), F.substring("gram", 1, 2))).alias("query")).join(asked.where("length(query) < 3"), "query").select("query_id", "gram")
+    wanted = settle(rarest.unionAll(short).distinct())
+    small = wanted.count() <= broadcast_rows
+    wanted = F.broadcast(wanted) if small else wanted
+    candidates = index.join(wanted, "gram").select("query_id", F.explode("ordinals").alias("ordinal")).distinct()
+    named = candidates.join(F.broadcast(asked) if small else asked, "query_id")
+    met = named.join(entries.withColumn("_full", _full_text()), "ordinal").where(F.contains("_full", F.col("query")))
+    title = F.lower("title")
+    exact = (title == F.col("query")) | F.endswith(title, F.concat(F.lit("."), "query")) | F.endswith(title, F.concat(F.lit("::"), "query"))
+    ranked = met.withColumn("rank", F.when(exact, 0).when(F.contains(title, F.col("query")), 1).otherwise(2))
+    return _best(ranked, limit).join(F.broadcast(asked) if small else asked, "query_id").join(entries, "ordinal").select("query_id", "query", "title", "text", "package", "ordinal", "rank", "place")
+
+
+def _best(ranked: DataFrame, limit: int) -> DataFrame:
+    """(query_id, ordinal, rank, place): the first ``limit`` of each query, salted first so that no window is one query's whole."""
+    rows = ranked.select("query_id", "rank", "ordinal", F.pmod(F.xxhash64("ordinal"), F.lit(64)).alias("_salt"))
+    part = Window.partitionBy("query_id", "_salt").orderBy("rank", "ordinal")
+    some = rows.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= limit)
+    whole = Window.partitionBy("query_id").orderBy("rank", "ordinal")
+    return some.withColumn("place", F.row_number().over(whole)).where(F.col("place") <= limit).select("query_id", "ordinal", "rank", "place")
