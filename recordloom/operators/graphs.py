@@ -94,7 +94,7 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         left, level = settle(left.join(ready, "node", "left_anti")), level + 1
 
 
-def numbered(rows: DataFrame, *order: str, name: str = "position") -> DataFrame:
+def numbered(rows: DataFrame, *order, name: str = "position") -> DataFrame:
     """``rows`` with their number from 0 in the order of the columns ``order``, which tell all rows apart.
 
     The sort deals ranges of the order to partitions; a row's number is its place in its partition and what earlier

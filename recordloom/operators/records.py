@@ -99,8 +99,10 @@ def decode_violations(records: DataFrame, schemas: dict[str, str], required: dic
 
 
 def keyed_order(records: DataFrame) -> DataFrame:
-    """Records by kind, owner and id, byte by byte: a range-partitioned sort."""
-    return records.orderBy("kind", "owner", "id")
+    """Records with their ``position`` by kind, owner and id, byte by byte."""
+    from .graphs import numbered
+
+    return numbered(records, "kind", "owner", "id")
 
 
 def asset_sizes(assets: DataFrame) -> DataFrame:

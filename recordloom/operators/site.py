@@ -246,6 +246,8 @@ def visible_pages(pages: DataFrame, packages: DataFrame) -> DataFrame:
 
 
 def package_order(packages: DataFrame, languages: list[str]) -> DataFrame:
-    """Packages with ``position``: by the rank of their language, then name, then id. A whole sort, not a window."""
+    """Packages with ``position``: by the rank of their language, then name, then id."""
+    from .graphs import numbered
+
     rank = F.array_position(F.array(*map(F.lit, languages)), F.col("language"))
-    return packages.withColumn("rank", F.when(rank > 0, rank).otherwise(len(languages) + 1).cast("int")).orderBy("rank", "name", "id")
+    return numbered(packages.withColumn("rank", F.when(rank > 0, rank).otherwise(len(languages) + 1).cast("int")), "rank", "name", "id")

@@ -70,8 +70,10 @@ def missing_last(*columns: str) -> list[Column]:
 
 
 def order_diagnostics(diagnostics: DataFrame) -> DataFrame:
-    """The total order of diagnostics: source, span, code, severity, entity, message, related spans; missing last."""
-    return diagnostics.orderBy(*missing_last("source", "span", "code", "severity", "entity", "message", "related_spans"))
+    """Diagnostics with their ``position`` in the total order: source, span, code, severity, entity, message, related spans; missing last."""
+    from .graphs import numbered
+
+    return numbered(diagnostics, *missing_last("source", "span", "code", "severity", "entity", "message", "related_spans"))
 
 
 def first_wins(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:

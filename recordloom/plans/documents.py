@@ -265,10 +265,10 @@ def w5_reuse_digests(spark, sf_dir):
     return watch.reuse_digests(listing, known).select("path", "stamp", "digest")
 
 
-@query("select doc_id as path, case when doc_id % 4 = 0 then 'added' else 'modified' end as change from documents where lang = 'en' and not exists (select 1 from labels l where l.doc_id = documents.doc_id and l.quality = documents.n_chars % 2)")
+@query("select doc_id as path, case when doc_id % 4 = 0 then 'added' else 'modified' end as change from documents where not exists (select 1 from labels l where l.doc_id = documents.doc_id and l.quality = documents.n_chars % 2)")
 def w2_unacknowledged(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    changes = docs.where("lang = 'en'").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 4 == 0, "added").otherwise("modified").alias("change"))
+    changes = docs.select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 4 == 0, "added").otherwise("modified").alias("change"))
     now = docs.select(F.col("doc_id").alias("path"), (F.col("n_chars") % 2).cast("string").alias("state"))
     written = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"), F.col("quality").cast("string").alias("state"))
     return watch.unacknowledged(changes, now, written)
@@ -276,10 +276,10 @@ def w2_unacknowledged(spark, sf_dir):
 
 @query(
     """select l.doc_id, cast(row_number() over (partition by l.quality order by d.lang nulls last, d.n_chars nulls last, l.doc_id) as bigint) as position
-    from labels l left join (select * from documents where source < 'src5') d using (doc_id)"""
+    from labels l left join (select doc_id + 50 as doc_id, lang, n_chars from documents) d using (doc_id)"""
 )
 def o2_missing_last(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("source < 'src5'").select("doc_id", "lang", "n_chars")
+    docs = read(spark, sf_dir, "documents").select((F.col("doc_id") + 50).alias("doc_id"), "lang", "n_chars")
     rows = read(spark, sf_dir, "labels").select("doc_id", "quality").join(docs, "doc_id", "left")
     w = Window.partitionBy("quality").orderBy(*tables.missing_last("lang", "n_chars", "doc_id"))
     return rows.select("doc_id", F.row_number().over(w).cast("bigint").alias("position"))
@@ -431,10 +431,10 @@ def k13_output_overlaps(spark, sf_dir):
     return site.output_overlaps(region.select(F.col("r_name").alias("path")), inputs, spark.createDataFrame([("AFRICA/cache/x",), ("cache",)], "path string"))
 
 
-@query("select 'https://x/n' || c_nationkey as url, string_agg(route, ',' order by route) as routes from (select c_nationkey, case when c_custkey % 2 = 0 then 'n' || c_nationkey || '.html' else 'n' || c_nationkey end as route, c_custkey from customer where c_custkey < 60) group by c_nationkey having count(*) > 1")
+@query("select 'https://x/n' || c_nationkey as url, string_agg(route, ',' order by route) as routes from (select c_nationkey, case when c_custkey % 2 = 0 then 'n' || c_nationkey || '.html' else 'n' || c_nationkey end as route, c_custkey from customer) group by c_nationkey having count(*) > 1")
 def c8_canonical_violations(spark, sf_dir):
     n = F.concat(F.lit("n"), "c_nationkey")
-    pages = read(spark, sf_dir, "customer").where("c_custkey < 60").select(F.when(F.col("c_custkey") % 2 == 0, F.concat(n, F.lit(".html"))).otherwise(n).alias("route"))
+    pages = read(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.concat(n, F.lit(".html"))).otherwise(n).alias("route"))
     return site.canonical_violations(site.canonical_urls(pages, "https://x/")).select("url", F.array_join("routes", ",").alias("routes"))
 
 

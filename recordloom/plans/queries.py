@@ -394,11 +394,11 @@ def m3_page_metadata(spark, sf_dir):
     return site.page_metadata(pages, overrides, "BUILDING", "d").select(F.col("route").alias("page"), "full_title")
 
 
-@query("select 'conv' || conv_id as path, string_agg(text, ' ' order by turn) as text from conversations group by conv_id")
+@query("select 'conv' || conv_id as path, string_agg(text, ' ' order by turn) as text from conversations group by conv_id union all select 'd' || doc_id, text from documents")
 def m5_search_entries(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").withColumn("route", F.concat(F.lit("conv"), "conv_id"))
     pages = turns.select("route", F.lit("t").alias("title"), F.lit("p").alias("package"), F.lit(True).alias("visible")).distinct()
-    members = turns.select(F.lit("").alias("title"), F.lit("").alias("path"), F.lit("").alias("package"), F.lit("").alias("text")).limit(0)
+    members = read(spark, sf_dir, "documents").select(F.col("source").alias("title"), F.concat(F.lit("d"), "doc_id").alias("path"), F.col("lang").alias("package"), "text")
     return site.search_entries(pages, turns.select("route", F.col("turn").alias("ord"), "text"), members).select("path", "text")
 
 

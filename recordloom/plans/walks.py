@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graphs, resolve, tables
-from .queries import query, read
+from ..operators import graphs, records, resolve, site, tables
+from .queries import query, read, record_table
 
 
 #: Customers in groups of ten. The first few of a group need each other in a ring (none, or two to five); the others
@@ -77,3 +77,35 @@ def o10_slug_cascades(spark, sf_dir):
     ends = rows.groupBy("doc").agg(F.min("ordinal").alias("low"), F.max("ordinal").alias("high"))
     slug = F.when(F.col("ordinal").isin(F.col("low"), F.col("high")), "a-2").otherwise("a")
     return tables.unique_slugs(rows.join(ends, "doc").select("doc", "ordinal", slug.alias("slug")))
+
+
+@query(
+    """with d as (select event_id, case when event_id % 4 > 0 then 'u' || user_id end as source, case when event_id % 3 > 0 then user_id % 10 end as span, event_type as code, case when value > 50 then 'error' end as severity from events)
+    select event_id, row_number() over (order by source nulls last, span nulls last, code nulls last, severity nulls last, event_id) - 1 as position from d"""
+)
+def o2_diagnostic_order(spark, sf_dir):
+    i, none = F.col("event_id"), F.lit(None).cast("string")
+    rows = read(spark, sf_dir, "events").select(
+        "event_id", F.when(i % 4 > 0, F.concat(F.lit("u"), "user_id")).alias("source"), F.when(i % 3 > 0, F.col("user_id") % 10).alias("span"), F.col("event_type").alias("code"),
+        F.when(F.col("value") > 50, "error").alias("severity"), i.alias("entity"), none.alias("message"), none.alias("related_spans"),
+    )
+    return tables.order_diagnostics(rows).select("event_id", "position")
+
+
+@query(
+    """with p as (select c_custkey as id, c_mktsegment as name, c_nationkey as n, case c_nationkey % 4 when 0 then 1 when 1 then 2 when 2 then 3 else 4 end as rank from customer)
+    select id, rank, row_number() over (order by rank, name, id) - 1 as position from p"""
+)
+def o3_package_order(spark, sf_dir):
+    n = F.col("c_nationkey") % 4
+    language = F.when(n == 0, "python").when(n == 1, "r").when(n == 2, "julia").otherwise("other")
+    packages = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), language.alias("language"))
+    return site.package_order(packages, ["python", "r", "julia"]).select("id", "rank", "position")
+
+
+@query(
+    """with r as (select 'document' as kind, '' as owner, '{"kind":"item","item":{"package":"' || source || '","item":"' || doc_id || '"}}' as id from documents union all select 'item', source, cast(doc_id as varchar) from documents union all select distinct 'package', '', source from documents)
+    select kind, owner, id, row_number() over (order by kind, owner, id) - 1 as position from r"""
+)
+def o6_keyed_order(spark, sf_dir):
+    return records.keyed_order(record_table(spark, sf_dir)).select("kind", "owner", "id", "position")
