@@ -7,12 +7,15 @@ in double precision verifies it.
 
 Equal vectors form a class that takes part once, with the number of its rows. A vector is listed under its
 ``nearest - shared + 1`` lowest-numbered pivots only, because the lowest pivot that a candidate pair shares is among
-those, and a pair is looked at in the list of that pivot alone, so links are counted once. Long lists are dealt out as
-pairs of blocks. A cell returns counts and a spanning forest of its links, never the pairs.
+those, and a pair is looked at in the list of that pivot alone, so links are counted once. A list that is longer than a
+block is split by the second lowest pivot that its candidates share, and what is still longer is dealt out as pairs of
+blocks. A cell returns counts and a spanning forest of its links, never the pairs.
 
 Fit: the number of pivots follows the number of vectors (``pivots_per_root`` times its square root), so lists grow with
-its root only. The sample holds four rows for each pivot and is bounded by ``max_pivots`` and, as vectors may be long, by
-``sample_bytes``; beyond those bounds lists grow in proportion and are dealt out in more blocks. Every row is indexed.
+its root only. The first ``spread`` pivots are far from each other; the others are rows as they come, so a group of close
+vectors has pivots in proportion to its size and its lists do not grow with it. The sample is bounded by ``max_pivots``,
+four times ``spread`` and, as vectors may be long, by ``sample_bytes``; beyond those bounds lists grow in proportion. Every
+row is indexed.
 The index may miss links: on the tables of the check tool it finds all, and a test asks for the recall. With
 ``max_pivots`` 1 all vectors share the one list, whose blocks are compared all with all: the exact way.
 
@@ -60,20 +63,27 @@ def _prepared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def pick_pivots(sample: list[np.ndarray], most: int, apart: float = 0.8) -> np.ndarray:
-    """Up to ``most`` vectors of the sample, in its order, none closer to another than the cosine ``apart``."""
+def pick_pivots(sample: list[np.ndarray], most: int, apart: float = 0.8, spread: int = 2048) -> np.ndarray:
+    """``most`` vectors of the sample, or all of it: the first ``spread`` in its order that are no closer to each other than
+    the cosine ``apart``, and then the first of the others.
+
+    So large groups of close vectors get pivots of their own, and only ``spread`` pivots are compared with the sample.
+    """
     width = max((len(v) for v in sample), default=0)
-    chosen = np.zeros((most, width))
-    n = 0
-    for v in sample:
-        if n == most:
-            break
-        row = np.zeros(width)
-        row[: len(v)] = v
-        if n == 0 or (chosen[:n] @ row).max() < apart:
-            chosen[n] = row
-            n += 1
-    return chosen[:n]
+    rows = np.zeros((len(sample), width))
+    for i, v in enumerate(sample):
+        rows[i, : len(v)] = v
+    chosen, taken, n = np.zeros((min(most, spread), width)), np.zeros(len(sample), bool), 0
+    for at in range(0, len(rows), 1024):
+        block = rows[at : at + 1024]
+        near = (block @ chosen[:n].T).max(axis=1) if n else np.full(len(block), -1.0)
+        before = n
+        for i in np.flatnonzero(near < apart):
+            if n == len(chosen):
+                break
+            if n == before or (chosen[before:n] @ block[i]).max() < apart:
+                chosen[n], taken[at + i], n = block[i], True, n + 1
+    return np.concatenate([chosen[:n], rows[~taken][: max(0, most - n)]])
 
 
 def _described(pivots, nearest: int):
@@ -111,7 +121,9 @@ def _cell(shared: int, cosine: float):
         names, inv = np.unique(np.concatenate([lists[i] for i in by_id]), return_inverse=True)
         member = np.zeros((len(ids), len(names)), np.float32)
         member[np.repeat(np.arange(len(ids)), [len(lists[i]) for i in by_id]), inv] = 1
-        low = member[:, names < pivot]
+        # The cell's pivot is the least that a pair shares, and its second pivot, if it has one, the next.
+        second = cell.column("second")[0].as_py()
+        low = member[:, (names < pivot) | ((names > pivot) & (names < second))] if second >= 0 else member[:, names < pivot]
         left = np.flatnonzero(own == one)
         right = left if one == other else np.flatnonzero(own == other)
         links, root, edges = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
@@ -151,6 +163,7 @@ def near_vectors(
     max_pivots: int = 65_536,
     sample_bytes: int = 64 << 20,
     block_rows: int = 2_000,
+    spread: int = 2_048,
 ) -> DataFrame:
     """Return for each row its id (long), ``n_links``, ``component_id`` and ``kept``.
 
@@ -162,9 +175,10 @@ def near_vectors(
     valid = base.where("key is not null and id is not null")
     classes = cut(valid.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("vec").alias("vec")))
     count, width = classes.agg(F.count("*"), F.coalesce(F.max(F.octet_length("vec")), F.lit(8))).first()
-    most = max(1, min(max_pivots, math.ceil(pivots_per_root * math.sqrt(count)), sample_bytes // (4 * width)))
-    sample = classes.orderBy(F.xxhash64("id", F.lit(7)), "key").limit(4 * most).select("vec").collect()
-    points = pick_pivots([np.frombuffer(r.vec, np.float64) for r in sample], most)
+    most = max(1, min(max_pivots, math.ceil(pivots_per_root * math.sqrt(count)), sample_bytes // width))
+    wanted = min(max(most, 4 * min(most, spread)), max(most, sample_bytes // width))
+    sample = classes.orderBy(F.xxhash64("id", F.lit(7)), "key").limit(wanted).select("vec").collect()
+    points = pick_pivots([np.frombuffer(r.vec, np.float64) for r in sample], most, spread=spread)
     pivots = spark.sparkContext.broadcast(points)
 
     described = cut(
@@ -177,15 +191,20 @@ def near_vectors(
         "*", F.explode(F.slice(F.array_sort("pivots"), F.lit(1), F.greatest(F.size("pivots") - few + 1, F.lit(1)))).alias("pivot"),
         F.octet_length("vec").alias("dim"),
     )
-    lengths = listed.groupBy("pivot", "dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"), F.count("*").alias("c"))
+    # A list that is longer than a block is split by the next pivot that its vectors have, which candidates share as well.
+    long = listed.groupBy("pivot", "dim").agg(F.count("*").alias("c")).where("c > 1")
+    later = F.filter(F.array_sort("pivots"), lambda q: q > F.col("pivot"))
+    seconds = F.when((F.col("c") > block_rows) & F.lit(few > 1), later).otherwise(F.array(F.lit(-1)))
+    split = listed.join(long, ["pivot", "dim"]).select("pivot", "dim", "id", "rows", "vec", "pivots", F.explode(seconds).alias("second"))
+    lengths = split.groupBy("pivot", "dim", "second").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"), F.count("*").alias("c"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     cells = (
-        listed.join(lengths.where("c > 1"), ["pivot", "dim"])
-        .select("pivot", "dim", "id", "rows", "vec", "pivots", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("z"))
-        .select("pivot", "dim", "id", "rows", "vec", "pivots", "own", F.least("own", "z").alias("x"), F.greatest("own", "z").alias("y"))
+        split.join(lengths.where("c > 1"), ["pivot", "dim", "second"])
+        .select("pivot", "dim", "second", "id", "rows", "vec", "pivots", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("z"))
+        .select("pivot", "dim", "second", "id", "rows", "vec", "pivots", "own", F.least("own", "z").alias("x"), F.greatest("own", "z").alias("y"))
     )
     found = cut(
-        cells.groupBy("pivot", "dim", "x", "y").applyInArrow(_cell(few, cosine), "a long, b long, links long")
+        cells.groupBy("pivot", "dim", "second", "x", "y").applyInArrow(_cell(few, cosine), "a long, b long, links long")
     )
     labels = connected_components(found.where("b is not null").select("a", "b").unionAll(shared_id_edges(valid.select("id", "key"), classes.select("key", "id"))))
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
