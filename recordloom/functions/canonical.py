@@ -24,11 +24,19 @@ def canonical(value) -> str:
 
 @F.pandas_udf(StringType())
 def canonical_json(content: pd.Series) -> pd.Series:
-    """The canonical form of JSON texts; null where a text is not JSON."""
+    """The canonical form of JSON texts; null where a text is not JSON, repeats a key, or has a number that JSON lacks."""
+
+    def pairs(found):
+        if len({k for k, _ in found}) < len(found):
+            raise ValueError
+        return dict(found)
+
+    def refuse(_):
+        raise ValueError
 
     def one(text):
         try:
-            return canonical(json.loads(text))
+            return canonical(json.loads(text, object_pairs_hook=pairs, parse_constant=refuse))
         except (TypeError, ValueError):
             return None
 

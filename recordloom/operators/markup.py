@@ -7,6 +7,7 @@ ones over these rows. Parsing is one vectorised function; its work is linear in
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 NODE = "path string, ord int, kind string, level int, text string, target string, identifier string"
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*(.*)$")
-_HEADING = re.compile(r"^ {0,3}(#{1,6})(?:\s+(.*?))?(?:\s+#+)?\s*$")
+_HEADING = re.compile(r"^ {0,3}(#{1,6})(?=\s|$)(.*)$")
 _ITEM = re.compile(r"^( *)(?:[-*+]|\d{1,9}[.)])\s+(.*)$")
 _RULE = re.compile(r"^ {0,3}(?:(?:-\s*){3,}|(?:\*\s*){3,}|(?:_\s*){3,})$")
 _ATTR = re.compile(r"\s*\{#([A-Za-z][\w.:-]*)[^}]*\}\s*$")
@@ -96,8 +97,32 @@ def plain(text: str, defined: dict[str, str] | None = None) -> str:
         inner = plain(m["label"], defined)
         return inner if _target(m, defined) is not None else f"{m['image']}[{inner}]" + (f"[{m['ref']}]" if m["ref"] is not None else "")
 
-    text = _INLINE.sub(words, text)
-    return html.unescape(re.sub(r"(\*\*|__|\*|~~)(?=\S)(.+?)(?<=\S)\1", r"\2", text))
+    return html.unescape(_unmarked(_INLINE.sub(words, text)))
+
+
+def _unmarked(text: str) -> str:
+    """Text without the marks of emphasis: each from a mark before a word to the next such mark behind one, on a line.
+
+    Where marks may close, and where lines end, is listed once, so the work is near linear in the text.
+    """
+    marks = ("**", "__", "*", "~~")
+    closes = {m: [x.start() for x in re.finditer(rf"(?<=\S)(?={re.escape(m)})", text)] for m in marks if m in text}
+    if not closes:
+        return text
+    ends, out, at = [x.start() for x in re.finditer("\n", text)] + [len(text)], [], 0
+    for x in re.finditer(r"(?=\*|__|~~)", text):
+        i = x.start()
+        if i < at:
+            continue
+        for m in marks:
+            inner = i + len(m)
+            if m in closes and text.startswith(m, i) and not text[inner : inner + 1].isspace():
+                k = bisect.bisect_left(closes[m], inner + 1)
+                if k < len(closes[m]) and (j := closes[m][k]) <= ends[bisect.bisect_left(ends, inner)]:
+                    out += [text[at:i], text[inner:j]]
+                    at = j + len(m)
+                    break
+    return "".join([*out, text[at:]])
 
 
 def definitions(lines: list[str]) -> tuple[dict[str, str], list[str]]:
@@ -160,7 +185,9 @@ def nodes(text: str | None) -> Iterator[tuple]:
             block("code-block", "\n".join(lines[i + 1 : j]), target=m[2].strip() or None)
             i = j + 1
         elif m := _HEADING.match(line):
-            title = m[2] or ""
+            title = m[2].strip()
+            if (open_ := title.rstrip("#")) != title and open_ and open_[-1].isspace():  # closing marks
+                title = open_.rstrip()
             a = _ATTR.search(title)
             block("heading", _ATTR.sub("", title), level=len(m[1]), identifier=a[1] if a else None)
             i += 1
@@ -283,6 +310,8 @@ def skip_reasons(cells: DataFrame, language: str) -> DataFrame:
 
 _INCLUDE = re.compile(r"^(\s*)\{\{<\s*(include|code)\s+(\S+?)(?:#L(\d+)-L?(\d+))?\s*>\}\}\s*$")
 MAX_DEPTH = 128
+#: Lines that a page may have with its includes; an include that goes beyond them is a problem.
+MAX_LINES = 1_000_000
 
 
 def include_path(path: str, spelled: str) -> str | None:
@@ -311,11 +340,12 @@ def code_lines(text: str, first: int | None, last: int | None, indent: str) -> l
     return [indent + x if x else x for x in (fence, *part, fence)]
 
 
-def expand(path: str, files: dict[str, str], chain: tuple[str, ...] = ()) -> tuple[list[tuple[str, str, int]], list[str]]:
+def expand(path: str, files: dict[str, str], chain: tuple[str, ...] = (), room: int = MAX_LINES) -> tuple[list[tuple[str, str, int]], list[str]]:
     """((line, file, line number) rows, problems) of a file with its includes in place of their directives.
 
     A directive stands between blank lines. A file that includes itself, a missing one, one with front matter, lines
-    that a file does not have, and nesting beyond ``MAX_DEPTH`` are problems, and nothing is put in their place.
+    that a file does not have, nesting beyond ``MAX_DEPTH`` and more than ``MAX_LINES`` lines in all, as includes of includes
+    may double, are problems, and nothing is put in their place.
     """
     rows, problems = [], []
     lines = files[path].split("\n")
@@ -345,9 +375,13 @@ def expand(path: str, files: dict[str, str], chain: tuple[str, ...] = ()) -> tup
             else:
                 rows += [(x, name if 0 < k < len(found) - 1 else path, (first or 1) + k - 1 if 0 < k < len(found) - 1 else n) for k, x in enumerate(found)]
         elif trouble is None:
-            inner, more = expand(name, files, (*chain, path))
-            rows += inner
-            problems += more
+            left = room - len(rows) - (len(lines) - n)
+            inner, more = expand(name, files, (*chain, path), left) if files[name].count("\n") < left else ([], [])
+            if 0 < len(inner) <= left:
+                rows += inner
+                problems += more
+            else:
+                trouble = "too-long"
         if trouble:
             problems.append(f"{path}:{n}: {trouble}: {name or m[3]}")
     return rows, problems

@@ -34,11 +34,16 @@ def merge_assets(assets: DataFrame) -> DataFrame:
 
 
 def navigation_groups(pages: DataFrame) -> DataFrame:
-    """Pages (path) by first path segment; pages without one are in the group ``''``. Overview first, then by path."""
+    """(grp, path, position): pages (path) by first path segment; pages without one are in the group ``''``.
+
+    The overview comes first, then pages by their path. One sort by ranges numbers all groups, however large.
+    """
+    from .graphs import numbered
     group = F.when(F.contains("path", F.lit("/")), F.split_part("path", F.lit("/"), F.lit(1))).otherwise("")
     rows = pages.select(group.alias("grp"), "path")
-    order = F.struct((~F.endswith("path", F.lit("index.html"))).alias("rest"), F.col("path").alias("path"))
-    return rows.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["path"]).alias("paths"))
+    placed = numbered(rows.withColumn("_rest", ~F.endswith("path", F.lit("index.html"))), "grp", "_rest", "path", name="_n")
+    first = placed.groupBy("grp").agg(F.min("_n").alias("_first"))
+    return placed.join(first, "grp").select("grp", "path", (F.col("_n") - F.col("_first")).alias("position"))
 
 
 def grouped_members(members: DataFrame, ranks: dict[str, int]) -> DataFrame:

@@ -287,12 +287,12 @@ def o2_missing_last(spark, sf_dir):
 
 @query(
     """with p as (select page_id, regexp_replace(url, '^https?://', '') || case when page_id % 3 = 0 then '/index.html' else '' end as path from pages)
-    select case when contains(path, '/') then split_part(path, '/', 1) else '' end as grp, string_agg(path, ' ' order by not ends_with(path, 'index.html'), path) as paths from p group by 1"""
+    select case when contains(path, '/') then split_part(path, '/', 1) else '' end as grp, path, row_number() over (partition by case when contains(path, '/') then split_part(path, '/', 1) else '' end order by not ends_with(path, 'index.html'), path) - 1 as position from p"""
 )
 def a3_navigation_groups(spark, sf_dir):
     end = F.when(F.col("page_id") % 3 == 0, "/index.html").otherwise("")
     pages = read(spark, sf_dir, "pages").select(F.concat(F.regexp_replace("url", "^https?://", ""), end).alias("path"))
-    return tables.navigation_groups(pages).select("grp", F.array_join("paths", " ").alias("paths"))
+    return tables.navigation_groups(pages)
 
 
 @query(

@@ -14,10 +14,15 @@ EXCLUDED = [
 FORMATS = {"md": "markdown", "qmd": "quarto", "Rmd": "rmarkdown"}
 
 
+def java_quoted(text: str) -> str:
+    """A pattern that matches ``text`` as it is."""
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def file_tree(spark: SparkSession, root: str, pattern: str = "*", excluded: list[str] = EXCLUDED) -> DataFrame:
     """(path, length, modificationTime, content, relative) of all files under ``root``, excluded folders left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    inner = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace(".", "\\.") + "/", "")
+    inner = F.regexp_replace("path", "^.*?" + java_quoted(root.rstrip("/")) + "/", "")
     folders = F.slice(F.split(inner, "/"), F.lit(1), F.size(F.split(inner, "/")) - 1)
     return files.where(~F.arrays_overlap(folders, F.array(*map(F.lit, excluded)))).withColumn("relative", inner)
 
