@@ -382,3 +382,40 @@ def apply_changes(pairs: DataFrame, changes: DataFrame) -> DataFrame:
     """A closure (start, node) after ``closure_changes``."""
     kept = pairs.select("start", "node").join(changes.where("change = 'removed'"), ["start", "node"], "left_anti")
     return kept.unionByName(changes.where("change = 'added'").select("start", "node"))
+
+
+def members_below(children: DataFrame, owners: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(owner, member, depth): over (parent, child) everything below an owner (node) that no nearer owner is above.
+
+    An owner is a member of the one above it, but what lies under it is its own. Each round opens what the last one found.
+    """
+    edges = settle(children.select("parent", "child").where("parent <> child").distinct())
+    stop = settle(owners.select("node").distinct())
+    fresh, found = stop.select(F.col("node").alias("owner"), "node"), None
+    for depth in range(1, max_rounds + 1):
+        step = fresh.join(edges, F.col("node") == F.col("parent")).select("owner", F.col("child").alias("member"), F.lit(depth).alias("depth")).distinct()
+        step = settle(step if found is None else step.join(found, ["owner", "member"], "left_anti"))
+        if step.isEmpty():
+            return step if found is None else found
+        found = step if found is None else found.unionAll(step)
+        fresh = step.select("owner", F.col("member").alias("node")).join(stop, "node", "left_anti").select("owner", "node")
+    raise ValueError(f"no end after {max_rounds} rounds")
+
+
+def tree_order(children: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """(node, parent, depth, position) of the trees under ``roots`` (node, ord) over (parent, ord, child), depth first.
+
+    A node's way is the ordinals down to it, and ways compare in that order; one sort by ranges numbers them. A node with
+    several parents stands under each; a cycle is an error.
+    """
+    edges = settle(children.select("parent", F.col("ord").cast("long").alias("ord"), "child"))
+    level = roots.select("node", F.lit(None).cast(edges.schema["parent"].dataType).alias("parent"), F.array(F.col("ord").cast("long")).alias("way"))
+    found = None
+    for _ in range(max_depth):
+        level = settle(level)
+        if level.isEmpty():
+            every = level if found is None else found
+            return numbered(every, "way", "node").select("node", "parent", (F.size("way") - 1).alias("depth"), "position")
+        found = level if found is None else found.unionAll(level)
+        level = level.select("node", "way").join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node"), "parent", F.concat("way", F.array("ord")).alias("way"))
+    raise ValueError(f"a tree is deeper than {max_depth}, or has a cycle")

@@ -109,3 +109,29 @@ def o3_package_order(spark, sf_dir):
 )
 def o6_keyed_order(spark, sf_dir):
     return records.keyed_order(record_table(spark, sf_dir)).select("kind", "owner", "id", "position")
+
+
+def _places(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    n, c = read(spark, sf_dir, "nation"), read(spark, sf_dir, "customer")
+    top = n.select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), (-F.col("n_nationkey")).cast("long").alias("ord"), F.concat(F.lit("n"), "n_nationkey").alias("child"))
+    edges = top.unionAll(c.select(F.concat(F.lit("n"), "c_nationkey"), "c_custkey", F.concat(F.lit("c"), "c_custkey")))
+    return edges, read(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.col("r_regionkey").alias("ord"))
+
+
+@query(
+    """with t as (select 'r' || r_regionkey as node, cast(null as varchar) as parent, 0 as depth, r_regionkey as a, null as b, null as c from region
+      union all select 'n' || n_nationkey, 'r' || n_regionkey, 1, n_regionkey, -n_nationkey, null from nation union all select 'c' || c_custkey, 'n' || n_nationkey, 2, n_regionkey, -n_nationkey, c_custkey from customer join nation on n_nationkey = c_nationkey)
+    select node, parent, depth, row_number() over (order by a, b nulls first, c nulls first) - 1 as position from t"""
+)
+def g8_tree_order(spark, sf_dir):
+    return graphs.tree_order(*_places(spark, sf_dir))
+
+
+@query(
+    """select 'r' || n_regionkey as owner, 'n' || n_nationkey as member, 1 as depth from nation union all select case when n_nationkey % 3 = 0 then 'n' || n_nationkey else 'r' || n_regionkey end, 'c' || c_custkey, case when n_nationkey % 3 = 0 then 1 else 2 end
+    from customer join nation on n_nationkey = c_nationkey"""
+)
+def g4_members_below(spark, sf_dir):
+    edges, roots = _places(spark, sf_dir)
+    inner = read(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    return graphs.members_below(edges, roots.select("node").unionAll(inner))

@@ -5,6 +5,7 @@ import json
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from recordloom.operators import graphs, resolve, tables, trees
@@ -148,3 +149,16 @@ def test_trees_of_any_depth(spark):
     assert [r.id for r in trees.pages_with_math(nodes).collect()] == [2]
     plan = nodes._jdf.queryExecution().toString() + trees.stored_anchors(nodes)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_members_and_order_of_trees(spark):
+    edges = spark.createDataFrame([("a", 2, "b"), ("a", 1, "c"), ("c", 0, "d"), ("d", 5, "e"), ("e", 0, "d"), ("x", 0, "y")], "parent string, ord int, child string")
+    owners = spark.createDataFrame([("a",), ("d",), ("a",)], "node string")
+    assert sorted(map(tuple, graphs.members_below(edges, owners).collect())) == [("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("d", "d", 2), ("d", "e", 1)]
+    assert graphs.members_below(edges, owners.limit(0)).count() == 0
+    roots = spark.createDataFrame([("x", 9), ("a", 3)], "node string, ord int")
+    got = graphs.tree_order(edges.where("parent <> 'e'"), roots).orderBy("position").collect()
+    assert [(r.node, r.parent, r.depth) for r in got] == [("a", None, 0), ("c", "a", 1), ("d", "c", 2), ("e", "d", 3), ("b", "a", 1), ("x", None, 0), ("y", "x", 1)]
+    assert graphs.tree_order(edges, roots.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="cycle"):
+        graphs.tree_order(edges, roots, 12)
