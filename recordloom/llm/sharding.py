@@ -45,12 +45,13 @@ def bucket_size(spark, least: int = 16 << 20) -> int:
 
 
 def shuffle_into_shards(
-    df: DataFrame, key: str, size: Column, shards: int, seed: int = 20240607, bucket_bytes: int | None = None
+    df: DataFrame, key: str, size: Column, shards: int, seed: int = 20240607, bucket_bytes: int | None = None, broadcast_buckets: int = 1_000_000
 ) -> DataFrame:
     """Shuffle all records of ``df`` into ``shards`` shards.
 
     ``size`` is the size of a record in bytes and ``bucket_bytes`` the aim for one bucket, which is what a task of the
-    second pass holds; without it, it follows from the memory of an executor's core. Returns ``record`` (all columns of
+    second pass holds; without it, it follows from the memory of an executor's core. The first places of up to
+    ``broadcast_buckets`` buckets are broadcast, those of more are joined by a shuffle. Returns ``record`` (all columns of
     ``df`` as a struct), ``shard``, ``grown_shard`` (the shard with one more shard) and ``slot`` (gapless from 0 in each
     shard, a uniform random order).
     """
@@ -86,8 +87,8 @@ def shuffle_into_shards(
         "_bucket",
         F.expr("sum(_n) over (partition by shard order by _bucket) - _n").alias("_first"),
     )
-    # A number for each bucket: a few bytes for every ``bucket_bytes`` of the table.
-    return placed.join(F.broadcast(first), "_bucket").select(
+    # A number for each bucket, of which there are ``shards * sub``.
+    return placed.join(F.broadcast(first) if shards * sub <= broadcast_buckets else first, "_bucket").select(
         F.col("_row.record").alias("record"),
         "shard",
         F.col("_row.grown_shard").alias("grown_shard"),
