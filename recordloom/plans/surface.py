@@ -225,7 +225,7 @@ def s2_snapshot_round_trip(spark, sf_dir):
     )
     path = shared_path(spark, "snapshot")
     database.write_snapshot({"records": records}, path, "recordloom")
-    found = database.read_snapshot(spark, path, slices=8)["records"].where("kind = 'item' and owner >= 'src3' and owner < 'src8'")
+    found = database.lookup(spark, path, slices=8, kind="item", owner_from="src3", owner_to="src8")
     return found.select("owner", "id", "content")
 
 

@@ -1,9 +1,10 @@
 """SQLite snapshots as a Spark data source: ``spark.read.format("snapshot")`` and ``df.write.format("snapshot")``.
 
 Reading. The whole key of a table (kind, owner and id; digest) is ordered in the database by its primary key. Conditions
-on key columns are handed down to it, what fits them is dealt to partitions by ranges of the whole key, and every
-partition reads its range alone, through the key's index. A lookup of one key reads one row. The file is opened read-only
-and its header and versions are checked first.
+on key columns are options of the reader (``lookup``), what fits them is dealt to partitions by ranges of the whole key, and
+every partition reads its range alone, through the key's index. A lookup of one key reads one row. The file is opened
+read-only and its header and versions are checked first. Spark's own handing down of filters to Python sources is not
+used: in Spark 4.1 what one query has handed down stays with the table for the next query that hands down nothing.
 
 Writing. Each task writes its rows into a file of its own beside the target. The commit puts them together, checks the
 keys, and then gives the whole its name in one step; no task's rows, and nothing of a job that fails, are ever seen under
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage,
+    DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage,
 )
 
 SCHEMAS = {
@@ -71,31 +72,18 @@ class _Slice(InputPartition):
         self.low, self.high = low, high
 
 
-_COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-
-
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.table = options["path"].removeprefix("file:"), options.get("table", "records")
         self.slices = int(options.get("slices", "4"))
         self.bundle = options.get("bundle", "false") == "true"
+        #: Conditions on key columns, from the options of their names: a value, or with ``_from`` and ``_to`` a range.
         self.tests: list[tuple[str, list]] = []
-
-    def pushFilters(self, filters):
-        for f in filters:
-            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            values = list(f.value) if isinstance(f, In) else [getattr(f, "value", None)]
-            if column not in KEYS[self.table] or self.table == "manifest" or not values or not all(isinstance(v, str) for v in values):
-                yield f
-            elif isinstance(f, In):
-                self.tests.append((f"{column} in ({', '.join('?' * len(values))})", values))
-            elif isinstance(f, StringStartsWith) and values[0]:
-                self.tests.append((f"{column} >= ?", values))  # the rest is tested by Spark
-                yield f
-            elif type(f) in _COMPARED:
-                self.tests.append((f"{column} {_COMPARED[type(f)]} ?", values))
-            else:
-                yield f
+        for column in KEYS[self.table] if self.table != "manifest" else ():
+            for suffix, sign in (("", "="), ("_from", ">="), ("_to", "<")):
+                value = options.get(f"{column}{suffix}")
+                if value is not None:
+                    self.tests.append((f"{column} {sign} ?", [value]))
 
     def _where(self, low: tuple | None, high: tuple | None, after: bool = False) -> tuple[str, list]:
         key = f"({', '.join(KEYS[self.table])})"
@@ -210,10 +198,18 @@ class SnapshotSource(DataSource):
 
 def registered(spark: SparkSession) -> SparkSession:
     spark.dataSource.register(SnapshotSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark
 
 
+def lookup(spark: SparkSession, path: str, table: str = "records", slices: int = 4, **conditions: str) -> DataFrame:
+    """The rows of a table that meet conditions on its key, and no others are read: ``kind="item"`` and the like for a
+    value, ``owner_from`` (included) and ``owner_to`` (excluded) for a range."""
+    known = {f"{c}{s}" for c in KEYS[table] for s in ("", "_from", "_to")}
+    if table == "manifest" or not conditions.keys() <= known:
+        raise ValueError(f"no conditions on {sorted(conditions.keys() - known) or table}")
+    return registered(spark).read.format("snapshot").options(path=path, table=table, slices=slices, **conditions).load()
+
+
 def read_snapshot(spark: SparkSession, path: str, bundle: bool = False, slices: int = 4) -> dict[str, DataFrame]:
     """The three tables of a snapshot, or of a bundle; digests are verified by ``verify``."""
     reader = registered(spark).read.format("snapshot").option("path", path).option("bundle", str(bundle).lower()).option("slices", slices)

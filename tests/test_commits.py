@@ -6,7 +6,6 @@ import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
 from recordloom.operators import site
 from recordloom.sources import commits, database, snapshot
@@ -38,27 +37,26 @@ def test_lookups_read_what_they_ask_for(spark, tmp_path):
     path = str(tmp_path / "s.db")
     database.write_snapshot(tables_of(spark), path)
 
-    def read(*filters, slices=4, table="records"):
-        reader = database._Reader({"path": path, "table": table, "slices": str(slices)})
-        rest = list(reader.pushFilters(list(filters)))
-        return [list(reader.read(p)) for p in reader.partitions()], rest
-
-    rows, rest = read(EqualTo(("kind",), "item"), EqualTo(("owner",), "p1"), EqualTo(("id",), "i7"))
-    assert [len(r) for r in rows] == [1] and not rest
-    rows, rest = read(EqualTo(("kind",), "item"), GreaterThan(("owner",), "p1"), EqualTo(("content",), "{}"))
-    assert sum(map(len, rows)) == 100 and len(rows) == 4 and max(map(len, rows)) == 25 and rest == [EqualTo(("content",), "{}")]
-    rows, _ = read(In(("id",), ("i1", "p2")), slices=9)
-    assert sorted(r[2] for part in rows for r in part) == ["i1", "p2"]
-    rows, _ = read(slices=5)
-    assert [len(r) for r in rows] == [61, 61, 61, 61, 59]  # ranges of the whole key
+    def read(slices=4, **conditions):
+        reader = database._Reader({"path": path, "table": "records", "slices": str(slices), **conditions})
+        return [list(reader.read(p)) for p in reader.partitions()]
+
+    assert [len(r) for r in read(kind="item", owner="p1", id="i7")] == [1]
+    rows = read(kind="item", owner_from="p1", owner_to="p2")
+    assert sum(map(len, rows)) == 100 and len(rows) == 4 and max(map(len, rows)) == 25
+    assert [len(r) for r in read(slices=5)] == [61, 61, 61, 61, 59]  # ranges of the whole key
     # The condition reaches the database through its index, and the plan.
     db = sqlite3.connect(path)
     plan = db.execute("explain query plan select * from records where kind = 'item' and owner = 'p1' and id = 'i7'").fetchall()
     db.close()
     assert "USING INDEX" in plan[0][3]
+    assert [r.id for r in database.lookup(spark, path, kind="item", owner="p1", id="i7").collect()] == ["i7"]
+    assert database.lookup(spark, path, "assets", digest_from="0", digest_to="~").count() == 5 and database.lookup(spark, path, kind="none").count() == 0
+    with pytest.raises(ValueError, match="content"):
+        database.lookup(spark, path, content="{}")
+    # A table can be asked again and again, with and without conditions.
     records = database.read_snapshot(spark, path)["records"]
-    assert records.where("kind = 'item' and owner = 'p1' and id = 'i7'").rdd.getNumPartitions() == 1
-    assert records.where("kind = 'item' and id like 'i1%'").count() == 111 and records.where("kind > 'item'").count() == 3
+    assert [records.where(c).count() for c in ("kind = 'item' and id like 'i1%'", "true", "kind > 'item'", "true")] == [111, 303, 3, 303]
 
 
 def test_failed_writes_leave_nothing(spark, tmp_path):
