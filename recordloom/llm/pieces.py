@@ -11,10 +11,10 @@ between their best and second segmentation can differ from their best there, whi
 
 Scores have to be log-probabilities for a best segmentation to mean anything. A unigram model has them. Those of a BPE
 model are the ranks of its merges, so such a model is only taken with scores that are fitted here (``fit_scores``): the
-model's own encodings of a sample of documents give first counts, and rounds of expectation and maximisation over the
-lattices of their segments, by forward and backward sums, give the probabilities. The sample is bounded by the parameter
-``sample`` (documents, chosen by a hash of their texts); every document is encoded with them. Pieces that were never
-expected get the probability of a tenth of an occurrence.
+model's own encodings of all texts give first counts, and rounds of expectation and maximisation over the lattices of
+their segments, by forward and backward sums, give the probabilities. Every text counts: the different segments of the
+table are counted once by a shuffle, and each round goes over them. Pieces that were never expected get the probability
+of a tenth of an occurrence. Lattices of many segments are followed together, place by place, with the same results.
 
 Defined results. Null and empty texts have the one empty segmentation with score 0. Of segmentations with equal scores
 any may come first. Equal rows are treated one by one; an empty table gives an empty result; further columns are not
@@ -28,12 +28,16 @@ import heapq
 import math
 import re
 from array import array
+from functools import cache, cached_property
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, crc_bytes, cut, map_batches, table
+from .common import Memo, crc_bytes, map_batches, remove_path, table, written
 
 MARK = "▁"
 INF = float("inf")
@@ -71,7 +75,8 @@ class PieceModel:
                 used |= set(piece)
                 crossing = crossing or MARK in piece.lstrip(MARK)
         self.unknown = min((s for s, k in zip(scores, kinds) if k == "normal"), default=0.0) - 10.0
-        alone = "".join(c for c in "\t\n\x0b\x0c\r" if c not in used)
+        self.crossing = crossing
+        self.alone = alone = "".join(c for c in "\t\n\x0b\x0c\r" if c not in used)
         cls = f"{MARK}{alone}"
         self.cutter = re.compile("[\\s\\S]+") if crossing else re.compile(f"{MARK}*[^{cls}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
 
@@ -94,7 +99,30 @@ class PieceModel:
         return cls([p.piece for p in proto.pieces], held, [kind.get(p.type, "other") for p in proto.pieces])
 
     def segments(self, text: str) -> list[str]:
-        return self.cutter.findall(MARK + text.replace(" ", MARK)) if text else []
+        if not text:
+            return []
+        if self.crossing or "  " in text or MARK in text or text[0] == " ":
+            return self.cutter.findall(MARK + text.replace(" ", MARK))
+        # Every mark begins a segment, so blanks can stand for the cuts.
+        text = MARK + text.replace(" ", " " + MARK)
+        apart = False
+        for c in self.alone:
+            if c in text:
+                text, apart = text.replace(c, f" {c} "), True
+        return [s for s in text.split(" ") if s] if apart else text.split(" ")
+
+    def count_segments(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The different segments of texts that are neither null nor empty, and how often they occur."""
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.match_substring(texts, MARK), pc.starts_with(texts, " ")))
+        odd = pa.array([True] * len(texts)) if self.crossing else odd
+        plain = pc.replace_substring(texts.filter(pc.invert(odd)), " ", " " + MARK)
+        for c in self.alone:
+            plain = pc.replace_substring(plain, c, f" {c} ")
+        plain = pc.split_pattern(pc.binary_join_element_wise(MARK, plain, ""), " ").flatten()
+        rest = pa.array([s for t in texts.filter(odd).to_pylist() for s in self.segments(t)], pa.string())
+        counts = pc.value_counts(pa.concat_arrays([plain, rest]))
+        counts = counts.filter(pc.not_equal(counts.field("values"), ""))
+        return counts.field("values"), counts.field("counts")
 
     def lattice(self, seg: str) -> list[tuple[int, int, int, float]]:
         """Edges (from, to, id or -1, score), by their start."""
@@ -124,6 +152,24 @@ class PieceModel:
             if p >= 0:
                 counts[p] = counts.get(p, 0.0) + times * math.exp(alpha[i] + s + beta[j] - alpha[n])
 
+    @cached_property
+    def flat(self) -> _Flat:
+        return _Flat(self)
+
+    def expected_all(self, segs: list[str], times: np.ndarray) -> np.ndarray:
+        """What ``expected`` adds for all these segments, as an array over the pieces."""
+        counts, left = self.flat.expected(segs, times)
+        alone: dict[int, float] = {}
+        for at in left:
+            self.expected(segs[at], float(times[at]), alone)
+        counts[list(alone)] += list(alone.values())
+        return counts
+
+    def best_all(self, segs: list[str]) -> list[tuple[bytes, float, float]]:
+        """``best`` of each of these segments, which are worked on together."""
+        found = self.flat.best(segs)
+        return [self.best(seg) if x is None else x for seg, x in zip(segs, found)]
+
     def _ids(self, seg: str, path: list[tuple[int, int, int, float]]) -> tuple[int, ...]:
         out: list[int] = []
         for i, j, p, _ in path:
@@ -202,6 +248,161 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
+class _Columns:
+    """Segments side by side: by falling length, so that those with a character at place ``i`` are the first ``n[i]``."""
+
+    def __init__(self, segs: list[str]):
+        sizes = np.fromiter(map(len, segs), np.int64, len(segs))
+        self.order = np.argsort(-sizes, kind="stable")
+        self.sizes = sizes[self.order]
+        self.longest = int(self.sizes[0]) if len(segs) else 0
+        flat = np.frombuffer("".join([segs[i] for i in self.order.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.n = np.searchsorted(-self.sizes, -np.arange(self.longest + 1), "left")
+        self.codes = [flat[starts[: self.n[i]] + i] for i in range(self.longest)]
+
+
+class _Flat:
+    """The trie of a model as arrays, to follow the lattices of many segments at a time.
+
+    A node's child by the character class ``c`` is at ``base[node] + c``, if that place belongs to the node.
+    """
+
+    #: For each character, scores are raised by this: it is the same for all segmentations and keeps products in range.
+    LIFT = 8.0
+
+    def __init__(self, model: PieceModel):
+        nodes, kids, at = [(-1, 0.0)], [model.root], 0
+        links: list[list[tuple[str, int]]] = []
+        while at < len(kids):
+            links.append([])
+            for c, (children, p, s) in kids[at].items():
+                links[at].append((c, len(nodes)))
+                nodes.append((p, s))
+                kids.append(children)
+            at += 1
+        self.ids = np.array([p for p, _ in nodes], np.int64)
+        self.scores = np.array([s for _, s in nodes])
+        self.inner = np.array([bool(x) for x in links])
+        self.unknown, self.pieces = model.unknown, len(model.raw)
+        chars = sorted({c for x in links for c, _ in x})
+        self.cls = np.full(0x110000, len(chars), np.int32)
+        self.cls[[ord(c) for c in chars]] = np.arange(len(chars))
+        number = {c: i for i, c in enumerate(chars)}
+        used = bytearray(4 * len(nodes) + 2 * len(chars))
+        owner, child = np.full(len(used), -1, np.int32), np.zeros(len(used), np.int32)
+        self.base, free, several = np.zeros(len(nodes), np.int32), 0, True
+        for node in sorted(range(len(links)), key=lambda i: -len(links[i])):
+            if not links[node]:
+                break
+            places = sorted(number[c] for c, _ in links[node])
+            if several and len(places) == 1:  # these fill the gaps
+                several, free = False, 0
+            at = free = used.index(0, max(free, places[0] if several else 0))
+            if not several and at < places[0]:
+                at = used.index(0, places[0])
+            while any(used[at - places[0] + c] for c in places):
+                at = used.index(0, at + 1)
+            if several:
+                free = at
+            self.base[node] = at - places[0]
+            for c, to in links[node]:
+                where = at - places[0] + number[c]
+                used[where], owner[where], child[where] = 1, node, to
+        self.owner, self.child = np.append(owner, np.full(len(chars) + 1, -1, np.int32)), np.append(child, np.zeros(len(chars) + 1, np.int32))
+
+    def edges(self, cols: _Columns, i: int, classes: list[np.ndarray]) -> list[tuple[np.ndarray, int, np.ndarray]]:
+        """(segments, end, nodes) of the edges that begin at place ``i``, shorter ones first; node -1: the unknown character."""
+        out, at, node, j = [], np.arange(cols.n[i]), np.zeros(cols.n[i], np.int32), i
+        while len(at):
+            where = self.base[node] + classes[j][at]
+            ok = self.owner[where] == node
+            at, node = at[ok], self.child[where[ok]]
+            j += 1
+            held = self.ids[node] >= 0
+            if j == i + 1:
+                single = np.zeros(cols.n[i], bool)
+                single[at[held]] = True
+                if not single.all():
+                    lone = np.flatnonzero(~single)
+                    out.append((lone, j, np.full(len(lone), -1, np.int32)))
+            out.append((at[held], j, node[held]))
+            if j >= cols.longest:
+                break
+            more = self.inner[node] & (at < cols.n[j])
+            at, node = at[more], node[more]
+        return [e for e in out if len(e[0])]
+
+    def expected(self, segs: list[str], times: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Expected occurrences of each piece, and the segments that are left out as their products leave the range."""
+        cols, counts = _Columns(segs), np.zeros(self.pieces)
+        size = len(segs)
+        classes = [self.cls[c] for c in cols.codes]
+        weight, lone = np.exp(self.scores), np.exp(self.unknown + self.LIFT)
+        beta = [np.zeros(size) for _ in range(cols.longest + 1)]
+        for i in range(cols.longest + 1):
+            beta[i][cols.sizes == i] = 1.0
+        alpha = [np.zeros(size) for _ in range(cols.longest + 1)]
+        lattice: list = [None] * cols.longest
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            for i in range(cols.longest - 1, -1, -1):
+                lattice[i] = [(at, j, node, np.where(node < 0, lone, weight[node] * np.exp(self.LIFT * (j - i)))) for at, j, node in self.edges(cols, i, classes)]
+                for at, j, _, w in lattice[i]:
+                    beta[i][at] += w * beta[j][at]
+            whole = beta[0].copy()
+            left = ~np.isfinite(whole) | (whole < 1e-280)
+            share = np.where(left, 0.0, times[cols.order] / whole)
+            alpha[0][:] = 1.0
+            for i in range(cols.longest):
+                for at, j, node, w in lattice[i]:
+                    to = alpha[i][at] * w
+                    alpha[j][at] += to
+                    given = to * beta[j][at] * share[at]
+                    left[at[~np.isfinite(given) & ~left[at]]] = True
+            for i in range(cols.longest):
+                for at, j, node, w in lattice[i]:
+                    ok = (node >= 0) & ~left[at]
+                    given = (alpha[i][at] * w * beta[j][at] * share[at])[ok]
+                    counts += np.bincount(self.ids[node[ok]], given, self.pieces)
+        return counts, cols.order[left].tolist()
+
+    def best(self, segs: list[str]) -> list[tuple[bytes, float, float] | None]:
+        """As ``PieceModel.best``, by the same sums; None where the best segmentation has an unknown character."""
+        cols, size = _Columns(segs), len(segs)
+        classes = [self.cls[c] for c in cols.codes]
+        beta = np.zeros((cols.longest + 1, size))
+        second, ids, to = np.zeros((cols.longest, size)), np.full((cols.longest, size), -1, np.int32), np.zeros((cols.longest, size), np.int16)
+        for i in range(cols.longest - 1, -1, -1):
+            top, next_ = np.full(cols.n[i], -INF), np.full(cols.n[i], -INF)
+            for at, j, node in self.edges(cols, i, classes):
+                v = (self.scores[node] if node[0] >= 0 else self.unknown) + beta[j, at]
+                held = top[at]
+                better = v > held
+                next_[at] = np.where(better, held, np.maximum(next_[at], v))
+                won = at[better]
+                top[won], to[i, won], ids[i, won] = v[better], j, self.ids[node[better]] if node[0] >= 0 else -1
+            beta[i, : cols.n[i]], second[i, : cols.n[i]] = top, top - next_
+        gap, unknown = np.full(size, INF), np.zeros(size, bool)
+        at, place, taken = np.arange(size), np.zeros(size, np.int64), []
+        at = at[cols.sizes > 0]
+        while len(at):
+            here = place[at]
+            gap[at] = np.minimum(gap[at], second[here, at])
+            p = ids[here, at]
+            unknown[at[p < 0]] = True
+            taken.append((at, p))
+            place[at] = to[here, at]
+            at = at[place[at] < cols.sizes[at]]
+        owner = np.concatenate([a for a, _ in taken]) if taken else np.empty(0, np.int64)
+        raw = np.concatenate([p for _, p in taken])[np.argsort(owner, kind="stable")].astype("<u4").tobytes() if taken else b""
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=size))).tolist()
+        out: list = [None] * size
+        for k, start, end, score, g, odd in zip(cols.order.tolist(), [0, *ends], ends, beta[0].tolist(), gap.tolist(), unknown.tolist()):
+            if not odd:
+                out[k] = raw[start:end], score, g
+        return out
+
+
 _models: dict = {}
 
 
@@ -228,44 +429,80 @@ def _logs(counts: list[tuple[int, float]]) -> dict[int, float]:
     return {-1: math.log(0.1 / total)} | {p: math.log(max(n, 0.1) / total) for p, n in counts}
 
 
-def fit_scores(df: DataFrame, text_col: str, model_path: str, sample: int = 1_000, rounds: int = 2) -> dict[int, float]:
-    """Log-probabilities of a model's pieces, fitted to about ``sample`` whole documents of ``df``.
+def _counted(model_path: str, most_bytes: int = 32 << 20):
+    """Texts -> (seg, n): how often their segments occur, in parts of about ``most_bytes`` or one text."""
 
-    Segments are counted first, so a round's work follows the different ones. The driver gets a count for each piece.
-    """
-    import pyarrow as pa
+    def run(batches):
+        model = model_at(model_path, {-1: 0.0})
+        for batch in batches:
+            texts, at = batch.column(0), 0
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right")))
+                segs, counts = model.count_segments(texts.slice(at, to - at))
+                yield pa.record_batch({"seg": segs, "n": counts})
+                at = to
 
-    texts = df.select(F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null and text <> ''")
-    n = df.count()
-    picked = texts.where(F.pmod(F.xxhash64("text", F.lit(10)), F.lit(max(1, n // max(1, sample)))) == 0)
+    return run
 
-    def own(batches):
-        import sentencepiece
 
-        model, cutter = sentencepiece.SentencePieceProcessor(model_file=model_path), model_at(model_path, {-1: 0.0})
+def _summed(count):
+    """(seg, n) -> (piece, n): the sums of ``count(segments, times)``, which gives an array over the pieces."""
+
+    def run(batches, at_once=40_000):
+        total, segs, times = 0.0, [], []
         for batch in batches:
-            counts: dict[int, float] = {}
-            segs: dict[str, int] = {}
-            for text in batch.column(0).to_pylist():
-                for p in model.encode(text):
-                    counts[p] = counts.get(p, 0) + 1
-                for s in cutter.segments(text):
-                    segs[s] = segs.get(s, 0) + 1
-            yield pa.table({"piece": pa.array([*counts, *[None] * len(segs)], pa.int32()), "seg": pa.array([*[None] * len(counts), *segs], pa.string()), "n": pa.array([*map(float, counts.values()), *map(float, segs.values())], pa.float64())}).to_batches()[0]
-
-    found = cut(picked.mapInArrow(own, "piece int, seg string, n double").groupBy("piece", "seg").agg(F.sum("n").alias("n")))
-    scores = _logs([(r.piece, r.n) for r in found.where("piece is not null").collect()])
-    for _ in range(rounds):
+            segs += batch.column(0).to_pylist()
+            times.append(batch.column(1).to_numpy(zero_copy_only=False).astype(float))
+            if len(segs) >= at_once:
+                total, segs, times = total + count(segs, np.concatenate(times)), [], []
+        if segs:
+            total = total + count(segs, np.concatenate(times))
+        pieces = np.flatnonzero(total)
+        yield pa.record_batch({"piece": pa.array(pieces, pa.int32()), "n": pa.array(total[pieces] if len(pieces) else [], pa.float64())})
+
+    return run
+
+
+@cache
+def _encoder(model_path: str):
+    """The model's own encoder, for segments, which have their marks."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(model_path, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.normalizer_spec.add_dummy_prefix = False
+    return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+
+
+def own_counts(model_path: str, segs: list[str], times: np.ndarray) -> np.ndarray:
+    """How often the model's own encodings have each piece. No piece crosses a cut, so a text's is that of its segments."""
+    model = _encoder(model_path)
+    ids = model.encode(segs)
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.bincount(np.fromiter(chain.from_iterable(ids), np.int64, sizes.sum()), np.repeat(times, sizes), model.get_piece_size())
+
 
-        def expect(batches, scores=scores):
-            model, counts = model_at(model_path, scores), {}
-            for batch in batches:
-                for seg, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    model.expected(seg, times, counts)
-            yield pa.record_batch({"piece": pa.array(list(counts), pa.int32()), "n": pa.array(list(counts.values()), pa.float64())})
+def fit_scores(df: DataFrame, text_col: str, model_path: str, rounds: int = 2) -> dict[int, float]:
+    """Log-probabilities of a model's pieces, fitted to all texts of ``df``.
 
-        counts = found.where("seg is not null").select("seg", "n").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-        scores = _logs([(r.piece, r.n) for r in counts.collect()])
+    Segments are counted first, so a round's work follows the different ones. The driver gets a count for each piece.
+    """
+    texts = df.select(F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null and text <> ''")
+    paths: list[str] = []
+    found = written(texts.mapInArrow(_counted(model_path), "seg string, n long").groupBy("seg").agg(F.sum("n").alias("n")), "segments", paths)
+
+    def fit(count) -> dict[int, float]:
+        counts = found.mapInArrow(_summed(count), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        return _logs([(r.piece, r.n) for r in counts.collect()])
+
+    scores = fit(lambda segs, times: own_counts(model_path, segs, times))
+    for _ in range(rounds):
+        scores = fit(lambda segs, times, scores=scores: model_at(model_path, scores).expected_all(segs, times))
+    for path in paths:
+        remove_path(df.sparkSession, path)
     return scores
 
 
@@ -274,9 +511,9 @@ def fitted(df: DataFrame, text_col: str, model_path: str, **options) -> dict[int
     return fit_scores(df, text_col, model_path, **options) if needs_scores(model_path) else None
 
 
-def text_nbest(model: PieceModel, text: str, n: int, best: dict, more: dict) -> list[tuple[float, bytes]]:
-    """The ``n`` best segmentations of a text as (score, ids); ``best`` and ``more`` memoise segments."""
-    segs = model.segments(text)
+def text_nbest(model: PieceModel, text: str, n: int, best: dict, more: dict, segs: list[str] | None = None) -> list[tuple[float, bytes]]:
+    """The ``n`` best segmentations of a text as (score, ids); ``best`` and ``more`` memoise segments. ``segs``: those of the text."""
+    segs = model.segments(text) if segs is None else segs
     raw, scores, gaps = map(list, zip(*map(best.__getitem__, segs))) if segs else ([], [], [])
     top, gaps = sum(scores), np.array(gaps)
     free = np.flatnonzero(gaps < INF)
@@ -290,14 +527,13 @@ def text_nbest(model: PieceModel, text: str, n: int, best: dict, more: dict) ->
             ((loss + d, held | {at: ids} if k else held) for loss, held in ways for k, (d, ids) in enumerate(options)),
             key=lambda w: w[0],
         )
+    # What lies between the chosen segments is the same in all ways.
+    places = sorted(chosen.tolist())
+    between = [b"".join(raw[i:j]) for i, j in zip([0, *[at + 1 for at in places]], [*places, len(raw)])]
     out = []
     for loss, held in ways:
-        before = {at: raw[at] for at in held}
-        for at, ids in held.items():
-            raw[at] = ids
-        out.append((top - loss, b"".join(raw)))
-        for at, ids in before.items():
-            raw[at] = ids
+        parts = [x for at, part in zip(places, between) for x in (part, held.get(at, raw[at]))]
+        out.append((top - loss, b"".join([*parts, between[-1]])))
     return out
 
 
@@ -307,6 +543,17 @@ class _Short(Memo):
     def __missing__(self, seg):
         return super().__missing__(seg) if len(seg) <= LONG else self.compute(seg)
 
+    def fill(self, segs: set[str], compute_all) -> None:
+        """Take in what is not held of these segments, computed together; no more than the limit."""
+        new = [s for s in segs.difference(self) if len(s) <= LONG][: self.limit]
+        held = {s: self.older[s] for s in new if s in self.older}
+        rest = [s for s in new if s not in held]
+        if len(self) + len(new) > self.limit:
+            self.older = dict(self)
+            self.clear()
+        self.update(held)
+        self.update(zip(rest, compute_all(rest)))
+
 
 def _work(model_path: str, n: int, give, scores=None):
     def make():
@@ -318,7 +565,22 @@ def _work(model_path: str, n: int, give, scores=None):
             return [(ways[0][0] - s, array("I", ids).tobytes()) for s, ids in ways]
 
         more = _Short(options, 10_000)
-        return lambda cols: give(model, cols, [text_nbest(model, t or "", n, best, more) for t in cols["_text"]])
+
+        def ways(texts, most=1_000_000):
+            """The segments of texts of about ``most`` characters are looked up together."""
+            at = 0
+            while at < len(texts):
+                part, size = [], 0
+                while at < len(texts) and (not part or size + len(texts[at] or "") <= most):
+                    size += len(texts[at] or "")
+                    part.append(texts[at] or "")
+                    at += 1
+                segs = [model.segments(t) for t in part]
+                best.fill(set().union(*segs), model.best_all)
+                for t, own in zip(part, segs):
+                    yield text_nbest(model, t, n, best, more, own)
+
+        return lambda cols: give(model, cols, list(ways(cols["_text"])))
 
     return make
 

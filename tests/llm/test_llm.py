@@ -786,6 +786,46 @@ def test_scores_are_fitted_where_a_model_has_none(spark):
     assert pieces.encode_nbest(odd_table(spark, [(1, None), (2, "")]), "id", "text", path).where("size(nbest) = 1").count() == 2
 
 
+def test_all_documents_are_counted(spark):
+    """Pieces' counts over 4,000 texts are those of the model's own encodings of all of them."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(13)
+    texts = ["".join(rng.choice(["the", "words", "of", "a", " ", "  ", "\n", "▁", "日本", "\t", "é", " "]) + rng.choice(["", " "]) for _ in range(8)) for _ in range(4000)]
+    texts[7] = "unheard zwölfkampf"
+    model, want = sentencepiece.SentencePieceProcessor(model_file=path), {}
+    for t in texts:
+        for p in model.encode(t):
+            want[p] = want.get(p, 0) + 1
+    got = pieces.fit_scores(odd_table(spark, [*enumerate(texts), (-1, None), (-2, "")]).repartition(5), "text", path, rounds=0)
+    total = sum(want.values()) + 1
+    assert got.keys() == {*want, -1} and all(abs(np.exp(got[p]) - n / total) < 1e-12 for p, n in want.items())
+    odd = [s for s in ("\n", "▁a▁b", "▁▁", "x" * 300) for s in pieces.model_at(path, {-1: -1.0}).cutter.findall(s)]
+    assert pieces.own_counts(path, odd, np.ones(len(odd))).sum() > 0
+
+
+def test_segments_together_equal_segments_alone():
+    """Best segmentations and expected counts of many segments at a time, with unknown characters and sums out of range."""
+    rng = random.Random(14)
+    for step in range(60):
+        names = list({"".join(rng.choices("ab▁c", k=rng.randint(1, 4))) for _ in range(12)})
+        scores = [-rng.random() * (40 if step % 3 == 0 else 4) for _ in names]
+        model = pieces.PieceModel([*names, *(f"<0x{i:02X}>" for i in range(256))], [*scores, *[0.0] * 256], ["normal"] * len(names) + ["byte"] * 256)
+        segs = ["".join(rng.choices("ab▁cd日", k=rng.randint(1, 9))) for _ in range(50)] + ["ab" * 100, "d" * 90]
+        times, want = np.array([float(rng.randint(1, 9)) for _ in segs]), {}
+        assert model.best_all(segs) == [model.best(s) for s in segs]
+        for s, n in zip(segs, times):
+            model.expected(s, n, want)
+        got = model.expected_all(segs, times)
+        assert all(abs(got[p] - n) < 1e-9 * max(1, n) for p, n in want.items()) and {*np.flatnonzero(got).tolist()} <= {*want}
+    assert model.best_all([]) == []
+    memo = pieces._Short(str, 3)
+    memo.fill({"a", "b"}, lambda segs: segs)
+    memo.fill({"c", "d", "e", "f"}, lambda segs: segs)
+    assert len(memo) <= 3 and len(memo.older) <= 3 and [memo[s] for s in "abcdef"] == list("abcdef")
+
+
 def test_encoding_round_trip(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     texts = [None, "", "the words\nof a  text ", "日本 ²", " lead", "a" * 3000, "\t\r\nx"]
