@@ -31,15 +31,21 @@ def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return language.keep_known_languages(docs, "text", model, 0.3)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _counted(ids: DataFrame, broadcast_ids: int) -> DataFrame:
+    """Ids to join with; up to ``broadcast_ids`` are sent to the rows, so that whole texts stay where they are."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_ids: int = 1_000_000) -> DataFrame:
     """Of each group of documents linked at a similarity of 0.8, the one with the least id stays.
 
     Of different rows that share that id, the least by text and then the other columns is the one.
     """
     found = cut(near_duplicates(docs, "doc_id", "text", percent=80).select("doc_id", "kept"))
-    gone = found.where("not kept").select("doc_id").distinct()
+    gone = _counted(found.where("not kept").select("doc_id").distinct(), broadcast_ids)
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = _counted(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), broadcast_ids)
     if repeated.isEmpty():
         return left
     columns = ["text", *(c for c in docs.columns if c != "text")]

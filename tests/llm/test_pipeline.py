@@ -84,3 +84,19 @@ def test_stages_take_empty_tables_and_odd_rows(spark, tmp_path):
 def test_documents_stay_where_no_language_is_known(spark, tmp_path):
     docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in pipeline.drop_unknown_languages(spark, docs, str(tmp_path)).collect()] == [1]
+
+
+def test_near_duplicates_go_without_a_shuffle_of_texts(spark):
+    """Few ids are sent to the documents; very many are joined by a shuffle, with the same rows."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["ung", "keit", "ver", "schaft", "tion"]) + str(rng.randint(0, 99)) for _ in range(30)) for _ in range(40)]
+    rows = [(i, t, "aa", "s", 1) for i, t in enumerate(texts)] + [(100 + i, t, "aa", "s", 1) for i, t in enumerate(texts[:20])]
+    rows += [(3, texts[3], "bb", "s", 2), (None, texts[0], "aa", "s", 1), (200, None, "aa", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    without = [r for r in rows if r[0] != 3]
+    one = pipeline.drop_near_duplicates(spark, spark.createDataFrame(without, docs.schema), "")
+    plan = one._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert sorted(r.doc_id for r in one.collect() if r.doc_id is not None) == [*(i for i in range(40) if i != 3), 103, 200]
+    few, many = (sorted(map(str, pipeline.drop_near_duplicates(spark, docs, "", n).collect())) for n in (1_000_000, 0))
+    assert few == many and len(few) == 42
