@@ -46,7 +46,7 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, paths: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, what: str, paths: list[str] | None = None, compression: str = "snappy") -> DataFrame:
     """Like ``cut``, by a Parquet table in the shared folder: compressed, and read column by column.
 
     Its path is added to ``paths``, for ``remove_path`` once nobody reads the table any more.
@@ -54,7 +54,7 @@ def written(df: DataFrame, what: str, paths: list[str] | None = None) -> DataFra
     path = scratch_path(df.sparkSession, what)
     if paths is not None:
         paths.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.parquet(path)
 
 

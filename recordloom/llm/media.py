@@ -285,25 +285,54 @@ def _star(most_bits: int, share: float):
     return run
 
 
-def _meeting(keys_at_once: int = 4096):
+def shared_keys(image: np.ndarray, number: np.ndarray, probing: np.ndarray, n: int, at_once: int = 4096, dense: int = 200) -> np.ndarray:
+    """(n, n): with how many of its keys the first image probes that the second has too.
+
+    Entries are an image, the number of its key and whether it probes with it. Keys of few images are paired out; those
+    whose pairs are more than one in ``dense`` of all are counted by products of matrices.
+    """
+    met, most = np.zeros((n, n), np.float32), int(number.max(initial=-1)) + 1
+    order = np.argsort(number, kind="stable")
+    image, number, probing = image[order], number[order], probing[order]
+    size = np.bincount(number, minlength=most)
+    often = size * np.bincount(number[probing], minlength=most) * dense > n * n
+    start = np.cumsum(size) - size
+    asks = np.flatnonzero(probing & ~often[number])
+    pairs = np.cumsum(size[number[asks]])
+    at = 0
+    while at < len(asks):  # about four million pairs at a time
+        to = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + (4 << 20), "right")))
+        part = asks[at:to]
+        times = size[number[part]]
+        place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start[number[part]], times)
+        met += np.bincount(np.repeat(image[part], times) * n + image[place], minlength=n * n).reshape(n, n)
+        at = to
+    kept = often[number]
+    image, number, probing = image[kept], (np.cumsum(often) - 1)[number[kept]], probing[kept]
+    for at in range(0, int(often.sum()), at_once):
+        part = (number >= at) & (number < at + at_once)
+        has, ask = np.zeros((2, n, min(at_once, int(often.sum()) - at)), np.float32)
+        has[image[part], number[part] - at] = 1
+        ask[image[part & probing], number[part & probing] - at] = 1
+        met += ask @ has.T
+    return met
+
+
+def _meeting():
     """A group holds the keys of the images of two blocks. The pairs between or within them, of different groups, of which
     the smaller image probes with enough keys that the other has."""
 
     def run(cell: pa.Table) -> pa.Table:
         order = np.argsort(cell.column("id").to_numpy(), kind="stable")
-        ids, own, size, group, meet = (cell.column(c).to_numpy()[order] for c in ("id", "own", "n", "group", "meet"))
+        cell = cell.take(order)
+        ids, own, size, group, meet = (cell.column(c).to_numpy() for c in ("id", "own", "n", "group", "meet"))
         one, other = cell.column("x")[0].as_py(), cell.column("y")[0].as_py()
-        lists = cell.column("ks").to_pylist()
-        image = np.repeat(np.arange(len(ids)), [len(lists[i]) for i in order])
-        number = np.unique([x["k"] for i in order for x in lists[i]], return_inverse=True)[1].ravel()
-        probing = np.array([x["probing"] for i in order for x in lists[i]], bool)
-        met = np.zeros((len(ids), len(ids)), np.float32)
-        for at in range(0, number.max(initial=-1) + 1, keys_at_once):
-            part = (number >= at) & (number < at + keys_at_once)
-            has, asks = np.zeros((2, len(ids), keys_at_once), np.float32)
-            has[image[part], number[part] - at] = 1
-            asks[image[part & probing], number[part & probing] - at] = 1
-            met += asks @ has.T
+        lists = cell.column("ks").combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        flat = lists.flatten()
+        image = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+        number = np.unique(flat.field("k").to_numpy(), return_inverse=True)[1].ravel()
+        met = shared_keys(image, number, flat.field("probing").to_numpy(zero_copy_only=False), len(ids))
         found = (met >= meet[:, None]) & (size[:, None] <= size) & (group[:, None] != group)
         found |= found.T
         found &= (own[:, None] == one) & (own == other) if one != other else np.triu(np.ones_like(found), 1)
@@ -337,7 +366,7 @@ def image_copies(
     ``broadcast_rows`` keys and ids of different images are broadcast; more are joined by a shuffle.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{image_col}`").alias("_image"))
-    base = written(map_batches(rows, _described(points, reader), "_id long, key binary, n long, places binary, bits binary"), "points")
+    base = written(map_batches(rows, _described(points, reader), "_id long, key binary, n long, places binary, bits binary"), "points", compression="zstd")
     base = base.withColumnRenamed("_id", "id")
     # The descriptors stay where they are: only keys and ids are grouped, and their table is sent to them if it is small.
     light = base.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
@@ -383,7 +412,7 @@ def image_copies(
     ways = cut(open_.join(hot, "k").join(held.groupBy("k").agg(F.min("hub").alias("hub")), "k").where("hub <> id").select("hub", "id").distinct())
     if not ways.isEmpty():
         around = connected_components(ways)
-        sizes = around.groupBy("component").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+        sizes = around.groupBy("component").agg(F.ceil(F.count("*") / (2 * block_rows)).cast("int").alias("blocks"))
         dealt = around.join(sizes, "component").withColumnRenamed("node", "id")
         flagged = open_.join(asking.select("id", "k", F.lit(True).alias("_asks")), ["id", "k"], "left")
         lists = flagged.groupBy("id", "group").agg(F.collect_list(F.struct("k", F.coalesce("_asks", F.lit(False)).alias("probing"))).alias("ks"))

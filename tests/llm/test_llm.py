@@ -786,6 +786,28 @@ def test_scores_are_fitted_where_a_model_has_none(spark):
     assert pieces.encode_nbest(odd_table(spark, [(1, None), (2, "")]), "id", "text", path).where("size(nbest) = 1").count() == 2
 
 
+def test_shared_keys_equal_a_plain_count():
+    """Frequent and rare keys of a cell are counted alike, and rare ones without a matrix over all keys."""
+    rng = np.random.default_rng(15)
+    n = 60
+    has = (rng.random((n, 500)) < np.append(np.full(480, 0.05), np.full(20, 0.8))).astype(int)
+    asks = has * (rng.random(has.shape) < 0.5)
+    image, number = np.nonzero(has)
+    shuffled = rng.permutation(len(image))
+    image, number = image[shuffled], number[shuffled]
+    for dense in (0, 20, 10**9):
+        got = media.shared_keys(image, number, asks[image, number] == 1, n, at_once=7, dense=dense)
+        assert (got == asks @ has.T).all()
+    assert media.shared_keys(image[:0], number[:0], image[:0] == 1, 2).tolist() == [[0, 0], [0, 0]]
+    import tracemalloc
+
+    many = np.arange(200_000)
+    tracemalloc.start()
+    media.shared_keys(many % 400, many // 2, many % 2 == 0, 400)
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
+
+
 def test_all_documents_are_counted(spark):
     """Pieces' counts over 4,000 texts are those of the model's own encodings of all of them."""
     import sentencepiece
