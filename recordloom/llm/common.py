@@ -6,6 +6,7 @@ All intermediate tables are cut with a reliable ``checkpoint()`` in the folder n
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -64,6 +65,15 @@ def remove_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of tables that nobody refers to any more.
+
+    Its cleaner learns of them when the driver collects its garbage, which an idle driver hardly ever does by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def left_join(rows: DataFrame, found: DataFrame, key: str, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``rows`` with what ``found`` has for their key. Up to ``broadcast_rows`` rows of ``found`` are broadcast, so that a
     key of very many rows stays where its rows are; more are joined by a shuffle, whose hot partitions Spark splits."""

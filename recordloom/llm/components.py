@@ -7,7 +7,7 @@ for the smaller ones, until the edges are stars around the least node of each co
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,10 +69,11 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, after_round: Callable[[], None] = lambda: None) -> DataFrame:
     """``edges`` has two long columns of node ids. Returns ``node`` and ``component``, the least node reachable.
 
-    Only nodes with an edge to another node are returned; edges with a null end and loops say nothing.
+    Only nodes with an edge to another node are returned; edges with a null end and loops say nothing. ``after_round`` is
+    called once the tables of a round before are no longer needed.
     """
     a, b = edges.columns
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
@@ -86,6 +87,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = cut(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct())
+        del both, least, large, small
+        after_round()
         now = _digest(stars)
         if now == before:
             break

@@ -9,6 +9,8 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -869,3 +871,32 @@ def test_helpers(spark):
     made = []
     memo = Memo(lambda k: made.append(k) or k, 3)
     assert [memo[k] for k in (1, 2, 3, 1, 4, 1, 2)] == [1, 2, 3, 1, 4, 1, 2] and len(memo) <= 3
+
+
+def test_media_shared_keys_of_buckets():
+    """Keys of several images, counted in buckets from packed lists, are those of a plain count."""
+    rng = np.random.default_rng(5)
+    images = {int(i): rng.integers(0, 40, (int(rng.integers(0, 30)), 2)).astype(np.uint64) for i in (3, 900_000_000_000, -7, 12, 13, 14)}
+    places = {i: np.column_stack([np.zeros((len(b), 4), int), rng.integers(0, 2, len(b))]) + [0, 0, 1, 0, 0] for i, b in images.items()}
+    have = {}
+    for i, b in images.items():
+        for k in media._words(b[places[i][:, 4] == 1]).ravel().tolist():
+            have.setdefault(k, set()).add(i)
+    want = sorted(tuple(sorted(ids)) for ids in have.values() if len(ids) > 1)
+    rows = [{"id": i, "bits": b.tobytes(), "places": media.pack_places(places[i])} for i, b in images.items()]
+    for buckets in (1, 7):
+        batches = [pa.RecordBatch.from_pylist(rows[:4]), pa.RecordBatch.from_pylist(rows[4:])]
+        made = pa.concat_tables([pa.Table.from_batches([b]) for b in media._dealt_keys(buckets)(batches)])
+        got, numbers = [], set()
+        for bucket in set(made.column("bucket").to_pylist()):
+            by = {}
+            for r in media._shared_of(made.filter(pa.compute.equal(made.column("bucket"), bucket))).to_pylist():
+                by.setdefault((r["k"], r["f"], r["hub"]), []).append(r["id"])
+            assert all(len(ids) == f and min(ids) == hub for (_, f, hub), ids in by.items()) and not numbers & {k for k, _, _ in by}
+            numbers |= {k for k, _, _ in by}
+            got += [tuple(sorted(ids)) for ids in by.values()]
+        assert sorted(got) == want and want
+    # What is shuffled for a key of an image is packed to a third of a row of two longs.
+    k = np.sort(rng.integers(0, 1 << media.KEY_BITS, 300_000)).astype(np.uint64)
+    packed = [media._pack(np.diff(k, prepend=np.uint64(0))), media._pack(rng.integers(0, 4000, len(k)))]
+    assert (media._unpack(packed[0]).cumsum() == k).all() and sum(len(pa.compress(x, "lz4", asbytes=True)) for x in packed) < 8 * len(k)
