@@ -18,7 +18,7 @@ of a tenth of an occurrence. Lattices of many segments are followed together, pl
 
 Defined results. Null and empty texts have the one empty segmentation with score 0. Of segmentations with equal scores
 any may come first. Equal rows are treated one by one; an empty table gives an empty result; further columns are not
-looked at. Texts are taken whole and the memo of segments is bounded. Decoding writes marks as blanks and drops the
+looked at. Texts are taken whole; the segments kept for other texts are bounded and lie in arrays. Decoding writes marks as blanks and drops the
 leading one, so decoding an encoding gives the text back, with any literal mark as a blank.
 """
 
@@ -243,8 +243,13 @@ class PieceModel:
                 heapq.heappush(agenda, (-(g + alpha[e[0]]), e[0], made, g, (e, link)))
         return out
 
+    @cached_property
+    def raw_column(self) -> pa.Array:
+        return pa.array(self.raw, pa.binary())
+
     def decode(self, ids) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+        held = self.raw_column.take(pa.array(ids, pa.uint32())).buffers()[2]
+        text = (b"" if held is None else held.to_pybytes()).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -366,8 +371,9 @@ class _Flat:
                     counts += np.bincount(self.ids[node[ok]], given, self.pieces)
         return counts, cols.order[left].tolist()
 
-    def best(self, segs: list[str]) -> list[tuple[bytes, float, float] | None]:
-        """As ``PieceModel.best``, by the same sums; None where the best segmentation has an unknown character."""
+    def best_columns(self, segs: list[str]) -> tuple[np.ndarray, ...]:
+        """Order, ids, number of ids, score and gap of the best segmentations, one after the other in this order of the
+        segments, and whether they have an unknown character, whose ids are missing."""
         cols, size = _Columns(segs), len(segs)
         classes = [self.cls[c] for c in cols.codes]
         beta = np.zeros((cols.longest + 1, size))
@@ -394,10 +400,14 @@ class _Flat:
             place[at] = to[here, at]
             at = at[place[at] < cols.sizes[at]]
         owner = np.concatenate([a for a, _ in taken]) if taken else np.empty(0, np.int64)
-        raw = np.concatenate([p for _, p in taken])[np.argsort(owner, kind="stable")].astype("<u4").tobytes() if taken else b""
-        ends = (4 * np.cumsum(np.bincount(owner, minlength=size))).tolist()
-        out: list = [None] * size
-        for k, start, end, score, g, odd in zip(cols.order.tolist(), [0, *ends], ends, beta[0].tolist(), gap.tolist(), unknown.tolist()):
+        raw = np.concatenate([p for _, p in taken])[np.argsort(owner, kind="stable")].astype("<u4") if taken else np.empty(0, "<u4")
+        return cols.order, raw, np.bincount(owner, minlength=size), beta[0], gap, unknown
+
+    def best(self, segs: list[str]) -> list[tuple[bytes, float, float] | None]:
+        """As ``PieceModel.best``, by the same sums; None where the best segmentation has an unknown character."""
+        order, raw, sizes, scores, gaps, unknown = self.best_columns(segs)
+        raw, ends, out = raw.tobytes(), (4 * np.cumsum(sizes)).tolist(), [None] * len(segs)
+        for k, start, end, score, g, odd in zip(order.tolist(), [0, *ends], ends, scores.tolist(), gaps.tolist(), unknown.tolist()):
             if not odd:
                 out[k] = raw[start:end], score, g
         return out
@@ -515,24 +525,30 @@ def text_nbest(model: PieceModel, text: str, n: int, best: dict, more: dict, seg
     """The ``n`` best segmentations of a text as (score, ids); ``best`` and ``more`` memoise segments. ``segs``: those of the text."""
     segs = model.segments(text) if segs is None else segs
     raw, scores, gaps = map(list, zip(*map(best.__getitem__, segs))) if segs else ([], [], [])
-    top, gaps = sum(scores), np.array(gaps)
+    bounds = np.cumsum([0, *map(len, raw)]).tolist()
+    return combined(n, segs, sum(scores), np.array(gaps), b"".join(raw), bounds, more)
+
+
+def combined(n: int, segs: list[str], top: float, gaps: np.ndarray, raw: bytes, bounds: list[int], more: dict) -> list[tuple[float, bytes]]:
+    """The ``n`` best segmentations of a text from the best ones of its segments, which lie in ``raw`` between ``bounds``."""
     free = np.flatnonzero(gaps < INF)
-    chosen = free[np.argsort(gaps[free], kind="stable")[: n - 1]]
+    chosen = free[np.argsort(gaps[free], kind="stable")[: n - 1]].tolist()
+    first: dict[int, bytes] = {}
     ways: list[tuple[float, dict[int, bytes]]] = [(0.0, {})]
-    for at in chosen.tolist():
+    for at in chosen:
         options = more[segs[at]]
-        raw[at] = options[0][1]  # of equal best ones, the one that the others were found beside
+        first[at] = options[0][1]  # of equal best ones, the one that the others were found beside
         ways = heapq.nsmallest(
             n,
             ((loss + d, held | {at: ids} if k else held) for loss, held in ways for k, (d, ids) in enumerate(options)),
             key=lambda w: w[0],
         )
     # What lies between the chosen segments is the same in all ways.
-    places = sorted(chosen.tolist())
-    between = [b"".join(raw[i:j]) for i, j in zip([0, *[at + 1 for at in places]], [*places, len(raw)])]
+    places = sorted(chosen)
+    between = [raw[i:j] for i, j in zip([bounds[0], *[bounds[at + 1] for at in places]], [*[bounds[at] for at in places], bounds[-1]])]
     out = []
     for loss, held in ways:
-        parts = [x for at, part in zip(places, between) for x in (part, held.get(at, raw[at]))]
+        parts = [x for at, part in zip(places, between) for x in (part, held.get(at, first[at]))]
         out.append((top - loss, b"".join([*parts, between[-1]])))
     return out
 
@@ -555,10 +571,61 @@ class _Short(Memo):
         self.update(zip(rest, compute_all(rest)))
 
 
+
+class _Kept:
+    """Best segmentations of segments by arrays: for each its score, its gap and where its ids are.
+
+    Once more than ``limit`` segments or ``most_ids`` ids would be held, those that the texts at hand do not have go.
+    """
+
+    def __init__(self, model: PieceModel, limit: int = 200_000, most_ids: int = 4_000_000):
+        self.model, self.limit, self.most_ids = model, limit, most_ids
+        self.number: dict[str, int] = {}
+        self.ids, self.sizes, self.scores, self.gaps = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0), np.empty(0)
+        self.starts = self.sizes
+
+    def gathered(self, at: np.ndarray) -> np.ndarray:
+        """The ids of these segments, one after the other."""
+        sizes = self.sizes[at]
+        return self.ids[np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+    def _add(self, new: list[str]) -> None:
+        short, parts = [s for s in new if len(s) <= LONG], []
+        alone = [s for s in new if len(s) > LONG]
+        if short:
+            order, ids, sizes, scores, gaps, odd = self.model.flat.best_columns(short)
+            plain = ~odd
+            alone += [short[i] for i in order[odd].tolist()]
+            parts.append(([short[i] for i in order[plain].tolist()], ids[np.repeat(plain, sizes)], sizes[plain], scores[plain], gaps[plain]))
+        for seg in alone:
+            ids, score, gap = self.model.best(seg)
+            parts.append(([seg], np.frombuffer(ids, "<u4"), [len(ids) // 4], [score], [gap]))
+        segs, *columns = zip(*parts)
+        self.number.update(zip(chain.from_iterable(segs), range(len(self.number), len(self.number) + len(new))))
+        held = self.ids, self.sizes, self.scores, self.gaps
+        self.ids, self.sizes, self.scores, self.gaps = (np.concatenate([old, *x]) for old, x in zip(held, columns))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def places(self, segs: list[str]) -> np.ndarray:
+        """The numbers of these segments, which hold until the next call."""
+        found = list(map(self.number.get, segs))
+        new = list(dict.fromkeys([s for s, i in zip(segs, found) if i is None]))
+        if not new:
+            return np.array(found, np.int64)
+        if self.number and (len(self.number) + len(new) > self.limit or len(self.ids) > self.most_ids):
+            of = {s: i for s, i in zip(segs, found) if i is not None}
+            kept = np.array(list(of.values()), np.int64)
+            ids = self.gathered(kept)
+            self.number = dict(zip(of, range(len(of))))
+            self.ids, self.sizes, self.scores, self.gaps = ids, self.sizes[kept], self.scores[kept], self.gaps[kept]
+        self._add(new)
+        return np.fromiter(map(self.number.__getitem__, segs), np.int64, len(segs))
+
+
 def _work(model_path: str, n: int, give, scores=None):
     def make():
         model = model_at(model_path, scores)
-        best = _Short(model.best, 100_000)
+        best = _Kept(model)
 
         def options(seg):
             ways = model.nbest(seg, n)
@@ -576,9 +643,13 @@ def _work(model_path: str, n: int, give, scores=None):
                     part.append(texts[at] or "")
                     at += 1
                 segs = [model.segments(t) for t in part]
-                best.fill(set().union(*segs), model.best_all)
-                for t, own in zip(part, segs):
-                    yield text_nbest(model, t, n, best, more, own)
+                places = best.places(list(chain.from_iterable(segs)))
+                raw, bounds = best.gathered(places).tobytes(), [0, *(4 * np.cumsum(best.sizes[places])).tolist()]
+                scores, gaps, start = best.scores[places].tolist(), best.gaps[places], 0
+                for own in segs:
+                    end = start + len(own)
+                    yield combined(n, own, sum(scores[start:end]), gaps[start:end], raw, bounds[start : end + 1], more)
+                    start = end
 
         return lambda cols: give(model, cols, list(ways(cols["_text"])))
 
@@ -630,7 +701,7 @@ def encode_digest(df: DataFrame, id_col: str, text_col: str, model_path: str, n:
             out["n_pieces"].append(len(w[0][1]) // 4)
             out["nbest_scores"].append([s for s, _ in w])
             out["nbest_crc32"].append([crc_bytes(b) for _, b in w])
-            out["decoded_same"].append(model.decode(array("I", w[0][1])) == (text or "").replace(MARK, " "))
+            out["decoded_same"].append(model.decode(np.frombuffer(w[0][1], "<u4")) == (text or "").replace(MARK, " "))
         return out
 
     p, kind = _picked(df, id_col, text_col, "_text")

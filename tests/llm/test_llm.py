@@ -900,3 +900,19 @@ def test_media_shared_keys_of_buckets():
     k = np.sort(rng.integers(0, 1 << media.KEY_BITS, 300_000)).astype(np.uint64)
     packed = [media._pack(np.diff(k, prepend=np.uint64(0))), media._pack(rng.integers(0, 4000, len(k)))]
     assert (media._unpack(packed[0]).cumsum() == k).all() and sum(len(pa.compress(x, "lz4", asbytes=True)) for x in packed) < 8 * len(k)
+
+
+def test_kept_segments_are_bounded_and_the_same():
+    """Best segmentations kept in arrays are those found one by one, also for unknown characters and long segments, and few stay."""
+    rng = random.Random(3)
+    model = pieces.PieceModel(["▁", "a", "b", "ab", "ba", "▁a"] + [f"<0x{i:02X}>" for i in range(256)], [-2.0, -3.0, -3.5, -4.0, -4.5, -4.2] + [0.0] * 256, ["normal"] * 6 + ["byte"] * 256)
+    kept = pieces._Kept(model, 20, 400)
+    for _ in range(30):
+        segs = ["▁" + "".join(rng.choices("abé", [9, 9, 1], k=rng.choice([0, 1, 3, 6, 90]))) for _ in range(rng.randrange(12))] + ["▁a", "▁a"]
+        at = kept.places(segs)
+        ends = np.cumsum(kept.sizes[at])
+        raw = kept.gathered(at).tobytes()
+        for seg, i, start, end in zip(segs, at, [0, *ends], ends):
+            assert (raw[4 * start : 4 * end], kept.scores[i], kept.gaps[i]) == model.best(seg)
+        assert len(kept.number) == len(kept.sizes) <= 20 + len(segs)
+    assert model.decode([]) == "" and model.decode([0, 3, 1]) == "aba"
