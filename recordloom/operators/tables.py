@@ -110,22 +110,27 @@ def unique_slugs(headings: DataFrame) -> DataFrame:
 
     The suffixes cascade, so a document is walked in order: its rows stream through one task, sorted, which holds the
     identifiers of that document alone. The work is linear in the headings. A null slug stays without identifier.
+
+    The window is what tells Spark that a document's rows belong together: a mere ``repartition`` is left out where a join
+    has dealt the rows by document already, and that join may then be dealt by its mappers or split anew.
     """
     import pyarrow as pa
 
     kinds = {c: headings.schema[c].dataType.simpleString() for c in ("doc", "ordinal")}
 
     def run(batches):
-        doc, used, pointers = None, set(), {}
+        used, pointers = set(), {}
         for batch in batches:
             out = []
-            for d, s in zip(batch.column("doc").to_pylist(), batch.column("slug").to_pylist()):
-                if d != doc:
-                    doc, used, pointers = d, set(), {}
+            for n, s in zip(batch.column("_n").to_pylist(), batch.column("slug").to_pylist()):
+                if n == 1:
+                    used, pointers = set(), {}
                 out.append(None if s is None else next_free(used, pointers, s))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "identifier"])
+            rest = batch.select(["doc", "ordinal", "slug"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.string())], names=[*rest.schema.names, "identifier"])
 
-    dealt = headings.select("doc", "ordinal", "slug").repartition("doc").sortWithinPartitions("doc", "ordinal", "slug")
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("ordinal", "slug"))
+    dealt = headings.select("doc", "ordinal", "slug").withColumn("_n", place)
     return dealt.mapInArrow(run, f"doc {kinds['doc']}, ordinal {kinds['ordinal']}, slug string, identifier string")
 
 

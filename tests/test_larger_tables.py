@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from recordloom.operators import site
+from recordloom.operators import site, tables
 from recordloom.plans import queries
 
 
@@ -16,3 +16,23 @@ def test_redirects_beyond_the_limit_of_a_file(spark, tmp_path):
     rules = spark.range(n).select(F.concat(F.lit("old"), "id").alias("source"), F.lit("a").alias("target"))
     pages = spark.createDataFrame([("a", True)], "route string, visible boolean")
     assert [tuple(r) for r in site.redirect_violations(rules, pages).collect()] == [("too-many-rules", "")]
+
+
+def test_slugs_after_a_join_by_document(spark):
+    """A join that turns out small keeps its rows where the mappers left them, if nothing asks for more."""
+    wanted = {"spark.sql.autoBroadcastJoinThreshold": "20000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 60_000, 1, 8).select(F.concat(F.lit("d"), F.col("id") % 3).alias("doc"), F.col("id").alias("ordinal"))
+        ends = rows.groupBy("doc").agg(F.max("ordinal").alias("high"))
+        slug = F.when(F.col("ordinal") == F.col("high"), "a-2").otherwise("a")
+        got = tables.unique_slugs(rows.join(ends, "doc").select("doc", "ordinal", slug.alias("slug"))).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for r in got:
+        i = r.ordinal // 3
+        assert r.identifier == ("a" if i == 0 else "a-2-2" if i == 19_999 else f"a-{i + 1}"), r
+    assert len(got) == 60_000
