@@ -27,8 +27,11 @@ CHANGE = "page string, seq bigint, cell bigint, place bigint, op string, kind st
 
 
 def _lives(events: DataFrame) -> DataFrame:
-    """The outputs of a table of events with ``gone``: the event that removes each, null if none does."""
-    after = Window.partitionBy("page", "cell").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    """The outputs of a table of events with ``gone``: the event that removes each, null if none does.
+
+    What comes after an event is looked at from the end, since a frame that starts at the row is added up anew for each row.
+    """
+    after = Window.partitionBy("page", "cell").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     output = ~F.col("kind").isin("update", "clear")
     own = events.where("kind <> 'update'").withColumn("_next", F.min(F.when(output, F.col("seq"))).over(after))
     clears = F.when(F.col("kind") == "clear", F.when(F.col("wait"), F.col("_next")).otherwise(F.col("seq")))
@@ -63,11 +66,11 @@ def reduce_outputs(events: DataFrame, join_streams: bool = True) -> DataFrame:
     none = F.lit(None).cast("string")
     outputs = placed.select("page", "cell", (F.col("_slot") - 1).cast("int").alias("position"), "kind", "name", payload.alias("payload"), none.alias("problem"))
     # What has come and gone of an id before an update of it.
-    come = lives.where(shown).select("page", "display_id", "seq", F.lit(1).alias("n"), F.lit(None).cast(events.schema["cell"].dataType).alias("cell"))
-    gone = lives.where(shown & F.col("gone").isNotNull()).select("page", "display_id", F.col("gone").alias("seq"), F.lit(-1).alias("n"), F.lit(None).cast(events.schema["cell"].dataType).alias("cell"))
+    marks = F.array(F.struct("seq", F.lit(1).alias("n")), F.struct(F.col("gone").alias("seq"), F.lit(-1).alias("n")))
+    moved = lives.where(shown).select("page", "display_id", F.inline(marks)).where("n = 1 or seq is not null").withColumn("cell", F.lit(None).cast(events.schema["cell"].dataType))
     asked = updates.select("page", "display_id", "seq", F.lit(0).alias("n"), "cell")
     by_id = Window.partitionBy("page", "display_id").orderBy("seq", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = come.unionAll(gone).unionAll(asked).withColumn("_shown", F.sum("n").over(by_id))
+    counted = moved.unionAll(asked).withColumn("_shown", F.sum("n").over(by_id))
     lost = counted.where("n = 0 and (_shown = 0 or display_id is null)")
     problems = lost.select("page", "cell", F.lit(None).cast("int").alias("position"), F.lit("update").alias("kind"), none.alias("name"), F.col("display_id").alias("payload"), F.lit("unknown-display").alias("problem"))
     return outputs.unionAll(problems)

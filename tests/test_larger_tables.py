@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recordloom.operators import site, tables
 from recordloom.plans import queries
+from recordloom.streaming import outputs
 
 
 def test_redirects_beyond_the_limit_of_a_file(spark, tmp_path):
@@ -36,3 +37,15 @@ def test_slugs_after_a_join_by_document(spark):
         i = r.ordinal // 3
         assert r.identifier == ("a" if i == 0 else "a-2-2" if i == 19_999 else f"a-{i + 1}"), r
     assert len(got) == 60_000
+
+
+def test_outputs_of_a_long_cell_take_linear_time(spark):
+    n, i = 160_000, F.col("id")
+    events = spark.range(n).select(
+        F.lit("p").alias("page"), i.alias("seq"), F.lit(1).cast("long").alias("cell"), F.when(i == 5, "clear").when(i % 2 == 0, "display").otherwise("update").alias("kind"), F.lit(None).cast("string").alias("name"),
+        i.cast("string").alias("payload"), F.concat(F.lit("d"), F.floor(i / 2)).alias("display_id"), F.lit(False).alias("wait"),
+    )
+    began = time.time()
+    got = outputs.reduce_outputs(events).agg(F.count("*"), F.sum(F.col("payload").cast("long")), F.count("problem")).first()
+    assert got == (n // 2 - 3, sum(range(7, n, 2)), 0)
+    assert time.time() - began < 30
