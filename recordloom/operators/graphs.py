@@ -80,18 +80,23 @@ def topmost_owner(owners: DataFrame) -> DataFrame:
         done = done.unionAll(fresh)
 
 
+def _dealt(side: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled whatever its size: what each round broadcasts would heap up in the driver."""
+    return side.hint("merge")
+
+
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, level) for (src needs dst): 0 without needs, else one above the highest need; null on or above a cycle."""
     edges = settle(edges.select("src", "dst").where("src <> dst").distinct())
     left, done, level = settle(nodes.select("node").distinct()), None, 0
     while True:
-        waiting = edges.join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
-        ready = settle(left.join(waiting, "node", "left_anti").withColumn("level", F.lit(level)))
+        waiting = edges.join(_dealt(left.select(F.col("node").alias("dst"))), "dst", "left_semi").select(F.col("src").alias("node"))
+        ready = settle(left.join(_dealt(waiting), "node", "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
             rest = left.withColumn("level", F.lit(None).cast("int"))
             return rest if done is None else done.unionAll(rest)
         done = ready if done is None else done.unionAll(ready)
-        left, level = settle(left.join(ready, "node", "left_anti")), level + 1
+        left, level = settle(left.join(_dealt(ready), "node", "left_anti")), level + 1
 
 
 def numbered(rows: DataFrame, *order, name: str = "position") -> DataFrame:
@@ -110,8 +115,8 @@ def _on_cycles(edges: DataFrame) -> DataFrame:
     """The edges that are left when nodes without a way in or without a way out are taken off again and again."""
     left = edges.count()
     while left:
-        inner = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        edges = settle(inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        inner = edges.join(_dealt(edges.select(F.col("dst").alias("src")).distinct()), "src", "left_semi")
+        edges = settle(inner.join(_dealt(inner.select(F.col("src").alias("dst")).distinct()), "dst", "left_semi").select("src", "dst"))
         now = edges.count()
         if now == left:
             break
@@ -123,49 +128,100 @@ def _spread(edges: DataFrame, found: DataFrame) -> DataFrame:
     """(node, color): the greatest color of all nodes from which a node can be reached, itself included."""
     fresh = found
     while True:
-        met = fresh.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.max("color").alias("_new"))
-        fresh = settle(met.join(found, "node").where("_new > color").select("node", F.col("_new").alias("color")))
+        met = fresh.join(_dealt(edges), F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.max("color").alias("_new"))
+        fresh = settle(met.join(_dealt(found), "node").where("_new > color").select("node", F.col("_new").alias("color")))
         if fresh.isEmpty():
             return found
-        found = settle(found.join(fresh.select("node"), "node", "left_anti").unionByName(fresh))
+        found = settle(found.join(_dealt(fresh.select("node")), "node", "left_anti").unionByName(fresh))
+
+
+def _near_cycles(edges: DataFrame, most: int = 1 << 17) -> DataFrame:
+    """(node, into): nodes on cycles among neighbours, with the least node of such a cycle.
+
+    Edges are dealt by ranges of their start, and each run of ``most`` of them is looked at by itself, so the memory is
+    bounded. A run's cycles are cycles of the whole, but not all of those are in one run.
+    """
+    import pyarrow as pa
+
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def found(held: dict, schema) -> pa.RecordBatch:
+        parts = _cyclic({a: [b for b in bs if b in held] for a, bs in held.items()})
+        least = {id(part): min(part) for part in parts.values()}
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), schema), pa.array([least[id(part)] for part in parts.values()], schema)], names=["node", "into"])
+
+    def run(batches):
+        held, n, schema = {}, 0, None
+        for batch in batches:
+            schema = batch.schema.field("src").type
+            for a, b in zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist()):
+                held.setdefault(a, []).append(b)
+            n += batch.num_rows
+            if n >= most:
+                yield found(held, schema)
+                held, n = {}, 0
+        if held:
+            yield found(held, schema)
+
+    near = edges.select("src", "dst").repartitionByRange("src").sortWithinPartitions("src")
+    return near.mapInArrow(run, f"node {kind}, into {kind}").groupBy("node").agg(F.min("into").alias("into")).where("node <> into")
+
+
+def _drawn_together(edges: DataFrame, into: DataFrame) -> DataFrame:
+    """``edges`` with the nodes of ``into`` (node, into) put for one another."""
+    ends = edges
+    for end in ("src", "dst"):
+        ends = ends.join(_dealt(into.select(F.col("node").alias(end), F.col("into").alias(f"_{end}"))), end, "left")
+    return ends.select(F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst")).where("src <> dst").distinct()
 
 
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): strongly connected components over (src, dst), each named by its least node.
 
-    Nodes that no cycle can hold are taken off first. Then every node learns the greatest node that leads to it, its
-    color; the nodes that lead back to that one, within the color, are its component. What is left is done again, with
-    only the edges within a color, so a round settles a component in every color at once.
+    Nodes that no cycle can hold are taken off first, and cycles among neighbours are drawn together into their least
+    node. Then every node learns the greatest node that leads to it, its color; the nodes that lead back to that one,
+    within the color, are its component. What is left is done again, with only the edges within a color, so a round
+    settles a component in every color at once.
     """
     nodes = settle(nodes.select("node").where("node is not null").distinct())
     known = edges.select("src", "dst").where("src <> dst").distinct()
-    known = known.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
-    live, parts = _on_cycles(settle(known.select("src", "dst"))), []
+    known = known.join(_dealt(nodes.select(F.col("node").alias("src"))), "src", "left_semi").join(_dealt(nodes.select(F.col("node").alias("dst"))), "dst", "left_semi")
+    live, parts, drawn = settle(known.select("src", "dst")), [], []
     while not live.isEmpty():
+        into = settle(_near_cycles(live))
+        if not into.isEmpty():
+            drawn.append(into)
+            live = settle(_drawn_together(live, into))
+        live = _on_cycles(live)
+        if live.isEmpty():
+            break
         there = live.select(F.col("src").alias("node")).distinct()
         colors = _spread(live, settle(there.withColumn("color", F.col("node"))))
-        tinted = live.join(colors.select(F.col("node").alias("src"), F.col("color").alias("_c")), "src").join(colors.select(F.col("node").alias("dst"), "color"), "dst")
+        tinted = live.join(_dealt(colors.select(F.col("node").alias("src"), F.col("color").alias("_c"))), "src").join(_dealt(colors.select(F.col("node").alias("dst"), "color")), "dst")
         inside = settle(tinted.where("_c = color").select("src", "dst", "color"))
         back = fresh = settle(colors.where("node = color"))
         while True:
-            step = fresh.select(F.col("node").alias("dst"), "color").join(inside, ["dst", "color"]).select(F.col("src").alias("node"), "color").distinct()
-            fresh = settle(step.join(back, "node", "left_anti"))
+            step = fresh.select(F.col("node").alias("dst"), "color").join(_dealt(inside), ["dst", "color"]).select(F.col("src").alias("node"), "color").distinct()
+            fresh = settle(step.join(_dealt(back), "node", "left_anti"))
             if fresh.isEmpty():
                 break
             back = back.unionAll(fresh)
         back = settle(back)
         parts.append(back)
         done = back.select("node")
-        rest = inside.join(done.select(F.col("node").alias("src")), "src", "left_anti").join(done.select(F.col("node").alias("dst")), "dst", "left_anti")
-        live = _on_cycles(settle(rest.select("src", "dst")))
+        rest = inside.join(_dealt(done.select(F.col("node").alias("src"))), "src", "left_anti").join(_dealt(done.select(F.col("node").alias("dst"))), "dst", "left_anti")
+        live = settle(rest.select("src", "dst"))
+    out = nodes.select("node", F.col("node").alias("component"))
+    for into in drawn:  # a node may be drawn into one that is drawn on later
+        out = out.join(_dealt(into.select(F.col("node").alias("component"), "into")), "component", "left").select("node", F.coalesce("into", "component").alias("component"))
     if not parts:
-        return nodes.select("node", F.col("node").alias("component"))
+        return out
     every = parts[0]
     for p in parts[1:]:
         every = every.unionAll(p)
-    names = every.groupBy("color").agg(F.min("node").alias("component"))
-    cyclic = every.join(names, "color").select("node", "component")
-    return nodes.join(cyclic, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    names = every.groupBy("color").agg(F.min("node").alias("_name"))
+    cyclic = every.join(_dealt(names), "color").select(F.col("node").alias("component"), "_name")
+    return out.join(_dealt(cyclic), "component", "left").select("node", F.coalesce("_name", "component").alias("component"))
 
 
 def order_with_cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -176,10 +232,11 @@ def order_with_cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     ranked = settle(nodes.groupBy("node").agg(F.min("ord").alias("ord")))
     parts = settle(strong_components(edges, ranked))
-    ends = edges.join(parts.select(F.col("node").alias("src"), F.col("component").alias("_a")), "src").join(parts.select(F.col("node").alias("dst"), F.col("component").alias("_b")), "dst")
+    ends = edges.join(_dealt(parts.select(F.col("node").alias("src"), F.col("component").alias("_a"))), "src").join(_dealt(parts.select(F.col("node").alias("dst"), F.col("component").alias("_b"))), "dst")
     above = levels(ends.select(F.col("_a").alias("src"), F.col("_b").alias("dst")), parts.select(F.col("component").alias("node")))
-    first = parts.join(ranked, "node").groupBy("component").agg(F.min("ord").alias("_first"))
-    rows = parts.join(ranked, "node").join(above.withColumnRenamed("node", "component"), "component").join(first, "component")
+    placed = settle(parts.join(_dealt(ranked), "node"))
+    first = placed.groupBy("component").agg(F.min("ord").alias("_first"))
+    rows = placed.join(_dealt(above.withColumnRenamed("node", "component")), "component").join(_dealt(first), "component")
     return numbered(rows.select("node", "component", "level", "_first", "ord"), "level", "_first", "component", "ord", "node").select("node", "component", "level", "position")
 
 

@@ -1,10 +1,11 @@
 """Queries and operators on tables that are larger, or laid out otherwise, than the driver's small ones."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
-from recordloom.operators import site, tables
+from recordloom.operators import graphs, site, tables
 from recordloom.plans import queries
 from recordloom.streaming import outputs
 
@@ -49,3 +50,33 @@ def test_outputs_of_a_long_cell_take_linear_time(spark):
     got = outputs.reduce_outputs(events).agg(F.count("*"), F.sum(F.col("payload").cast("long")), F.count("problem")).first()
     assert got == (n // 2 - 3, sum(range(7, n, 2)), 0)
     assert time.time() - began < 30
+
+
+def test_cycles_of_neighbours_take_few_rounds(spark, monkeypatch):
+    """Rings of five, each in need of the one with half its number: 300 cycles in a tree."""
+    made, settle = [], graphs.settle
+    monkeypatch.setattr(graphs, "settle", lambda df: made.append(1) or settle(df))
+    i = F.col("id")
+    nodes = spark.range(1500).select(i.alias("node"))
+    ring = nodes.select(F.col("node").alias("src"), F.expr("node - node % 5 + (node + 1) % 5").alias("dst"))
+    edges = ring.unionAll(nodes.where("node % 5 = 0 and node > 0").select("node", F.expr("node div 10 * 5 + 4")))
+    got = {r.node: r.component for r in graphs.strong_components(edges, nodes).collect()}
+    assert got == {n: n - n % 5 for n in range(1500)} and len(made) < 20
+
+
+def test_components_whatever_the_runs_of_edges(spark, monkeypatch):
+    rng = random.Random(11)
+    near = graphs._near_cycles
+    for most in (1, 3, 1000):
+        monkeypatch.setattr(graphs, "_near_cycles", lambda edges: near(edges, most))  # noqa: B023
+        for _ in range(2):
+            n = rng.randrange(5, 40)
+            pairs = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(rng.randrange(2 * n))]
+            reach = {f"n{i}": {f"n{i}"} for i in range(n)}
+            for _ in range(n):
+                for a, b in pairs:
+                    reach[a] |= reach[b]
+            want = {a: min(b for b in reach[a] if a in reach[b]) for a in reach}
+            edges = spark.createDataFrame(pairs, "src string, dst string")
+            got = graphs.strong_components(edges, spark.createDataFrame([(x,) for x in reach], "node string")).collect()
+            assert {r.node: r.component for r in got} == want, (most, pairs)
