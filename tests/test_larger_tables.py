@@ -80,3 +80,14 @@ def test_components_whatever_the_runs_of_edges(spark, monkeypatch):
             edges = spark.createDataFrame(pairs, "src string, dst string")
             got = graphs.strong_components(edges, spark.createDataFrame([(x,) for x in reach], "node string")).collect()
             assert {r.node: r.component for r in got} == want, (most, pairs)
+
+
+def test_links_of_a_large_concept_are_the_work_of_several_tasks(spark):
+    members = [("big", "related", "p", i) for i in range(60)] + [("small", "equivalent", "p", i) for i in (1, 2, 3)]
+    concepts = spark.createDataFrame(members, "concept string, kind string, package string, item long")
+    routes = spark.createDataFrame([("p", i, f"r{i // 2}", "P", f"q{i}") for i in range(60)], "package string, item long, route string, package_name string, name string")
+    links = site.concept_links(concepts, routes, 5)
+    want = {(f"r{a // 2}", c, f"r{b // 2}", f"P: q{b}", "Same API in" if k == "equivalent" else "Related API") for c, k, _, a in members for d, _, _, b in members if c == d and a // 2 != b // 2}
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert links.where("concept = 'big'").select(F.spark_partition_id()).distinct().count() > 1
