@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,16 +40,38 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.zip_with(both, third, lambda x, y: F.concat(x, y)))
 
 
-def build_index(entries: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """The inverted index of entries (title, text, package, ordinal): (gram, block, ordinals, n), sorted by gram.
+def build_index(entries: DataFrame, block: int = 1 << 16, most: int = 1 << 20) -> DataFrame:
+    """The inverted index of entries (title, text, package, ordinal): (gram, block, ordinals, n), sorted by gram in each partition.
 
-    A row has the entries of a block of ordinals that hold the gram, so no row grows with the table; ``n`` is their
-    number. Written as Parquet, the order lets a look-up skip the row groups of other grams.
+    A row has entries of a block of ordinals that hold the gram, as a task met them, so no row grows with the table and
+    none is shuffled; several rows may have the same gram and block. ``n`` is the number of its entries. A task holds at
+    most about ``most`` of them. Written as Parquet, the order lets a look-up skip the row groups of other grams.
     """
-    text = _full_text()
-    listed = entries.select("ordinal", F.explode(F.when(F.length(text) > 0, _grams(text))).alias("gram"))
-    rows = listed.groupBy("gram", F.floor(F.col("ordinal") / block).alias("block")).agg(F.array_sort(F.collect_list("ordinal")).alias("ordinals"))
-    return rows.withColumn("n", F.size("ordinals").cast("long")).repartitionByRange("gram", "block").sortWithinPartitions("gram", "block")
+    import pyarrow as pa
+
+    def rows(held: dict) -> pa.RecordBatch:
+        sizes = [len(found) for found in held.values()]
+        ordinals = pa.array(itertools.chain.from_iterable(held.values()), pa.int64())
+        listed = pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(sizes)], pa.int32()), ordinals)
+        return pa.RecordBatch.from_arrays([pa.array([g for g, _ in held], pa.string()), pa.array([b for _, b in held], pa.int64()), listed, pa.array(sizes, pa.int64())], names=["gram", "block", "ordinals", "n"])
+
+    def run(batches):
+        held, n = {}, 0
+        for batch in batches:
+            for ordinal, text in zip(batch.column("ordinal").to_pylist(), batch.column("text").to_pylist()):
+                marked, at = text + "\0\0", ordinal // block
+                grams = {marked[i : i + 3] for i in range(len(text))}
+                for gram in grams:
+                    held.setdefault((gram, at), []).append(ordinal)
+                n += len(grams)
+                if n >= most:
+                    yield rows(held)
+                    held, n = {}, 0
+        if held:
+            yield rows(held)
+
+    texts = entries.where("ordinal is not null").select(F.col("ordinal").cast("long").alias("ordinal"), _full_text().alias("text"))
+    return texts.mapInArrow(run, "gram string, block bigint, ordinals array<bigint>, n bigint").sortWithinPartitions("gram", "block")
 
 
 def search_many(entries: DataFrame, index: DataFrame, queries: DataFrame, limit: int = 12, broadcast_rows: int = 200_000) -> DataFrame:
@@ -58,7 +82,7 @@ def search_many(entries: DataFrame, index: DataFrame, queries: DataFrame, limit:
     query meets an entry that does not hold its rarest piece. ``ordinal`` tells entries apart.
     """
     asked = queries.select("query_id", F.lower(F.btrim("query", F.lit(" \t\n\x0b\x0c\r"))).alias("query")).where("query <> ''")
-    counts = index.groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = settle(index.groupBy("gram").agg(F.sum("n").alias("n")))
     pieces = asked.where("length(query) > 2").select("query_id", F.explode(F.filter(_grams(F.col("query")), lambda g: ~F.contains(g, F.lit("\0")))).alias("gram"))
     rarest = pieces.join(counts, "gram", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("_r")).select("query_id", "_r.gram")
     short = counts.select("gram", F.explode(F.array(F.substring("gram", 1, 1), F.substring("gram", 1, 2))).alias("query")).join(asked.where("length(query) < 3"), "query").select("query_id", "gram")
@@ -71,7 +95,9 @@ def search_many(entries: DataFrame, index: DataFrame, queries: DataFrame, limit:
     title = F.lower("title")
     exact = (title == F.col("query")) | F.endswith(title, F.concat(F.lit("."), "query")) | F.endswith(title, F.concat(F.lit("::"), "query"))
     ranked = met.withColumn("rank", F.when(exact, 0).when(F.contains(title, F.col("query")), 1).otherwise(2))
-    return _best(ranked, limit).join(F.broadcast(asked) if small else asked, "query_id").join(entries, "ordinal").select("query_id", "query", "title", "text", "package", "ordinal", "rank", "place")
+    best = _best(ranked, limit).join(F.broadcast(asked) if small else asked, "query_id")
+    few = small and asked.count() * limit <= broadcast_rows
+    return (F.broadcast(best) if few else best).join(entries, "ordinal").select("query_id", "query", "title", "text", "package", "ordinal", "rank", "place")
 
 
 def _best(ranked: DataFrame, limit: int) -> DataFrame:

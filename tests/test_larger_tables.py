@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from recordloom.operators import graphs, site, tables
+from recordloom.operators import graphs, search, site, tables
 from recordloom.plans import queries
 from recordloom.streaming import outputs
 
@@ -91,3 +91,19 @@ def test_links_of_a_large_concept_are_the_work_of_several_tasks(spark):
     got = [tuple(r) for r in links.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert links.where("concept = 'big'").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_an_index_is_made_without_a_shuffle(spark):
+    rng = random.Random(4)
+    words = ["alpha", "Beta", "x.run", "é", "😀 ok", "\n", "ab"]
+    data = [(rng.choice(words), " ".join(rng.choice(words) for _ in range(rng.randrange(9))) if i % 9 else None, "p", i) for i in range(200)] + [("lost", "alpha", "p", None)]
+    entries = spark.createDataFrame(data, "title string, text string, package string, ordinal long")
+    index = search.build_index(entries, 64, 50)
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    full = {i: f"{a} {b or ''} {p}".lower() + "\0\0" for a, b, p, i in data if i is not None}
+    want = {(t[k : k + 3], i // 64, i) for i, t in full.items() for k in range(len(t) - 2)}
+    rows = index.collect()
+    assert sorted((r.gram, r.block, o) for r in rows for o in r.ordinals) == sorted(want) and all(r.n == len(r.ordinals) for r in rows)
+    found = search.search_many(entries, index, spark.createDataFrame([(1, "beta"), (2, "é")], "query_id long, query string"), 5)
+    for i, q in ((1, "beta"), (2, "é")):
+        assert [r.ordinal for r in found.where(F.col("query_id") == i).orderBy("place").collect()] == [r.ordinal for r in search.search(entries.where("ordinal is not null"), q, 5).collect()]
